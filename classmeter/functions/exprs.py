@@ -85,9 +85,13 @@ def first_chars(text: Column, n: int = 50) -> Column:
     return F.substring(text, 1, n)
 
 
-def display_date(time: Column, with_time: bool = False) -> Column:
-    """`Mar. 5, 2024` or `Mar. 5, 2024, 4:07 PM`."""
-    return F.date_format(time, "MMM. d, yyyy, h:mm a" if with_time else "MMM. d, yyyy")
+def display_date(time: Column, month: str = "MMM.", with_time: bool = False) -> Column:
+    """`Mar. 05, 2024`, or with time `Mar. 05, 2024, 4:07 p.m.`; `MMMM` spells the month out."""
+    day = F.date_format(time, f"{month} dd, yyyy")
+    if not with_time:
+        return day
+    half = F.when(F.hour(time) < 12, "a.m.").otherwise("p.m.")
+    return F.concat_ws(" ", F.concat(day, F.date_format(time, ", h:mm")), half)
 
 
 def topic_line(topics: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, functions as F
 BLANK = r"[\s\x1c-\x1f]"
 COMMENT = r"--[^\n]*"
 LAST_SEMICOLON = rf"(?U);{BLANK}*\z"
-ALIAS = rf"(?iU){BLANK}+as{BLANK}+\w+$"
-NAMED_TABLE = rf"(?U)\b(?:from|join){BLANK}+([a-z_][a-z0-9_]*)"
+ALIAS = rf"(?iU){BLANK}+as{BLANK}+[\p{{L}}\p{{N}}_]+\z"
+NAMED_TABLE = rf"(?U)(?<![\p{{L}}\p{{N}}_])(?:from|join){BLANK}+([a-z_][a-z0-9_]*)"
 WEIGHTS = {"from": 40, "select": 30, "where": 30}
 
 
