@@ -32,16 +32,13 @@ def round_float(value: Column, digits: int) -> Column:
     candidates.
     """
     scale = float(10**digits)
+    # Splitting the value into two halves makes both products exact.
     high = value * 134217729.0 - (value * 134217729.0 - value)
     a, b = high * (2 * scale), (value - high) * (2 * scale)
     total = a + b
-    part = total - a
-    error = (a - (total - part)) + (b - part)
     below = F.floor(value * scale).cast("double")
-    gap = total - (below * 2 + 1)
-    side = F.when(gap != 0, gap).otherwise(error)
-    odd = (below % 2) == 1
-    up = (side > 0) | ((side == 0) & odd)
+    side = (total - (below * 2 + 1)) + (b - (total - a))
+    up = (side > 0) | ((side == 0) & (below % 2 == 1))
     return (below + F.when(up, 1.0).otherwise(0.0)) / scale
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, functions as F
 BLANK = r"[\s\x1c-\x1f]"
 COMMENT = r"--[^\n]*"
 LAST_SEMICOLON = rf"(?U);{BLANK}*\z"
-ALIAS = rf"(?iU){BLANK}+as{BLANK}+[\p{{L}}\p{{N}}_]+\z"
-NAMED_TABLE = rf"(?U)(?<![\p{{L}}\p{{N}}_])(?:from|join){BLANK}+([a-z_][a-z0-9_]*)"
+# These two meet normalised text only, where a blank is a space.
+ALIAS = r"(?iU) +as +[\p{L}\p{N}_]+\z"
+NAMED_TABLE = r"(?<![\p{L}\p{N}_])(?:from|join) +([a-z_][a-z0-9_]*)"
 WEIGHTS = {"from": 40, "select": 30, "where": 30}
 
 
@@ -62,61 +63,79 @@ def clauses_of(normal: Column) -> Column:
 
 
 def _pieces(text: Column, mark: str) -> Column:
-    """Stripped, non-empty parts between the marks."""
-    return F.filter(F.transform(F.split(text, mark), strip), lambda piece: piece != "")
+    """Trimmed, non-empty parts between the marks."""
+    return F.filter(F.transform(F.split(text, mark), lambda piece: F.trim(piece)), lambda piece: piece != "")
 
 
 def _as_set(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 def extract_tables(source: Column) -> Column:
-    """Table names after a join; only without any, the first word of each comma part."""
-    source = F.lower(source)
-    named = F.regexp_extract_all(source, F.lit(NAMED_TABLE), 1)
-    first_word = lambda piece: F.regexp_extract(piece, rf"(?U)\A[^\s\x1c-\x1f]+", 0)
-    listed = F.transform(_pieces(source, ","), first_word)
-    return _as_set(F.when(F.size(named) > 0, named).otherwise(listed))
+    """Tables of a normalised from part.
+
+    Names after a join; only without any, the first word of each comma part.
+    """
+    may_name = source.contains("join ") | source.contains("from ")
+    named = F.when(may_name, F.regexp_extract_all(source, F.lit(NAMED_TABLE), 1))
+    first_words = F.transform(
+        _pieces(source, ","), lambda piece: F.substring_index(piece, " ", 1)
+    )
+    no_empty = F.when(F.size(named) > 0, named)
+    return _as_set(F.coalesce(no_empty, first_words))
 
 
 def extract_columns(listed: Column) -> Column:
-    """Comma items: with parentheses as they are, else the bare column name."""
+    """Columns of a normalised select part.
+
+    Comma items; with parentheses as they are, else the bare column name.
+    """
 
     def name(item: Column) -> Column:
-        bare = F.regexp_replace(F.translate(item, "`", ""), ALIAS, "")
-        return strip(F.lower(F.substring_index(bare, ".", -1)))
+        bare = F.translate(item, "`", "")
+        bare = F.when(bare.contains(" as "), F.regexp_replace(bare, ALIAS, "")).otherwise(bare)
+        return F.trim(F.substring_index(bare, ".", -1))
 
     def column(item: Column) -> Column:
         called = item.contains("(") | item.contains(")")
-        return F.when(called, one_space(F.lower(item))).otherwise(name(item))
+        return F.when(called, item).otherwise(name(item))
 
     return _as_set(F.transform(_pieces(listed, ","), column))
 
 
 def _unwrap(condition: Column) -> Column:
     """Without the parentheses around the whole; as many as stand at both ends."""
-    opened = F.regexp_extract(condition, rf"(?U)\A(?:\({BLANK}*)*", 0)
-    closed = F.regexp_extract(condition, rf"(?U)(?:{BLANK}*\))*\z", 0)
-    pairs = F.least(
-        F.length(F.regexp_replace(opened, r"[^(]", "")),
-        F.length(F.regexp_replace(closed, r"[^)]", "")),
-    )
-    peel = lambda text, _: strip(text.substr(F.lit(2), F.length(text) - 2))
-    return F.aggregate(F.array_repeat(F.lit(0), pairs), condition, peel)
+    opened = F.length(F.translate(F.regexp_extract(condition, r"\A[( ]*", 0), " ", ""))
+    closed = F.length(F.translate(F.regexp_extract(condition, r"[) ]*\z", 0), " ", ""))
+    peel = lambda text, _: F.trim(text.substr(F.lit(2), F.length(text) - 2))
+    peeled = F.aggregate(F.array_repeat(F.lit(0), F.least(opened, closed)), condition, peel)
+    wrapped = F.startswith(condition, F.lit("(")) & F.endswith(condition, F.lit(")"))
+    return F.when(wrapped, peeled).otherwise(condition)
 
 
 def extract_conditions(condition: Column) -> Column:
-    """Parts between ` and `, also inside a BETWEEN, without their outer parentheses."""
-    parts = F.transform(_pieces(condition, " and "), lambda part: one_space(F.lower(_unwrap(part))))
+    """Conditions of a normalised where part.
+
+    Parts between ` and `, also inside a BETWEEN, without their outer parentheses.
+    """
+    parts = F.transform(_pieces(condition, " and "), _unwrap)
     return _as_set(F.filter(parts, lambda part: part != ""))
 
 
-def set_f1(correct: Column, submitted: Column) -> Column:
-    """F1 of two token sets; nothing expected is a full match, nothing given none."""
-    both = F.size(F.array_intersect(correct, submitted))
-    precision = F.try_divide(both.cast("double"), F.size(submitted))
-    recall = F.try_divide(both.cast("double"), F.size(correct))
+def hits(correct: Column, submitted: Column) -> Column:
+    return F.size(F.array_intersect(correct, submitted))
+
+
+def f1_of(both: Column, correct: Column, submitted: Column) -> Column:
+    """F1 from the sizes of two sets and of what they share.
+
+    Nothing expected is a full match, nothing given or shared none.
+    """
+    precision = F.try_divide(both.cast("double"), submitted)
+    recall = F.try_divide(both.cast("double"), correct)
     f1 = F.try_divide(F.lit(2.0) * precision * recall, precision + recall)
-    return (
-        F.when(F.size(correct) == 0, 1.0).when(both == 0, 0.0).otherwise(f1)
-    )
+    return F.when(correct == 0, 1.0).when(both == 0, 0.0).otherwise(f1)
+
+
+def set_f1(correct: Column, submitted: Column) -> Column:
+    return f1_of(hits(correct, submitted), F.size(correct), F.size(submitted))

@@ -44,15 +44,20 @@ def score_submissions(submissions: DataFrame, problem: DataFrame) -> DataFrame:
 
     same = {part: F.col(f"correct.{name}") == F.col(f"student.{name}") for part, (name, _) in SETS.items()}
     f1 = {part: F.col(f"_{part}_f1") for part in PARTS}
+    both = {part: (F.col(f"correct.{name}"), F.col(f"student.{name}")) for part, (name, _) in SETS.items()}
+    paired = paired.withColumns({f"_{part}_hits": sqltext.hits(*both[part]) for part in PARTS})
     paired = paired.withColumns(
         {
-            f"_{part}_f1": sqltext.set_f1(F.col(f"correct.{name}"), F.col(f"student.{name}"))
-            for part, (name, _) in SETS.items()
+            f"_{part}_f1": sqltext.f1_of(F.col(f"_{part}_hits"), *map(F.size, both[part]))
+            for part in PARTS
         }
     )
-    points = {part: F.lit(float(sqltext.WEIGHTS[part])) * f1[part] for part in PARTS}
     equal = same["from"] & same["select"] & same["where"]
-    total = points["from"] + points["select"] + points["where"]
+    paired = paired.withColumns(
+        {f"_{part}_points": F.lit(float(sqltext.WEIGHTS[part])) * f1[part] for part in PARTS}
+    )
+    points = {part: F.col(f"_{part}_points") for part in PARTS}
+    paired = paired.withColumn("_total", points["from"] + points["select"] + points["where"])
     breakdown = [round_float(points[part], 1).alias(part) for part in PARTS]
     breakdown += [round_float(f1[part], 3).alias(f"{part}_f1") for part in PARTS]
     details = F.struct(
@@ -63,10 +68,8 @@ def score_submissions(submissions: DataFrame, problem: DataFrame) -> DataFrame:
         F.struct(*breakdown).alias("score_breakdown"),
         F.struct("correct_raw", "student_raw").alias("debug"),
     )
-    score = F.when(equal, 100.0).otherwise(round_float(total, 1))
-    return paired.select(
-        *submissions.columns, score.alias("score"), details.alias("details")
-    )
+    score = F.when(equal, 100.0).otherwise(round_float(F.col("_total"), 1))
+    return paired.select(*submissions.columns, score.alias("score"), details.alias("details"))
 
 
 def answered(submissions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -36,3 +36,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="classmeter-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out a small scan before costly work on its rows.
+
+    A file of one row group is one task, however many cores there are. A scan
+    that already has a split per core is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
