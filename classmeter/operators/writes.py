@@ -216,23 +216,25 @@ def edit_outcomes(t: Tables, changes: DataFrame) -> DataFrame:
     change; of several changes that ask for the same one, the lowest id gets it.
     """
     word = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
-    clean = changes.select("user_id", *(word(c).alias(c) for c in ("name", "email", "status", "password")))
-    asked = clean.filter("email is not null")
-    first = asked.groupBy("email").agg(F.min("user_id").alias("_first"))
+    fields = ("name", "email", "status", "password")
+    clean = changes.select("user_id", *(word(c).alias(c) for c in fields))
+    asked = clean.filter("email is not null").select("email").distinct()
     held = t.user.select("email", F.col("user_id").alias("_holder"))
-    held = held.join(asked.select("email").distinct(), "email", "left_semi")
-    held = held.groupBy("email").agg(F.min("_holder").alias("_low"), F.max("_holder").alias("_high"))
+    held = held.join(asked, "email", "left_semi").groupBy("email")
+    held = held.agg(F.min("_holder").alias("_low"), F.max("_holder").alias("_high"))
+    other = (F.col("_low") != F.col("user_id")) | (F.col("_high") != F.col("user_id"))
+    judged = clean.join(held, "email", "left")
+    judged = judged.withColumn("_taken", F.coalesce(other, F.lit(False)))
+    free = judged.filter("email is not null and not _taken").groupBy("email")
+    judged = judged.join(free.agg(F.min("user_id").alias("_first")), "email", "left")
     known = t.user.select("user_id", F.lit(True).alias("_known"))
-    judged = clean.join(first, "email", "left").join(held, "email", "left")
     judged = judged.join(known, "user_id", "left")
-    taken = (F.col("_low") != F.col("user_id")) | (F.col("_high") != F.col("user_id"))
-    late = F.col("_first") != F.col("user_id")
     outcome = (
         F.when(F.col("_known").isNull(), "not found")
-        .when(taken | late, "email in use")
+        .when(F.col("_taken") | (F.col("_first") != F.col("user_id")), "email in use")
         .otherwise("changed")
     )
-    return judged.select("user_id", "name", "email", "status", "password", outcome.alias("outcome"))
+    return judged.select("user_id", *fields, outcome.alias("outcome"))
 
 
 def edit_users(t: Tables, changes: DataFrame) -> Tables:

@@ -144,7 +144,8 @@ def _float_text(value: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_extract(java, r"^(.*)E", 1), r"\.0$", "")
     power = F.regexp_extract(java, r"E(-?\d+)$", 1).cast("int")
     sign = F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    spread = F.concat(mantissa, sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    zero = F.when(F.abs(power) < 10, "0").otherwise("")
+    spread = F.concat(mantissa, sign, zero, F.abs(power).cast("string"))
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(size == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
