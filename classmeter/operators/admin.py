@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from classmeter.functions import filters
-from classmeter.operators.learner import of
+from classmeter.functions.joins import small_side
+from classmeter.operators.learner import in_order, of
 from classmeter.operators.reports import names
-from classmeter.sources.tables import Tables
+from classmeter.sources.tables import Tables, typed
 
 
 def roles(t: Tables) -> DataFrame:
@@ -66,7 +67,7 @@ def inbox(t: Tables, user_id: int | None = None) -> DataFrame:
     """Received notifications, newest first, one row per sender."""
     mine = of(t.receive, "receiver_id", user_id)
     senders = t.send.join(names(t, "sender_id", "sender_name"), "sender_id", "left")
-    return (
+    listed = (
         mine.join(t.notification, "noti_id")
         .join(senders, "noti_id", "left")
         .select(
@@ -76,8 +77,8 @@ def inbox(t: Tables, user_id: int | None = None) -> DataFrame:
             F.coalesce("sender_name", F.lit("System")).alias("sender_name"),
             "sender_id",
         )
-        .orderBy("receiver_id", F.desc_nulls_first("send_time"), "noti_id", "sender_id")
     )
+    return in_order(listed, user_id, F.desc_nulls_first("send_time"), "noti_id", "sender_id")
 
 
 def notification_receivers(
@@ -90,12 +91,12 @@ def notification_receivers(
         to = to.join(allowed, "noti_id", "left_semi")
     counts = to.groupBy("noti_id").agg(F.count(F.lit(1)).alias("receiver_count"))
     people = t.user.select(F.col("user_id").alias("receiver_id"), "name", "email")
-    return (
+    listed = (
         to.join(people, "receiver_id")
         .join(counts, "noti_id")
         .select("noti_id", F.col("receiver_id").alias("user_id"), "name", "email", "receiver_count")
-        .orderBy("noti_id", "name", "user_id")
     )
+    return in_order(listed, noti_id, "name", "user_id")
 
 
 # Recipient choices of a message.
@@ -116,15 +117,31 @@ def audience(t: Tables, rule: str, user_id: int | None = None) -> DataFrame:
 
 
 def deliver(t: Tables, messages: DataFrame) -> DataFrame:
-    """Receive rows of many messages (noti_id, rule, user_id); the output is their size.
+    """Receive rows of messages (noti_id, rule, user_id).
 
-    Each rule is one equality join: broadcast choices meet a constant key, so
-    every user row is written once per message that names its group.
+    A message to a whole group is a rare, single announcement: these are
+    matched to the users' groups as a small side, one row per receiver.
     """
     groups = t.student.select("user_id", F.lit("all_students").alias("rule"))
     groups = groups.union(t.mentor.select("user_id", F.lit("all_mentors")))
     groups = groups.union(t.user.select("user_id", F.lit("all_users")))
-    wide = messages.filter("rule <> 'specific'").select("noti_id", "rule").join(groups, "rule")
+    wide = messages.filter("rule <> 'specific'").select("noti_id", "rule")
+    wide = groups.join(small_side(wide), "rule")
     one = messages.filter("rule = 'specific'").join(t.user.select("user_id"), "user_id", "left_semi")
-    sent = wide.select(F.col("user_id").alias("receiver_id"), "noti_id")
-    return sent.union(one.select(F.col("user_id").alias("receiver_id"), "noti_id"))
+    receiver = F.col("user_id").alias("receiver_id")
+    return wide.select(receiver, "noti_id").union(one.select(receiver, "noti_id"))
+
+
+def send_notification(
+    t: Tables, sender_id: int, rule: str, user_id: int | None = None, now: Column | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notification, send, receive) rows of one new message."""
+    now = F.current_timestamp() if now is None else now
+    first = t.notification.agg((F.coalesce(F.max("noti_id"), F.lit(0)) + 1).alias("noti_id"))
+    noti_id = first.scalar()
+    receivers = audience(t, rule, user_id)
+    return (
+        typed(first.withColumn("send_time", now), "notification"),
+        typed(first.withColumn("sender_id", F.lit(sender_id)), "send"),
+        typed(receivers.select(F.col("user_id").alias("receiver_id"), noti_id.alias("noti_id")), "receive"),
+    )

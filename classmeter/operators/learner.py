@@ -25,6 +25,15 @@ def of(df: DataFrame, column: str, value: int | None) -> DataFrame:
     return filters.where_given(df, value, lambda v: F.col(column) == v)
 
 
+def in_order(df: DataFrame, one: int | None, *order: Column | str) -> DataFrame:
+    """The listing of one entity in its order.
+
+    For all entities at once the rows carry their place or time, and a sort of
+    the whole result would only be one more shuffle.
+    """
+    return df if one is None else df.orderBy(*order)
+
+
 def first_per_key(df: DataFrame, key: str, order: list, n: int, place: str) -> DataFrame:
     """The first `n` rows of each key.
 
@@ -53,14 +62,11 @@ def recent_attempts(t: Tables, student_id: int | None = None, n: int = 10) -> Da
     mine = of(t.attempt, "student_id", student_id)
     recent = first_per_key(mine, "student_id", newest(), n, "place")
     problem = t.problem.select("problem_id", "title", "difficulty")
-    return (
-        recent.join(problem, "problem_id")
-        .select(
-            "student_id", "place", "problem_id", "title", "difficulty", "attempt_no", "score",
-            "submit_time",
-        )
-        .orderBy("student_id", "place")
+    listed = recent.join(problem, "problem_id").select(
+        "student_id", "place", "problem_id", "title", "difficulty", "attempt_no", "score",
+        "submit_time",
     )
+    return in_order(listed, student_id, "place")
 
 
 def recommend_problems(t: Tables, student_id: int | None = None, n: int = 5) -> DataFrame:
@@ -80,8 +86,13 @@ def recommend_problems(t: Tables, student_id: int | None = None, n: int = 5) ->
     listed = number_within(
         open_problems, [], order, [level, id_block(F.col("problem_id"))], "place"
     )
-    tried = of(t.attempt, "student_id", student_id).select("student_id", "problem_id").distinct()
-    tried = tried.join(listed.select("problem_id", "place"), "problem_id")
+    # A student with k attempts meets the n-th untried one by place n + k; later
+    # tried ones do not matter, which leaves few rows to number.
+    mine = of(t.attempt, "student_id", student_id).select("student_id", "problem_id")
+    reach = mine.groupBy("student_id").agg((F.count(F.lit(1)) + n).alias("reach"))
+    tried = mine.join(listed.select("problem_id", "place"), "problem_id")
+    tried = tried.join(reach, "student_id").filter("place <= reach")
+    tried = tried.select("student_id", "place").distinct()
     tried = number_within(
         tried, ["student_id"], [F.asc("place")], [id_block(F.col("place"))], "i"
     )
@@ -100,9 +111,8 @@ def recommend_problems(t: Tables, student_id: int | None = None, n: int = 5) ->
         "student_id", F.inline(slots)
     )
     found = wanted.join(listed, "place")
-    return found.select("student_id", "choice", "problem_id", "title", "difficulty").orderBy(
-        "student_id", "choice"
-    )
+    found = found.select("student_id", "choice", "problem_id", "title", "difficulty")
+    return in_order(found, student_id, "choice")
 
 
 def problems_passed(t: Tables, student_id: int | None = None) -> DataFrame:
@@ -153,9 +163,10 @@ def problem_attempts(
     t: Tables, student_id: int | None = None, problem_id: int | None = None
 ) -> DataFrame:
     mine = of(of(t.attempt, "student_id", student_id), "problem_id", problem_id)
-    return mine.select(
+    listed = mine.select(
         "student_id", "problem_id", "attempt_no", "score", "submit_time", "feedback"
-    ).orderBy("student_id", "problem_id", *newest())
+    )
+    return in_order(listed, student_id, *newest())
 
 
 def latest_score(t: Tables, student_id: int | None = None) -> DataFrame:
@@ -196,10 +207,11 @@ def my_attempts(
     found = _my_attempts(
         t, student_id, date_from, date_to, score_min, score_max, difficulty, has_feedback, zone
     )
-    return found.select(
+    listed = found.select(
         "student_id", "problem_id", "title", "difficulty", "attempt_no", "score", "submit_time",
         "feedback",
-    ).orderBy(*newest(), "student_id")
+    )
+    return in_order(listed, student_id, *newest())
 
 
 def my_attempt_stats(
@@ -277,9 +289,10 @@ def scenario_list(t: Tables, student_id: int | None = None) -> DataFrame:
     time = F.col("created_at")
     order = [F.desc_nulls_first("created_at"), F.desc("scenario_no")]
     listed = number_within(mine, ["student_id"], order, [day_block(time, True)], "display_index")
-    return listed.select(
+    listed = listed.select(
         "student_id", "display_index", "scenario_no", "created_at", "scenario_description"
-    ).orderBy("student_id", "display_index")
+    )
+    return in_order(listed, student_id, "display_index")
 
 
 def scenario_rank(t: Tables, scenario_no: int | None = None) -> DataFrame:
@@ -293,8 +306,7 @@ def scenario_rank(t: Tables, scenario_no: int | None = None) -> DataFrame:
     ranked = number_within(scenarios, ["student_id"], order, blocks, "display_index")
     ranked = of(ranked, "scenario_no", scenario_no)
     problems = t.problem.select("scenario_no", "problem_id", "title", "difficulty")
-    return (
-        ranked.join(problems, "scenario_no", "left")
-        .select("scenario_no", "student_id", "display_index", "problem_id", "title", "difficulty")
-        .orderBy("scenario_no", "problem_id")
+    listed = ranked.join(problems, "scenario_no", "left").select(
+        "scenario_no", "student_id", "display_index", "problem_id", "title", "difficulty"
     )
+    return in_order(listed, scenario_no, "problem_id")

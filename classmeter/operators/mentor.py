@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from classmeter.functions import filters
 from classmeter.functions.exprs import average, exact_average, half_even, round_float
+from classmeter.functions.joins import left_join_sparse
 from classmeter.operators import reports
-from classmeter.operators.learner import first_per_key, newest, of, with_topic
+from classmeter.operators.learner import first_per_key, in_order, newest, of, with_topic
 from classmeter.operators.reports import names, topic_sets, zero
 from classmeter.sources.tables import Tables
 
@@ -40,23 +41,21 @@ def pending_reviews(
         F.asc("attempt_no"), F.asc("score"),
     ]
     first = first_per_key(waiting, "author_id", order, n, "place")
-    return (
-        first.join(names(t, "student_id", "student_name"), "student_id")
-        .select(
-            F.col("author_id").alias("mentor_id"), "place", "student_id", "student_name",
-            "problem_id", "title", "attempt_no", "score", "submit_time",
-        )
-        .orderBy("mentor_id", "place")
+    named = first.join(names(t, "student_id", "student_name"), "student_id").select(
+        F.col("author_id").alias("mentor_id"), "place", "student_id", "student_name",
+        "problem_id", "title", "attempt_no", "score", "submit_time",
     )
+    return in_order(named, mentor_id, "place")
 
 
 def recent_problems(t: Tables, mentor_id: int | None = None, n: int = 5) -> DataFrame:
     order = [F.desc_nulls_first("create_time"), F.desc("problem_id")]
     latest = first_per_key(_owned(t, mentor_id), "author_id", order, n, "place")
-    return latest.select(
+    listed = latest.select(
         F.col("author_id").alias("mentor_id"), "place", "problem_id", "title", "difficulty",
         "create_time",
-    ).orderBy("mentor_id", "place")
+    )
+    return in_order(listed, mentor_id, "place")
 
 
 def feedback_given(t: Tables, mentor_id: int | None = None) -> DataFrame:
@@ -156,14 +155,10 @@ def recent_attempts_of_problem(
     ]
     tried = of(t.attempt, "problem_id", problem_id)
     latest = first_per_key(tried, "problem_id", order, n, "place")
-    return (
-        latest.join(names(t, "student_id", "student_name"), "student_id")
-        .select(
-            "problem_id", "place", "student_id", "student_name", "attempt_no", "score",
-            "submit_time",
-        )
-        .orderBy("problem_id", "place")
+    named = latest.join(names(t, "student_id", "student_name"), "student_id").select(
+        "problem_id", "place", "student_id", "student_name", "attempt_no", "score", "submit_time"
     )
+    return in_order(named, problem_id, "place")
 
 
 def review_attempts(
@@ -180,24 +175,25 @@ def review_attempts(
     found = filters.scores_between(found, score_min, score_max)
     found = of(of(found, "problem_id", problem_id), "student_id", student_id)
     found = _attempts_on_owned(t, mentor_id, found)
-    return (
-        found.join(names(t, "student_id", "student_name"), "student_id")
-        .join(names(t, "mentor_id", "reviewer_name"), "mentor_id", "left")
-        .select(
+    found = found.join(names(t, "student_id", "student_name"), "student_id")
+    reviewers = names(t, "mentor_id", "reviewer_name")
+    found = left_join_sparse(found, reviewers, "mentor_id", ["student_id", "problem_id"])
+    return in_order(
+        found.select(
             "author_id", "problem_id", "title", "student_id", "student_name", "attempt_no",
             "score", "submit_time", "reviewer_name", "feedback",
-        )
-        .orderBy(*newest(), "student_id")
+        ),
+        mentor_id,
+        *newest(),
+        "student_id",
     )
 
 
 def my_resources(t: Tables, mentor_id: int | None = None) -> DataFrame:
     """Resources, newest first, with accesses and topics."""
-    # The relation holds a student once per resource, so both counts agree.
-    used = t.access.groupBy("resource_id").agg(F.count(F.lit(1)).alias("n"))
     mine = of(t.resource, "user_id", mentor_id)
-    return (
-        mine.join(used, "resource_id", "left")
+    listed = (
+        mine.join(resource_totals(t), "resource_id", "left")
         .join(topic_sets(t.resourcetopic, "resource_id"), "resource_id", "left")
         .select(
             F.col("user_id").alias("mentor_id"),
@@ -205,24 +201,24 @@ def my_resources(t: Tables, mentor_id: int | None = None) -> DataFrame:
             "title",
             "res_type",
             "uploaded_time",
-            zero("n").alias("access_count"),
-            zero("n").alias("unique_students"),
+            zero("total_accesses").alias("access_count"),
+            zero("unique_students").alias("unique_students"),
             F.coalesce("topics", F.lit("")).alias("topics"),
         )
-        .orderBy(F.desc_nulls_first("uploaded_time"), F.desc("resource_id"))
     )
+    return in_order(listed, mentor_id, F.desc_nulls_first("uploaded_time"), F.desc("resource_id"))
 
 
 def resource_analytics(t: Tables, resource_id: int | None = None) -> DataFrame:
     """The access log with student names, newest first."""
     log = of(t.access, "resource_id", resource_id)
     enrolled = t.student.select(F.col("user_id").alias("student_id"))
-    return (
+    named = (
         log.join(enrolled, "student_id")
         .join(names(t, "student_id", "student_name"), "student_id")
         .select("resource_id", "access_time", "student_id", "student_name")
-        .orderBy(F.desc_nulls_first("access_time"), "resource_id", "student_id")
     )
+    return in_order(named, resource_id, F.desc_nulls_first("access_time"), "student_id")
 
 
 def resource_totals(t: Tables, resource_id: int | None = None) -> DataFrame:

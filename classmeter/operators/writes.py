@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from classmeter.functions.joins import left_join_sparse, small_side
 from classmeter.functions.numbering import day_block, id_block, number_within
 from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import KEYS, REFERENCES, SCHEMAS
@@ -25,7 +26,7 @@ def number_attempts(t: Tables, scored: DataFrame) -> DataFrame:
     Only pairs of the batch are looked up in the snapshot. `scored` is read
     more than once; give a written table when it is costly to compute.
     """
-    pairs = scored.select(*PAIR).distinct()
+    pairs = small_side(scored.select(*PAIR).distinct())
     last = t.attempt.join(pairs, PAIR, "left_semi").groupBy(*PAIR)
     last = last.agg(F.max("attempt_no").alias("_last"))
     ties = [F.asc(c) for c in ("student_sql", "score") if c in scored.columns]
@@ -64,7 +65,8 @@ def accepted_feedback(t: Tables, updates: DataFrame) -> DataFrame:
 
 
 def apply_feedback(t: Tables, updates: DataFrame) -> Tables:
-    joined = t.attempt.join(accepted_feedback(t, updates), ATTEMPT, "left")
+    accepted = small_side(accepted_feedback(t, updates))
+    joined = t.attempt.join(accepted, ATTEMPT, "left")
     changed = joined.withColumns(
         {
             "mentor_id": F.coalesce("_mentor", "mentor_id"),
@@ -121,7 +123,7 @@ def without_problems(t: Tables, gone: DataFrame) -> Tables:
 def guarded_delete_problem(t: Tables, requests: DataFrame) -> Tables:
     outcomes = problem_delete_outcomes(t, requests)
     gone = outcomes.filter("outcome = 'deleted'").select("problem_id")
-    return without_problems(t, gone)
+    return without_problems(t, small_side(gone))
 
 
 def scenario_delete_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
@@ -143,8 +145,9 @@ def scenario_delete_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
 def guarded_delete_scenario(t: Tables, requests: DataFrame) -> Tables:
     """Delete scenarios none of whose problems was tried, and those problems."""
     gone = scenario_delete_outcomes(t, requests).filter("outcome = 'deleted'").select("scenario_no")
+    gone = small_side(gone)
     problems = t.problem.join(gone, "scenario_no", "left_semi").select("problem_id")
-    left = without_problems(t, problems)
+    left = without_problems(t, small_side(problems))
     return left.replace(scenario=t.scenario.join(gone, "scenario_no", "left_anti"))
 
 
@@ -159,10 +162,11 @@ def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Table
     """Delete users and all that depends on them, along the declared references.
 
     The sets of deleted keys are followed rather than the kept rows: they are
-    the small side. With `guard`, users that `deletable_users` leaves out stay.
+    the small side, and each is broadcast while its measured size allows. With
+    `guard`, users that `deletable_users` leaves out stay.
     """
     ids = deletable_users(t, ids) if guard else ids
-    gone = {"user": ids.select("user_id").distinct()}
+    gone = {"user": small_side(ids.select("user_id").distinct())}
     parents = {edge[2] for edge in REFERENCES}
     left: dict[str, DataFrame] = {"user": t.user.join(gone["user"], "user_id", "left_anti")}
     for relation in SCHEMAS:
@@ -171,20 +175,20 @@ def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Table
             continue
         frame, lost = t[relation], []
         for _, column, parent, key, rule in edges:
-            removed = gone[parent].select(F.col(key).alias(column))
             if rule == "null":
                 continue
+            removed = gone[parent].select(F.col(key).alias(column))
             if relation in parents:
                 lost.append(t[relation].join(removed, column, "left_semi").select(*KEYS[relation]))
             frame = frame.join(removed, column, "left_anti")
         for _, column, parent, key, rule in edges:
             if rule == "null":
                 removed = gone[parent].select(F.col(key).alias(column), F.lit(True).alias("_gone"))
-                frame = frame.join(removed, column, "left").withColumn(
-                    column, F.when(F.col("_gone").isNull(), F.col(column))
-                )
+                frame = left_join_sparse(frame, removed, column, list(KEYS[relation]))
+                frame = frame.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column)))
+                frame = frame.drop("_gone")
         if lost:
-            gone[relation] = reduce(DataFrame.union, lost).distinct()
+            gone[relation] = small_side(reduce(DataFrame.union, lost).distinct())
         left[relation] = typed(frame, relation)
     return t.replace(**left)
 
@@ -192,7 +196,8 @@ def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Table
 def dismiss_notification(t: Tables, pairs: DataFrame) -> Tables:
     """Reading and deleting a notification both remove the receive row."""
     key = list(KEYS["receive"])
-    return t.replace(receive=t.receive.join(pairs.select(*key), key, "left_anti"))
+    seen = small_side(pairs.select(*key).distinct())
+    return t.replace(receive=t.receive.join(seen, key, "left_anti"))
 
 
 # Actions and the status they set.
@@ -205,7 +210,7 @@ def set_status(t: Tables, changes: DataFrame) -> Tables:
     known = changes.withColumn("_to", status).filter("_to is not null")
     last = known.groupBy("user_id").agg(F.max(F.struct("sent_at", "_to")).alias("_last"))
     last = last.select("user_id", F.col("_last._to").alias("_to"))
-    user = t.user.join(last, "user_id", "left")
+    user = t.user.join(small_side(last), "user_id", "left")
     return t.replace(user=typed(user.withColumn("status", F.coalesce("_to", "status")), "user"))
 
 
@@ -244,7 +249,7 @@ def edit_users(t: Tables, changes: DataFrame) -> Tables:
     good = good.withColumn("status", status)
     fields = ["name", "email", "status", "password"]
     good = good.withColumnsRenamed({c: f"_{c}" for c in fields})
-    user = t.user.join(good, "user_id", "left")
+    user = t.user.join(small_side(good), "user_id", "left")
     user = user.withColumns({c: F.coalesce(f"_{c}", c) for c in fields})
     return t.replace(user=typed(user, "user"))
 

@@ -16,7 +16,7 @@ from classmeter.functions.numbering import id_block
 from classmeter.operators import admin, learner, mentor, quality, reports, scoring, writes
 from classmeter.session import shared_folder
 from classmeter.sources import binding, tables
-from classmeter.sources.binding import MENTORS
+from classmeter.sources.binding import ADMINS, MENTORS
 from classmeter.sources.schemas import SCHEMAS
 from classmeter.sources.tables import Tables
 from classmeter.streaming import streams
@@ -204,13 +204,21 @@ def audience(t):
 
 @on_tables("deliver")
 def deliver(t):
-    """A message to one user per notification without sender, and to all mentors per scenario."""
+    """One announcement per group, and every alert without sender to its user."""
     alerts = t.notification.join(t.send, "noti_id", "left_anti").join(t.receive, "noti_id")
     one = alerts.select("noti_id", F.lit("specific").alias("rule"), F.col("receiver_id").alias("user_id"))
-    wide = t.scenario.select(-F.col("scenario_no") - 1, F.lit("all_mentors"), F.lit(None).cast("long"))
+    levels = F.explode(F.array(*map(F.lit, admin.AUDIENCES[:3]))).alias("rule")
+    wide = t.notification.agg(F.max("noti_id").alias("last")).select("last", levels)
+    wide = wide.select(F.col("last") + F.length("rule"), "rule", F.lit(None).cast("long"))
     return admin.deliver(t, one.union(wide))
 
 
+@on_tables("send_notification")
+def send_notification(t):
+    sent, by, got = admin.send_notification(t, ADMINS, "all_mentors", now=F.expr(NOW))
+    return got.join(sent, "noti_id").join(by, "noti_id")
+
+
 # --- scoring
 
 

@@ -579,8 +579,10 @@ QUERIES: dict[str, str] = {
         count(*) OVER (PARTITION BY r.noti_id) AS receiver_count FROM receive r
         JOIN users u ON u.user_id = r.receiver_id""",
     "audience": ROLE_SETS,
-    "deliver": """SELECT r.receiver_id, r.noti_id FROM receive r WHERE r.noti_id NOT IN (SELECT noti_id FROM send)
-        UNION ALL SELECT m.user_id, -s.scenario_no - 1 FROM scenario s CROSS JOIN mentor m""",
+    "deliver": f"""SELECT r.receiver_id, r.noti_id FROM receive r WHERE r.noti_id NOT IN (SELECT noti_id FROM send)
+        UNION ALL SELECT user_id, (SELECT max(noti_id) FROM notification) + length(rule) FROM ({ROLE_SETS})""",
+    "send_notification": f"""SELECT (SELECT max(noti_id) FROM notification) + 1 AS noti_id, user_id AS receiver_id,
+        {ADMINS} AS sender_id, {NOW} AS send_time FROM mentor""",
     "normalize_sql_text": "SELECT text_id, n AS normal FROM normals",
     "split_clauses": "SELECT text_id, s AS select_part, f AS from_part, w AS where_part FROM clauses",
     "extract_tables": f"""SELECT text_id, CASE WHEN f = '' THEN '' WHEN len({NAMED}) > 0 THEN {listed(NAMED)}

@@ -34,7 +34,8 @@ def high_score_stream(
     spark = attempts.sparkSession
     alerts, notes = f"{out}/alerts", f"{out}/last_id"
     first = notification.agg(F.coalesce(F.max("noti_id"), F.lit(0)).cast("long").alias("noti_id"))
-    first.write.mode("overwrite").parquet(f"{notes}/batch=-1")
+    # Kept on a restart, so that a repeated batch starts from the same id.
+    first.write.mode("ignore").parquet(f"{notes}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.parquet(notes).filter(F.col("batch") < batch_id).select("noti_id")
