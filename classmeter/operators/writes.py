@@ -14,7 +14,8 @@ from classmeter.functions.joins import left_join_sparse, small_side
 from classmeter.functions.numbering import day_block, id_block, number_within
 from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import KEYS, REFERENCES, SCHEMAS
-from classmeter.sources.tables import Tables, assign_ids, typed
+from classmeter.operators.quality import meaningful_text, parse_generated
+from classmeter.sources.tables import Tables, assign_ids, typed, with_defaults
 
 PAIR = ["student_id", "problem_id"]
 ATTEMPT = list(KEYS["attempt"])
@@ -254,6 +255,70 @@ def edit_users(t: Tables, changes: DataFrame) -> Tables:
     return t.replace(user=typed(user, "user"))
 
 
+# Roles a request may name.
+ROLES = ("student", "mentor", "admin")
+
+
+def registration_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
+    """Requests (request_id, name, email, password, role), cleaned, with an outcome.
+
+    All fields are needed, an e-mail is used once (the lowest request wins),
+    and the role is a known one.
+    """
+    fields = ("name", "email", "password", "role")
+    clean = requests.select(
+        "request_id", *(strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields)
+    )
+    held = t.user.select("email", F.lit(True).alias("_held")).distinct()
+    judged = clean.join(held, "email", "left")
+    reason = (
+        F.when(F.least(*(F.length(c) for c in fields)) == 0, "missing field")
+        .when(F.col("_held"), "email in use")
+        .when(~F.col("role").isin(*ROLES), "invalid role")
+    )
+    judged = judged.withColumn("_reason", reason)
+    first = judged.filter("_reason is null").groupBy("email")
+    judged = judged.join(first.agg(F.min("request_id").alias("_first")), "email", "left")
+    late = F.when(F.col("_first") != F.col("request_id"), "email in use")
+    outcome = F.coalesce("_reason", late, F.lit("created"))
+    return judged.select("request_id", *fields, outcome.alias("outcome"))
+
+
+def register_users(t: Tables, requests: DataFrame, now: Column | None = None) -> Tables:
+    """Add the users of valid requests and their rows in the relation of their role."""
+    created = registration_outcomes(t, requests).filter("outcome = 'created'")
+    blocks = [id_block(F.col("request_id"))]
+    users = assign_ids(created, t.user, "user_id", ["request_id"], blocks)
+    added = {"user": with_defaults(users, "user", now)}
+    for role in ROLES:
+        members = users.filter(F.col("role") == role).select("user_id")
+        added[role] = with_defaults(members, role, now)
+    return t.replace(**{name: t[name].unionByName(rows) for name, rows in added.items()})
+
+
+def add_generated(
+    t: Tables, payloads: DataFrame, author_id: int, now: Column | None = None
+) -> Tables:
+    """Insert generated problems and their topics.
+
+    `payloads` holds payload_id, scenario_no, payload and difficulty. Payloads
+    of scenarios without a meaningful description are left out. Ids rise by
+    payload and position.
+    """
+    now = F.current_timestamp() if now is None else now
+    clear = meaningful_text(t.scenario, "scenario_description").filter("meaningful")
+    wanted = payloads.join(clear.select("scenario_no"), "scenario_no", "left_semi")
+    keys = ["payload_id", "scenario_no"]
+    problems, topics, _ = parse_generated(wanted, "payload", F.col("difficulty"), keys)
+    order, blocks = ["payload_id", "position"], [id_block(F.col("payload_id"))]
+    new = assign_ids(problems, t.problem, "problem_id", order, blocks)
+    rows = new.withColumns({"user_id": F.lit(author_id), "create_time": now})
+    place = ["payload_id", "position"]
+    pairs = topics.join(new.select("problem_id", *place), place).select("problem_id", "topic_name")
+    added = upsert_topics(t, pairs, now=now)
+    return added.replace(problem=t.problem.unionByName(typed(rows, "problem")))
+
+
 def alert_rows(attempts: DataFrame, notification: DataFrame, mark: int = 90) -> DataFrame:
     """Attempts at or above the mark with the id of the notification each one causes.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from classmeter.functions import exprs, sqltext
 from classmeter.functions.numbering import id_block
-from classmeter.operators import admin, learner, mentor, quality, reports, scoring, writes
+from classmeter.operators import admin, learner, mentor, quality, questions, reports, scoring, writes
 from classmeter.session import shared_folder
 from classmeter.sources import binding, tables
 from classmeter.sources.binding import ADMINS, MENTORS
@@ -545,6 +545,46 @@ on_tables("edit_outcomes")(
     lambda t: writes.edit_outcomes(t, edits(t)).select("user_id", "outcome")
 )
 
+
+@on_session("register_users")
+def register_users(spark, sf_dir):
+    """Users and their roles after requests made from documents: few fields, shared e-mails."""
+    t = binding.bind(spark, sf_dir)
+    lang, source = F.col("lang"), F.col("source")
+    role = F.when(lang == "en", "student").when(lang == "fr", "mentor").when(lang == "de", "admin")
+    email = F.when(source == "src1", "supplier.000000001@example.com").otherwise(
+        F.concat(lang, F.lit("-"), "n_chars", F.lit("@example.com "))
+    )
+    requests = binding.raw(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("request_id"),
+        F.when(source != "src0", F.concat(F.lit(" "), source)).alias("name"),
+        email.alias("email"),
+        F.lit("secret").alias("password"),
+        F.coalesce(role, F.lit("guest")).alias("role"),
+    )
+    after = writes.register_users(t, requests, F.expr(NOW))
+    return admin.roles(after).select("user_id", "name", "email", "role", "status")
+
+
+on_tables("add_generated")(
+    lambda t: writes.add_generated(t, t.payloads, MENTORS, F.expr(NOW)).problem.select(
+        "problem_id", "user_id", "scenario_no", "title", "difficulty", "correct_answer"
+    )
+)
+on_tables("add_generated_topics")(
+    lambda t: writes.add_generated(t, t.payloads, MENTORS, F.expr(NOW)).have_topic
+)
+
+
+@on_session("read_only_query")
+def read_only_query(spark, sf_dir):
+    sql = (
+        "SELECT p.difficulty, count(*) AS attempts, max(a.score) AS best, min(a.feedback) AS note "
+        "FROM attempt a JOIN problem p ON p.problem_id = a.problem_id GROUP BY p.difficulty"
+    )
+    return questions.ask(spark, binding.bind(spark, sf_dir), sql)
+
+
 # --- alerts and counters, batch and stream
 
 

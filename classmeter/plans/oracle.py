@@ -419,6 +419,18 @@ JUDGED = f"""SELECT e.*, CASE WHEN EXISTS (SELECT 1 FROM users u WHERE u.email =
     AND u.user_id <> e.user_id) OR e.user_id <> min(e.user_id) OVER (PARTITION BY coalesce(e.new_email,
     CAST(e.user_id AS VARCHAR))) THEN 'email in use' ELSE 'changed' END AS outcome FROM ({EDITS}) e"""
 
+REQUESTS = """SELECT doc_id AS request_id, CASE WHEN source <> 'src0' THEN source ELSE '' END AS name,
+    CASE WHEN source = 'src1' THEN 'supplier.000000001@example.com' ELSE lang || '-' || n_chars
+    || '@example.com' END AS email, CASE lang WHEN 'en' THEN 'student' WHEN 'fr' THEN 'mentor'
+    WHEN 'de' THEN 'admin' END AS role FROM documents"""
+CREATED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS turn
+    FROM ({REQUESTS}) WHERE name <> '' AND role IS NOT NULL AND email NOT IN (SELECT email FROM users))
+    WHERE turn = 1"""
+CLEAR = rf"""(SELECT scenario_no FROM scenario WHERE length({strip('scenario_description')}) >= 10
+    AND length(regexp_replace(scenario_description, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 3)"""
+NEW_PROBLEMS = f"""SELECT *, (SELECT max(problem_id) FROM problem) + row_number() OVER (
+    ORDER BY payload_id, position) AS problem_id FROM ({GENERATED}) WHERE scenario_no IN {CLEAR}"""
+
 QUERIES: dict[str, str] = {
     "scan_relations": ROW_COUNTS,
     "load_snapshot": ROW_COUNTS,
@@ -650,6 +662,17 @@ QUERIES: dict[str, str] = {
         CASE WHEN outcome = 'changed' THEN coalesce(new_email, email) ELSE email END AS email,
         CASE WHEN outcome = 'changed' THEN coalesce(new_status, status) ELSE status END AS status
         FROM users u LEFT JOIN ({JUDGED}) j ON j.user_id = u.user_id""",
+    "register_users": f"""SELECT user_id, username AS name, email, role, status FROM ({DIRECTORY})
+        UNION ALL SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY request_id), name, email,
+        role, 'active' FROM ({CREATED})""",
+    "add_generated": f"""SELECT problem_id, user_id, scenario_no, title, difficulty, correct_answer FROM problem
+        UNION ALL SELECT problem_id, {MENTORS}, scenario_no, title, difficulty, correct_answer
+        FROM ({NEW_PROBLEMS})""",
+    "add_generated_topics": f"""SELECT problem_id, topic_name FROM have_topic
+        UNION ALL SELECT n.problem_id, x.topic_name FROM ({NEW_PROBLEMS}) n JOIN ({GENERATED_TOPICS}) x
+        USING (payload_id, position)""",
+    "read_only_query": """SELECT p.difficulty, CAST(count(*) AS VARCHAR) AS attempts, CAST(max(a.score) AS VARCHAR)
+        AS best, min(a.feedback) AS note FROM attempt a JOIN problem p USING (problem_id) GROUP BY p.difficulty""",
     "high_score_alerts": "SELECT noti_id, receiver_id, send_time FROM alerts",
     "stream_high_score_alerts": "SELECT noti_id, receiver_id, send_time FROM alerts",
     "running_problem_counts": "SELECT user_id, count(*) AS problems_created FROM problem GROUP BY user_id",

@@ -2,9 +2,10 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from classmeter.operators import admin, scoring, writes
+from classmeter.operators import admin, questions, scoring, writes
 from conftest import rows
 
 T0 = datetime.datetime(2024, 5, 1, 8, 0)
@@ -145,3 +146,51 @@ def test_directory_and_notifications(spark, seed):
     )
     assert sorted(rows(admin.deliver(seed, messages)))[0] == (3, 51)
     assert admin.deliver(seed, messages).count() == 8
+
+
+def test_registration(spark, seed):
+    asked = [
+        (1, " Ann ", "a@example.com", "pw", "student"), (2, "Bo", "a@example.com ", "pw", "mentor"),
+        (3, "Cy", "p3@example.com", "pw", "admin"), (4, "", "d@example.com", "pw", "admin"),
+        (5, "Ed", "e@example.com", "pw", "guest"), (6, "Flo", "f@example.com", "pw", "mentor"),
+        (7, "Gus", "g@example.com", None, "admin"),
+    ]
+    frame = spark.createDataFrame(asked, "request_id long, name string, email string, password string, role string")
+    outcomes = {r.request_id: r.outcome for r in writes.registration_outcomes(seed, frame).collect()}
+    assert outcomes == {
+        1: "created", 2: "email in use", 3: "email in use", 4: "missing field", 5: "invalid role",
+        6: "created", 7: "missing field",
+    }
+    after = writes.register_users(seed, frame)
+    new = {r.user_id: (r.name, r.role, r.status) for r in admin.roles(after).filter("user_id > 22").collect()}
+    assert new == {23: ("Ann", "student", "active"), 24: ("Flo", "mentor", "active")}
+    assert after.mentor.filter("user_id = 24").first().expertise_area == "General"
+
+
+def test_generated_problems(spark, seed):
+    item = '{"title": "T%d", "correct_sql": "SELECT %d", "topics": ["Subqueries", "Fresh"]}'
+    payloads = [
+        (5, 1, '{"problems": [%s, %s]}' % (item % (1, 1), item % (2, 2)), "hard"),
+        (4, 2, '{"problems": [%s]}' % (item % (3, 3)), None), (6, 3, "nothing", "Easy"), (7, 99, item % (4, 4), "Easy"),
+    ]
+    frame = spark.createDataFrame(payloads, "payload_id long, scenario_no long, payload string, difficulty string")
+    after = writes.add_generated(seed, frame, 9)
+    new = [(r.problem_id, r.title, r.difficulty, r.scenario_no, r.user_id) for r in
+           after.problem.filter("problem_id > 10").orderBy("problem_id").collect()]
+    assert new == [(11, "T3", "Easy", 2, 9), (12, "T1", "Hard", 1, 9), (13, "T2", "Hard", 1, 9)]
+    assert after.have_topic.filter("problem_id > 10").count() == 6 and after.topic.count() == 6
+
+
+def test_new_message(spark, seed):
+    sent, by, got = admin.send_notification(seed, 12, "all_mentors")
+    assert [r[0] for r in rows(sent)] == [19] and rows(by) == [(12, 19)]
+    assert sorted(rows(got)) == [(m, 19) for m in (9, 10, 11, 13, 14, 15, 16)]
+
+
+def test_ask(spark, seed):
+    found = questions.ask(spark, seed, "SELECT max(score) AS best, max(mentor_id) AS m FROM attempt WHERE problem_id = 4")
+    assert rows(found) == [("99.00", "None")]
+    with pytest.raises(PermissionError, match="write word"):
+        questions.ask(spark, seed, "SELECT created_at FROM topic")
+    with pytest.raises(PermissionError, match="not a select"):
+        questions.ask(spark, seed, "SHOW TABLES")
