@@ -86,13 +86,14 @@ def recommend_problems(t: Tables, student_id: int | None = None, n: int = 5) ->
     listed = number_within(
         open_problems, [], order, [level, id_block(F.col("problem_id"))], "place"
     )
-    # A student with k attempts meets the n-th untried one by place n + k; later
-    # tried ones do not matter, which leaves few rows to number.
-    mine = of(t.attempt, "student_id", student_id).select("student_id", "problem_id")
+    # Repeats go before the joins, so that a hot pair is one row. A student who
+    # tried k problems meets the n-th untried one by place n + k; later tried
+    # ones do not matter, which leaves few rows to number.
+    mine = of(t.attempt, "student_id", student_id).select("student_id", "problem_id").distinct()
     reach = mine.groupBy("student_id").agg((F.count(F.lit(1)) + n).alias("reach"))
     tried = mine.join(listed.select("problem_id", "place"), "problem_id")
     tried = tried.join(reach, "student_id").filter("place <= reach")
-    tried = tried.select("student_id", "place").distinct()
+    tried = tried.select("student_id", "place")
     tried = number_within(
         tried, ["student_id"], [F.asc("place")], [id_block(F.col("place"))], "i"
     )

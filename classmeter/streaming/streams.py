@@ -6,13 +6,18 @@ repeated, so a restart after a lost executor or driver leaves no duplicates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
 from classmeter.operators.quality import feedback_missing, score_outside
 from classmeter.operators.writes import alert_rows, running_problem_counts
 from classmeter.session import STATE_STORE
 
+# Rows of one key that are sorted and numbered together.
+CHUNK_ROWS = 10_000
+
 
 def _started(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -94,65 +99,49 @@ def stream_quality_gate(attempts: DataFrame, out: str, checkpoint: str) -> Strea
 def stream_attempt_numbering(scored: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """New attempts with running numbers per student and problem, in arrival order.
 
-    State is one number per pair. Rows come in Arrow chunks; a chunk is sorted
-    by time and numbered on its own, so a hot pair is never held whole. `last`
-    (student_id, problem_id, attempt_no) gives the numbers to go on from.
+    State is one count per pair. A chunk of rows is sorted by time and numbered
+    on its own, so a hot pair is never held whole. Most groups have one or two
+    rows, for which plain rows are faster than a pandas frame per group. `last`
+    (student_id, problem_id, attempt_no) is the table the numbers go on from:
+    it is joined before the state is touched, so give the same frozen table
+    after a restart.
     """
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    number = T.StructType([T.StructField("n", T.IntegerType())])
-    schema = T.StructType(
-        [
-            T.StructField("student_id", T.LongType()),
-            T.StructField("problem_id", T.LongType()),
-            T.StructField("attempt_no", T.IntegerType()),
-            T.StructField("score", T.DecimalType(5, 2)),
-            T.StructField("submit_time", T.TimestampNTZType()),
-        ]
-    )
+    pair = ["student_id", "problem_id"]
+    score = F.col("score").cast("decimal(5,2)").alias("score")
+    rows = scored.select(*pair, score, "submit_time")
+    if last is None:
+        rows = rows.withColumn("base", F.lit(0))
+    else:
+        known = last.groupBy(*pair).agg(F.max("attempt_no").alias("base"))
+        rows = rows.join(known, pair, "left").withColumn("base", F.coalesce("base", F.lit(0)))
+
+    numbered = Row(*pair, "score", "submit_time", "attempt_no")
 
     # Declared here so that it travels to the workers by value.
     class Numbering(StatefulProcessor):
         def init(self, handle):
-            self.last = handle.getValueState("last", number)
+            self.count = handle.getValueState("count", "n int")
 
         def handleInputRows(self, key, rows, timerValues):
-            n = self.last.get()[0] if self.last.exists() else 0
-            for chunk in rows:
-                chunk = chunk.sort_values("submit_time", kind="stable")
-                places = range(n + 1, n + 1 + len(chunk))
-                n += len(chunk)
-                yield pd.DataFrame(
-                    {
-                        "student_id": key[0],
-                        "problem_id": key[1],
-                        "attempt_no": pd.Series(places, index=chunk.index, dtype="int32"),
-                        "score": chunk["score"],
-                        "submit_time": chunk["submit_time"],
-                    }
-                )
-            self.last.update((n,))
-
-        def handleInitialState(self, key, initialState, timerValues):
-            self.last.update((int(initialState["attempt_no"].iloc[0]),))
+            known = self.count.get()
+            n = 0 if known is None else known[0]
+            while chunk := list(islice(rows, CHUNK_ROWS)):
+                chunk.sort(key=lambda row: (row.submit_time is None, row.submit_time))
+                for row in chunk:
+                    n += 1
+                    yield numbered(*key, row.score, row.submit_time, row.base + n)
+            self.count.update((n,))
 
         def close(self):
             pass
 
     scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    pair = ["student_id", "problem_id"]
-    rows = scored.select(*pair, F.col("score").cast("decimal(5,2)").alias("score"), "submit_time")
-    initial = None
-    if last is not None:
-        known = last.groupBy(*pair).agg(F.max("attempt_no").alias("attempt_no"))
-        initial = known.groupBy(*pair)
-    return rows.groupBy(*pair).transformWithStateInPandas(
-        statefulProcessor=Numbering(),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-        initialState=initial,
+    return rows.groupBy(*pair).transformWithState(
+        Numbering(),
+        "student_id long, problem_id long, score decimal(5,2), submit_time timestamp_ntz, "
+        "attempt_no int",
+        "Append",
+        "None",
     )
 
 
