@@ -38,7 +38,9 @@ def number_within(
     at = keys + marks
     starts = _starts(df.groupBy(at).agg(F.count(F.lit(1)).alias("_n")), keys, marks)
     place = F.row_number().over(Window.partitionBy(at).orderBy(*order))
-    placed = df.withColumn("_place", place).join(starts, at)
+    # Said explicitly, as rows that happen to be partitioned by the key alone
+    # would stay so, with a hot key in one task.
+    placed = df.repartition(*at).withColumn("_place", place).join(starts, at)
     placed = placed.withColumn(name, F.col("_place") + F.col("_start"))
     return placed.drop("_place", "_start", *marks)
 

@@ -195,8 +195,8 @@ NEWEST = "submit_time DESC, attempt_no DESC, problem_id, score DESC"
 BROWSE = """SELECT p.problem_id, p.title, p.difficulty, u.name AS author, p.scenario_no, topics
     FROM problem p JOIN users u USING (user_id) JOIN topic_lines USING (problem_id)"""
 PENDING = """SELECT mentor_id, place, student_id, u.name AS student_name, problem_id, title, attempt_no,
-    score, submit_time FROM (SELECT * EXCLUDE (mentor_id), author_id AS mentor_id, row_number() OVER (PARTITION BY author_id
-    ORDER BY submit_time, student_id, problem_id, attempt_no, score) AS place FROM mine WHERE {0}) x
+    score, submit_time FROM (SELECT * EXCLUDE (mentor_id), author_id AS mentor_id, CAST(row_number() OVER (PARTITION BY author_id
+    ORDER BY submit_time, student_id, problem_id, attempt_no, score) AS INTEGER) AS place FROM mine WHERE {0}) x
     JOIN users u ON u.user_id = x.student_id WHERE place <= 10"""
 MY_PROBLEMS = f"""SELECT p.user_id AS mentor_id, p.problem_id, p.title, p.difficulty, p.create_time,
     count(a.problem_id) AS total_attempts,
@@ -287,7 +287,7 @@ GENERATED_TOPICS = f"""SELECT DISTINCT payload_id, scenario_no, position, topic_
     SELECT good AS payload_id, scenario_no, 0 AS position, unnest([lang, {strip('substr(text, 1, 100)')}])
         AS topic_name FROM payloads WHERE {strip('text')} <> ''
     UNION ALL SELECT good, scenario_no, 1, source FROM payloads) WHERE topic_name <> ''"""
-TAGGED = """SELECT student_id, {0} AS {1}, count(*) AS n_rows, sum(attempt_no) AS numbers
+TAGGED = """SELECT student_id, {0} AS {1}, count(*) AS n_rows, CAST(sum(attempt_no) AS BIGINT) AS numbers
     FROM staged GROUP BY 1, 2"""
 NO_TEXT = "mentor_id IS NOT NULL AND feedback IS NULL"
 OUTSIDE = "score < 0 OR score > 100"
@@ -364,8 +364,8 @@ VIOLATIONS = " UNION ALL ".join(
         violation("problem", "doc_id", DOC_FORM, "difficulty", "too long", "length(difficulty) > 6"),
     ]
 )
-NUMBERED = """SELECT s.student_id, s.problem_id, coalesce(last_no, 0) + row_number() OVER (
-    PARTITION BY s.student_id, s.problem_id ORDER BY s.submit_time, s.student_sql, {0}) AS attempt_no,
+NUMBERED = """SELECT s.student_id, s.problem_id, CAST(coalesce(last_no, 0) + row_number() OVER (
+    PARTITION BY s.student_id, s.problem_id ORDER BY s.submit_time, s.student_sql, {0}) AS INTEGER) AS attempt_no,
     CAST(NULL AS BIGINT) AS mentor_id, CAST({0} AS DECIMAL(5,2)) AS score, s.submit_time,
     CAST(NULL AS VARCHAR) AS feedback FROM submissions s LEFT JOIN (SELECT student_id, problem_id,
     max(attempt_no) AS last_no FROM attempt GROUP BY ALL) l USING (student_id, problem_id)"""
@@ -440,7 +440,7 @@ QUERIES: dict[str, str] = {
         conv_id || '-' || turn AS email, CAST(NULL AS VARCHAR) AS password,
         CASE WHEN role = 'system' THEN 'banned' ELSE 'active' END AS status, {NOW} AS created_at
         FROM conversations""",
-    "register_views": """SELECT difficulty, count(*) AS problems, sum(total_attempts) AS topic_attempts,
+    "register_views": """SELECT difficulty, count(*) AS problems, CAST(sum(total_attempts) AS BIGINT) AS topic_attempts,
         max(students_attempted) AS most_students FROM statistics GROUP BY difficulty""",
     "result_as_strings": """SELECT CAST(student_id AS VARCHAR) AS student_id,
         CAST(problem_id AS VARCHAR) AS problem_id, CAST(attempt_no AS VARCHAR) AS attempt_no,
@@ -466,7 +466,7 @@ QUERIES: dict[str, str] = {
         JOIN problem p ON p.problem_id = a.problem_id JOIN users u ON u.user_id = a.student_id""",
     "first_attempt_failures": """SELECT f.problem_id, p.title AS problem_title, failed_first_attempts,
         total_students, failed_first_attempts / total_students AS fail_ratio FROM (
-        SELECT problem_id, sum(CASE WHEN score < 60 THEN 1 ELSE 0 END) AS failed_first_attempts
+        SELECT problem_id, count(*) FILTER (score < 60) AS failed_first_attempts
         FROM attempt WHERE attempt_no = 1 GROUP BY problem_id) f
         CROSS JOIN (SELECT count(*) AS total_students FROM student)
         JOIN problem p ON p.problem_id = f.problem_id
@@ -492,11 +492,11 @@ QUERIES: dict[str, str] = {
         CASE WHEN scored > 0 THEN {half_even('total', 'greatest(scored, 1)', 1)} ELSE 0 END AS avg_score,
         highest_score, total_attempts FROM performance""",
     "recent_attempts": f"""SELECT student_id, place, problem_id, title, difficulty, attempt_no, score, submit_time
-        FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY {NEWEST}) AS place FROM mine)
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY student_id ORDER BY {NEWEST}) AS INTEGER) AS place FROM mine)
         WHERE place <= 10""",
     "recommend_problems": """SELECT student_id, choice, problem_id, title, difficulty FROM (
-        SELECT s.user_id AS student_id, p.problem_id, p.title, p.difficulty, row_number() OVER (
-        PARTITION BY s.user_id ORDER BY p.difficulty, p.problem_id) AS choice FROM student s, problem p
+        SELECT s.user_id AS student_id, p.problem_id, p.title, p.difficulty, CAST(row_number() OVER (
+        PARTITION BY s.user_id ORDER BY p.difficulty, p.problem_id) AS INTEGER) AS choice FROM student s, problem p
         WHERE p.difficulty IN ('Easy', 'Medium') AND NOT EXISTS (SELECT 1 FROM attempt a
         WHERE a.student_id = s.user_id AND a.problem_id = p.problem_id)) WHERE choice <= 5""",
     "problems_passed": """SELECT student_id, count(DISTINCT problem_id) AS problems_passed FROM attempt
@@ -510,8 +510,8 @@ QUERIES: dict[str, str] = {
     "topic_list": "SELECT topic_name, '' AS description FROM topic",
     "problem_attempts": """SELECT student_id, problem_id, attempt_no, score, submit_time, feedback FROM attempt""",
     "latest_score": """SELECT student_id, problem_id, attempts, score AS latest_score FROM (SELECT *,
-        count(*) OVER (PARTITION BY student_id, problem_id) AS attempts, row_number() OVER (
-        PARTITION BY student_id, problem_id ORDER BY submit_time DESC, attempt_no DESC, score DESC) AS place
+        count(*) OVER (PARTITION BY student_id, problem_id) AS attempts, CAST(row_number() OVER (
+        PARTITION BY student_id, problem_id ORDER BY submit_time DESC, attempt_no DESC, score DESC) AS INTEGER) AS place
         FROM attempt) WHERE place = 1""",
     "my_attempts": f"SELECT {MY}",
     "my_attempts_filtered": f"SELECT {MY} WHERE {IN_RANGE} AND coalesce(feedback, '') = ''",
@@ -541,8 +541,8 @@ QUERIES: dict[str, str] = {
     "pending_reviews": PENDING.format("feedback IS NULL"),
     "pending_reviews_blank": PENDING.format("coalesce(feedback, '') = ''"),
     "recent_problems": """SELECT mentor_id, place, problem_id, title, difficulty, create_time FROM (SELECT *,
-        user_id AS mentor_id, row_number() OVER (PARTITION BY user_id ORDER BY create_time DESC,
-        problem_id DESC) AS place FROM problem) WHERE place <= 5""",
+        user_id AS mentor_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY create_time DESC,
+        problem_id DESC) AS INTEGER) AS place FROM problem) WHERE place <= 5""",
     "feedback_given": """SELECT author_id AS mentor_id, count(*) AS feedback_given FROM mine
         WHERE feedback IS NOT NULL AND feedback <> '' GROUP BY author_id""",
     "my_problems": MY_PROBLEMS.format("true", ""),
@@ -558,8 +558,8 @@ QUERIES: dict[str, str] = {
         count(*) FILTER (a.score < 60) AS low_scores
         FROM problem p LEFT JOIN attempt a USING (problem_id) GROUP BY p.problem_id, p.title""",
     "recent_attempts_of_problem": """SELECT problem_id, place, student_id, u.name AS student_name, attempt_no, score,
-        submit_time FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY submit_time DESC,
-        student_id, attempt_no DESC, score DESC) AS place FROM attempt) JOIN users u ON u.user_id = student_id
+        submit_time FROM (SELECT *, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY submit_time DESC,
+        student_id, attempt_no DESC, score DESC) AS INTEGER) AS place FROM attempt) JOIN users u ON u.user_id = student_id
         WHERE place <= 10""",
     "review_attempts": REVIEW,
     "review_attempts_filtered": REVIEW + " WHERE feedback <> '' AND score BETWEEN 50 AND 90",
@@ -681,8 +681,8 @@ QUERIES: dict[str, str] = {
         f"CASE WHEN {NO_TEXT} THEN 'feedback required' WHEN {OUTSIDE} THEN 'score out of range' ELSE 'valid' END",
         "outcome",
     ),
-    "stream_attempt_numbering": """SELECT student_id, problem_id, last_no + row_number() OVER (
-        PARTITION BY student_id, problem_id) AS attempt_no FROM attempt JOIN (SELECT student_id, problem_id,
+    "stream_attempt_numbering": """SELECT student_id, problem_id, CAST(last_no + row_number() OVER (
+        PARTITION BY student_id, problem_id) AS INTEGER) AS attempt_no FROM attempt JOIN (SELECT student_id, problem_id,
         max(attempt_no) AS last_no FROM attempt GROUP BY ALL) USING (student_id, problem_id)""",
     "score_labels": """SELECT CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good'
         WHEN score >= 60 THEN 'pass' ELSE 'fail' END AS band, CASE WHEN score = 100 THEN 'success'
