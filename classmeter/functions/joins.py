@@ -12,14 +12,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_BYTES = 32
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df`, marked for broadcast when its measured size is within the limit.
-
-    Deltas and the key sets that follow from them carry no statistics, so
-    without the mark Spark would shuffle the whole snapshot to join them. The
-    measuring is one aggregate over `df`; beyond the limit the join is a
-    shuffled one.
-    """
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured size of `df` allows a broadcast; one aggregate over it."""
 
     def width(field: T.StructField) -> Column:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
@@ -28,7 +22,17 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
     row = reduce(add, (width(field) for field in df.schema), F.lit(_ROW_BYTES))
     total = df.agg(F.sum(row.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= limit else df
+    return total <= limit
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, marked for broadcast when its measured size is within the limit.
+
+    Deltas and the key sets that follow from them carry no statistics, so
+    without the mark Spark would shuffle the whole snapshot to join them.
+    Beyond the limit the join is a shuffled one.
+    """
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def left_join_sparse(df: DataFrame, other: DataFrame, key: str, by: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from classmeter.functions.joins import left_join_sparse, small_side
+from classmeter.functions.joins import fits, left_join_sparse, small_side
 from classmeter.functions.numbering import day_block, id_block, number_within
 from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import KEYS, REFERENCES, SCHEMAS
@@ -167,7 +167,9 @@ def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Table
     `guard`, users that `deletable_users` leaves out stay.
     """
     ids = deletable_users(t, ids) if guard else ids
-    gone = {"user": small_side(ids.select("user_id").distinct())}
+    ids = ids.select("user_id").distinct()
+    small = {"user": fits(ids)}
+    gone = {"user": F.broadcast(ids) if small["user"] else ids}
     parents = {edge[2] for edge in REFERENCES}
     left: dict[str, DataFrame] = {"user": t.user.join(gone["user"], "user_id", "left_anti")}
     for relation in SCHEMAS:
@@ -189,7 +191,11 @@ def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Table
                 frame = frame.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column)))
                 frame = frame.drop("_gone")
         if lost:
-            gone[relation] = small_side(reduce(DataFrame.union, lost).distinct())
+            keys = lost[0] if len(lost) == 1 else reduce(DataFrame.union, lost).distinct()
+            # Subtypes share the user's key, so their sets are no larger.
+            shared = all(small[e[2]] and e[1] == e[3] == KEYS[relation][0] for e in edges)
+            small[relation] = shared or fits(keys)
+            gone[relation] = F.broadcast(keys) if small[relation] else keys
         left[relation] = typed(frame, relation)
     return t.replace(**left)
 
