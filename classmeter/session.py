@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +29,14 @@ def spark_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under `spark.checkpoint.dir`, or else under the session's warehouse.
+
+    Both are on a file system that the driver and all executors see.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="classmeter-")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def spread(scan: DataFrame) -> DataFrame:
