@@ -202,9 +202,9 @@ class Mix:
         """`docs` with taken_by (a struct of source and copies for each source that
         takes the document) and copies (their sum). Not shuffled; columns of `docs`
         with these names are replaced."""
-        row = docs.select(F.struct("*").alias("row"), _pattern(F.col(sources_col)).alias("pattern"))
+        row = docs.select(F.struct("*").alias("_row"), _pattern(F.col(sources_col)).alias("pattern"))
         met = row.join(F.broadcast(self.stretches), "pattern", "left")  # at most max_patterns rows
-        key = F.col("row")[key_col]
+        key = F.col("_row")[key_col]
 
         def copies(s: Column) -> Column:
             ends = s["turn_to"] + (key < s["key_to"]).cast("int")
@@ -212,10 +212,10 @@ class Mix:
 
         by = F.transform("stretches", lambda s: F.struct(s["source"].alias("source"), copies(s).alias("copies")))
         by = F.coalesce(F.filter(by, lambda x: x["copies"] > 0), F.array().cast("array<struct<source:string,copies:int>>"))
-        own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("taken_by", "copies")]
-        return met.select(*own, by.alias("taken_by")).withColumn(
-            "copies", F.aggregate("taken_by", F.lit(0), lambda n, x: n + x["copies"])
-        )
+        met = met.select("_row", by.alias("_by"))
+        own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("taken_by", "copies")]
+        total = F.aggregate("_by", F.lit(0), lambda n, x: n + x["copies"])
+        return met.select(*own, F.col("_by").alias("taken_by"), total.alias("copies"))
 
 
 def plan_mix(
@@ -276,7 +276,7 @@ def plan_mix(
     )
 
 
-def measured(docs: DataFrame, seed: int, *columns: str) -> DataFrame:
+def measured(docs: DataFrame, seed: int, *columns: str | Column) -> DataFrame:
     """`columns` of documents with sources (their one source), size (words) and key (seeded order)."""
     extra = {
         "sources": F.array("source"),

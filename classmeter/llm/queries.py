@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from classmeter.llm import bpe, linededup, mixing, simhash
-from classmeter.llm.common import saved, table
+from classmeter.llm import bpe, linededup, mixing, quality, simhash, toxicity
+from classmeter.llm.common import held_out, saved, table
 
 SEED = 7
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,23 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged(docs: DataFrame, score, least: float) -> DataFrame:
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _judged(docs, toxicity.score(model, F.col("text")), 0.5)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return _judged(docs, quality.score(model, F.col("text")), 0.3)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -43,4 +60,4 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_source_mix, op2_byte_bpe, op7_simhash, op8_line_dedup)}
+QUERIES = {q.__name__: q for q in (op1_source_mix, op2_byte_bpe, op3_toxicity, op4_quality, op7_simhash, op8_line_dedup)}

@@ -151,23 +151,43 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: its id, fp (long) and component_id.
+def classes(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(fp, component_id, group) for each different fp of `prints` (id, fp).
 
-    `component_id` is the smallest id that links of at most `max_bits`
-    differing bits reach, the row's own id included. A null or empty text has
-    the fingerprint 0 and is linked like any other. Rows with a null id take
-    part, and have a null component only if no id is reached. Repeated rows
-    stay. Other columns are not read.
+    `component_id` is the smallest id that links reach, null if all of them are
+    null; `group` is the smallest fp (as a signed number) of the component.
     """
-    prints = saved(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
     lowest = prints.groupBy("fp").agg(F.min("id").alias("low"))
     label = components(saved(links(prints, max_bits), "links")).withColumnRenamed("node", "fp")
     linked = lowest.join(label, "fp")
-    reached = linked.groupBy("label").agg(F.min("low").alias("component_id"))
-    linked = linked.join(reached, "label").select("fp", "component_id")
-    whole = lowest.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(whole, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    reached = linked.groupBy("label").agg(F.min("low").alias("component_id"), F.min("fp").alias("group"))
+    linked = linked.join(reached, "label").select("fp", "component_id", "group")
+    whole = lowest.join(linked, "fp", "left")
+    return whole.select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("group", "fp").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: its id, fp (long), component_id and group; see `classes`.
+
+    A null or empty text has the fingerprint 0 and is linked like any other.
+    Rows with a null id take part. Repeated rows stay. Other columns are not read.
+    """
+    prints = saved(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
+    found = prints.join(classes(prints, max_bits), "fp", "left")
+    return found.select(F.col("id").alias(id_col), "fp", "component_id", "group")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each component: one whose id is the component's."""
+    found = near_duplicates(docs, words, max_bits, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    first = found.groupBy(id_col, "fp", "group").agg(F.count(F.lit(1)).alias("n"))
+    first = saved(first.select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp"), F.col("group").alias("_group"), "n"), "representatives")
+    row = docs.select(F.struct("*").alias("row"), fingerprint(F.col(text_col), words).alias("_fp"))
+    met = row.join(first, (row._fp == first._fp) & F.col(f"row.{id_col}").eqNullSafe(F.col("_id"))).select("row", "_group")
+    # Only rows that repeat an id inside a component compete; without such rows nothing is shuffled for it.
+    if not first.groupBy("_group").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+        met = met.dropDuplicates(["_group"])
+    return met.select("row.*")
 
 
 def hex_of(fp: Column) -> Column:
