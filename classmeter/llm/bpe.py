@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -239,7 +240,7 @@ class _Shared:
 
 def _groups(array: pa.Array) -> Iterator[pa.Array]:
     """Slices of a batch with about CHUNK bytes each."""
-    size = pa.compute.fill_null(pa.compute.binary_length(array), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
     mark = np.cumsum(size, dtype=np.int64) // (2 * CHUNK)
     starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]) if len(mark) else np.array([0])
     for a, b in zip(starts, np.r_[starts[1:], len(array)]):

@@ -63,3 +63,46 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.key) AS n_dropp
 FROM keyed k LEFT JOIN common c ON c.key = k.key
 GROUP BY doc
 """
+
+_SOUND = "list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) IS NOT FALSE"
+
+ORACLE["op5_top_k"] = f"""
+WITH whole AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE)::HUGEINT FOR x IN max(embedding)] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_SOUND}
+    GROUP BY vec_id
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           coalesce(list_sum([q.v[i] * c.v[i] FOR i IN range(1, least(len(q.v), len(c.v)) + 1)]), 0)::BIGINT AS score
+    FROM whole q JOIN whole c ON c.vec_id <> q.vec_id
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score
+FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+ORACLE["op6_embedding_dedup"] = f"""
+WITH RECURSIVE sound AS (
+    SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND {_SOUND} AND len([x FOR x IN embedding IF x <> 0]) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+),
+reached AS (
+    SELECT vec_id AS node, vec_id AS low FROM embeddings
+    UNION
+    SELECT l.b, r.low FROM reached r JOIN links l ON l.a = r.node WHERE r.low < l.b
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       (SELECT min(low) FROM reached r WHERE r.node = e.vec_id) AS component_id,
+       (SELECT min(low) FROM reached r WHERE r.node = e.vec_id) = e.vec_id AS kept
+FROM embeddings e
+"""

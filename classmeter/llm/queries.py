@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from classmeter.llm import bpe, linededup, mixing, quality, simhash, toxicity
+from classmeter.llm import bpe, linededup, mixing, neardup, quality, secrets, simhash, topk, toxicity, urlfilter
 from classmeter.llm.common import held_out, saved, table
 
 SEED = 7
@@ -49,6 +49,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(docs, quality.score(model, F.col("text")), 0.3)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -60,4 +68,37 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_source_mix, op2_byte_bpe, op3_toxicity, op4_quality, op7_simhash, op8_line_dedup)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256")
+    return found.select("doc_id", "start", "length", digest, F.col("label"), "score", "predicted")
+
+
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_source_mix,
+        op2_byte_bpe,
+        op3_toxicity,
+        op4_quality,
+        op5_top_k,
+        op6_embedding_dedup,
+        op7_simhash,
+        op8_line_dedup,
+        op9_secrets,
+        op10_url_filter,
+    )
+}
