@@ -15,19 +15,21 @@ that it has met; the vocabulary (under 1 MB) is sent once to each executor.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 # Characters of text that go through the queries together.
 CHUNK = 2_000_000
 # Pieces a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+# Pieces that go through the recursive query together.
+TOGETHER = 20_000
 # The recursive query makes rows in the square of a piece's length. Longer
 # pieces (in bytes) are contracted by `contract_long`, which gives the same ids.
 LONG_PIECE = 256
@@ -110,7 +112,7 @@ class Coder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.cut = regex.compile(r"(?<=\S)\s")
         self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -158,19 +160,21 @@ class Coder:
                 self.known[piece] = np.array(contract_long(raw, self.ranks), "<u4").tobytes()
             else:
                 rest.append(piece), rest_bytes.append(raw)
-        if not rest:
-            return
-        lengths = np.fromiter(map(len, rest_bytes), np.int64, len(rest))
-        which = np.repeat(np.arange(len(rest)), lengths)
+        for at in range(0, len(rest), TOGETHER):
+            self._contract(rest[at : at + TOGETHER], rest_bytes[at : at + TOGETHER])
+
+    def _contract(self, pieces: list[str], raw: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        which = np.repeat(np.arange(len(raw)), lengths)
         pos = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        ids = self.byte_ids[np.frombuffer(b"".join(rest_bytes), np.uint8)]
+        ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         self.db.register("bytes_of", pa.table({"piece": which, "pos": pos, "id": ids}))
         found = self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("bytes_of")
-        raw = found.flatten().to_numpy().astype("<u4").tobytes()
+        packed = found.flatten().to_numpy().astype("<u4").tobytes()
         ends = (4 * found.value_lengths().to_numpy().astype(np.int64)).cumsum().tolist()
-        for piece, a, b in zip(rest, [0, *ends], ends):
-            self.known[piece] = raw[a:b]
+        for piece, a, b in zip(pieces, [0, *ends], ends):
+            self.known[piece] = packed[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -261,29 +265,33 @@ class ByteBpe:
         self._shared = _Shared(spark, ranks, hash((path, pattern, len(ranks))))
         self._pattern = pattern
 
-    def encode(self, text: Column) -> Column:
+    def _column(self, kind: T.DataType, work: Callable[[Coder, list], pa.Array]) -> Callable[[Column], Column]:
+        """A column function that hands on slices of a few MB, so that a batch is never held twice."""
         shared, pattern = self._shared, self._pattern
 
-        @F.arrow_udf("binary")
-        def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        @F.arrow_udf(kind)
+        def done(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             coder = _coder(shared, pattern)
             for batch in batches:
-                done = [x for part in _groups(batch) for x in coder.encode(part.to_pylist())]
-                yield pa.array(done, pa.binary())
+                for part in _groups(batch):
+                    yield work(coder, part.to_pylist())
 
-        return encoded(text)
+        return done
+
+    def encode(self, text: Column) -> Column:
+        return self._column(T.BinaryType(), lambda coder, texts: pa.array(coder.encode(texts), pa.binary()))(text)
 
     def decode(self, ids: Column) -> Column:
-        shared, pattern = self._shared, self._pattern
+        return self._column(T.BinaryType(), lambda coder, packed: pa.array(coder.decode(packed), pa.binary()))(ids)
 
-        @F.arrow_udf("binary")
-        def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            coder = _coder(shared, pattern)
-            for batch in batches:
-                done = [x for part in _groups(batch) for x in coder.decode(part.to_pylist())]
-                yield pa.array(done, pa.binary())
+    def round_trip(self, text: Column) -> Column:
+        """Both in one Python worker: a struct of ids and decoded."""
+
+        def both(coder: Coder, texts: list) -> pa.Array:
+            ids = coder.encode(texts)
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(coder.decode(ids), pa.binary())], names=["ids", "decoded"])
 
-        return decoded(ids)
+        return self._column(T.StructType().add("ids", "binary").add("decoded", "binary"), both)(text)
 
 
 def count(ids: Column) -> Column:

@@ -22,13 +22,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coder = bpe.ByteBpe(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    ids = table(spark, sf_dir, "documents").select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    out = ids.withColumn("decoded", coder.decode(F.col("ids")))
-    return out.select(
+    done = table(spark, sf_dir, "documents").select("doc_id", coder.round_trip(F.col("text")).alias("done"))
+    return done.select(
         "doc_id",
-        bpe.count(F.col("ids")).alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        bpe.count(F.col("done.ids")).alias("n_tokens"),
+        F.sha2("done.ids", 256).alias("ids_sha256"),
+        F.sha2("done.decoded", 256).alias("decoded_sha256"),
     )
 
 

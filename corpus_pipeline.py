@@ -49,15 +49,14 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document (packed, four bytes each), and the digests of ids and decoded bytes."""
     coder = bpe.ByteBpe(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", "source", coder.encode(F.col("text")).alias("ids"))
-    both = ids.withColumn("decoded", coder.decode(F.col("ids")))
-    return both.select(
+    done = docs.select("doc_id", "source", coder.round_trip(F.col("text")).alias("done"))
+    return done.select(
         "doc_id",
         "source",
-        bpe.count(F.col("ids")).alias("n_tokens"),
-        "ids",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        bpe.count(F.col("done.ids")).alias("n_tokens"),
+        "done.ids",
+        F.sha2("done.ids", 256).alias("ids_sha256"),
+        F.sha2("done.decoded", 256).alias("decoded_sha256"),
     )
 
 

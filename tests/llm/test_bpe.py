@@ -68,6 +68,8 @@ def test_columns(spark, edge_docs, no_docs, library):
     coder = bpe.ByteBpe(spark, PATH, public_tokenizers.PATTERN)
     for docs in (edge_docs, no_docs):
         out = docs.withColumn("ids", coder.encode(F.col("text"))).withColumn("back", coder.decode(F.col("ids")))
+        both = coder.round_trip(F.col("text"))
+        assert out.where(both["ids"] != F.col("ids")).count() == out.where(both["decoded"] != F.col("back")).count() == 0
         rows = out.select("text", "ids", "back", bpe.count(F.col("ids")).alias("n")).collect()
         assert len(rows) == docs.count()
         for r in rows:
