@@ -142,18 +142,20 @@ RELATIONS: dict[str, str] = {
     "payloads": """SELECT doc_id AS scenario_no, text, lang, source, doc_id * 2 AS good,
         doc_id * 2 + 1 AS bad FROM documents""",
     "perfect": "SELECT * FROM attempt WHERE score = 100",
-    "performance": f"""SELECT s.user_id, u.name, u.email, count(DISTINCT a.problem_id) AS problems_attempted,
-        {mean('a.score')} AS average_score, max(a.score) AS highest_score, count(a.attempt_no) AS total_attempts,
-        sum(a.score) AS total, count(a.score) AS scored
-        FROM student s JOIN users u USING (user_id) LEFT JOIN attempt a ON a.student_id = s.user_id
-        GROUP BY s.user_id, u.name, u.email""",
-    "statistics": f"""SELECT p.problem_id, p.title, p.difficulty,
-        string_agg(DISTINCT h.topic_name, ',' ORDER BY h.topic_name) AS topics,
-        count(DISTINCT a.student_id) AS students_attempted, {mean('a.score')} AS average_score,
-        count(a.attempt_no) AS total_attempts, u.name AS created_by_mentor
-        FROM problem p LEFT JOIN attempt a USING (problem_id) LEFT JOIN have_topic h USING (problem_id)
-        LEFT JOIN users u ON u.user_id = p.user_id GROUP BY p.problem_id, p.title, p.difficulty, u.name""",
-    "topic_lines": """SELECT problem_id, string_agg(topic_name, ',' ORDER BY topic_name) AS topics
+    "tallies": f"""SELECT student_id AS user_id, count(DISTINCT problem_id) AS problems, {mean('score')} AS mean,
+        max(score) AS best, count(*) AS attempts, sum(score) AS total, count(score) AS scored
+        FROM attempt GROUP BY student_id""",
+    "performance": f"""SELECT user_id, name, email, coalesce(t.problems, 0) AS problems_attempted,
+        t.mean AS average_score, t.best AS highest_score, coalesce(t.attempts, 0) AS total_attempts,
+        t.total, coalesce(t.scored, 0) AS scored
+        FROM users SEMI JOIN student USING (user_id) LEFT JOIN tallies t USING (user_id)""",
+    "statistics": f"""SELECT problem_id, title, difficulty, topics, coalesce(x.students, 0) AS students_attempted,
+        x.mean AS average_score, coalesce(x.n, 0) * greatest(coalesce(labels, 0), 1) AS total_attempts,
+        (SELECT name FROM users u WHERE u.user_id = p.user_id) AS created_by_mentor
+        FROM problem p LEFT JOIN topic_lines USING (problem_id) LEFT JOIN (SELECT problem_id,
+        count(DISTINCT student_id) AS students, {mean('score')} AS mean, count(*) AS n
+        FROM attempt GROUP BY problem_id) x USING (problem_id)""",
+    "topic_lines": """SELECT problem_id, string_agg(topic_name, ',' ORDER BY topic_name) AS topics, count(*) AS labels
         FROM have_topic GROUP BY problem_id""",
     "mine": """SELECT a.*, p.title, p.difficulty, p.user_id AS author_id FROM attempt a
         JOIN problem p USING (problem_id)""",
@@ -448,46 +450,36 @@ QUERIES: dict[str, str] = {
         strftime(submit_time, '%Y-%m-%d %H:%M:%S') AS submit_time, coalesce(feedback, 'None') AS feedback,
         CAST(CAST(score AS DOUBLE) / 3 AS VARCHAR) AS third,
         CASE WHEN score >= 60 THEN 'True' ELSE 'False' END AS good FROM attempt""",
-    "students_without_attempts": """SELECT s.user_id AS student_id, u.name, u.email FROM student s
-        JOIN users u USING (user_id) LEFT JOIN attempt a ON a.student_id = s.user_id
-        WHERE a.student_id IS NULL""",
+    "students_without_attempts": """SELECT user_id AS student_id, name, email FROM users
+        WHERE user_id IN (SELECT user_id FROM student) AND user_id NOT IN (SELECT student_id FROM attempt)""",
     "problems_by_mentor": """SELECT p.problem_id, p.title, p.difficulty, u.name AS mentor_name FROM problem p
         JOIN users u USING (user_id) WHERE u.name = 'Supplier#000000001'""",
-    "problem_count_by_difficulty": """SELECT difficulty, count(*) AS problem_count FROM problem
-        GROUP BY difficulty HAVING count(*) > 0""",
-    "top_students": f"""SELECT s.user_id AS student_id, u.name AS student_name,
-        {half_up('sum(a.score)', 'count(a.score)')} AS avg_score, count(*) AS total_attempts
-        FROM attempt a JOIN student s ON s.user_id = a.student_id JOIN users u ON u.user_id = s.user_id
-        GROUP BY s.user_id, u.name HAVING count(*) >= 1
-        ORDER BY avg_score DESC, total_attempts DESC, student_name, student_id LIMIT 5""",
-    "best_score_per_problem": """SELECT a.problem_id, p.title AS problem_title, a.student_id,
-        u.name AS student_name, a.score FROM attempt a JOIN (SELECT problem_id, max(score) AS m FROM attempt
-        GROUP BY problem_id) x ON x.problem_id = a.problem_id AND x.m = a.score
-        JOIN problem p ON p.problem_id = a.problem_id JOIN users u ON u.user_id = a.student_id""",
-    "first_attempt_failures": """SELECT f.problem_id, p.title AS problem_title, failed_first_attempts,
-        total_students, failed_first_attempts / total_students AS fail_ratio FROM (
-        SELECT problem_id, count(*) FILTER (score < 60) AS failed_first_attempts
-        FROM attempt WHERE attempt_no = 1 GROUP BY problem_id) f
-        CROSS JOIN (SELECT count(*) AS total_students FROM student)
-        JOIN problem p ON p.problem_id = f.problem_id
-        WHERE failed_first_attempts > 0 AND failed_first_attempts > 0.002::DOUBLE * total_students""",
-    "scenario_score_by_difficulty": f"""SELECT p.difficulty,
-        {half_up('sum(a.score)', 'count(a.score)')} AS avg_score, count(*) AS attempt_count
-        FROM problem p JOIN attempt a USING (problem_id) WHERE p.scenario_no IS NOT NULL
-        GROUP BY p.difficulty""",
-    "notification_counts": """SELECT u.user_id, u.name, u.email, count(r.noti_id) AS notif_count FROM users u
-        LEFT JOIN receive r ON r.receiver_id = u.user_id GROUP BY ALL""",
+    "problem_count_by_difficulty": "SELECT DISTINCT difficulty, count(*) OVER (PARTITION BY difficulty) AS problem_count FROM problem",
+    "top_students": f"""SELECT user_id AS student_id, name AS student_name, {half_up('total', 'scored')} AS avg_score,
+        attempts AS total_attempts FROM tallies JOIN users USING (user_id) WHERE user_id IN (SELECT user_id FROM student)
+        QUALIFY row_number() OVER (ORDER BY {half_up('total', 'scored')} DESC, attempts DESC, name, user_id) <= 5""",
+    "best_score_per_problem": """SELECT problem_id, title AS problem_title, student_id, name AS student_name, score
+        FROM (SELECT *, rank() OVER (PARTITION BY problem_id ORDER BY score DESC) AS place FROM mine)
+        JOIN users ON users.user_id = student_id WHERE place = 1""",
+    "first_attempt_failures": """SELECT problem_id, title AS problem_title, n AS failed_first_attempts,
+        learners AS total_students, n / learners AS fail_ratio FROM problem JOIN (SELECT problem_id, count(*) AS n,
+        (SELECT count(*) FROM student) AS learners FROM attempt WHERE attempt_no = 1 AND score < 60
+        GROUP BY problem_id) USING (problem_id) WHERE n > 0.002::DOUBLE * learners""",
+    "scenario_score_by_difficulty": f"""SELECT difficulty, {half_up('sum(score)', 'count(score)')} AS avg_score,
+        count(*) AS attempt_count FROM mine WHERE problem_id IN (SELECT problem_id FROM problem WHERE scenario_no >= 0)
+        GROUP BY difficulty""",
+    "notification_counts": """SELECT user_id, name, email, (SELECT count(*) FROM receive
+        WHERE receiver_id = user_id) AS notif_count FROM users""",
     "student_performance": """SELECT user_id, name, email, problems_attempted, average_score, highest_score,
         total_attempts FROM performance""",
     "problem_statistics": "SELECT * FROM statistics",
     "problem_statistics_clean": """SELECT s.* EXCLUDE (total_attempts), (SELECT count(*) FROM attempt a
         WHERE a.problem_id = s.problem_id) AS total_attempts FROM statistics s""",
-    "mentor_activity": f"""SELECT m.user_id, u.name AS mentor_name,
-        (SELECT count(*) FROM problem p WHERE p.user_id = m.user_id) AS problems_created,
-        (SELECT count(*) FROM resource r WHERE r.user_id = m.user_id) AS resources_uploaded,
-        count(DISTINCT a.student_id) AS students_mentored, {mean('a.score')} AS avg_student_score
-        FROM mentor m JOIN users u USING (user_id) LEFT JOIN attempt a ON a.mentor_id = m.user_id
-        GROUP BY m.user_id, u.name""",
+    "mentor_activity": f"""SELECT user_id, name AS mentor_name,
+        (SELECT count(*) FROM problem p WHERE p.user_id = u.user_id) AS problems_created,
+        (SELECT count(*) FROM resource r WHERE r.user_id = u.user_id) AS resources_uploaded,
+        (SELECT count(DISTINCT student_id) FROM attempt WHERE mentor_id = u.user_id) AS students_mentored,
+        (SELECT {mean('score')} FROM attempt WHERE mentor_id = u.user_id) AS avg_student_score FROM users u WHERE user_id IN (SELECT user_id FROM mentor)""",
     "student_summary": f"""SELECT user_id AS student_id, name, email, problems_attempted,
         CASE WHEN scored > 0 THEN {half_even('total', 'greatest(scored, 1)', 1)} ELSE 0 END AS avg_score,
         highest_score, total_attempts FROM performance""",
@@ -532,12 +524,11 @@ QUERIES: dict[str, str] = {
     "scenario_rank": """SELECT scenario_no, student_id, display_index, p.problem_id, p.title, p.difficulty FROM (
         SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY created_at, scenario_no) AS display_index
         FROM scenario) LEFT JOIN problem p USING (scenario_no)""",
-    "mentor_summary": f"""SELECT m.user_id, u.name AS mentor_name,
-        (SELECT count(*) FROM problem p WHERE p.user_id = m.user_id) AS problems_created,
-        (SELECT count(*) FROM resource r WHERE r.user_id = m.user_id) AS resources_uploaded,
-        count(DISTINCT a.student_id) AS students_mentored, coalesce({mean('a.score')}, 0) AS avg_student_score
-        FROM mentor m JOIN users u USING (user_id) LEFT JOIN attempt a ON a.mentor_id = m.user_id
-        GROUP BY m.user_id, u.name""",
+    "mentor_summary": f"""SELECT user_id, name AS mentor_name,
+        (SELECT count(*) FROM problem p WHERE p.user_id = u.user_id) AS problems_created,
+        (SELECT count(*) FROM resource r WHERE r.user_id = u.user_id) AS resources_uploaded,
+        (SELECT count(DISTINCT student_id) FROM attempt WHERE mentor_id = u.user_id) AS students_mentored,
+        coalesce((SELECT {mean('score')} FROM attempt WHERE mentor_id = u.user_id), 0) AS avg_student_score FROM users u WHERE user_id IN (SELECT user_id FROM mentor)""",
     "pending_reviews": PENDING.format("feedback IS NULL"),
     "pending_reviews_blank": PENDING.format("coalesce(feedback, '') = ''"),
     "recent_problems": """SELECT mentor_id, place, problem_id, title, difficulty, create_time FROM (SELECT *,
