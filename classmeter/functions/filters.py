@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -52,9 +53,20 @@ def dates_between(
 def scores_between(
     df: DataFrame, lowest: float | str | None, highest: float | str | None
 ) -> DataFrame:
-    bound = lambda value: F.lit(str(value)).cast("decimal(5,2)")
-    df = where_given(df, lowest, lambda v: F.col("score") >= bound(v))
-    return where_given(df, highest, lambda v: F.col("score") <= bound(v))
+    """Both ends included, as given: scores have two places, so a finer lower bound is
+    raised to the next one and a finer upper bound lowered, which keeps the same rows
+    and lets the bound reach the scan. Bounds beyond any score keep all scores or none."""
+    score, most = F.col("score"), Decimal("999.99")
+
+    def at_least(value):
+        bound = Decimal(str(value)).quantize(Decimal("0.01"), ROUND_CEILING)
+        return F.lit(False) if bound > most else score >= F.lit(max(bound, -most))
+
+    def at_most(value):
+        bound = Decimal(str(value)).quantize(Decimal("0.01"), ROUND_FLOOR)
+        return F.lit(False) if bound < -most else score <= F.lit(min(bound, most))
+
+    return where_given(where_given(df, lowest, at_least), highest, at_most)
 
 
 def feedback_is(df: DataFrame, answer: str | None) -> DataFrame:

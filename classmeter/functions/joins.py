@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-# Largest side that is sent to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
-_ROW_BYTES = 32
-
-
-def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the measured size of `df` allows a broadcast; one aggregate over it."""
-
-    def width(field: T.StructField) -> Column:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            return F.coalesce(F.octet_length(field.name), F.lit(0)) + _ROW_BYTES
-        return F.lit(_ROW_BYTES)
-
-    row = reduce(add, (width(field) for field in df.schema), F.lit(_ROW_BYTES))
-    total = df.agg(F.sum(row.cast("long"))).first()[0] or 0
-    return total <= limit
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df`, marked for broadcast when its measured size is within the limit.
-
-    Deltas and the key sets that follow from them carry no statistics, so
-    without the mark Spark would shuffle the whole snapshot to join them.
-    Beyond the limit the join is a shuffled one.
-    """
-    return F.broadcast(df) if fits(df, limit) else df
+from pyspark.sql import DataFrame, functions as F
 
 
 def left_join_sparse(df: DataFrame, other: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Left join on an id that is mostly null in `df`.
 
-    All nulls would meet in one partition. They get negative stand-ins spread
-    over the rows' `by` columns; ids are positive, so none of these matches.
+    All nulls would meet in one partition. A second join column spreads the
+    rows without an id over their `by` columns; it is 0 for every row with an
+    id, on either side. A null id equals nothing, so no such row can match.
     """
-    stand_in = -1 - F.pmod(F.xxhash64(*by), F.lit(1 << 16))
-    keyed = df.withColumn("_key", F.coalesce(F.col(key), stand_in))
-    joined = keyed.join(other.withColumnRenamed(key, "_key"), "_key", "left")
-    return joined.drop("_key")
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*by), F.lit(1 << 16))).otherwise(F.lit(0))
+    # Always 0, but not a literal, which the optimizer would take out of the join.
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    salted = df.withColumn("_salt", salt.cast("long"))
+    joined = salted.join(other.withColumn("_salt", zero.cast("long")), [key, "_salt"], "left")
+    return joined.drop("_salt")

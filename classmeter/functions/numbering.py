@@ -4,56 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Nulls sort as the newest time.
-_NEWEST = 2**31 - 1
+from classmeter.session import written
 
 
-def day_block(time: Column, newest_first: bool = False) -> Column:
-    """The day of a time as a number that rises along the sort order."""
-    day = F.coalesce(F.unix_date(F.to_date(time)), F.lit(_NEWEST))
-    return -day if newest_first else day
-
-
-def id_block(key: Column, width: int = 1 << 16) -> Column:
-    """Ranges of `width` neighbouring ids."""
-    return F.floor(key / F.lit(width))
-
-
-def number_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    blocks: list[Column],
-    name: str,
-) -> DataFrame:
-    """Number the rows of each key from 1 in the order (`blocks`..., `order`...).
+def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Number the rows of each key from 1 in `order`; all rows, if there are no keys.
 
     A plain window sorts a whole key in one task, and one key may hold a third
-    of the table. Here a task sorts one (key, block) only; the counts of the
-    blocks before it, which are few and partially aggregated before their
-    shuffle, are added as an offset.
+    of the table. Here rows are dealt out by ranges of (keys, order), which
+    Spark takes from quantiles, so a hot key, a single day or sparse ids give
+    blocks of about one size, and as many as there are shuffle partitions.
+    Rows are numbered inside (key, block). A block's border cuts at most one
+    key; the counts before the cut, no more rows than blocks, are added.
+
+    The blocks are written to the shared folder first: their borders come from
+    a sample and must be the same in all that follows. Rows that are equal in
+    keys and order are told apart by a hash of their other columns.
     """
-    marks = [f"_block{i}" for i in range(len(blocks))]
-    df = df.withColumns(dict(zip(marks, blocks)))
-    at = keys + marks
-    starts = _starts(df.groupBy(at).agg(F.count(F.lit(1)).alias("_n")), keys, marks)
-    place = F.row_number().over(Window.partitionBy(at).orderBy(*order))
-    # Said explicitly, as rows that happen to be partitioned by the key alone
-    # would stay so, with a hot key in one task.
-    placed = df.repartition(*at).withColumn("_place", place).join(starts, at)
-    placed = placed.withColumn(name, F.col("_place") + F.col("_start"))
-    return placed.drop("_place", "_start", *marks)
-
-
-def _starts(counts: DataFrame, keys: list[str], marks: list[str]) -> DataFrame:
-    """Rows of the key before each block, added up level by level."""
-    lead, last = keys + marks[:-1], marks[-1]
-    before = Window.partitionBy(lead).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    level = counts.withColumn("_start", start).drop("_n")
-    if len(marks) == 1:
-        return level
-    parent = _starts(counts.groupBy(lead).agg(F.sum("_n").alias("_n")), keys, marks[:-1])
-    parent = parent.withColumnRenamed("_start", "_above")
-    level = level.join(parent, lead)
-    return level.withColumn("_start", F.col("_start") + F.col("_above")).drop("_above")
+    blocks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    line = [*map(F.asc, keys), *order, F.asc("_tie")]
+    dealt = df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(blocks, *line)
+    dealt = written(dealt.withColumn("_block", F.spark_partition_id()), "numbering")
+    at = [*keys, "_block"]
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(before)).drop("_n").filter("_start > 0")
+    place = F.row_number().over(Window.partitionBy(*at).orderBy(*order, "_tie"))
+    placed = dealt.withColumn("_place", place)
+    same = [placed[c].eqNullSafe(starts[c]) for c in keys] + [placed["_block"] == starts["_block"]]
+    joined = placed.join(F.broadcast(starts), same, "left")  # at most one row for each block
+    number = placed["_place"] + F.coalesce(starts["_start"], F.lit(0))
+    kept = [placed[c] for c in df.columns if c != name]
+    return joined.select(*kept, number.alias(name))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from classmeter.functions import filters
-from classmeter.functions.joins import small_side
 from classmeter.operators.learner import in_order, of
 from classmeter.operators.reports import names
+from classmeter.session import written
 from classmeter.sources.tables import Tables, typed
 
 
@@ -66,7 +66,10 @@ def user_totals(t: Tables) -> DataFrame:
 def inbox(t: Tables, user_id: int | None = None) -> DataFrame:
     """Received notifications, newest first, one row per sender."""
     mine = of(t.receive, "receiver_id", user_id)
-    senders = t.send.join(names(t, "sender_id", "sender_name"), "sender_id", "left")
+    sends = t.send
+    if user_id is not None:  # a few of all sends
+        sends = sends.join(mine.select("noti_id").distinct(), "noti_id", "left_semi")
+    senders = sends.join(names(t, "sender_id", "sender_name"), "sender_id", "left")
     listed = (
         mine.join(t.notification, "noti_id")
         .join(senders, "noti_id", "left")
@@ -113,7 +116,7 @@ def audience(t: Tables, rule: str, user_id: int | None = None) -> DataFrame:
         return t.user.select("user_id")
     if rule == "specific" and user_id is not None:
         return t.user.filter(F.col("user_id") == user_id).select("user_id")
-    raise ValueError("Invalid recipient selection.")
+    raise ValueError(f"unknown audience {rule!r}, or no user named for it")
 
 
 def deliver(t: Tables, messages: DataFrame) -> DataFrame:
@@ -126,7 +129,8 @@ def deliver(t: Tables, messages: DataFrame) -> DataFrame:
     groups = groups.union(t.mentor.select("user_id", F.lit("all_mentors")))
     groups = groups.union(t.user.select("user_id", F.lit("all_users")))
     wide = messages.filter("rule <> 'specific'").select("noti_id", "rule")
-    wide = groups.join(small_side(wide), "rule")
+    # Three groups are all keys there are, so the announcements, not the users, must move.
+    wide = groups.join(written(wide, "announcements"), "rule")
     one = messages.filter("rule = 'specific'").join(t.user.select("user_id"), "user_id", "left_semi")
     receiver = F.col("user_id").alias("receiver_id")
     return wide.select(receiver, "noti_id").union(one.select(receiver, "noti_id"))
@@ -135,7 +139,15 @@ def deliver(t: Tables, messages: DataFrame) -> DataFrame:
 def send_notification(
     t: Tables, sender_id: int, rule: str, user_id: int | None = None, now: Column | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(notification, send, receive) rows of one new message."""
+    """(notification, send, receive) rows of one new message.
+
+    The sender must be an admin and a single recipient a known user; anything
+    else is an error.
+    """
+    if t.admin.filter(F.col("user_id") == sender_id).isEmpty():
+        raise PermissionError(f"user {sender_id} is not an admin")
+    if rule == "specific" and t.user.filter(F.col("user_id") == user_id).isEmpty():
+        raise ValueError(f"no user {user_id}")
     now = F.current_timestamp() if now is None else now
     first = t.notification.agg((F.coalesce(F.max("noti_id"), F.lit(0)) + 1).alias("noti_id"))
     noti_id = first.scalar()

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from classmeter.functions import filters
 from classmeter.functions.exprs import average, exact_average, half_even
-from classmeter.functions.numbering import day_block, id_block, number_within
+from classmeter.functions.numbering import number_within
 from classmeter.operators import reports
 from classmeter.operators.reports import names, zero
+from classmeter.session import written
 from classmeter.sources.tables import Tables
 
 def newest() -> list[Column]:
@@ -80,23 +81,18 @@ def recommend_problems(t: Tables, student_id: int | None = None, n: int = 5) ->
     open_problems = t.problem.filter(F.col("difficulty").isin("Easy", "Medium")).select(
         "problem_id", "title", "difficulty"
     )
-    # The block of difficulty is its letter order, as the list sorts by it.
-    level = F.when(F.col("difficulty") == "Easy", 0).otherwise(1)
     order = [F.asc("difficulty"), F.asc("problem_id")]
-    listed = number_within(
-        open_problems, [], order, [level, id_block(F.col("problem_id"))], "place"
-    )
+    listed = number_within(open_problems, [], order, "place")
     # Repeats go before the joins, so that a hot pair is one row. A student who
     # tried k problems meets the n-th untried one by place n + k; later tried
     # ones do not matter, which leaves few rows to number.
     mine = of(t.attempt, "student_id", student_id).select("student_id", "problem_id").distinct()
+    mine = written(mine, "tried-pairs")
     reach = mine.groupBy("student_id").agg((F.count(F.lit(1)) + n).alias("reach"))
     tried = mine.join(listed.select("problem_id", "place"), "problem_id")
     tried = tried.join(reach, "student_id").filter("place <= reach")
     tried = tried.select("student_id", "place")
-    tried = number_within(
-        tried, ["student_id"], [F.asc("place")], [id_block(F.col("place"))], "i"
-    )
+    tried = number_within(tried, ["student_id"], [F.asc("place")], "i")
     ahead = [
         F.count_if(F.col("place") - F.col("i") < j).alias(f"before{j}") for j in range(1, n + 1)
     ]
@@ -172,14 +168,18 @@ def problem_attempts(
 
 def latest_score(t: Tables, student_id: int | None = None) -> DataFrame:
     """Attempts and newest score per student and problem."""
-    newest = F.struct(
-        F.col("submit_time").isNull(), "submit_time", "attempt_no", F.col("score").alias("latest")
-    )
-    pairs = of(t.attempt, "student_id", student_id).groupBy("student_id", "problem_id")
-    found = pairs.agg(F.count(F.lit(1)).alias("attempts"), F.max(newest).alias("newest"))
-    return found.select(
-        "student_id", "problem_id", "attempts", F.col("newest.latest").alias("latest_score")
+    # A maximum of a struct would be aggregated by sorting. The newest time and
+    # the attempts at each time are numbers, which hash aggregates hold.
+    pair = ["student_id", "problem_id"]
+    late = F.coalesce(F.unix_micros(F.col("submit_time").cast("timestamp")), F.lit(-(2**63) + 1))
+    mine = of(t.attempt, "student_id", student_id).select(*pair, "attempt_no", "score", late.alias("at"))
+    best = mine.groupBy(*pair, "at", "attempt_no").agg(
+        F.count(F.lit(1)).alias("n"), F.max("score").alias("score")
     )
+    newest = best.groupBy(*pair).agg(F.sum("n").alias("attempts"), F.max("at").alias("at"))
+    last = best.join(newest.drop("attempts"), [*pair, "at"], "left_semi")
+    last = last.groupBy(*pair).agg(F.max_by("score", "attempt_no").alias("latest_score"))
+    return newest.join(last, pair).select(*pair, "attempts", "latest_score")
 
 
 def _my_attempts(
@@ -287,10 +287,11 @@ def outcome_counts(t: Tables, student_id: int | None = None, pass_mark: int = 60
 def scenario_list(t: Tables, student_id: int | None = None) -> DataFrame:
     """A student's scenarios numbered newest first."""
     mine = of(t.scenario, "student_id", student_id)
-    time = F.col("created_at")
     order = [F.desc_nulls_first("created_at"), F.desc("scenario_no")]
-    listed = number_within(mine, ["student_id"], order, [day_block(time, True)], "display_index")
-    listed = listed.select(
+    narrow = mine.select("student_id", "scenario_no", "created_at")
+    listed = number_within(narrow, ["student_id"], order, "display_index")
+    texts = mine.select("scenario_no", "scenario_description")
+    listed = listed.join(texts, "scenario_no").select(
         "student_id", "display_index", "scenario_no", "created_at", "scenario_description"
     )
     return in_order(listed, student_id, "display_index")
@@ -303,8 +304,7 @@ def scenario_rank(t: Tables, scenario_no: int | None = None) -> DataFrame:
         owner = scenarios.filter(F.col("scenario_no") == scenario_no).select("student_id")
         scenarios = scenarios.join(owner, "student_id", "left_semi")
     order = [F.asc_nulls_last("created_at"), F.asc("scenario_no")]
-    blocks = [day_block(F.col("created_at"))]
-    ranked = number_within(scenarios, ["student_id"], order, blocks, "display_index")
+    ranked = number_within(scenarios, ["student_id"], order, "display_index")
     ranked = of(ranked, "scenario_no", scenario_no)
     problems = t.problem.select("scenario_no", "problem_id", "title", "difficulty")
     listed = ranked.join(problems, "scenario_no", "left").select(

@@ -61,8 +61,10 @@ def recent_problems(t: Tables, mentor_id: int | None = None, n: int = 5) -> Data
 def feedback_given(t: Tables, mentor_id: int | None = None) -> DataFrame:
     """Attempts on each author's problems that carry a feedback text."""
     noted = t.attempt.filter(~filters.is_blank(F.col("feedback")))
-    per_problem = noted.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"))
     owned = _owned(t, mentor_id).select("problem_id", "author_id")
+    if mentor_id is not None:
+        noted = noted.join(owned, "problem_id", "left_semi")
+    per_problem = noted.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n"))
     return (
         per_problem.join(owned, "problem_id")
         .groupBy(F.col("author_id").alias("mentor_id"))
@@ -87,7 +89,11 @@ def my_problems(
     owned = filters.where_given(owned, difficulty, lambda d: F.col("difficulty") == d)
     owned = with_topic(t, owned, topic)
     owned = filters.dates_between(owned, F.col("create_time"), date_from, date_to, zone)
-    pairs = t.attempt.groupBy("problem_id", "student_id").agg(
+    attempts = t.attempt
+    if any(filters.given(v) for v in (mentor_id, difficulty, topic, date_from, date_to)):
+        # A few problems: their attempts only are aggregated.
+        attempts = attempts.join(owned.select("problem_id"), "problem_id", "left_semi")
+    pairs = attempts.groupBy("problem_id", "student_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("score").alias("scored"),
         F.sum("score").alias("total"),
@@ -192,8 +198,11 @@ def review_attempts(
 def my_resources(t: Tables, mentor_id: int | None = None) -> DataFrame:
     """Resources, newest first, with accesses and topics."""
     mine = of(t.resource, "user_id", mentor_id)
+    log = t.access
+    if mentor_id is not None:
+        log = log.join(mine.select("resource_id"), "resource_id", "left_semi")
     listed = (
-        mine.join(resource_totals(t), "resource_id", "left")
+        mine.join(_totals(log), "resource_id", "left")
         .join(topic_sets(t.resourcetopic, "resource_id"), "resource_id", "left")
         .select(
             F.col("user_id").alias("mentor_id"),
@@ -223,7 +232,10 @@ def resource_analytics(t: Tables, resource_id: int | None = None) -> DataFrame:
 
 def resource_totals(t: Tables, resource_id: int | None = None) -> DataFrame:
     """Accesses and distinct students of each resource in the log."""
-    log = of(t.access, "resource_id", resource_id)
+    return _totals(of(t.access, "resource_id", resource_id))
+
+
+def _totals(log: DataFrame) -> DataFrame:
     pairs = log.groupBy("resource_id", "student_id").agg(F.count(F.lit(1)).alias("n"))
     return pairs.groupBy("resource_id").agg(
         F.sum("n").alias("total_accesses"), F.count("student_id").alias("unique_students")
@@ -235,13 +247,10 @@ def hardest_problems(t: Tables, n: int = 5) -> DataFrame:
     means = t.attempt.groupBy("problem_id").agg(
         average("score").alias("avg_score"), F.count(F.lit(1)).alias("attempts")
     )
-    scored = means.filter("avg_score is not null")
-    lowest = scored.join(t.problem.select("problem_id", "title"), "problem_id")
-    return (
-        lowest.select("problem_id", "title", "avg_score", "attempts")
-        .orderBy("avg_score", "problem_id")
-        .limit(n)
-    )
+    # References hold, so every scored problem has a title; only `n` of them are looked up.
+    lowest = means.filter("avg_score is not null").orderBy("avg_score", "problem_id").limit(n)
+    named = lowest.join(t.problem.select("problem_id", "title"), "problem_id")
+    return named.select("problem_id", "title", "avg_score", "attempts").orderBy("avg_score", "problem_id")
 
 
 def repeat_failers(t: Tables, more_than: int = 3, pass_mark: int = 60) -> DataFrame:

@@ -10,6 +10,7 @@ from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import (
     KEYS, MAX_LENGTH, NOT_BLANK, REFERENCES, REQUIRED, UNIQUE, VOCABULARY,
 )
+from classmeter.session import written
 from classmeter.sources.tables import Tables
 
 
@@ -64,36 +65,46 @@ def vocabulary_rule(df: DataFrame, relation: str) -> DataFrame:
 
     def report(column: str, allowed: tuple[str, ...]) -> DataFrame:
         wrong = df.filter(~F.col(column).isin(*allowed))
-        return wrong.groupBy(F.col(column).alias("value")).agg(
-            F.first(F.lit(relation)).alias("relation"),
-            F.first(F.lit(column)).alias("column"),
-            F.count(F.lit(1)).alias("n_rows"),
-        ).select("relation", "column", "value", "n_rows")
+        counts = wrong.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+        return counts.select(
+            F.lit(relation).alias("relation"), F.lit(column).alias("column"), "value", "n_rows"
+        )
 
     return reduce(DataFrame.union, [report(*rule) for rule in VOCABULARY[relation].items()])
 
 
-def missing_parents(t: Tables, child: str, column: str, parent: str, key: str) -> DataFrame:
-    """Referenced keys without a parent row, with the rows that refer to them.
+def references_of(t: Tables, child: str) -> DataFrame:
+    """(child, column, parent, key, n_rows) of all references of a relation, in one pass over it.
 
-    References are counted first, so a hot parent arrives as one row per task.
+    References are counted in the map tasks, so a hot parent is one row for each.
     """
-    used = t[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_ref"))
-    used = used.agg(F.count(F.lit(1)).alias("n_rows"))
-    lost = used.join(t[parent].select(F.col(key).alias("_ref")), "_ref", "left_anti")
-    return lost.select(
-        F.lit(child).alias("child"),
-        F.lit(column).alias("column"),
-        F.lit(parent).alias("parent"),
-        F.col("_ref").cast("string").alias("missing_key"),
-        "n_rows",
-    )
+    edges = [edge for edge in REFERENCES if edge[0] == child]
+    pairs = [
+        F.struct(
+            F.lit(column).alias("column"),
+            F.lit(parent).alias("parent"),
+            F.col(column).cast("string").alias("missing_key"),
+        )
+        for _, column, parent, *_ in edges
+    ]
+    held = t[child].select(F.inline(F.array(*pairs))).filter("missing_key is not null")
+    counts = held.groupBy("column", "parent", "missing_key").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.select(F.lit(child).alias("child"), "column", "parent", "missing_key", "n_rows")
 
 
 def orphan_check(t: Tables) -> DataFrame:
-    """All broken references of all relations."""
-    edges = [missing_parents(t, *edge[:4]) for edge in REFERENCES]
-    return reduce(DataFrame.union, edges)
+    """All broken references of all relations: each child is read once, and each parent once."""
+    children = dict.fromkeys(edge[0] for edge in REFERENCES)
+    used = written(reduce(DataFrame.union, [references_of(t, c) for c in children]), "references")
+    parents = dict.fromkeys((edge[2], edge[3]) for edge in REFERENCES)
+    lost = [
+        used.filter(F.col("parent") == parent).join(
+            t[parent].select(F.col(key).cast("string").alias("missing_key")), "missing_key", "left_anti"
+        )
+        for parent, key in parents
+    ]
+    order = ["child", "column", "parent", "missing_key", "n_rows"]
+    return reduce(DataFrame.union, [frame.select(*order) for frame in lost])
 
 
 def required_and_length(df: DataFrame, relation: str) -> DataFrame:

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from classmeter.operators.quality import read_only_gate
 from classmeter.sources.tables import Tables, as_text, register
 
+# Functions that call code outside the engine.
+_OUTSIDE = re.compile(r"\b(try_)?(reflect|java_method)\b", re.IGNORECASE)
+
+
+def _names(spark: SparkSession, sql: str) -> set[str]:
+    """Tables and paths a text reads, without the names it defines itself."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    read = {m.replace(" ", "").lower() for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)}
+    own = {n.strip().lower() for m in re.findall(r"CTE \[([^\]]*)\]", plan) for n in m.split(",")}
+    return read - own
+
 
 def ask(spark: SparkSession, t: Tables, sql: str, mode: str = "substring") -> DataFrame:
-    """The result of one SELECT, every cell as text; other texts raise PermissionError."""
+    """The result of one SELECT over the relations and views, every cell as text.
+
+    Other statements, write words, calls into Java, and tables or files that
+    are not registered relations raise PermissionError before anything runs.
+    """
     question = spark.createDataFrame([(sql,)], "sql string")
     reason = read_only_gate(question, "sql", mode).first()["reason"]
+    if reason is None and _OUTSIDE.search(sql):
+        reason = "calls outside code"
     if reason is not None:
         raise PermissionError(reason)
-    register(spark, t)
-    return as_text(spark.sql(sql))
+    strange = _names(spark, sql) - {name.lower() for name in register(spark, t)}
+    if strange:
+        raise PermissionError(f"not a relation: {', '.join(sorted(strange))}")
+    setting = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return as_text(spark.sql(sql))
+    finally:
+        spark.conf.set(setting, before)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from classmeter.functions import sqltext
 from classmeter.functions.exprs import round_float
+from classmeter.session import written
 from classmeter.sources.tables import Tables
 
 PARTS = ("from", "select", "where")
@@ -82,3 +85,37 @@ def submit(t: Tables, submissions: DataFrame) -> DataFrame:
     from classmeter.operators.writes import number_attempts
 
     return number_attempts(t, score_submissions(answered(submissions), t.problem))
+
+
+def take_submissions(
+    t: Tables, submissions: DataFrame, now: Column | None = None
+) -> tuple[Tables, DataFrame]:
+    """The whole insert of a batch: (next snapshot, refused submissions with a reason).
+
+    Texts are scored and numbered; rows that break the feedback or the score
+    rule are refused like blank texts and unknown problems; good scores raise a
+    notice. New rows stand in attempt, notification and receive.
+    """
+    from classmeter.operators import quality, writes
+
+    batch = written(submissions, "submissions")
+    texts = sqltext.strip(F.coalesce("student_sql", F.lit(""))) != ""
+    known = t.problem.select("problem_id")
+    reason = lambda text: F.lit(text).alias("reason")
+    refused = [
+        batch.filter(~texts).select("student_id", "problem_id", reason("no answer")),
+        batch.filter(texts).join(known, "problem_id", "left_anti").select(
+            "student_id", "problem_id", reason("unknown problem")
+        ),
+    ]
+    new = written(submit(t, batch), "new-attempts")
+    for rule in (quality.feedback_rule, quality.score_range_rule):
+        new, broken = rule(new)
+        refused.append(broken.select("student_id", "problem_id", "reason"))
+    sent, got = writes.high_score_alerts(t, new, now=now)
+    after = t.replace(
+        attempt=t.attempt.unionByName(new),
+        notification=t.notification.unionByName(sent),
+        receive=t.receive.unionByName(got),
+    )
+    return after, reduce(DataFrame.union, refused)

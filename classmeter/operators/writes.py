@@ -1,7 +1,9 @@
 """Keyed writes as batch jobs: a snapshot and a delta give the next snapshot.
 
-Each job returns lazy frames. Write them to a new path and switch readers to
-it; nothing is changed in place, so a lost executor only repeats its tasks.
+A job writes its delta and the key sets that follow from it to the shared
+folder once, and returns lazy frames over them and the snapshot. Write these
+to a new path and switch readers to it; nothing is changed in place, so a lost
+executor only repeats its tasks.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from classmeter.functions.joins import fits, left_join_sparse, small_side
-from classmeter.functions.numbering import day_block, id_block, number_within
+from classmeter.functions.joins import left_join_sparse
+from classmeter.functions.numbering import number_within
 from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import KEYS, REFERENCES, SCHEMAS
 from classmeter.operators.quality import meaningful_text, parse_generated
+from classmeter.session import written
 from classmeter.sources.tables import Tables, assign_ids, typed, with_defaults
 
 PAIR = ["student_id", "problem_id"]
@@ -24,15 +27,14 @@ ATTEMPT = list(KEYS["attempt"])
 def number_attempts(t: Tables, scored: DataFrame) -> DataFrame:
     """New attempt rows: numbers go on from the pair's largest one, in time order.
 
-    Only pairs of the batch are looked up in the snapshot. `scored` is read
-    more than once; give a written table when it is costly to compute.
+    Only pairs of the batch are looked up in the snapshot.
     """
-    pairs = small_side(scored.select(*PAIR).distinct())
-    last = t.attempt.join(pairs, PAIR, "left_semi").groupBy(*PAIR)
-    last = last.agg(F.max("attempt_no").alias("_last"))
     ties = [F.asc(c) for c in ("student_sql", "score") if c in scored.columns]
     order = [F.asc_nulls_last("submit_time"), *ties]
-    numbered = number_within(scored, PAIR, order, [day_block(F.col("submit_time"))], "_n")
+    numbered = number_within(scored, PAIR, order, "_n")
+    pairs = written(numbered.select(*PAIR).distinct(), "batch-pairs")
+    last = t.attempt.join(pairs, PAIR, "left_semi").groupBy(*PAIR)
+    last = last.agg(F.max("attempt_no").alias("_last"))
     number = F.col("_n") + F.coalesce("_last", F.lit(0))
     found = numbered.join(last, PAIR, "left").withColumns(
         {
@@ -56,17 +58,12 @@ def accepted_feedback(t: Tables, updates: DataFrame) -> DataFrame:
     worded = updates.withColumn("feedback", strip(F.col("feedback"))).filter("feedback <> ''")
     owner = t.problem.select("problem_id", F.col("user_id").alias("mentor_id"))
     own = worded.join(owner, ["problem_id", "mentor_id"], "left_semi")
-    last = F.max(F.struct("sent_at", "mentor_id", "feedback")).alias("_last")
-    chosen = own.groupBy(*ATTEMPT).agg(last)
-    return chosen.select(
-        *ATTEMPT,
-        F.col("_last.mentor_id").alias("_mentor"),
-        F.col("_last.feedback").alias("_feedback"),
-    )
+    by = lambda c: F.max_by(c, F.struct("sent_at", "mentor_id", "feedback")).alias
+    return own.groupBy(*ATTEMPT).agg(by("mentor_id")("_mentor"), by("feedback")("_feedback"))
 
 
 def apply_feedback(t: Tables, updates: DataFrame) -> Tables:
-    accepted = small_side(accepted_feedback(t, updates))
+    accepted = written(accepted_feedback(t, updates), "feedback")
     joined = t.attempt.join(accepted, ATTEMPT, "left")
     changed = joined.withColumns(
         {
@@ -100,11 +97,18 @@ def upsert_topics(
     )
 
 
+def _tried(t: Tables, problems: DataFrame) -> DataFrame:
+    """Those of `problems` that somebody attempted; other attempts are dropped before the distinct."""
+    return t.attempt.select("problem_id").join(problems, "problem_id", "left_semi").distinct()
+
+
 def problem_delete_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
     """What each request (mentor_id, problem_id) leads to: deleted, refused or not found."""
+    requests = written(requests.select("mentor_id", "problem_id").distinct(), "requests")
+    asked = requests.select("problem_id").distinct()
     own = t.problem.select("problem_id", F.col("user_id").alias("mentor_id"), F.lit(True).alias("_own"))
-    tried = t.attempt.select("problem_id").distinct().withColumn("_tried", F.lit(True))
-    judged = requests.distinct().join(own, ["problem_id", "mentor_id"], "left")
+    tried = _tried(t, asked).withColumn("_tried", F.lit(True))
+    judged = requests.join(own, ["problem_id", "mentor_id"], "left")
     judged = judged.join(tried, "problem_id", "left")
     outcome = (
         F.when(F.col("_own").isNull(), "not found")
@@ -124,16 +128,18 @@ def without_problems(t: Tables, gone: DataFrame) -> Tables:
 def guarded_delete_problem(t: Tables, requests: DataFrame) -> Tables:
     outcomes = problem_delete_outcomes(t, requests)
     gone = outcomes.filter("outcome = 'deleted'").select("problem_id")
-    return without_problems(t, small_side(gone))
+    return without_problems(t, written(gone, "gone-problems"))
 
 
 def scenario_delete_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
     """What each request (student_id, scenario_no) leads to."""
+    requests = written(requests.select("student_id", "scenario_no").distinct(), "requests")
     own = t.scenario.select("scenario_no", "student_id", F.lit(True).alias("_own"))
-    tried = t.attempt.select("problem_id").distinct()
-    used = t.problem.filter("scenario_no is not null").join(tried, "problem_id", "left_semi")
+    theirs = t.problem.select("problem_id", "scenario_no")
+    theirs = written(theirs.join(requests, "scenario_no", "left_semi"), "scenario-problems")
+    used = theirs.join(_tried(t, theirs.select("problem_id")), "problem_id", "left_semi")
     used = used.select("scenario_no").distinct().withColumn("_used", F.lit(True))
-    judged = requests.distinct().join(own, ["scenario_no", "student_id"], "left")
+    judged = requests.join(own, ["scenario_no", "student_id"], "left")
     judged = judged.join(used, "scenario_no", "left")
     outcome = (
         F.when(F.col("_own").isNull(), "not found")
@@ -146,30 +152,31 @@ def scenario_delete_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
 def guarded_delete_scenario(t: Tables, requests: DataFrame) -> Tables:
     """Delete scenarios none of whose problems was tried, and those problems."""
     gone = scenario_delete_outcomes(t, requests).filter("outcome = 'deleted'").select("scenario_no")
-    gone = small_side(gone)
+    gone = written(gone, "gone-scenarios")
     problems = t.problem.join(gone, "scenario_no", "left_semi").select("problem_id")
-    left = without_problems(t, small_side(problems))
+    left = without_problems(t, written(problems, "gone-problems"))
     return left.replace(scenario=t.scenario.join(gone, "scenario_no", "left_anti"))
 
 
 def deletable_users(t: Tables, ids: DataFrame) -> DataFrame:
     """Users whose removal does not remove a problem that was tried."""
-    tried = t.attempt.select("problem_id").distinct()
-    authors = t.problem.join(tried, "problem_id", "left_semi").select("user_id").distinct()
+    ids = written(ids.select("user_id").distinct(), "asked-users")
+    theirs = t.problem.select("problem_id", "user_id").join(ids, "user_id", "left_semi")
+    theirs = written(theirs, "their-problems")
+    tried = _tried(t, theirs.select("problem_id"))
+    authors = theirs.join(tried, "problem_id", "left_semi").select("user_id").distinct()
     return ids.join(authors, "user_id", "left_anti")
 
 
-def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Tables:
+def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = True) -> Tables:
     """Delete users and all that depends on them, along the declared references.
 
-    The sets of deleted keys are followed rather than the kept rows: they are
-    the small side, and each is broadcast while its measured size allows. With
-    `guard`, users that `deletable_users` leaves out stay.
+    The sets of deleted keys are followed rather than the kept rows, and each
+    is written once. Users that `deletable_users` leaves out stay, as a problem
+    that was tried is not removed; `guard=False` removes them as well.
     """
-    ids = deletable_users(t, ids) if guard else ids
-    ids = ids.select("user_id").distinct()
-    small = {"user": fits(ids)}
-    gone = {"user": F.broadcast(ids) if small["user"] else ids}
+    ids = deletable_users(t, ids) if guard else ids.select("user_id").distinct()
+    gone = {"user": written(ids, "gone-user")}
     parents = {edge[2] for edge in REFERENCES}
     left: dict[str, DataFrame] = {"user": t.user.join(gone["user"], "user_id", "left_anti")}
     for relation in SCHEMAS:
@@ -192,10 +199,7 @@ def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Table
                 frame = frame.drop("_gone")
         if lost:
             keys = lost[0] if len(lost) == 1 else reduce(DataFrame.union, lost).distinct()
-            # Subtypes share the user's key, so their sets are no larger.
-            shared = all(small[e[2]] and e[1] == e[3] == KEYS[relation][0] for e in edges)
-            small[relation] = shared or fits(keys)
-            gone[relation] = F.broadcast(keys) if small[relation] else keys
+            gone[relation] = written(keys, f"gone-{relation}")
         left[relation] = typed(frame, relation)
     return t.replace(**left)
 
@@ -203,7 +207,7 @@ def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = False) -> Table
 def dismiss_notification(t: Tables, pairs: DataFrame) -> Tables:
     """Reading and deleting a notification both remove the receive row."""
     key = list(KEYS["receive"])
-    seen = small_side(pairs.select(*key).distinct())
+    seen = written(pairs.select(*key).distinct(), "seen")
     return t.replace(receive=t.receive.join(seen, key, "left_anti"))
 
 
@@ -215,21 +219,39 @@ def set_status(t: Tables, changes: DataFrame) -> Tables:
     """Apply (user_id, action, sent_at); the last action of a user counts."""
     status = F.coalesce(*(F.when(F.col("action") == a, s) for a, s in STATUS_OF.items()))
     known = changes.withColumn("_to", status).filter("_to is not null")
-    last = known.groupBy("user_id").agg(F.max(F.struct("sent_at", "_to")).alias("_last"))
-    last = last.select("user_id", F.col("_last._to").alias("_to"))
-    user = t.user.join(small_side(last), "user_id", "left")
+    last = known.groupBy("user_id").agg(F.max_by("_to", F.struct("sent_at", "_to")).alias("_to"))
+    user = t.user.join(written(last, "statuses"), "user_id", "left")
     return t.replace(user=typed(user.withColumn("status", F.coalesce("_to", "status")), "user"))
 
 
+# What a password's hash looks like: a scheme, then parameters and digest after dollar signs.
+HASHED = r"^\$?[A-Za-z0-9_-]+(\$[^$]+)+$"
+
+
+def is_hash(password: Column) -> Column:
+    """A hashed password; an absent one passes."""
+    return F.coalesce(password.rlike(HASHED), F.lit(True))
+
+
 def edit_outcomes(t: Tables, changes: DataFrame) -> DataFrame:
-    """Changes (user_id, name, email, status, password), cleaned, with an outcome.
+    """Changes (user_id, name, email, status, password, sent_at), cleaned, with an outcome.
 
-    One change per user. An e-mail held by another user refuses the whole
-    change; of several changes that ask for the same one, the lowest id gets it.
+    The last change of a user counts; of those sent together the one with the
+    greatest values does, and the others are superseded. An e-mail held by
+    another user refuses the whole change; of several users that ask for the
+    same one, the lowest id gets it. `password` is a password's hash, see
+    `HASHED`; another text refuses the change.
     """
     word = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
     fields = ("name", "email", "status", "password")
-    clean = changes.select("user_id", *(word(c).alias(c) for c in fields))
+    every = changes.select("user_id", "sent_at", *(word(c).alias(c) for c in fields)).distinct()
+    every = written(every, "edits")
+    rank = F.struct("sent_at", *fields)
+    last = every.groupBy("user_id").agg(F.max(rank).alias("_last"))
+    clean = last.select("user_id", "_last.*")
+    old = every.join(last, "user_id").filter(rank != F.col("_last")).select(
+        "user_id", "sent_at", *fields, F.lit("superseded").alias("outcome")
+    )
     asked = clean.filter("email is not null").select("email").distinct()
     held = t.user.select("email", F.col("user_id").alias("_holder"))
     held = held.join(asked, "email", "left_semi").groupBy("email")
@@ -237,30 +259,69 @@ def edit_outcomes(t: Tables, changes: DataFrame) -> DataFrame:
     other = (F.col("_low") != F.col("user_id")) | (F.col("_high") != F.col("user_id"))
     judged = clean.join(held, "email", "left")
     judged = judged.withColumn("_taken", F.coalesce(other, F.lit(False)))
-    free = judged.filter("email is not null and not _taken").groupBy("email")
+    fit = F.col("email").isNotNull() & ~F.col("_taken") & is_hash(F.col("password"))
+    free = judged.filter(fit).groupBy("email")
     judged = judged.join(free.agg(F.min("user_id").alias("_first")), "email", "left")
     known = t.user.select("user_id", F.lit(True).alias("_known"))
     judged = judged.join(known, "user_id", "left")
     outcome = (
         F.when(F.col("_known").isNull(), "not found")
+        .when(~is_hash(F.col("password")), "password not hashed")
         .when(F.col("_taken") | (F.col("_first") != F.col("user_id")), "email in use")
         .otherwise("changed")
     )
-    return judged.select("user_id", *fields, outcome.alias("outcome"))
+    return judged.select("user_id", "sent_at", *fields, outcome.alias("outcome")).union(old)
 
 
 def edit_users(t: Tables, changes: DataFrame) -> Tables:
     """Overwrite only what a change gives; a status counts only if it is a known one."""
-    good = edit_outcomes(t, changes).filter("outcome = 'changed'").drop("outcome")
+    good = edit_outcomes(t, changes).filter("outcome = 'changed'").drop("outcome", "sent_at")
     status = F.when(F.col("status").isin(*STATUS_OF.values()), F.col("status"))
     good = good.withColumn("status", status)
     fields = ["name", "email", "status", "password"]
     good = good.withColumnsRenamed({c: f"_{c}" for c in fields})
-    user = t.user.join(small_side(good), "user_id", "left")
+    user = t.user.join(written(good, "good-edits"), "user_id", "left")
     user = user.withColumns({c: F.coalesce(f"_{c}", c) for c in fields})
     return t.replace(user=typed(user, "user"))
 
 
+def problem_edit_outcomes(t: Tables, changes: DataFrame) -> DataFrame:
+    """Changes (mentor_id, problem_id, title, description, correct_answer, difficulty, sent_at).
+
+    Only the author edits a problem, and title and answer are needed. The last
+    change of a problem that is fit counts; the others are superseded. A
+    missing difficulty stands for Easy.
+    """
+    fields = ("title", "description", "correct_answer")
+    clean = changes.select(
+        "mentor_id", "problem_id", "sent_at",
+        *(strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields),
+        F.coalesce("difficulty", F.lit("Easy")).alias("difficulty"),
+    )
+    clean = written(clean.distinct(), "problem-edits")
+    own = t.problem.select("problem_id", F.col("user_id").alias("mentor_id"), F.lit(True).alias("_own"))
+    known = clean.join(own, ["problem_id", "mentor_id"], "left")
+    reason = F.when(F.col("_own").isNull(), "not found").when(
+        F.least(F.length("title"), F.length("correct_answer")) == 0, "missing field"
+    )
+    known = known.withColumn("_reason", reason)
+    rank = F.struct("sent_at", *fields, "difficulty")
+    last = known.filter("_reason is null").groupBy("problem_id").agg(F.max(rank).alias("_last"))
+    judged = known.join(last, "problem_id", "left")
+    late = F.when(rank != F.col("_last"), "superseded")
+    outcome = F.coalesce("_reason", late, F.lit("changed"))
+    return judged.select("mentor_id", "problem_id", "sent_at", *fields, "difficulty", outcome.alias("outcome"))
+
+
+def edit_problems(t: Tables, changes: DataFrame) -> Tables:
+    fields = ["title", "description", "correct_answer", "difficulty"]
+    good = problem_edit_outcomes(t, changes).filter("outcome = 'changed'")
+    good = good.select("problem_id", *(F.col(c).alias(f"_{c}") for c in fields))
+    problem = t.problem.join(written(good, "good-edits"), "problem_id", "left")
+    problem = problem.withColumns({c: F.coalesce(f"_{c}", c) for c in fields})
+    return t.replace(problem=typed(problem, "problem"))
+
+
 # Roles a request may name.
 ROLES = ("student", "mentor", "admin")
 
@@ -268,8 +329,8 @@ ROLES = ("student", "mentor", "admin")
 def registration_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
     """Requests (request_id, name, email, password, role), cleaned, with an outcome.
 
-    All fields are needed, an e-mail is used once (the lowest request wins),
-    and the role is a known one.
+    All fields are needed, `password` is a password's hash, an e-mail is used
+    once (the lowest request wins), and the role is a known one.
     """
     fields = ("name", "email", "password", "role")
     clean = requests.select(
@@ -281,6 +342,7 @@ def registration_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
         F.when(F.least(*(F.length(c) for c in fields)) == 0, "missing field")
         .when(F.col("_held"), "email in use")
         .when(~F.col("role").isin(*ROLES), "invalid role")
+        .when(~is_hash(F.col("password")), "password not hashed")
     )
     judged = judged.withColumn("_reason", reason)
     first = judged.filter("_reason is null").groupBy("email")
@@ -293,8 +355,7 @@ def registration_outcomes(t: Tables, requests: DataFrame) -> DataFrame:
 def register_users(t: Tables, requests: DataFrame, now: Column | None = None) -> Tables:
     """Add the users of valid requests and their rows in the relation of their role."""
     created = registration_outcomes(t, requests).filter("outcome = 'created'")
-    blocks = [id_block(F.col("request_id"))]
-    users = assign_ids(created, t.user, "user_id", ["request_id"], blocks)
+    users = assign_ids(created, t.user, "user_id", ["request_id"])
     added = {"user": with_defaults(users, "user", now)}
     for role in ROLES:
         members = users.filter(F.col("role") == role).select("user_id")
@@ -316,8 +377,7 @@ def add_generated(
     wanted = payloads.join(clear.select("scenario_no"), "scenario_no", "left_semi")
     keys = ["payload_id", "scenario_no"]
     problems, topics, _ = parse_generated(wanted, "payload", F.col("difficulty"), keys)
-    order, blocks = ["payload_id", "position"], [id_block(F.col("payload_id"))]
-    new = assign_ids(problems, t.problem, "problem_id", order, blocks)
+    new = assign_ids(problems, t.problem, "problem_id", ["payload_id", "position"])
     rows = new.withColumns({"user_id": F.lit(author_id), "create_time": now})
     place = ["payload_id", "position"]
     pairs = topics.join(new.select("problem_id", *place), place).select("problem_id", "topic_name")
@@ -328,13 +388,12 @@ def add_generated(
 def alert_rows(attempts: DataFrame, notification: DataFrame, mark: int = 90) -> DataFrame:
     """Attempts at or above the mark with the id of the notification each one causes.
 
-    Ids rise by day, student, time; a day's rows are numbered per range of students.
+    Ids rise by day, student and time.
     """
-    time = F.col("submit_time")
     good = attempts.filter(F.col("score") >= mark)
-    order = ["submit_time", "problem_id", "attempt_no", "score"]
-    blocks = [day_block(time), id_block(F.col("student_id"), 256), F.col("student_id")]
-    return assign_ids(good, notification, "noti_id", order, blocks)
+    day = F.asc_nulls_last(F.to_date("submit_time"))
+    order = [day, "student_id", "submit_time", "problem_id", "attempt_no", "score"]
+    return assign_ids(good, notification, "noti_id", order)
 
 
 def high_score_alerts(

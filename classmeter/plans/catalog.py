@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from classmeter.functions import exprs, sqltext
-from classmeter.functions.numbering import id_block
 from classmeter.operators import admin, learner, mentor, quality, questions, reports, scoring, writes
 from classmeter.session import shared_folder
 from classmeter.sources import binding, tables
@@ -61,18 +60,45 @@ def row_counts(t: Tables) -> DataFrame:
 on_tables("scan_relations")(row_counts)
 
 
+def row_digests(t: Tables) -> DataFrame:
+    """Number and content of every relation: a sum over hashes of its rows' fixed columns."""
+    digests = []
+    for name in SCHEMAS:
+        parts = [F.coalesce(_shown(f), F.lit("-")) for f in SCHEMAS[name] if f.name not in UNTOLD]
+        row = F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10)
+        total = F.sum(row.cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+        figures = t[name].agg(F.count(F.lit(1)).alias("n_rows"), total.alias("digest"))
+        digests.append(figures.select(F.lit(name).alias("relation"), "n_rows", "digest"))
+    return reduce(DataFrame.union, digests)
+
+
+# Columns that hold the time of the load, or that no test table fills.
+UNTOLD = (
+    "password", "created_at", "enrollment_date", "total_problems_attempted", "expertise_area",
+    "problems_created", "admin_level", "description",
+)
+
+
+def _shown(field) -> Column:
+    """A value as both engines write it."""
+    kind = field.dataType.typeName()
+    if kind == "timestamp_ntz":
+        return F.date_format(field.name, "yyyy-MM-dd HH:mm:ss")
+    return F.col(field.name).cast("string")
+
+
 @on_session("load_snapshot")
 def load_snapshot(spark, sf_dir):
     path = shared_folder(spark, "snapshot")
     tables.write_snapshot(binding.bind(spark, sf_dir), path)
-    return row_counts(tables.load(spark, path))
+    return row_digests(tables.load(spark, path))
 
 
 @on_session("assign_identity")
 def assign_identity(spark, sf_dir):
     new = binding.raw(spark, sf_dir, "documents").select("doc_id", "source")
     existing = binding.bind(spark, sf_dir).problem
-    return tables.assign_ids(new, existing, "problem_id", ["doc_id"], [id_block(F.col("doc_id"))])
+    return tables.assign_ids(new, existing, "problem_id", ["doc_id"])
 
 
 @on_session("apply_defaults")
@@ -87,6 +113,18 @@ def apply_defaults(spark, sf_dir):
     return tables.with_defaults(given, "user", F.expr(NOW))
 
 
+@on_session("view_performance")
+def view_performance(spark, sf_dir):
+    tables.register(spark, binding.bind(spark, sf_dir))
+    return spark.sql("SELECT * FROM studentperformancesummary WHERE total_attempts > 0")
+
+
+@on_session("view_activity")
+def view_activity(spark, sf_dir):
+    tables.register(spark, binding.bind(spark, sf_dir))
+    return spark.sql("SELECT * FROM mentoractivitydashboard WHERE problems_created > 0")
+
+
 @on_session("register_views")
 def register_views(spark, sf_dir):
     tables.register(spark, binding.bind(spark, sf_dir))
@@ -331,14 +369,23 @@ def vocabulary_rule(spark, sf_dir):
 
 @on_tables("orphan_check")
 def orphan_check(t):
-    """Break references on purpose: banned users, blank topics and odd notifications are gone."""
-    left = t.replace(
-        user=t.user.filter("status <> 'banned'"),
-        mentor=t.mentor.join(t.user.filter("status = 'banned'"), "user_id", "left_anti"),
-        notification=t.notification.join(t.send, "noti_id", "left_anti"),
-        scenario=t.scenario.filter(F.length("scenario_description") >= 200),
+    """All parents are whole; foreign rows come with a delta of each kind of child."""
+    far = 4 * 10**12
+    odd = F.col("student_id") % 5 == 0
+    return quality.orphan_check(
+        t.replace(
+            attempt=t.attempt.withColumns(
+                {
+                    "problem_id": F.when(odd, F.col("problem_id") + far).otherwise(F.col("problem_id")),
+                    "mentor_id": F.when(F.col("attempt_no") == 3, F.col("student_id")).otherwise(F.col("mentor_id")),
+                }
+            ),
+            have_topic=t.have_topic.withColumn(
+                "topic_name", F.when(F.col("problem_id") % 7 == 0, F.upper("topic_name")).otherwise(F.col("topic_name"))
+            ),
+            send=t.send.withColumn("sender_id", F.col("sender_id") + F.when(F.col("noti_id") % 2 == 0, far).otherwise(0)),
+        )
     )
-    return quality.orphan_check(left)
 
 
 @on_session("required_and_length")
@@ -406,10 +453,40 @@ def plain_scores(t: Tables) -> DataFrame:
     return t.submissions.withColumn("score", (F.col("line_no") * 10).cast("decimal(5,2)"))
 
 
-on_tables("append_attempts")(lambda t: writes.number_attempts(t, plain_scores(t)))
+on_tables("append_attempts")(lambda t: writes.append_attempts(t, plain_scores(t)).attempt)
 on_tables("submit_attempts")(lambda t: scoring.submit(t, t.submissions))
 
 
+def odd_submissions(t: Tables) -> DataFrame:
+    """Submissions of which some are blank and some name a problem that is not there."""
+    line = F.col("line_no")
+    return t.submissions.withColumns(
+        {
+            "student_sql": F.when(line == 5, F.lit(" \n")).otherwise(F.col("student_sql")),
+            "problem_id": F.when(line == 6, F.col("problem_id") + 4 * 10**12).otherwise(F.col("problem_id")),
+        }
+    )
+
+
+@on_tables("take_submissions")
+def take_submissions(t):
+    """Figures per student after the insert: attempts, best score, notices, and refusals by reason."""
+    after, refused = scoring.take_submissions(t, odd_submissions(t), F.expr(NOW))
+    tried = after.attempt.groupBy("student_id").agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum("score").cast("decimal(20,2)").alias("points"),
+        F.sum("attempt_no").alias("numbers"),
+    )
+    told = after.receive.groupBy(F.col("receiver_id").alias("student_id")).agg(
+        F.count(F.lit(1)).alias("notices")
+    )
+    lost = refused.groupBy("student_id").agg(
+        F.count_if(F.col("reason") == "no answer").alias("blank"),
+        F.count_if(F.col("reason") == "unknown problem").alias("unknown"),
+    )
+    figures = tried.join(told, "student_id", "left").join(lost, "student_id", "left")
+    return figures.na.fill(0, ["notices", "blank", "unknown"])
+
+
 def reviews(t: Tables) -> DataFrame:
     """A review of every attempt: by the author or by the attempt's mentor, some without text."""
     author = t.problem.select("problem_id", F.col("user_id").alias("author"))
@@ -436,13 +513,28 @@ def upsert_topics(spark, sf_dir):
     pairs = binding.raw(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("problem_id"), F.explode(names).alias("topic_name")
     )
-    topics, rows = writes.new_topics(t, pairs, now=F.expr(NOW))
-    return topics.select(F.lit(None).cast("long").alias("problem_id"), "topic_name").union(rows)
+    merged = writes.upsert_topics(t, pairs, now=F.expr(NOW))
+    names = merged.topic.select(F.lit(None).cast("long").alias("problem_id"), "topic_name")
+    return names.union(merged.have_topic.select("problem_id", "topic_name"))
 
 
-def perfect(t: Tables) -> Tables:
-    """Only full marks count as attempts here, so that some problems are untried."""
-    return t.replace(attempt=t.attempt.filter("score = 100"))
+def with_drafts(t: Tables) -> Tables:
+    """The platform with a draft beside every fourth problem and for every scenario: nobody tried those."""
+    far = F.lit(DRAFTS)
+    copies = t.problem.filter("problem_id % 4 = 0").withColumn("problem_id", F.col("problem_id") + far)
+    copies = copies.withColumn("scenario_no", F.lit(None).cast("long"))
+    owner = F.lit(MENTORS) + F.col("scenario_no") % 2
+    own = t.scenario.select(
+        (F.col("scenario_no") + 2 * far).alias("problem_id"), owner.alias("user_id"),
+        F.lit("SELECT 1").alias("correct_answer"), F.col("created_at").alias("create_time"),
+        F.concat(F.lit("Draft "), F.col("scenario_no").cast("string")).alias("title"),
+        F.lit("Easy").alias("difficulty"), "scenario_no", F.lit(None).cast("string").alias("description"),
+    )
+    return t.replace(problem=t.problem.unionByName(copies).unionByName(own))
+
+
+# Ids of drafts are moved by this.
+DRAFTS = 10**13
 
 
 def problem_requests(t: Tables) -> DataFrame:
@@ -452,13 +544,14 @@ def problem_requests(t: Tables) -> DataFrame:
 
 
 on_tables("guarded_delete_problem")(
-    lambda t: writes.problem_delete_outcomes(perfect(t), problem_requests(t))
+    lambda t: writes.problem_delete_outcomes(with_drafts(t), problem_requests(with_drafts(t)))
 )
 
 
 @on_tables("guarded_delete_problem_left")
 def guarded_delete_problem_left(t):
-    left = writes.guarded_delete_problem(perfect(t), problem_requests(t))
+    t = with_drafts(t)
+    left = writes.guarded_delete_problem(t, problem_requests(t))
     return left.problem.select("problem_id").join(left.have_topic, "problem_id", "left")
 
 
@@ -467,13 +560,14 @@ def scenario_requests(t: Tables) -> DataFrame:
 
 
 on_tables("guarded_delete_scenario")(
-    lambda t: writes.scenario_delete_outcomes(perfect(t), scenario_requests(t))
+    lambda t: writes.scenario_delete_outcomes(with_drafts(t), scenario_requests(t))
 )
 
 
 @on_tables("guarded_delete_scenario_left")
 def guarded_delete_scenario_left(t):
-    left = writes.guarded_delete_scenario(perfect(t), scenario_requests(t))
+    t = with_drafts(t)
+    left = writes.guarded_delete_scenario(t, scenario_requests(t))
     kept = left.scenario.select(F.lit("scenario").alias("relation"), F.col("scenario_no").alias("id"))
     return kept.union(left.problem.select(F.lit("problem"), "problem_id"))
 
@@ -484,15 +578,8 @@ def banned(t: Tables) -> DataFrame:
 
 @on_tables("cascade_delete_user")
 def cascade_delete_user(t):
-    """What is left of every relation, and how many references were set to null."""
-    left = writes.cascade_delete_user(t, banned(t))
-    cleared = left.problem.filter("scenario_no is null").agg(F.count(F.lit(1)).alias("n_rows"))
-    unmarked = left.attempt.filter("mentor_id is null").agg(F.count(F.lit(1)).alias("n_rows"))
-    return (
-        row_counts(left)
-        .union(cleared.select(F.lit("problem without scenario"), "n_rows"))
-        .union(unmarked.select(F.lit("attempt without mentor"), "n_rows"))
-    )
+    """Number and content of what is left of every relation; users with tried problems stay."""
+    return row_digests(writes.cascade_delete_user(t, banned(t)))
 
 
 on_tables("cascade_delete_attempts")(
@@ -500,7 +587,8 @@ on_tables("cascade_delete_attempts")(
         F.count(F.lit(1)).alias("n_rows"), F.count("mentor_id").alias("marked")
     )
 )
-on_tables("deletable_users")(lambda t: writes.deletable_users(perfect(t), banned(t)))
+on_tables("deletable_users")(lambda t: writes.deletable_users(t, banned(t)))
+on_tables("cascade_delete_all")(lambda t: row_digests(writes.cascade_delete_user(t, banned(t), guard=False)))
 on_tables("dismiss_notification")(
     lambda t: writes.dismiss_notification(
         t, t.receive.join(t.send.select("noti_id"), "noti_id", "left_semi")
@@ -523,19 +611,25 @@ on_tables("set_status")(
 
 
 def edits(t: Tables) -> DataFrame:
-    """Each student asks for a new name, and for an e-mail shared by two or held by a mentor."""
+    """Each student asks for a new name, and for an e-mail shared by two or held by a mentor.
+
+    Every second one had asked for something else before.
+    """
     key = F.col("user_id")
     email = (
         F.when(key % 3 == 0, F.concat(F.lit(" pair"), F.floor(key / 2).cast("string"), F.lit("@example.com ")))
         .when(key % 3 == 1, F.lit("supplier.000000001@example.com"))
     )
-    return t.student.select(
+    last = t.student.select(
         "user_id",
         F.concat(F.lit(" Learner "), key.cast("string")).alias("name"),
         email.alias("email"),
         F.when(key % 2 == 0, "banned").otherwise("odd").alias("status"),
-        F.lit("").alias("password"),
+        F.when(key % 5 == 0, "plain").otherwise("").alias("password"),
+        F.lit(2).alias("sent_at"),
     )
+    first = last.filter(key % 2 == 0).withColumns({"name": F.lit("Early"), "email": F.lit(None).cast("string"), "sent_at": F.lit(1)})
+    return last.unionByName(first)
 
 
 on_tables("edit_users")(
@@ -546,6 +640,30 @@ on_tables("edit_outcomes")(
 )
 
 
+def problem_edits(t: Tables) -> DataFrame:
+    """Every author renames each problem twice; Hard ones are asked for by another mentor, some lack an answer."""
+    key = F.col("problem_id")
+    by = F.when(F.col("difficulty") == "Hard", F.lit(MENTORS) - 1).otherwise(F.col("user_id"))
+    turns = F.explode(F.array(F.lit(1), F.lit(2))).alias("sent_at")
+    asked = t.problem.select(by.alias("mentor_id"), "problem_id", "difficulty", turns)
+    return asked.select(
+        "mentor_id", "problem_id", "sent_at",
+        F.concat(F.lit(" Edit "), F.col("sent_at").cast("string"), F.lit(" ")).alias("title"),
+        F.when((key % 3 == 0) & (F.col("sent_at") == 2), " ").otherwise("SELECT 2").alias("correct_answer"),
+        F.lit("changed").alias("description"), F.when(key % 2 == 0, "Medium").alias("difficulty"),
+    )
+
+
+on_tables("problem_edit_outcomes")(
+    lambda t: writes.problem_edit_outcomes(t, problem_edits(t)).select("mentor_id", "problem_id", "sent_at", "outcome")
+)
+on_tables("edit_problems")(
+    lambda t: writes.edit_problems(t, problem_edits(t)).problem.select(
+        "problem_id", "title", "correct_answer", "difficulty", "description"
+    )
+)
+
+
 @on_session("register_users")
 def register_users(spark, sf_dir):
     """Users and their roles after requests made from documents: few fields, shared e-mails."""
@@ -559,7 +677,7 @@ def register_users(spark, sf_dir):
         F.col("doc_id").alias("request_id"),
         F.when(source != "src0", F.concat(F.lit(" "), source)).alias("name"),
         email.alias("email"),
-        F.lit("secret").alias("password"),
+        F.when(F.col("n_chars") % 7 == 0, "plain").otherwise(F.lit("pbkdf2$1$c2FsdA$aGFzaA")).alias("password"),
         F.coalesce(role, F.lit("guest")).alias("role"),
     )
     after = writes.register_users(t, requests, F.expr(NOW))
@@ -639,7 +757,7 @@ def stream_quality_gate(spark, sf_dir):
         lambda table: lines if table == "lineitem" else binding.raw(spark, sf_dir, table)
     )
     streams.stream_quality_gate(stream, f"{out}/out", f"{out}/state").awaitTermination()
-    judged = spark.read.parquet(f"{out}/out")
+    judged = streams.read_gate(spark, f"{out}/out")
     return judged.groupBy("student_id", "outcome").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("attempt_no").alias("numbers")
     )
@@ -647,12 +765,17 @@ def stream_quality_gate(spark, sf_dir):
 
 @on_session("stream_attempt_numbering")
 def stream_attempt_numbering(spark, sf_dir):
+    """Lines arrive in three parts, by year, each part as the stream's next micro-batch."""
     out = shared_folder(spark, "numbers")
     known = binding.bind(spark, sf_dir).attempt
-    streams.numbering_stream(
-        attempt_stream(spark, sf_dir), f"{out}/out", f"{out}/state", known
-    ).awaitTermination()
-    return spark.read.parquet(f"{out}/out").select("student_id", "problem_id", "attempt_no")
+    lines = binding.raw(spark, sf_dir, "lineitem")
+    year = F.year("l_shipdate")
+    for part in (year < 1994, year.isin(1994, 1995), (year > 1995) | year.isNull()):
+        lines.filter(part).write.mode("append").parquet(f"{out}/lines")
+        arrived = spark.readStream.schema(binding.RAW["lineitem"]).parquet(f"{out}/lines")
+        stream = binding.attempts(arrived, binding.raw(spark, sf_dir, "orders"))
+        streams.numbering_stream(stream, f"{out}/out", f"{out}/state", known).awaitTermination()
+    return streams.read_numbered(spark, f"{out}/out")
 
 
 # --- shared expressions

@@ -74,8 +74,8 @@ RELATIONS: dict[str, str] = {
         {ANSWER} AS correct_answer, {START} + to_days(CAST(p_partkey % 365 AS INT)) AS create_time,
         p_name AS title,
         CASE WHEN p_size <= 20 THEN 'Easy' WHEN p_size <= 38 THEN 'Medium' ELSE 'Hard' END AS difficulty,
-        CASE WHEN p_partkey % 3 = 0 THEN p_partkey % (SELECT count(*) FROM documents) END AS scenario_no
-        FROM part""",
+        CASE WHEN p_partkey % 3 = 0 THEN p_partkey % (SELECT count(*) FROM documents) END AS scenario_no,
+        p_brand || ' ' || p_type AS description FROM part""",
     "have_topic": """SELECT DISTINCT p_partkey AS problem_id, topic_name FROM (
         SELECT p_partkey, p_type AS topic_name FROM part
         UNION ALL SELECT p_partkey, unnest(string_split(p_name, ' ')) FROM part)""",
@@ -141,7 +141,9 @@ RELATIONS: dict[str, str] = {
         FROM rests""",
     "payloads": """SELECT doc_id AS scenario_no, text, lang, source, doc_id * 2 AS good,
         doc_id * 2 + 1 AS bad FROM documents""",
-    "perfect": "SELECT * FROM attempt WHERE score = 100",
+    "drafted": f"""SELECT problem_id, user_id, difficulty, scenario_no FROM problem
+        UNION ALL SELECT problem_id + 10000000000000, user_id, difficulty, NULL FROM problem WHERE problem_id % 4 = 0
+        UNION ALL SELECT scenario_no + 20000000000000, {MENTORS} + scenario_no % 2, 'Easy', scenario_no FROM scenario""",
     "tallies": f"""SELECT student_id AS user_id, count(DISTINCT problem_id) AS problems, {mean('score')} AS mean,
         max(score) AS best, count(*) AS attempts, sum(score) AS total, count(score) AS scored
         FROM attempt GROUP BY student_id""",
@@ -309,12 +311,14 @@ KEYS = " UNION ALL ".join(
     f"FROM {name} GROUP BY {keys} HAVING count(*) > 1"
     for label, keys, name in KEY_CHECKS
 )
-# Relations with rows taken out on purpose, for the reference check.
+# Relations with foreign ids put in on purpose, for the reference check.
 BROKEN = {
-    "users": "(SELECT * FROM users WHERE status <> 'banned')",
-    "mentor": "(SELECT * FROM mentor WHERE user_id NOT IN (SELECT user_id FROM users WHERE status = 'banned'))",
-    "notification": "(SELECT * FROM notification WHERE noti_id NOT IN (SELECT noti_id FROM send))",
-    "scenario": "(SELECT * FROM scenario WHERE length(scenario_description) >= 200)",
+    "attempt": """(SELECT * REPLACE (CASE WHEN student_id % 5 = 0 THEN problem_id + 4000000000000 ELSE problem_id END
+        AS problem_id, CASE WHEN attempt_no = 3 THEN student_id ELSE mentor_id END AS mentor_id) FROM attempt)""",
+    "have_topic": """(SELECT * REPLACE (CASE WHEN problem_id % 7 = 0 THEN upper(topic_name) ELSE topic_name END
+        AS topic_name) FROM have_topic)""",
+    "send": """(SELECT * REPLACE (CASE WHEN noti_id % 2 = 0 THEN sender_id + 4000000000000 ELSE sender_id END
+        AS sender_id) FROM send)""",
 }
 EDGES = [
     ("student", "user_id", "users", "user_id"), ("mentor", "user_id", "users", "user_id"),
@@ -333,7 +337,7 @@ EDGES = [
 
 def edge_sql(child: str, column: str, parent: str, key: str) -> str:
     label = "user" if parent == "users" else parent
-    of, to = BROKEN.get(child, f"(SELECT * FROM {child})"), BROKEN.get(parent, f"(SELECT * FROM {parent})")
+    of, to = BROKEN.get(child, f"(SELECT * FROM {child})"), f"(SELECT * FROM {parent})"
     return (
         f"SELECT '{child}' AS child, '{column}' AS \"column\", '{label}' AS parent, "
         f"CAST(c.{column} AS VARCHAR) AS missing_key, count(*) AS n_rows FROM {of} c "
@@ -376,57 +380,87 @@ REVIEWS = """SELECT student_id, problem_id, attempt_no, max(CAST(submit_time AS
     SELECT a.*, coalesce(a.mentor_id, p.user_id) AS reviewer, p.user_id AS author FROM attempt a
     JOIN problem p USING (problem_id)) WHERE reviewer = author AND attempt_no <> 2
     GROUP BY student_id, problem_id, attempt_no"""
-ASKED = "CASE WHEN p.difficulty = 'Hard' THEN {0} ELSE p.user_id END".format(MENTORS)
+TRIED = "(SELECT problem_id FROM attempt)"
+ASKED = f"CASE WHEN p.difficulty = 'Hard' THEN {MENTORS} ELSE p.user_id END"
 DELETE_OUTCOME = f"""SELECT {ASKED} AS mentor_id, p.problem_id, CASE WHEN {ASKED} <> p.user_id THEN 'not found'
-    WHEN p.problem_id IN (SELECT problem_id FROM perfect) THEN 'refused' ELSE 'deleted' END AS outcome
-    FROM problem p"""
-SCENARIO_OUTCOME = """SELECT student_id, scenario_no, CASE WHEN scenario_no IN (SELECT scenario_no
-    FROM problem WHERE scenario_no IS NOT NULL AND problem_id IN (SELECT problem_id FROM perfect))
+    WHEN p.problem_id IN {TRIED} THEN 'refused' ELSE 'deleted' END AS outcome FROM drafted p"""
+SCENARIO_OUTCOME = f"""SELECT student_id, scenario_no, CASE WHEN scenario_no IN (SELECT scenario_no
+    FROM drafted WHERE scenario_no IS NOT NULL AND problem_id IN {TRIED})
     THEN 'refused' ELSE 'deleted' END AS outcome FROM scenario"""
 BANNED = "(SELECT user_id FROM users WHERE status = 'banned')"
-LEFT_SCENARIO = f"(SELECT scenario_no FROM scenario WHERE student_id NOT IN {BANNED})"
-LEFT_PROBLEM = f"(SELECT problem_id FROM problem WHERE user_id NOT IN {BANNED})"
-LEFT_RESOURCE = f"(SELECT resource_id FROM resource WHERE user_id NOT IN {BANNED})"
-LEFT = {
-    "user": f"users WHERE user_id NOT IN {BANNED}",
-    "student": f"student WHERE user_id NOT IN {BANNED}",
-    "mentor": f"mentor WHERE user_id NOT IN {BANNED}",
-    "admin": f"admin WHERE user_id NOT IN {BANNED}",
-    "topic": "topic",
-    "scenario": f"scenario WHERE student_id NOT IN {BANNED}",
-    "problem": f"problem WHERE user_id NOT IN {BANNED}",
-    "attempt": f"attempt WHERE student_id NOT IN {BANNED} AND problem_id IN {LEFT_PROBLEM}",
-    "resource": f"resource WHERE user_id NOT IN {BANNED}",
-    "notification": "notification",
-    "have_topic": f"have_topic WHERE problem_id IN {LEFT_PROBLEM}",
-    "resourcetopic": f"resourcetopic WHERE resource_id IN {LEFT_RESOURCE}",
-    "access": f"access WHERE student_id NOT IN {BANNED} AND resource_id IN {LEFT_RESOURCE}",
-    "send": f"send WHERE sender_id NOT IN {BANNED}",
-    "receive": f"receive WHERE receiver_id NOT IN {BANNED}",
-}
-CASCADE = " UNION ALL ".join(
-    [f"SELECT '{name}' AS relation, count(*) AS n_rows FROM {source}" for name, source in LEFT.items()]
-    + [
-        f"SELECT 'problem without scenario', count(*) FROM {LEFT['problem']} "
-        f"AND (scenario_no IS NULL OR scenario_no NOT IN {LEFT_SCENARIO})",
-        f"SELECT 'attempt without mentor', count(*) FROM {LEFT['attempt']} "
-        f"AND (mentor_id IS NULL OR mentor_id IN {BANNED})",
-    ]
-)
+DELETABLE = f"""(SELECT user_id FROM users WHERE status = 'banned' AND user_id NOT IN (
+    SELECT user_id FROM problem WHERE problem_id IN {TRIED}))"""
+
+
+def left_of(gone: str) -> dict[str, str]:
+    """What a cascade leaves of each relation when the users `gone` go."""
+    scenario = f"(SELECT scenario_no FROM scenario WHERE student_id NOT IN {gone})"
+    problem = f"(SELECT problem_id FROM problem WHERE user_id NOT IN {gone})"
+    resource = f"(SELECT resource_id FROM resource WHERE user_id NOT IN {gone})"
+    return {
+        "user": f"users WHERE user_id NOT IN {gone}",
+        "student": f"student WHERE user_id NOT IN {gone}",
+        "mentor": f"mentor WHERE user_id NOT IN {gone}",
+        "admin": f"admin WHERE user_id NOT IN {gone}",
+        "topic": "topic",
+        "scenario": f"scenario WHERE student_id NOT IN {gone}",
+        "problem": f"""(SELECT * REPLACE (CASE WHEN scenario_no IN {scenario} THEN scenario_no END AS scenario_no)
+            FROM problem WHERE user_id NOT IN {gone})""",
+        "attempt": f"""(SELECT * REPLACE (CASE WHEN mentor_id NOT IN {gone} THEN mentor_id END AS mentor_id)
+            FROM attempt WHERE student_id NOT IN {gone} AND problem_id IN {problem})""",
+        "resource": f"resource WHERE user_id NOT IN {gone}",
+        "notification": "notification",
+        "have_topic": f"have_topic WHERE problem_id IN {problem}",
+        "resourcetopic": f"resourcetopic WHERE resource_id IN {resource}",
+        "access": f"access WHERE student_id NOT IN {gone} AND resource_id IN {resource}",
+        "send": f"send WHERE sender_id NOT IN {gone}",
+        "receive": f"receive WHERE receiver_id NOT IN {gone}",
+    }
+
+
+# The columns of each relation that a digest covers.
+TOLD = {
+    "user": "user_id name email status", "student": "user_id", "mentor": "user_id", "admin": "user_id",
+    "topic": "topic_name", "scenario": "scenario_no student_id scenario_description",
+    "problem": "problem_id user_id correct_answer create_time title difficulty scenario_no",
+    "attempt": "student_id problem_id attempt_no mentor_id score submit_time feedback",
+    "resource": "resource_id user_id title res_type uploaded_time resource_url",
+    "notification": "noti_id send_time", "have_topic": "problem_id topic_name",
+    "resourcetopic": "resource_id topic_name", "access": "resource_id student_id access_time",
+    "send": "sender_id noti_id", "receive": "receiver_id noti_id",
+}
+
+
+def digests(left: dict[str, str]) -> str:
+    def shown(column: str) -> str:
+        text = f"strftime({column}, '%Y-%m-%d %H:%M:%S')" if column.endswith("_time") else f"CAST({column} AS VARCHAR)"
+        return f"coalesce({text}, '-')"
+
+    parts = []
+    for name, source in left.items():
+        row = f"concat_ws('|', {', '.join(map(shown, TOLD[name].split()))})"
+        parts.append(
+            f"SELECT '{name}' AS relation, count(*) AS n_rows, "
+            f"CAST(sum(CAST('0x' || substr(md5({row}), 1, 12) AS UBIGINT)) AS VARCHAR) AS digest FROM {source}"
+        )
+    return " UNION ALL ".join(parts)
+
+
+WHOLE = {name: "users" if name == "user" else name for name in TOLD}
 EDITS = """SELECT user_id, 'Learner ' || user_id AS new_name, CASE user_id % 3
     WHEN 0 THEN 'pair' || CAST(floor(user_id / 2) AS BIGINT) || '@example.com'
     WHEN 1 THEN 'supplier.000000001@example.com' END AS new_email,
     CASE WHEN user_id % 2 = 0 THEN 'banned' END AS new_status FROM student"""
-JUDGED = f"""SELECT e.*, CASE WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = e.new_email
-    AND u.user_id <> e.user_id) OR e.user_id <> min(e.user_id) OVER (PARTITION BY coalesce(e.new_email,
+JUDGED = f"""SELECT e.*, CASE WHEN e.user_id % 5 = 0 THEN 'password not hashed' WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = e.new_email
+    AND u.user_id <> e.user_id) OR e.user_id <> min(e.user_id) FILTER (e.user_id % 5 <> 0) OVER (PARTITION BY coalesce(e.new_email,
     CAST(e.user_id AS VARCHAR))) THEN 'email in use' ELSE 'changed' END AS outcome FROM ({EDITS}) e"""
 
 REQUESTS = """SELECT doc_id AS request_id, CASE WHEN source <> 'src0' THEN source ELSE '' END AS name,
     CASE WHEN source = 'src1' THEN 'supplier.000000001@example.com' ELSE lang || '-' || n_chars
-    || '@example.com' END AS email, CASE lang WHEN 'en' THEN 'student' WHEN 'fr' THEN 'mentor'
+    || '@example.com' END AS email, n_chars, CASE lang WHEN 'en' THEN 'student' WHEN 'fr' THEN 'mentor'
     WHEN 'de' THEN 'admin' END AS role FROM documents"""
 CREATED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS turn
-    FROM ({REQUESTS}) WHERE name <> '' AND role IS NOT NULL AND email NOT IN (SELECT email FROM users))
+    FROM ({REQUESTS}) WHERE name <> '' AND role IS NOT NULL AND n_chars % 7 <> 0 AND email NOT IN (SELECT email FROM users))
     WHERE turn = 1"""
 CLEAR = rf"""(SELECT scenario_no FROM scenario WHERE length({strip('scenario_description')}) >= 10
     AND length(regexp_replace(scenario_description, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 3)"""
@@ -435,7 +469,7 @@ NEW_PROBLEMS = f"""SELECT *, (SELECT max(problem_id) FROM problem) + row_number(
 
 QUERIES: dict[str, str] = {
     "scan_relations": ROW_COUNTS,
-    "load_snapshot": ROW_COUNTS,
+    "load_snapshot": digests(WHOLE),
     "assign_identity": """SELECT doc_id, source, (SELECT max(problem_id) FROM problem)
         + row_number() OVER (ORDER BY doc_id) AS problem_id FROM documents""",
     "apply_defaults": f"""SELECT conv_id * 1000 + turn AS user_id, role || ' ' || turn AS name,
@@ -444,6 +478,14 @@ QUERIES: dict[str, str] = {
         FROM conversations""",
     "register_views": """SELECT difficulty, count(*) AS problems, CAST(sum(total_attempts) AS BIGINT) AS topic_attempts,
         max(students_attempted) AS most_students FROM statistics GROUP BY difficulty""",
+    "view_performance": """SELECT user_id, name, email, problems_attempted, average_score, highest_score,
+        total_attempts FROM performance WHERE total_attempts > 0""",
+    "view_activity": f"""SELECT user_id, name AS mentor_name,
+        (SELECT count(*) FROM problem p WHERE p.user_id = u.user_id) AS problems_created,
+        (SELECT count(*) FROM resource r WHERE r.user_id = u.user_id) AS resources_uploaded,
+        (SELECT count(DISTINCT student_id) FROM attempt WHERE mentor_id = u.user_id) AS students_mentored,
+        (SELECT {mean('score')} FROM attempt WHERE mentor_id = u.user_id) AS avg_student_score
+        FROM users u WHERE user_id IN (SELECT user_id FROM problem)""",
     "result_as_strings": """SELECT CAST(student_id AS VARCHAR) AS student_id,
         CAST(problem_id AS VARCHAR) AS problem_id, CAST(attempt_no AS VARCHAR) AS attempt_no,
         coalesce(CAST(mentor_id AS VARCHAR), 'None') AS mentor_id, CAST(score AS VARCHAR) AS score,
@@ -624,35 +666,56 @@ QUERIES: dict[str, str] = {
     "parse_generated_refused": "SELECT bad AS payload_id, scenario_no FROM payloads",
     "parse_answer": f"""SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' ELSE 'SELECT ' || role END AS sql,
         CASE WHEN role = 'system' THEN '' ELSE {strip('text')} END AS explanation FROM conversations""",
-    "append_attempts": NUMBERED.format("s.line_no * 10"),
+    "append_attempts": f"""SELECT student_id, problem_id, attempt_no, mentor_id, score, submit_time, feedback FROM attempt
+        UNION ALL ({NUMBERED.format("s.line_no * 10")})""",
     "submit_attempts": NUMBERED.format(f"({SCORE})"),
+    "take_submissions": f"""SELECT student_id, count(*) AS attempts, CAST(sum(score) AS DECIMAL(20,2)) AS points,
+        CAST(sum(attempt_no) AS BIGINT) AS numbers,
+        CAST(sum(told) AS BIGINT) + (SELECT count(*) FROM receive r WHERE r.receiver_id = e.student_id) AS notices,
+        (SELECT count(*) FROM submissions s WHERE s.student_id = e.student_id AND line_no = 5) AS blank,
+        (SELECT count(*) FROM submissions s WHERE s.student_id = e.student_id AND line_no = 6) AS unknown
+        FROM (SELECT student_id, attempt_no, score, 0 AS told FROM attempt UNION ALL
+        SELECT student_id, attempt_no, score, CAST(score >= 90 AS INT) FROM ({NUMBERED.format(f"({SCORE})").replace(
+            "FROM submissions s", "FROM (SELECT * FROM submissions WHERE line_no NOT IN (5, 6)) s")})) e
+        GROUP BY student_id""",
     "apply_feedback": f"""SELECT a.student_id, a.problem_id, a.attempt_no,
         coalesce(CAST(string_split(r.last, '|')[2] AS BIGINT), a.mentor_id) AS mentor_id, a.score,
         a.submit_time, coalesce(r.text, a.feedback) AS feedback
         FROM attempt a LEFT JOIN ({REVIEWS}) r USING (student_id, problem_id, attempt_no)""",
-    "upsert_topics": """SELECT CAST(NULL AS BIGINT) AS problem_id, p_brand AS topic_name FROM part GROUP BY p_brand
-        UNION ALL SELECT p_partkey, p_brand FROM part""",
+    "upsert_topics": """SELECT CAST(NULL AS BIGINT) AS problem_id, topic_name FROM (SELECT topic_name FROM topic
+        UNION SELECT p_brand FROM part) UNION ALL SELECT problem_id, topic_name FROM (SELECT problem_id, topic_name
+        FROM have_topic UNION SELECT p_partkey, p_brand FROM part)""",
     "guarded_delete_problem": DELETE_OUTCOME,
-    "guarded_delete_problem_left": f"""SELECT p.problem_id, h.topic_name FROM problem p
-        JOIN ({DELETE_OUTCOME}) o ON o.problem_id = p.problem_id AND o.outcome <> 'deleted'
-        LEFT JOIN have_topic h ON h.problem_id = p.problem_id""",
+    "guarded_delete_problem_left": f"""SELECT o.problem_id, h.topic_name FROM ({DELETE_OUTCOME}) o
+        LEFT JOIN have_topic h ON h.problem_id = o.problem_id WHERE o.outcome <> 'deleted'""",
     "guarded_delete_scenario": SCENARIO_OUTCOME,
     "guarded_delete_scenario_left": f"""SELECT 'scenario' AS relation, scenario_no AS id FROM ({SCENARIO_OUTCOME})
-        WHERE outcome = 'refused' UNION ALL SELECT 'problem', problem_id FROM problem p
+        WHERE outcome = 'refused' UNION ALL SELECT 'problem', problem_id FROM drafted p
         LEFT JOIN ({SCENARIO_OUTCOME}) o USING (scenario_no) WHERE o.outcome IS NULL OR o.outcome = 'refused'""",
-    "cascade_delete_user": CASCADE,
-    "cascade_delete_attempts": f"""SELECT student_id, count(*) AS n_rows, count(*) FILTER (mentor_id NOT IN {BANNED})
-        AS marked FROM {LEFT['attempt']} GROUP BY student_id""",
-    "deletable_users": f"""SELECT user_id FROM users WHERE status = 'banned' AND user_id NOT IN (
-        SELECT user_id FROM problem WHERE problem_id IN (SELECT problem_id FROM perfect))""",
+    "cascade_delete_user": digests(left_of(DELETABLE)),
+    "cascade_delete_attempts": f"""SELECT student_id, count(*) AS n_rows, count(mentor_id) AS marked
+        FROM {left_of(DELETABLE)["attempt"]} GROUP BY student_id""",
+    "deletable_users": f"SELECT user_id FROM {DELETABLE}",
+    "cascade_delete_all": digests(left_of(BANNED)),
     "dismiss_notification": "SELECT receiver_id, noti_id FROM receive WHERE noti_id NOT IN (SELECT noti_id FROM send)",
     "set_status": """SELECT user_id, CASE WHEN user_id IN (SELECT receiver_id FROM receive WHERE noti_id IN (
         SELECT noti_id FROM send)) THEN 'banned' ELSE 'active' END AS status FROM users""",
-    "edit_outcomes": f"SELECT user_id, outcome FROM ({JUDGED})",
+    "edit_outcomes": f"""SELECT user_id, outcome FROM ({JUDGED})
+        UNION ALL SELECT user_id, 'superseded' FROM student WHERE user_id % 2 = 0""",
     "edit_users": f"""SELECT u.user_id, CASE WHEN outcome = 'changed' THEN new_name ELSE name END AS name,
         CASE WHEN outcome = 'changed' THEN coalesce(new_email, email) ELSE email END AS email,
         CASE WHEN outcome = 'changed' THEN coalesce(new_status, status) ELSE status END AS status
         FROM users u LEFT JOIN ({JUDGED}) j ON j.user_id = u.user_id""",
+    "problem_edit_outcomes": f"""SELECT CASE WHEN difficulty = 'Hard' THEN {MENTORS} - 1 ELSE user_id END AS mentor_id,
+        problem_id, sent_at, CASE WHEN difficulty = 'Hard' THEN 'not found'
+        WHEN sent_at = 2 AND problem_id % 3 = 0 THEN 'missing field'
+        WHEN sent_at = 1 AND problem_id % 3 <> 0 THEN 'superseded' ELSE 'changed' END AS outcome
+        FROM problem, (SELECT CAST(unnest([1, 2]) AS INT) AS sent_at)""",
+    "edit_problems": """SELECT problem_id, CASE WHEN difficulty = 'Hard' THEN title WHEN problem_id % 3 = 0
+        THEN 'Edit 1' ELSE 'Edit 2' END AS title, CASE WHEN difficulty = 'Hard' THEN correct_answer
+        ELSE 'SELECT 2' END AS correct_answer, CASE WHEN difficulty = 'Hard' THEN 'Hard' WHEN problem_id % 2 = 0
+        THEN 'Medium' ELSE 'Easy' END AS difficulty, CASE WHEN difficulty = 'Hard' THEN description ELSE 'changed' END AS description
+        FROM problem""",
     "register_users": f"""SELECT user_id, username AS name, email, role, status FROM ({DIRECTORY})
         UNION ALL SELECT (SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY request_id), name, email,
         role, 'active' FROM ({CREATED})""",
@@ -672,9 +735,10 @@ QUERIES: dict[str, str] = {
         f"CASE WHEN {NO_TEXT} THEN 'feedback required' WHEN {OUTSIDE} THEN 'score out of range' ELSE 'valid' END",
         "outcome",
     ),
-    "stream_attempt_numbering": """SELECT student_id, problem_id, CAST(last_no + row_number() OVER (
-        PARTITION BY student_id, problem_id) AS INTEGER) AS attempt_no FROM attempt JOIN (SELECT student_id, problem_id,
-        max(attempt_no) AS last_no FROM attempt GROUP BY ALL) USING (student_id, problem_id)""",
+    "stream_attempt_numbering": """SELECT student_id, problem_id, score, submit_time, CAST(last_no + row_number() OVER (
+        PARTITION BY student_id, problem_id ORDER BY submit_time, score) AS INTEGER) AS attempt_no
+        FROM attempt JOIN (SELECT student_id, problem_id, max(attempt_no) AS last_no FROM attempt
+        GROUP BY ALL) USING (student_id, problem_id)""",
     "score_labels": """SELECT CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good'
         WHEN score >= 60 THEN 'pass' ELSE 'fail' END AS band, CASE WHEN score = 100 THEN 'success'
         WHEN score >= 70 THEN 'warning' ELSE 'danger' END AS tier,

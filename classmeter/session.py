@@ -39,6 +39,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """`df`, computed once into the shared folder and read back with its schema.
+
+    Deltas and key sets are used several times and carry no statistics. Read
+    from a table, their lineage runs once, and Spark's own size threshold
+    decides whether they are broadcast.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Share out a small scan before costly work on its rows.
 

@@ -101,17 +101,17 @@ def assign_ids(
     new: DataFrame,
     existing: DataFrame,
     key: str,
-    order_by: list[str],
-    blocks: list[Column],
+    order_by: list[str | Column],
 ) -> DataFrame:
     """Give new rows serial keys after the largest existing one.
 
     The numbering follows `order_by` and is a function of the data alone, so a
-    retried task assigns the same keys. `blocks` are coarse columns that lead
-    that order; rows are numbered inside a block and blocks are added up.
+    retried task assigns the same keys. No task holds more than a block of the
+    rows, see `number_within`.
     """
     base = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("base")).scalar()
-    numbered = number_within(new.drop(key), [], [F.col(c) for c in order_by], blocks, key)
+    order = [F.asc_nulls_last(c) if isinstance(c, str) else c for c in order_by]
+    numbered = number_within(new.drop(key), [], order, key)
     return numbered.withColumn(key, F.col(key) + base)
 
 

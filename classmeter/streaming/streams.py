@@ -2,27 +2,52 @@
 
 Sinks write one folder per micro-batch and replace it when the batch is
 repeated, so a restart after a lost executor or driver leaves no duplicates.
+Folders are read back with a declared schema, so a stream without output reads
+as an empty table.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from classmeter.functions.numbering import number_within
 from classmeter.operators.quality import feedback_missing, score_outside
-from classmeter.operators.writes import alert_rows, running_problem_counts
-from classmeter.session import STATE_STORE
+from classmeter.operators.writes import PAIR, alert_rows, running_problem_counts
+from classmeter.sources.schemas import SCHEMAS
 
-# Rows of one key that are sorted and numbered together.
-CHUNK_ROWS = 10_000
+ALERTS = T.StructType().add("noti_id", "long").add("send_time", "timestamp_ntz").add("receiver_id", "long")
+LAST_ID = T.StructType().add("noti_id", "long")
+COUNTS = T.StructType().add("user_id", "long").add("problems_created", "long")
+GATE = T.StructType([*SCHEMAS["attempt"], T.StructField("outcome", T.StringType())])
+LAST_NUMBER = T.StructType().add("student_id", "long").add("problem_id", "long").add("attempt_no", "integer")
+NUMBERED = T.StructType().add("student_id", "long").add("problem_id", "long").add(
+    "score", "decimal(5,2)"
+).add("submit_time", "timestamp_ntz").add("attempt_no", "integer")
 
 
 def _started(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to `folder` was completed; a folder alone may be half written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _read(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(folder).select(*schema.names)
+
+
+def _begun(spark: SparkSession, folder: str, schema: T.StructType, first: DataFrame | None = None) -> None:
+    """Write batch -1, once: what a stream starts from, or nothing."""
+    start = f"{folder}/batch=-1"
+    if not _finished(spark, start):
+        first = spark.createDataFrame([], schema) if first is None else first
+        first.write.mode("overwrite").parquet(start)
+
+
 def high_score_stream(
     attempts: DataFrame,
     notification: DataFrame,
@@ -33,24 +58,25 @@ def high_score_stream(
 ) -> StreamingQuery:
     """Write an alert (noti_id, send_time, receiver_id) for each good new attempt.
 
-    Ids go on from `notification`. The last id is noted per batch, and a batch
-    starts from the notes of the batches before it, so a repeat gives the same.
+    Ids go on from `notification`, which is looked up once, when the stream is
+    first started. The last id is noted per batch, and a batch starts from the
+    note of the batch before it, so a repeat gives the same.
     """
     spark = attempts.sparkSession
     alerts, notes = f"{out}/alerts", f"{out}/last_id"
     first = notification.agg(F.coalesce(F.max("noti_id"), F.lit(0)).cast("long").alias("noti_id"))
-    # Kept on a restart, so that a repeated batch starts from the same id.
-    first.write.mode("ignore").parquet(f"{notes}/batch=-1")
+    _begun(spark, notes, LAST_ID, first)
+    _begun(spark, alerts, ALERTS)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(notes).filter(F.col("batch") < batch_id).select("noti_id")
+        before = _read(spark, f"{notes}/batch={batch_id - 1}", LAST_ID)
         rows = alert_rows(batch, before, mark).select(
             "noti_id",
             (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("send_time"),
             F.col("student_id").alias("receiver_id"),
         )
         rows.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
-        last = spark.read.parquet(f"{alerts}/batch={batch_id}").select("noti_id").union(before)
+        last = _read(spark, f"{alerts}/batch={batch_id}", ALERTS).select("noti_id").union(before)
         last.agg(F.max("noti_id").alias("noti_id")).write.mode("overwrite").parquet(
             f"{notes}/batch={batch_id}"
         )
@@ -60,12 +86,13 @@ def high_score_stream(
 
 def read_alerts(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """(notification rows, receive rows) written by `high_score_stream`."""
-    rows = spark.read.parquet(f"{out}/alerts")
+    rows = _read(spark, f"{out}/alerts", ALERTS)
     return rows.select("noti_id", "send_time"), rows.select("receiver_id", "noti_id")
 
 
 def problem_count_stream(problems: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Running number of inserted problems per author; a batch writes the changed ones only."""
+    _begun(problems.sparkSession, out, COUNTS)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -76,12 +103,13 @@ def problem_count_stream(problems: DataFrame, out: str, checkpoint: str) -> Stre
 
 def read_problem_counts(spark: SparkSession, out: str) -> DataFrame:
     """The newest count of each author; counts never fall."""
-    rows = spark.read.parquet(out).groupBy("user_id")
+    rows = _read(spark, out, COUNTS).groupBy("user_id")
     return rows.agg(F.max("problems_created").alias("problems_created"))
 
 
 def stream_quality_gate(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Write each attempt with its outcome: `valid`, or the rule it breaks."""
+    _begun(attempts.sparkSession, out, GATE)
     holds = lambda rule: F.coalesce(rule, F.lit(False))
     outcome = (
         F.when(holds(feedback_missing()), "feedback required")
@@ -90,65 +118,57 @@ def stream_quality_gate(attempts: DataFrame, out: str, checkpoint: str) -> Strea
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = batch.withColumn("outcome", outcome)
-        judged.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch={batch_id}")
+        judged = batch.select(*(f.name for f in SCHEMAS["attempt"])).withColumn("outcome", outcome)
+        judged.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _started(attempts.writeStream.foreachBatch(write), checkpoint)
 
 
-def stream_attempt_numbering(scored: DataFrame, last: DataFrame | None = None) -> DataFrame:
-    """New attempts with running numbers per student and problem, in arrival order.
-
-    State is one count per pair. A chunk of rows is sorted by time and numbered
-    on its own, so a hot pair is never held whole. Most groups have one or two
-    rows, for which plain rows are faster than a pandas frame per group. `last`
-    (student_id, problem_id, attempt_no) is the table the numbers go on from:
-    it is joined before the state is touched, so give the same frozen table
-    after a restart.
-    """
-    pair = ["student_id", "problem_id"]
-    score = F.col("score").cast("decimal(5,2)").alias("score")
-    rows = scored.select(*pair, score, "submit_time")
-    if last is None:
-        rows = rows.withColumn("base", F.lit(0))
-    else:
-        known = last.groupBy(*pair).agg(F.max("attempt_no").alias("base"))
-        rows = rows.join(known, pair, "left").withColumn("base", F.coalesce("base", F.lit(0)))
-
-    numbered = Row(*pair, "score", "submit_time", "attempt_no")
-
-    # Declared here so that it travels to the workers by value.
-    class Numbering(StatefulProcessor):
-        def init(self, handle):
-            self.count = handle.getValueState("count", "n int")
-
-        def handleInputRows(self, key, rows, timerValues):
-            known = self.count.get()
-            n = 0 if known is None else known[0]
-            while chunk := list(islice(rows, CHUNK_ROWS)):
-                chunk.sort(key=lambda row: (row.submit_time is None, row.submit_time))
-                for row in chunk:
-                    n += 1
-                    yield numbered(*key, row.score, row.submit_time, row.base + n)
-            self.count.update((n,))
-
-        def close(self):
-            pass
-
-    scored.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return rows.groupBy(*pair).transformWithState(
-        Numbering(),
-        "student_id long, problem_id long, score decimal(5,2), submit_time timestamp_ntz, "
-        "attempt_no int",
-        "Append",
-        "None",
-    )
+def read_gate(spark: SparkSession, out: str) -> DataFrame:
+    """The attempts and outcomes written by `stream_quality_gate`."""
+    return _read(spark, out, GATE)
 
 
 def numbering_stream(
     scored: DataFrame, out: str, checkpoint: str, last: DataFrame | None = None
 ) -> StreamingQuery:
-    """Append numbered attempts to a parquet table."""
-    numbered = stream_attempt_numbering(scored, last)
-    writer = numbered.writeStream.format("parquet").option("path", out).outputMode("append")
-    return _started(writer, checkpoint)
+    """Write new attempts with running numbers per student and problem.
+
+    A micro-batch is numbered in time order by the batch operator, however many
+    of its rows are of one pair, and its numbers go on from those of the
+    batches before. A narrow table holds the last number of each pair: `last`
+    (student_id, problem_id, attempt_no) is aggregated into it once, when the
+    stream is first started, and a batch adds the pairs it changed and looks up
+    only its own.
+    """
+    spark = scored.sparkSession
+    numbers, attempts = f"{out}/last_number", f"{out}/attempts"
+    known = None
+    if last is not None:
+        known = last.groupBy(*PAIR).agg(F.max("attempt_no").cast("int").alias("attempt_no"))
+        known = known.select(*LAST_NUMBER.names)
+    _begun(spark, numbers, LAST_NUMBER, known)
+    _begun(spark, attempts, NUMBERED)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        score = F.col("score").cast("decimal(5,2)").alias("score")
+        order = [F.asc_nulls_last("submit_time"), F.asc("score")]
+        rows = number_within(batch.select(*PAIR, score, "submit_time"), PAIR, order, "_n")
+        earlier = _read(spark, numbers, T.StructType([*LAST_NUMBER, T.StructField("batch", T.IntegerType())]))
+        earlier = earlier.filter(F.col("batch") < batch_id).select(*LAST_NUMBER.names)
+        earlier = earlier.join(rows.select(*PAIR).distinct(), PAIR, "left_semi")
+        before = earlier.groupBy(*PAIR).agg(F.max("attempt_no").alias("_before"))
+        number = (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int").alias("attempt_no")
+        done = rows.join(before, PAIR, "left").select(*PAIR, "score", "submit_time", number)
+        done.write.mode("overwrite").parquet(f"{attempts}/batch={batch_id}")
+        changed = _read(spark, f"{attempts}/batch={batch_id}", NUMBERED).groupBy(*PAIR)
+        changed.agg(F.max("attempt_no").alias("attempt_no")).write.mode("overwrite").parquet(
+            f"{numbers}/batch={batch_id}"
+        )
+
+    return _started(scored.writeStream.foreachBatch(write), checkpoint)
+
+
+def read_numbered(spark: SparkSession, out: str) -> DataFrame:
+    """The attempts written by `numbering_stream`."""
+    return _read(spark, f"{out}/attempts", NUMBERED)

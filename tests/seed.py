@@ -1,4 +1,4 @@
-"""A small platform whose report results are known by hand."""
+"""A small platform made up for the tests; test_seed works its results out by hand."""
 
 from __future__ import annotations
 
@@ -9,75 +9,68 @@ from classmeter.sources.schemas import SCHEMAS
 from classmeter.sources.tables import Tables, with_defaults
 from pyspark.sql import functions as F
 
-# The example data the known results belong to.
-STUDENTS = range(1, 9)
-MENTORS = (9, 10, 11, 13, 14, 15, 16)
-ADMINS = (12, 17, 18, 19, 20, 21, 22)
-# problem: author, difficulty, scenario
-PROBLEMS = {
-    1: (9, "Easy", 1), 2: (9, "Easy", 2), 3: (10, "Medium", 3), 4: (10, "Easy", 4),
-    5: (11, "Medium", 5), 6: (9, "Medium", 6), 7: (10, "Hard", 7), 8: (11, "Easy", 8),
-    9: (9, "Easy", 1), 10: (10, "Hard", 2),
-}
-SCENARIO_OWNERS = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1, 7: 6, 8: 2}
-# student, problem, number, reviewer, score
-ATTEMPTS = """
-1 1 1 - 96.00 | 1 2 1 9 87.00 | 1 3 1 - 69.00 | 1 3 2 10 84.00 | 1 4 1 - 92.00
-2 1 1 - 42.00 | 2 2 1 9 88.00 | 2 4 1 - 99.00 | 2 5 1 11 73.00 | 2 5 2 11 91.00
-3 1 1 - 44.04 | 3 2 1 - 77.77 | 3 3 1 10 66.60 | 3 6 1 - 80.08
-4 1 1 - 31.41 | 4 4 1 - 95.00 | 4 5 1 11 82.00 | 4 7 1 - 74.00
-5 2 1 - 75.00 | 5 3 1 10 85.00 | 5 6 1 9 78.00 | 5 8 1 - 90.00
-6 4 1 - 88.00 | 6 9 1 9 94.00
-7 2 1 - 79.00 | 7 3 1 - 71.00 | 7 5 1 11 87.00
-8 1 1 - 100.00 | 8 2 1 9 13.37 | 8 10 1 10 89.00
-"""
-TOPICS = {
-    "SELECT Basics": (1, 2, 8), "JOIN Operations": (3, 7), "Aggregate Functions": (4, 5, 7, 10),
-    "Subqueries": (6,), "Data Modification": (9,),
-}
-RESOURCE_OWNERS = {1: 9, 2: 9, 3: 10, 4: 10, 5: 11, 6: 9, 7: 10, 8: 11, 9: 9, 10: 10}
-ALERTED = (1, 1, 2, 2, 4, 5, 6, 8)
+DAY = datetime.datetime(2023, 11, 6, 7, 30)
 
-DAY = datetime.datetime(2024, 3, 1, 9, 0)
 
+def minute(i: int) -> datetime.datetime:
+    return DAY + datetime.timedelta(minutes=i)
 
-def attempts():
-    found = []
-    for line in ATTEMPTS.strip().replace("\n", " | ").split(" | "):
-        student, problem, number, mentor, score = line.split()
-        reviewer = None if mentor == "-" else int(mentor)
-        time = DAY + datetime.timedelta(minutes=len(found))
-        note = None if reviewer is None else "noted"
-        found.append((int(student), int(problem), int(number), reviewer, Decimal(score), time, note))
-    return found
+
+STUDENTS, MENTORS, ADMINS = range(1, 7), range(21, 25), range(41, 44)
+PROBLEMS = [
+    # problem, author, difficulty, scenario
+    (101, 21, "Easy", 501),
+    (102, 21, "Medium", None),
+    (103, 22, "Easy", 502),
+    (104, 22, "Hard", 503),
+    (105, 23, "Medium", None),
+    (106, 21, "Easy", 501),
+    (107, 22, "Medium", None),
+]
+ATTEMPTS = [
+    # student, problem, number, reviewer, score
+    (1, 101, 1, None, "50"),
+    (1, 101, 2, 21, "90"),
+    (1, 103, 1, None, "70"),
+    (1, 102, 1, 21, "80"),
+    (2, 101, 1, None, "55"),
+    (2, 103, 1, 22, "95"),
+    (2, 104, 1, None, "40"),
+    (3, 101, 1, 21, "59.50"),
+    (3, 105, 1, None, "100"),
+    (4, 104, 1, 22, "88.25"),
+    (4, 105, 1, 23, "61.75"),
+    (4, 105, 2, None, "92.50"),
+    (5, 103, 1, None, "100"),
+]
+HAVE_TOPIC = [(101, "basics"), (106, "basics"), (102, "joins"), (104, "joins"), (103, "windows"), (104, "windows"), (105, "windows"), (107, "sets")]
+RECEIVED = [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (1, 6)]
 
 
 def seed_tables(spark) -> Tables:
-    ids = [*STUDENTS, *MENTORS, *ADMINS]
+    people = [*STUDENTS, *MENTORS, *ADMINS]
     known = {
-        "user": [(i, f"Person {i:02}", f"p{i}@example.com", "x") for i in sorted(ids)],
+        "user": [(i, f"Person {i:02}", f"p{i}@example.com", "x") for i in people],
         "student": [(i,) for i in STUDENTS],
         "mentor": [(i,) for i in MENTORS],
         "admin": [(i,) for i in ADMINS],
-        "topic": [(name,) for name in TOPICS],
-        "scenario": [(n, s, f"Scenario number {n}") for n, s in SCENARIO_OWNERS.items()],
-        "problem": [
-            (p, a, "SELECT 1", DAY, f"Problem {p}", d, s) for p, (a, d, s) in PROBLEMS.items()
+        "topic": [(name,) for name in ("basics", "joins", "sets", "windows")],
+        "scenario": [(n, s, f"Scenario number {n}") for n, s in ((501, 1), (502, 1), (503, 2), (504, 4))],
+        "problem": [(p, a, "SELECT 1", DAY, f"Problem {p}", d, s) for p, a, d, s in PROBLEMS],
+        "attempt": [
+            (s, p, n, m, Decimal(score), minute(i), m and "noted") for i, (s, p, n, m, score) in enumerate(ATTEMPTS)
         ],
-        "attempt": attempts(),
-        "resource": [(r, m, f"Resource {r}", "Video") for r, m in RESOURCE_OWNERS.items()],
-        "notification": [(n,) for n in range(1, 19)],
-        "have_topic": [(p, name) for name, ps in TOPICS.items() for p in ps],
-        "resourcetopic": [(r, "Subqueries") for r in RESOURCE_OWNERS],
-        "access": [(1, 1), (2, 1), (1, 2)],
-        "send": [(12, n) for n in range(9, 12)],
-        "receive": [(s, n) for n, s in enumerate(ALERTED, 1)],
+        "resource": [(r, m, f"Resource {r}", "Video") for r, m in ((301, 21), (302, 21), (303, 22), (304, 23))],
+        "notification": [(n,) for n in range(1, 11)],
+        "have_topic": HAVE_TOPIC,
+        "resourcetopic": [(r, "joins") for r in (301, 302, 303, 304)],
+        "access": [(301, 1), (302, 1), (301, 2)],
+        "send": [(41, 7), (42, 8)],
+        "receive": RECEIVED,
     }
 
     def frame(name):
-        width = len(known[name][0])
-        schema = SCHEMAS[name][:width] if name != "attempt" else SCHEMAS[name]
-        created = spark.createDataFrame(known[name], schema)
-        return with_defaults(created, name, F.lit(DAY).cast("timestamp_ntz"))
+        schema = SCHEMAS[name][: len(known[name][0])]
+        return with_defaults(spark.createDataFrame(known[name], schema), name, F.lit(DAY).cast("timestamp_ntz"))
 
     return Tables({name: (lambda name=name: frame(name)) for name in known})

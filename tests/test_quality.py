@@ -90,9 +90,9 @@ def test_keys_vocabulary_orphans(spark, seed):
     twice = seed.replace(user=seed.user.union(seed.user.filter("user_id = 3")))
     found = {(r[1], r[2], r[3]) for r in rows(quality.all_keys(twice))}
     assert found == {("user_id", "3", 2), ("email", "p3@example.com", 2)}
-    lost = seed.replace(problem=seed.problem.filter("problem_id <> 7"))
+    lost = seed.replace(problem=seed.problem.filter("problem_id <> 104"), mentor=seed.mentor.filter("user_id <> 24"))
     assert sorted(rows(quality.orphan_check(lost))) == [
-        ("attempt", "problem_id", "problem", "7", 1), ("have_topic", "problem_id", "problem", "7", 2),
+        ("attempt", "problem_id", "problem", "104", 2), ("have_topic", "problem_id", "problem", "104", 2),
     ]
     odd = seed.user.withColumn("status", F.when(F.col("user_id") < 3, "gone").otherwise(F.col("status")))
     assert rows(quality.vocabulary_rule(odd, "user")) == [("user", "status", "gone", 2)]

@@ -1,7 +1,6 @@
-"""The scorer against known cases and against a plain restatement on random texts."""
+"""The scorer against known cases and against token sets drawn at random."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,107 +50,104 @@ def test_known_cases(spark):
         assert (parts.from_f1, parts.select_f1, parts.where_f1) == pytest.approx(f1)
 
 
-# --- a plain restatement of the rules
+# --- drawn token sets, rendered to text in random layout: the sets that were drawn must be found
 
+GAPS = (" ", "  ", "\n", "\t", " \n ", "\u00a0", " \x1c")
+NAMES = ("a", "t", "parts", "maker_9", "_x", "zz")
+COLUMNS = ("a", "color", "count(*)", "max(a)", "coalesce(b)", "*", "size")
+CONDITIONS = ("a = 1", "torque > 9000", "kind like '(x)'", "y between 1 or 2", "(a = 1 or b = 2", "c)")
 
-def tidy(text):
-    text = re.sub(r";\s*\Z", "", text or "")
-    lines = (line.partition("--")[0] for line in text.split("\n"))
-    return " ".join("\n".join(lines).split()).lower()
 
+def shouted(rng, text):
+    return "".join(c.upper() if rng.random() < 0.3 else c for c in text)
 
-def cut(normal):
-    head, found, rest = normal[7:].partition(" from ")
-    if not (normal.startswith("select ") and found):
-        return normal, "", ""
-    source, _, condition = rest.partition(" where ")
-    return head, source, condition
 
+def gap(rng):
+    return rng.choice(GAPS)
 
-def items(text, mark):
-    return [x.strip() for x in text.split(mark) if x.strip()]
 
+def drawn(rng, pool, least=1):
+    return set(rng.sample(pool, rng.randint(least, min(4, len(pool)))))
 
-def table_set(source):
-    named = re.findall(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)", source)
-    return set(named) or {x.split()[0] for x in items(source, ",")}
 
+def many(rng, items):
+    """The items in random order, some twice."""
+    items = sorted(items) + rng.choices(sorted(items), k=rng.randint(0, 2)) if items else []
+    rng.shuffle(items)
+    return items
 
-def column_set(listed):
-    bare = lambda x: re.sub(r"\s+as\s+\w+\Z", "", x.replace("`", "")).rpartition(".")[2].strip()
-    return {x if set(x) & set("()") else bare(x) for x in items(listed, ",")}
 
+def dressed_column(rng, name):
+    if "(" in name or name == "*":
+        return name
+    form = rng.choice(("{}", "`{}`", "t.{}", "`t`.`{}`", "{}" + gap(rng) + "as" + gap(rng) + "b2"))
+    return form.format(name)
 
-def condition_set(text):
-    found = set()
-    for part in items(text, " and "):
-        while part[:1] == "(" and part[-1:] == ")":
-            part = part[1:-1].strip()
-        found.add(part)
-    return found - {""}
 
+def dressed_condition(rng, text):
+    whole = text.count("(") == text.count(")") and not text.startswith("(")
+    for _ in range(rng.randint(0, 3) if whole else 0):
+        text = "(" + rng.choice(("", " ")) + text + rng.choice(("", " ")) + ")"
+    return text
 
-def f1(right, given):
-    shared = len(right & given)
-    if not right:
-        return 1.0
-    if not shared:
-        return 0.0
-    p, r = shared / len(given), shared / len(right)
-    return 2 * p * r / (p + r)
 
+def rendered(rng, tables, columns, conditions):
+    comma = lambda: rng.choice(("", " ")) + "," + rng.choice(("", gap(rng)))
+    columns = comma().join(dressed_column(rng, c) for c in many(rng, columns))
+    names = many(rng, tables)
+    if rng.random() < 0.5:  # joins name the tables; what stands before the first join is not looked at
+        source = "first_one x" + "".join(f"{gap(rng)}left join{gap(rng)}{n} on 1 = 1" for n in names)
+    else:
+        source = comma().join(n + rng.choice(("", gap(rng) + "alias")) for n in names)
+    text = f"select{gap(rng)}{columns}{gap(rng)}from{gap(rng)}{source}"
+    if conditions:
+        rule = f"{gap(rng)}and{gap(rng)}".join(dressed_condition(rng, c) for c in many(rng, conditions))
+        text += f"{gap(rng)}where{gap(rng)}{rule}"
+    if rng.random() < 0.3:
+        text += gap(rng) + "-- a remark from x where y\n"
+    text = shouted(rng, text)
+    return text if "--" in text else text + rng.choice(("", ";", "; \n"))
 
-def restated(right, given):
-    sets = []
-    for text in (right, given):
-        head, source, condition = cut(tidy(text))
-        sets.append((table_set(source), column_set(head), condition_set(condition)))
-    parts = [f1(a, b) for a, b in zip(*sets)]
-    points = [w * part for w, part in zip((40, 30, 30), parts)]
-    total = 100.0 if sets[0] == sets[1] else sum(points)
-    return round(total, 1), [round(p, 1) for p in points], [round(p, 3) for p in parts], sets
 
+def drawn_sets(rng):
+    return drawn(rng, NAMES), drawn(rng, COLUMNS), drawn(rng, CONDITIONS, 0)
 
-WORDS = (
-    "select from where and join as a b t.c `d` x.`y` ( ) (( )) , , , ; -- \n \t * count(*) (a) group by "
-    "= 1 between é 日本 FROM Where AND .   \x1c /*x*/"
-).split(" ")
 
-
-def random_text(rng):
-    body = " ".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 14)))
-    if rng.random() < 0.7:
-        columns = ", ".join(rng.choice(["a", "t.b", "c as d", "count(x)", "`e`", "f"]) for _ in range(rng.randrange(1, 9)))
-        tables = rng.choice(["t", "t, u", "t join u on 1 = 1", "a x, b y, c", "t left join u join w"])
-        conditions = " and ".join(
-            rng.choice(["a = 1", "(b = 2)", "((c > 3))", "( (d) )", "e like '(x)'", "(f", "g)"])
-            for _ in range(rng.randrange(1, 8))
-        )
-        body = f"SELECT {columns} FROM {tables} WHERE {conditions} {body}"
-    return body
-
-
-def test_random_texts(spark):
+def test_drawn_sets_are_found(spark):
     rng = random.Random(7)
-    pairs = [(random_text(rng), random_text(rng)) for _ in range(3000)]
-    found = score_all(spark, pairs)
-    for i, (right, given) in enumerate(pairs):
-        score, points, parts, sets = restated(right, given)
-        row, got = found[i], found[i].details
-        shown = got.score_breakdown
-        for side, expected in ((got.correct, sets[0]), (got.student, sets[1])):
-            assert [set(side.tables), set(side.columns), set(side.conditions)] == list(expected), (right, given)
-        assert (row.score, [shown["from"], shown.select, shown.where]) == (score, points), (right, given)
-        assert [shown.from_f1, shown.select_f1, shown.where_f1] == parts
-
-
-def test_normalising_matches_restatement(spark):
-    rng = random.Random(11)
-    texts = [(i, random_text(rng)) for i in range(1000)] + [(1000, None), (1001, ""), (1002, ";;"), (1003, "a; ;\x1d")]
-    frame = spark.createDataFrame(texts, "i long, sql string")
-    rows = frame.select("i", sqltext.normalize_sql_text(F.col("sql")).alias("n")).collect()
-    for row in rows:
-        assert row.n == tidy(texts[row.i][1])
+    sets = [(drawn_sets(rng), drawn_sets(rng)) for _ in range(1_500)]
+    sets += [(one, one) for one, _ in sets[:200]]
+    found = score_all(spark, [tuple(rendered(rng, *side) for side in pair) for pair in sets])
+    for i, pair in enumerate(sets):
+        details = found[i].details
+        for side, expected in zip((details.correct, details.student), pair):
+            assert (set(side.tables), set(side.columns), set(side.conditions)) == expected
+        assert details.is_equal is (pair[0] == pair[1])
+        assert [details.from_ok, details.select_ok, details.where_ok] == [a == b for a, b in zip(*pair)]
+
+
+def test_points_follow_the_overlap(spark):
+    """For right sets of m and given ones of n tokens that share k, a part earns 2k / (m + n) of its weight."""
+    pool = [f"c{i}" for i in range(6)]
+    cases = [(m, n, k) for m in (1, 2, 4) for n in (1, 2, 4) for k in range(min(m, n) + 1) if m + n - k <= len(pool)]
+    lists = [(", ".join(pool[:m]), ", ".join(pool[m - k : m - k + n])) for m, n, k in cases]
+    found = score_all(spark, [(f"SELECT {a} FROM t", f"SELECT {b} FROM t") for a, b in lists])
+    for i, (m, n, k) in enumerate(cases):
+        share = 2 * k / (m + n)
+        row = found[i]
+        assert row.details.score_breakdown.select_f1 == pytest.approx(share, abs=5e-4)
+        assert row.details.score_breakdown.select == pytest.approx(30 * share, abs=0.051)
+        assert row.score == pytest.approx(70 + 30 * share, abs=0.051)
+
+
+def test_normal_form(spark):
+    texts = {
+        None: "", "": "", ";;": ";", " A\n-- x ; y\n b ;\t": "a b", "a; ;\x1d": "a;", "x--y": "x",
+        "Select  'É'\u00a0From\tT": "select 'é' from t", "--": "", "a ;b;": "a ;b",
+    }
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, sql string")
+    got = {r.i: r.n for r in frame.select("i", sqltext.normalize_sql_text(F.col("sql")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
 
 
 def test_round_float_is_exact(spark):

@@ -15,8 +15,8 @@ def inserted(spark, seed):
     """Attempt files in time order, one per micro-batch."""
     path = shared_folder(spark, "files")
     ordered = seed.attempt.orderBy("submit_time").collect()
-    for i in range(0, 30, 10):
-        spark.createDataFrame(ordered[i : i + 10], SCHEMAS["attempt"]).coalesce(1).write.mode("append").parquet(path)
+    for i in range(0, 13, 5):
+        spark.createDataFrame(ordered[i : i + 5], SCHEMAS["attempt"]).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -27,49 +27,92 @@ def stream(spark, path, relation="attempt"):
 
 def test_alerts(spark, seed, inserted):
     out = shared_folder(spark, "alerts")
-    known = seed.notification.filter("noti_id > 8")
+    known = seed.notification
     for _ in range(2):
         query = streams.high_score_stream(stream(spark, inserted), known, f"{out}/o", f"{out}/c")
         query.awaitTermination()
     sent, got = streams.read_alerts(spark, f"{out}/o")
     batch = writes.alert_rows(seed.attempt, known)
     assert sorted(r[0] for r in rows(got)) == sorted(r.student_id for r in batch.collect())
-    assert sorted(r[0] for r in rows(sent)) == list(range(19, 27))
+    assert sorted(r[0] for r in rows(sent)) == list(range(11, 16))
 
 
 def test_counts(spark, seed):
     path, out = shared_folder(spark, "problems"), shared_folder(spark, "counts")
-    for low, high in ((1, 4), (5, 10)):
+    for low, high in ((101, 103), (104, 107)):
         part = seed.problem.filter(F.col("problem_id").between(low, high))
         part.coalesce(1).write.mode("append").parquet(path)
         problems = stream(spark, path, "problem")
         streams.problem_count_stream(problems, f"{out}/o", f"{out}/c").awaitTermination()
     found = rows(streams.read_problem_counts(spark, f"{out}/o"))
-    assert sorted(found) == sorted(rows(writes.running_problem_counts(seed.problem))) == [(9, 4), (10, 4), (11, 2)]
+    assert sorted(found) == sorted(rows(writes.running_problem_counts(seed.problem))) == [(21, 3), (22, 3), (23, 1)]
 
 
 def test_gate(spark, seed, inserted):
     out = shared_folder(spark, "gate")
     broken = stream(spark, inserted).withColumn(
-        "feedback", F.when(F.col("student_id") != 8, F.col("feedback"))
-    ).withColumn("score", F.when(F.col("student_id") == 6, F.col("score") + 10).otherwise(F.col("score")))
+        "feedback", F.when(F.col("student_id") != 4, F.col("feedback"))
+    ).withColumn("score", F.when(F.col("student_id") == 5, F.col("score") + 10).otherwise(F.col("score")))
     streams.stream_quality_gate(broken, f"{out}/o", f"{out}/c").awaitTermination()
-    counts = dict(rows(spark.read.parquet(f"{out}/o").groupBy("outcome").count()))
-    assert counts == {"feedback required": 2, "score out of range": 1, "valid": 27}
+    counts = dict(rows(streams.read_gate(spark, f"{out}/o").groupBy("outcome").count()))
+    assert counts == {"feedback required": 2, "score out of range": 1, "valid": 10}
     assert quality.feedback_rule(seed.attempt)[1].count() == 0
 
 
+def numbered(spark, path, out, last=None):
+    streams.numbering_stream(stream(spark, path), f"{out}/o", f"{out}/c", last).awaitTermination()
+    return streams.read_numbered(spark, f"{out}/o")
+
+
 def test_numbering(spark, seed, inserted):
     out = shared_folder(spark, "numbers")
-    streams.numbering_stream(stream(spark, inserted), f"{out}/o", f"{out}/c").awaitTermination()
-    found = rows(spark.read.parquet(f"{out}/o").select("student_id", "problem_id", "attempt_no", "score"))
-    expected = rows(seed.attempt.select("student_id", "problem_id", "attempt_no", "score"))
-    assert sorted(found) == sorted(expected)
+    for _ in range(2):  # the second start finds nothing new
+        found = rows(numbered(spark, inserted, out).select("student_id", "problem_id", "attempt_no", "score"))
+        expected = rows(seed.attempt.select("student_id", "problem_id", "attempt_no", "score"))
+        assert sorted(found) == sorted(expected)
 
 
 def test_numbering_goes_on(spark, seed, inserted):
     out = shared_folder(spark, "numbers")
-    streams.numbering_stream(stream(spark, inserted), f"{out}/o", f"{out}/c", seed.attempt).awaitTermination()
-    found = rows(spark.read.parquet(f"{out}/o").select("student_id", "problem_id", "attempt_no"))
-    assert sorted(r[2] for r in found if r[:2] == (1, 3)) == [3, 4]
-    assert sorted(r[2] for r in found if r[:2] == (1, 1)) == [2]
+    found = rows(numbered(spark, inserted, out, seed.attempt).select("student_id", "problem_id", "attempt_no"))
+    assert sorted(r[2] for r in found if r[:2] == (1, 101)) == [3, 4]
+    assert sorted(r[2] for r in found if r[:2] == (1, 103)) == [2]
+
+
+def test_numbering_a_large_pair_in_reversed_order(spark):
+    """One pair has most rows of a batch, newest first in the file; a second batch goes on."""
+    path, out = shared_folder(spark, "files"), shared_folder(spark, "numbers")
+    time = F.timestamp_seconds(10**9 - F.col("id")).cast("timestamp_ntz")
+    rows_ = spark.range(25_000).select(
+        F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(1).alias("student_id"), F.lit(5).cast("long").alias("problem_id"),
+        F.lit(None).cast("int").alias("attempt_no"), F.lit(None).cast("long").alias("mentor_id"),
+        (F.col("id") % 100).cast("decimal(5,2)").alias("score"), time.alias("submit_time"), F.lit(None).cast("string").alias("feedback"),
+    )
+    for part in ("id >= 12000", "id < 12000"):
+        kept = rows_.withColumn("id", 10**9 - F.unix_seconds(F.col("submit_time").cast("timestamp"))).filter(part).drop("id")
+        kept.coalesce(1).write.mode("append").parquet(path)
+        found = numbered(spark, path, out)
+    mine = found.filter("student_id = 1").orderBy("submit_time").collect()
+    assert [r.attempt_no for r in mine] == list(range(1, len(mine) + 1)) and len(mine) > 24_000
+
+
+def test_streams_without_output_read_as_empty(spark, seed):
+    empty = shared_folder(spark, "empty")
+    seed.attempt.limit(0).write.parquet(empty)
+    out = shared_folder(spark, "none")
+    assert numbered(spark, empty, f"{out}/n").count() == 0
+    streams.high_score_stream(stream(spark, empty), seed.notification, f"{out}/a", f"{out}/ac").awaitTermination()
+    assert [f.count() for f in streams.read_alerts(spark, f"{out}/a")] == [0, 0]
+    streams.stream_quality_gate(stream(spark, empty), f"{out}/g", f"{out}/gc").awaitTermination()
+    assert streams.read_gate(spark, f"{out}/g").count() == 0
+
+
+def test_a_half_written_start_is_written_again(spark, seed, inserted):
+    out = shared_folder(spark, "half")
+    start = f"{out}/o/last_id/batch=-1"
+    seed.notification.select("noti_id").limit(0).write.parquet(start)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{start}/_SUCCESS")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    streams.high_score_stream(stream(spark, inserted), seed.notification, f"{out}/o", f"{out}/c").awaitTermination()
+    sent, _ = streams.read_alerts(spark, f"{out}/o")
+    assert sorted(r[0] for r in rows(sent)) == list(range(11, 16))

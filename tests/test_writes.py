@@ -1,4 +1,4 @@
-"""Keyed writes on the example platform, against what each rule says by hand."""
+"""Keyed writes on the small platform, against what each rule says by hand."""
 
 import datetime
 
@@ -7,190 +7,270 @@ from pyspark.sql import functions as F
 
 from classmeter.operators import admin, questions, scoring, writes
 from conftest import rows
+from seed import ATTEMPTS
 
 T0 = datetime.datetime(2024, 5, 1, 8, 0)
+HASH = "pbkdf2$1$c2FsdA$aGFzaA"
+
+
+def ids(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "user_id long")
 
 
 def test_append_numbers_go_on(spark, seed):
-    minute = lambda m: T0 + datetime.timedelta(minutes=m)
-    batch = [(1, 3, 70.0, minute(5)), (1, 3, 80.0, minute(1)), (1, 9, 50.0, minute(2)), (1, 3, 90.0, T0 + datetime.timedelta(days=3))]
+    later = lambda m: T0 + datetime.timedelta(minutes=m)
+    batch = [(1, 101, 70.0, later(5)), (1, 101, 80.0, later(1)), (1, 106, 50.0, later(2)), (1, 101, 90.0, later(4_000))]
     frame = spark.createDataFrame(batch, "student_id long, problem_id long, score double, submit_time timestamp_ntz")
     new = rows(writes.number_attempts(seed, frame))
     assert sorted((r[0], r[1], r[2], float(r[4])) for r in new) == [
-        (1, 3, 3, 80.0), (1, 3, 4, 70.0), (1, 3, 5, 90.0), (1, 9, 1, 50.0),
+        (1, 101, 3, 80.0), (1, 101, 4, 70.0), (1, 101, 5, 90.0), (1, 106, 1, 50.0),
     ]
     assert all(r[3] is None and r[6] is None for r in new)
-    assert writes.append_attempts(seed, frame).attempt.count() == 34
+    assert writes.append_attempts(seed, frame).attempt.count() == len(ATTEMPTS) + 4
 
 
-def test_submit_scores_and_numbers(spark, seed):
+def test_submissions_as_one_job(spark, seed):
     frame = spark.createDataFrame(
-        [(1, 1, "SELECT 1", T0), (1, 1, "  ", T0), (2, 1, "SELECT 2", T0)],
+        [(1, 101, "SELECT 1", T0), (1, 101, "  ", T0), (2, 101, "SELECT 2", T0), (3, 999, "SELECT 1", T0), (6, 107, "select 1;", T0)],
         "student_id long, problem_id long, student_sql string, submit_time timestamp_ntz",
     )
     new = rows(scoring.submit(seed, frame))
-    assert sorted((r[0], r[1], r[2], float(r[4])) for r in new) == [(1, 1, 2, 100.0), (2, 1, 2, 70.0)]
+    scored = [(1, 101, 3, 100.0), (2, 101, 2, 70.0), (6, 107, 1, 100.0)]
+    assert sorted((r[0], r[1], r[2], float(r[4])) for r in new) == scored
+    after, refused = scoring.take_submissions(seed, frame)
+    assert sorted(rows(refused)) == [(1, 101, "no answer"), (3, 999, "unknown problem")]
+    assert after.attempt.count() == len(ATTEMPTS) + 3
+    told = after.receive.join(seed.receive, ["receiver_id", "noti_id"], "left_anti")
+    assert sorted(rows(told)) == [(1, 11), (6, 12)] and after.notification.count() == 12
 
 
 def test_feedback_needs_owner_and_text(spark, seed):
     updates = [
-        (1, 1, 1, 9, " fine ", T0), (1, 1, 1, 9, "older", T0 - datetime.timedelta(1)),
-        (2, 1, 1, 10, "not mine", T0), (3, 1, 1, 9, "  ", T0), (1, 3, 2, 10, "again", T0),
-    ]
+        (1, 101, 1, 21, " fine ", T0), (1, 101, 1, 21, "older", T0 - datetime.timedelta(1)),
+        (2, 101, 1, 22, "not mine", T0), (3, 101, 1, 21, "  ", T0), (4, 104, 1, 22, "again", T0),
+    ]
     frame = spark.createDataFrame(
         updates, "student_id long, problem_id long, attempt_no int, mentor_id long, feedback string, sent_at timestamp_ntz"
     )
     after = {r[:3]: (r[3], r[6]) for r in rows(writes.apply_feedback(seed, frame).attempt)}
     before = {r[:3]: (r[3], r[6]) for r in rows(seed.attempt)}
     changed = {k: v for k, v in after.items() if before[k] != v}
-    assert changed == {(1, 1, 1): (9, "fine"), (1, 3, 2): (10, "again")} and len(after) == 30
+    assert changed == {(1, 101, 1): (21, "fine"), (4, 104, 1): (22, "again")} and len(after) == len(ATTEMPTS)
 
 
 def test_upsert_topics(spark, seed):
     pairs = spark.createDataFrame(
-        [(1, " SELECT Basics "), (1, "New"), (2, "New"), (2, ""), (2, "New ")], "problem_id long, topic_name string"
+        [(101, " basics "), (101, "New"), (102, "New"), (102, ""), (102, "New ")], "problem_id long, topic_name string"
     )
     topics, bridge = writes.new_topics(seed, pairs)
     assert [r[0] for r in rows(topics)] == ["New"]
-    assert sorted(rows(bridge)) == [(1, "New"), (2, "New")]
+    assert sorted(rows(bridge)) == [(101, "New"), (102, "New")]
     merged = writes.upsert_topics(seed, pairs)
-    assert merged.topic.count() == 6 and merged.have_topic.count() == 13
+    assert merged.topic.count() == 5 and merged.have_topic.count() == 10
 
 
 def test_guarded_deletes(spark, seed):
-    extra = seed.problem.limit(0).unionByName(
-        spark.createDataFrame([(11, 9), (12, 10)], "problem_id long, user_id long"), allowMissingColumns=True
-    )
-    extra = extra.withColumn("scenario_no", F.when(F.col("problem_id") == 11, F.lit(7)))
-    t = seed.replace(problem=seed.problem.union(extra.withColumn("scenario_no", F.lit(None).cast("long"))))
-    asked = spark.createDataFrame([(9, 11), (9, 12), (9, 1), (9, 99)], "mentor_id long, problem_id long")
-    outcomes = {r[1]: r[2] for r in rows(writes.problem_delete_outcomes(t, asked))}
-    assert outcomes == {11: "deleted", 12: "not found", 1: "refused", 99: "not found"}
-    assert writes.guarded_delete_problem(t, asked).problem.count() == 11
-
-    t = seed.replace(attempt=seed.attempt.filter("problem_id <> 7"))
-    asked = spark.createDataFrame([(6, 7), (1, 1), (2, 3)], "student_id long, scenario_no long")
+    # 106 and 107 are untried
+    asked = spark.createDataFrame([(21, 106), (21, 107), (21, 101), (21, 99), (22, 107), (21, 106)], "mentor_id long, problem_id long")
+    outcomes = {r[:2]: r[2] for r in rows(writes.problem_delete_outcomes(seed, asked))}
+    assert outcomes == {
+        (21, 106): "deleted", (21, 107): "not found", (21, 101): "refused", (21, 99): "not found", (22, 107): "deleted",
+    }
+    left = writes.guarded_delete_problem(seed, asked)
+    assert sorted(r.problem_id for r in left.problem.collect()) == [101, 102, 103, 104, 105]
+    assert left.have_topic.filter("problem_id > 105").count() == 0
+
+    t = seed.replace(attempt=seed.attempt.filter("problem_id <> 104"))
+    asked = spark.createDataFrame([(2, 503), (1, 501), (2, 502), (4, 504)], "student_id long, scenario_no long")
     outcomes = {r[1]: r[2] for r in rows(writes.scenario_delete_outcomes(t, asked))}
-    assert outcomes == {7: "deleted", 1: "refused", 3: "not found"}
+    assert outcomes == {503: "deleted", 501: "refused", 502: "not found", 504: "deleted"}
     left = writes.guarded_delete_scenario(t, asked)
-    assert left.scenario.count() == 7 and left.problem.count() == 9
-    assert left.have_topic.filter("problem_id = 7").count() == 0
+    assert sorted(r.scenario_no for r in left.scenario.collect()) == [501, 502]
+    assert left.problem.filter("problem_id = 104").count() == 0 and left.problem.count() == 6
+    assert left.have_topic.filter("problem_id = 104").count() == 0
+
+
+def test_a_cascade_is_guarded(spark, seed):
+    # 23 wrote 105, which was tried; 24 wrote nothing; 1 is a student
+    asked = ids(spark, 1, 23, 24)
+    assert sorted(rows(writes.deletable_users(seed, asked))) == [(1,), (24,)]
+    left = writes.cascade_delete_user(seed, asked)
+    assert sorted(r.user_id for r in left.mentor.collect()) == [21, 22, 23]
+    assert left.attempt.filter("student_id = 1").count() == 0 and left.attempt.count() == 9
+    # scenarios 501 and 502 go with student 1; 101, 103 and 106 lose theirs and stay
+    kept = {r.problem_id: r.scenario_no for r in left.problem.collect()}
+    assert kept == {101: None, 102: None, 103: None, 104: 503, 105: None, 106: None, 107: None}
+    assert sorted(rows(left.receive)) == [(2, 2), (3, 3), (4, 4), (5, 5)]
+    assert rows(left.access.select("resource_id", "student_id")) == [(301, 2)]
 
 
-def test_cascade(spark, seed):
-    left = writes.cascade_delete_user(seed, spark.createDataFrame([(1,), (11,), (12,)], "user_id long"))
+def test_a_cascade_without_guard(spark, seed):
+    left = writes.cascade_delete_user(seed, ids(spark, 23, 41), guard=False)
     count = lambda name: left[name].count()
-    assert count("user") == 19 and count("student") == 7 and count("mentor") == 6 and count("admin") == 6
-    assert count("scenario") == 6 and count("resource") == 8 and count("send") == 0
-    # Problems 5 and 8 go with mentor 11; 1 and 9 lose scenario 1, 6 loses scenario 6.
-    kept = {r.problem_id: r.scenario_no for r in left.problem.collect()}
-    assert set(kept) == {1, 2, 3, 4, 6, 7, 9, 10} and [p for p, s in kept.items() if s is None] == [1, 6, 9]
-    assert left.attempt.filter("student_id = 1 or problem_id in (5, 8)").count() == 0
-    assert count("attempt") == 30 - 5 - 5
-    assert count("receive") == 6
-    guarded = writes.cascade_delete_user(seed, spark.createDataFrame([(9,), (13,)], "user_id long"), guard=True)
-    assert guarded.mentor.count() == 6 and guarded.problem.count() == 10
+    assert (count("user"), count("mentor"), count("admin"), count("problem"), count("resource")) == (11, 3, 2, 6, 3)
+    assert left.attempt.filter("problem_id = 105").count() == 0 and count("attempt") == 10
+    assert rows(left.send) == [(42, 8)] and count("receive") == 6
 
 
-def test_cascade_clears_reviewer(spark, seed):
-    own = seed.problem.withColumn("user_id", F.lit(13).cast("long"))
-    left = writes.cascade_delete_user(seed.replace(problem=own), spark.createDataFrame([(11,)], "user_id long"))
-    assert left.attempt.count() == 30 and left.attempt.filter("mentor_id = 11").count() == 0
-    assert left.attempt.filter("mentor_id is null").count() == 17 + 4
+def test_a_cascade_clears_the_reviewer(spark, seed):
+    own = seed.problem.withColumn("user_id", F.lit(24).cast("long"))
+    left = writes.cascade_delete_user(seed.replace(problem=own), ids(spark, 21))
+    assert left.attempt.count() == len(ATTEMPTS)
+    reviewers = sorted(r.mentor_id for r in left.attempt.collect() if r.mentor_id)
+    assert reviewers == [22, 22, 23]
 
 
 def test_dismiss(spark, seed):
     pairs = spark.createDataFrame([(1, 1), (2, 99)], "receiver_id long, noti_id long")
-    assert writes.dismiss_notification(seed, pairs).receive.count() == 7
+    assert writes.dismiss_notification(seed, pairs).receive.count() == 5
 
 
-def test_status_and_edits(spark, seed):
+def test_status_changes(spark, seed):
     changes = spark.createDataFrame(
         [(1, "ban", 1), (1, "unban", 2), (2, "ban", 1), (3, "hide", 1)], "user_id long, action string, sent_at int"
     )
     status = dict(rows(writes.set_status(seed, changes).user.select("user_id", "status")))
     assert [u for u, s in status.items() if s == "banned"] == [2]
 
+
+EDIT = "user_id long, name string, email string, status string, password string, sent_at int"
+
+
+def test_user_edits(spark, seed):
     edits = [
-        (1, " New ", "", "banned", ""), (2, "", "p3@example.com", "", ""), (3, None, "p3@example.com", "odd", "h"),
-        (4, "A", "same@example.com", None, None), (5, "B", " same@example.com", None, None), (99, "x", None, None, None),
-    ]
-    frame = spark.createDataFrame(edits, "user_id long, name string, email string, status string, password string")
-    outcomes = {r[0]: r[5] for r in rows(writes.edit_outcomes(seed, frame))}
-    assert outcomes == {1: "changed", 2: "email in use", 3: "changed", 4: "changed", 5: "email in use", 99: "not found"}
+        (1, " New ", "", "banned", "", 1), (2, "", "p3@example.com", "", "", 1), (3, None, "p3@example.com", "odd", HASH, 1),
+        (4, "A", "same@example.com", None, None, 1), (5, "B", " same@example.com", None, None, 1), (99, "x", None, None, None, 1),
+        (6, "C", None, None, "plain text", 1),
+    ]
+    frame = spark.createDataFrame(edits, EDIT)
+    outcomes = {r.user_id: r.outcome for r in writes.edit_outcomes(seed, frame).collect()}
+    assert outcomes == {
+        1: "changed", 2: "email in use", 3: "changed", 4: "changed", 5: "email in use", 99: "not found", 6: "password not hashed",
+    }
     users = {r[0]: r[1:5] for r in rows(writes.edit_users(seed, frame).user)}
     assert users[1] == ("New", "p1@example.com", "x", "banned")
-    assert users[3] == ("Person 03", "p3@example.com", "h", "active")
+    assert users[3] == ("Person 03", "p3@example.com", HASH, "active")
     assert users[4][1] == "same@example.com" and users[5][:2] == ("Person 05", "p5@example.com")
 
 
+def test_the_last_edit_of_a_user_counts(spark, seed):
+    edits = [(1, "first", None, None, None, 1), (1, "last", None, None, None, 3), (1, "middle", "m@example.com", None, None, 2),
+             (2, "a", None, None, None, 1), (2, "b", None, None, None, 1), (2, "b", None, None, None, 1)]
+    frame = spark.createDataFrame(edits, EDIT)
+    after = rows(writes.edit_users(seed, frame).user.select("user_id", "name", "email"))
+    assert len(after) == 13
+    assert dict((r[0], r[1:]) for r in after)[1] == ("last", "p1@example.com")
+    assert dict((r[0], r[1:]) for r in after)[2][0] == "b"
+    outcomes = sorted((r.user_id, r.name, r.outcome) for r in writes.edit_outcomes(seed, frame).collect())
+    assert outcomes == [(1, "first", "superseded"), (1, "last", "changed"), (1, "middle", "superseded"),
+                        (2, "a", "superseded"), (2, "b", "changed")]
+
+
+def test_problem_edits(spark, seed):
+    edits = [
+        (21, 101, " Title ", "d", "SELECT 9", "Hard", 1), (21, 101, "Last", None, "SELECT 8", None, 2), (21, 101, "Bad", "", " ", "Easy", 3),
+        (22, 102, "Not mine", "", "SELECT 1", "Easy", 1), (21, 999, "None", "", "SELECT 1", "Easy", 1),
+    ]
+    frame = spark.createDataFrame(
+        edits, "mentor_id long, problem_id long, title string, description string, correct_answer string, difficulty string, sent_at int"
+    )
+    outcomes = {(r.problem_id, r.sent_at): r.outcome for r in writes.problem_edit_outcomes(seed, frame).collect()}
+    assert outcomes == {
+        (101, 1): "superseded", (101, 2): "changed", (101, 3): "missing field", (102, 1): "not found", (999, 1): "not found",
+    }
+    after = {r.problem_id: r for r in writes.edit_problems(seed, frame).problem.collect()}
+    assert (after[101].title, after[101].correct_answer, after[101].difficulty) == ("Last", "SELECT 8", "Easy")
+    assert after[102].title == "Problem 102" and len(after) == 7
+
+
 def test_directory_and_notifications(spark, seed):
     roles = {r[0]: r[3] for r in rows(admin.user_directory(seed))}
-    assert roles[1] == "student" and roles[9] == "mentor" and roles[12] == "admin"
-    assert [r[0] for r in rows(admin.user_directory(seed, search="PERSON 2"))] == [20, 21, 22]
+    assert (roles[1], roles[21], roles[41]) == ("student", "mentor", "admin")
+    assert [r[0] for r in rows(admin.user_directory(seed, search="PERSON 2"))] == [21, 22, 23, 24]
     assert rows(admin.user_directory(seed, search="n_0")) == []
     blank = seed.replace(user=seed.user.withColumn("status", F.lit("")))
-    assert rows(admin.user_totals(blank)) == [(22, 22, 0, 10)]
-    seen = [r[1:5] for r in rows(admin.inbox(seed, 1))]
-    assert [(r[0], r[2], r[3]) for r in seen] == [(1, "System", None), (2, "System", None)]
-    shared = seed.replace(
-        receive=seed.receive.union(spark.createDataFrame([(9, 1)], "receiver_id long, noti_id long"))
-    )
-    asked = rows(admin.notification_receivers(shared, 1, 9))
-    assert [(r[1], r[4]) for r in asked] == [(1, 2), (9, 2)]
+    assert rows(admin.user_totals(blank)) == [(13, 13, 0, 7)]
+    seen = [(r[1], r[3], r[4]) for r in rows(admin.inbox(seed, 1))]
+    assert seen == [(1, "System", None), (6, "System", None)]
+    more = spark.createDataFrame([(21, 1), (3, 7)], "receiver_id long, noti_id long")
+    shared = seed.replace(receive=seed.receive.union(more))
+    assert [(r[1], r[3], r[4]) for r in rows(admin.inbox(shared, 3))] == [(3, "System", None), (7, "Person 41", 41)]
+    asked = rows(admin.notification_receivers(shared, 1, 21))
+    assert [(r[1], r[4]) for r in asked] == [(1, 2), (21, 2)]
     assert rows(admin.notification_receivers(shared, 1, 5)) == []
-    assert sorted(rows(admin.audience(seed, "specific", 5))) == [(5,)]
-    assert admin.audience(seed, "all_users").count() == 22
+    assert rows(admin.audience(seed, "specific", 5)) == [(5,)]
+    assert admin.audience(seed, "all_users").count() == 13
     messages = spark.createDataFrame(
         [(50, "all_mentors", None), (51, "specific", 3), (52, "specific", 999)], "noti_id long, rule string, user_id long"
     )
-    assert sorted(rows(admin.deliver(seed, messages)))[0] == (3, 51)
-    assert admin.deliver(seed, messages).count() == 8
+    assert sorted(rows(admin.deliver(seed, messages))) == [(3, 51), (21, 50), (22, 50), (23, 50), (24, 50)]
 
 
 def test_registration(spark, seed):
     asked = [
-        (1, " Ann ", "a@example.com", "pw", "student"), (2, "Bo", "a@example.com ", "pw", "mentor"),
-        (3, "Cy", "p3@example.com", "pw", "admin"), (4, "", "d@example.com", "pw", "admin"),
-        (5, "Ed", "e@example.com", "pw", "guest"), (6, "Flo", "f@example.com", "pw", "mentor"),
-        (7, "Gus", "g@example.com", None, "admin"),
-    ]
+        (1, " Ann ", "a@example.com", HASH, "student"), (2, "Bo", "a@example.com ", HASH, "mentor"),
+        (3, "Cy", "p3@example.com", HASH, "admin"), (4, "", "d@example.com", HASH, "admin"),
+        (5, "Ed", "e@example.com", HASH, "guest"), (6, "Flo", "f@example.com", HASH, "mentor"),
+        (7, "Gus", "g@example.com", None, "admin"), (8, "Hal", "h@example.com", "letmein", "admin"),
+    ]
     frame = spark.createDataFrame(asked, "request_id long, name string, email string, password string, role string")
     outcomes = {r.request_id: r.outcome for r in writes.registration_outcomes(seed, frame).collect()}
     assert outcomes == {
         1: "created", 2: "email in use", 3: "email in use", 4: "missing field", 5: "invalid role",
-        6: "created", 7: "missing field",
-    }
+        6: "created", 7: "missing field", 8: "password not hashed",
+    }
     after = writes.register_users(seed, frame)
-    new = {r.user_id: (r.name, r.role, r.status) for r in admin.roles(after).filter("user_id > 22").collect()}
-    assert new == {23: ("Ann", "student", "active"), 24: ("Flo", "mentor", "active")}
-    assert after.mentor.filter("user_id = 24").first().expertise_area == "General"
+    new = {r.user_id: (r.name, r.role, r.status) for r in admin.roles(after).filter("user_id > 43").collect()}
+    assert new == {44: ("Ann", "student", "active"), 45: ("Flo", "mentor", "active")}
+    assert after.mentor.filter("user_id = 45").first().expertise_area == "General"
 
 
 def test_generated_problems(spark, seed):
-    item = '{"title": "T%d", "correct_sql": "SELECT %d", "topics": ["Subqueries", "Fresh"]}'
+    item = '{"title": "T%d", "correct_sql": "SELECT %d", "topics": ["joins", "Fresh"]}'
     payloads = [
-        (5, 1, '{"problems": [%s, %s]}' % (item % (1, 1), item % (2, 2)), "hard"),
-        (4, 2, '{"problems": [%s]}' % (item % (3, 3)), None), (6, 3, "nothing", "Easy"), (7, 99, item % (4, 4), "Easy"),
-    ]
+        (5, 501, '{"problems": [%s, %s]}' % (item % (1, 1), item % (2, 2)), "hard"),
+        (4, 502, '{"problems": [%s]}' % (item % (3, 3)), None), (6, 503, "nothing", "Easy"), (7, 99, item % (4, 4), "Easy"),
+    ]
     frame = spark.createDataFrame(payloads, "payload_id long, scenario_no long, payload string, difficulty string")
-    after = writes.add_generated(seed, frame, 9)
+    after = writes.add_generated(seed, frame, 21)
     new = [(r.problem_id, r.title, r.difficulty, r.scenario_no, r.user_id) for r in
-           after.problem.filter("problem_id > 10").orderBy("problem_id").collect()]
-    assert new == [(11, "T3", "Easy", 2, 9), (12, "T1", "Hard", 1, 9), (13, "T2", "Hard", 1, 9)]
-    assert after.have_topic.filter("problem_id > 10").count() == 6 and after.topic.count() == 6
+           after.problem.filter("problem_id > 107").orderBy("problem_id").collect()]
+    assert new == [(108, "T3", "Easy", 502, 21), (109, "T1", "Hard", 501, 21), (110, "T2", "Hard", 501, 21)]
+    assert after.have_topic.filter("problem_id > 107").count() == 6 and after.topic.count() == 5
 
 
 def test_new_message(spark, seed):
-    sent, by, got = admin.send_notification(seed, 12, "all_mentors")
-    assert [r[0] for r in rows(sent)] == [19] and rows(by) == [(12, 19)]
-    assert sorted(rows(got)) == [(m, 19) for m in (9, 10, 11, 13, 14, 15, 16)]
+    sent, by, got = admin.send_notification(seed, 41, "all_mentors")
+    assert [r[0] for r in rows(sent)] == [11] and rows(by) == [(41, 11)]
+    assert sorted(rows(got)) == [(m, 11) for m in (21, 22, 23, 24)]
+    with pytest.raises(PermissionError):
+        admin.send_notification(seed, 1, "all_mentors")
+    with pytest.raises(ValueError):
+        admin.send_notification(seed, 41, "specific", 999)
 
 
 def test_ask(spark, seed):
-    found = questions.ask(spark, seed, "SELECT max(score) AS best, max(mentor_id) AS m FROM attempt WHERE problem_id = 4")
-    assert rows(found) == [("99.00", "None")]
-    with pytest.raises(PermissionError, match="write word"):
-        questions.ask(spark, seed, "SELECT created_at FROM topic")
-    with pytest.raises(PermissionError, match="not a select"):
-        questions.ask(spark, seed, "SHOW TABLES")
+    found = questions.ask(spark, seed, "SELECT max(score) AS best, max(mentor_id) AS m FROM attempt WHERE problem_id = 103")
+    assert rows(found) == [("100.00", "22")]
+    nested = "SELECT n FROM (SELECT count(*) AS n FROM user u JOIN student s ON s.user_id = u.user_id), topic WHERE topic_name = 'sets'"
+    assert rows(questions.ask(spark, seed, nested)) == [("6",)]
+    named = "SELECT k FROM attempt JOIN studentperformancesummary ON user_id = student_id, (WITH x AS (SELECT 1 AS k) SELECT * FROM x) y LIMIT 1"
+    assert rows(questions.ask(spark, seed, named)) == [("1",)]
+
+
+@pytest.mark.parametrize(
+    "sql, reason",
+    [
+        ("SELECT created_at FROM topic", "write word"),
+        ("SHOW TABLES", "not a select"),
+        ("SELECT reflect('java.lang.Math', 'abs', -5)", "outside"),
+        ("select 1, TRY_REFLECT('java.lang.Math', 'abs', -5) from topic", "outside"),
+        ("SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "outside"),
+        ("SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "not a relation"),
+        ("SELECT * FROM default.topic", "not a relation"),
+        ("SELECT (SELECT max(x) FROM elsewhere) FROM topic", "not a relation"),
+    ],
+)
+def test_ask_refuses(spark, seed, sql, reason):
+    with pytest.raises(PermissionError, match=reason):
+        questions.ask(spark, seed, sql)
