@@ -26,10 +26,10 @@ from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 # Characters of text that go through the queries together.
 CHUNK = 2_000_000
-# Pieces a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 300_000
+# Pieces a worker remembers, in two halves: when the younger one is full, the older one is forgotten.
+REMEMBERED = 1_000_000
 # Pieces that go through the recursive query together.
-TOGETHER = 20_000
+TOGETHER = 30_000
 # The recursive query makes rows in the square of a piece's length. Longer
 # pieces (in bytes) are contracted by `contract_long`, which gives the same ids.
 LONG_PIECE = 256
@@ -40,20 +40,23 @@ _ENCODE = f"""
 WITH RECURSIVE steps(piece, done, pos, id) AS (
     SELECT piece, false, pos, id FROM bytes_of
     UNION ALL
-    SELECT piece, best IS NULL, pos,
-           CASE WHEN pos = best % {_POSITIONS} THEN best // {_POSITIONS} ELSE id END
-    FROM (
-        SELECT piece, pos, id, before,
-               min(m.merged * {_POSITIONS} + pos) OVER (PARTITION BY piece) AS best
-        FROM (
-            SELECT piece, pos, id,
-                   lead(id) OVER (PARTITION BY piece ORDER BY pos) AS after_id,
-                   lag(pos) OVER (PARTITION BY piece ORDER BY pos) AS before
-            FROM steps WHERE NOT done
-        ) s
-        LEFT JOIN merges m ON m.left_id = s.id AND m.right_id = s.after_id
+    (WITH placed AS (
+        SELECT piece, pos, id,
+               lead(piece) OVER line AS after_piece, lead(id) OVER line AS after_id,
+               lag(piece) OVER line AS before_piece, lag(pos) OVER line AS before_pos
+        FROM steps WHERE NOT done WINDOW line AS (ORDER BY piece, pos)
+    ), pairs AS MATERIALIZED (
+        SELECT p.piece, p.pos, p.id, CASE WHEN before_piece = p.piece THEN before_pos END AS before,
+               m.merged::BIGINT * {_POSITIONS} + p.pos AS cost
+        FROM placed p
+        LEFT JOIN merges m ON m.left_id = p.id AND m.right_id = p.after_id AND p.after_piece = p.piece
+    ), least AS (
+        SELECT piece, min(cost) AS best FROM pairs GROUP BY piece
     )
-    WHERE best IS NULL OR before IS NULL OR before <> best % {_POSITIONS}
+    SELECT p.piece, best IS NULL, pos,
+           CASE WHEN pos = best % {_POSITIONS} THEN (best // {_POSITIONS})::INTEGER ELSE id END
+    FROM pairs p JOIN least USING (piece)
+    WHERE best IS NULL OR before IS NULL OR before <> best % {_POSITIONS})
 )
 SELECT piece, list(id::UINTEGER ORDER BY pos) AS ids
 FROM steps WHERE done GROUP BY piece ORDER BY piece
@@ -112,18 +115,19 @@ class Coder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.cut = regex.compile(r"(?<=\S)\s")
         self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.older: dict[str, bytes] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        ids = pa.int64()
+        ids = pa.int32()
         self._keep("merges", pa.table([pa.array(x, ids) for x in (left, right, merged)], names=["left_id", "right_id", "merged"]))
         latin = [t.decode("latin-1") for t in ranks]
         self._keep("vocabulary", pa.table({"id": pa.array(list(ranks.values()), ids), "latin": latin}))
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _keep(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -147,11 +151,15 @@ class Coder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known yet."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(pieces)
+        if len(self.known) + len(pieces) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
         rest, rest_bytes = [], []
-        for piece in new:
+        for piece in pieces:
+            if piece in self.known:
+                continue
+            if piece in self.older:
+                self.known[piece] = self.older[piece]
+                continue
             raw = piece.encode("utf-8", "replace")
             rank = self.ranks.get(raw)
             if rank is not None:
@@ -168,7 +176,7 @@ class Coder:
         which = np.repeat(np.arange(len(raw)), lengths)
         pos = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         ids = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        self.db.register("bytes_of", pa.table({"piece": which, "pos": pos, "id": ids}))
+        self.db.register("bytes_of", pa.table({"piece": which.astype(np.int32), "pos": pos.astype(np.int32), "id": ids}))
         found = self.db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("bytes_of")
         packed = found.flatten().to_numpy().astype("<u4").tobytes()
@@ -210,9 +218,9 @@ class Coder:
                 size += len(parts[taken][1])
                 taken += 1
             group, parts = parts[:taken], parts[taken:]
-            ids = np.concatenate([p for _, p in group]).astype(np.int64)
-            which = np.repeat(np.arange(len(group)), [len(p) for _, p in group])
-            self.db.register("token_rows", pa.table({"text": which, "pos": np.arange(len(ids)), "id": ids}))
+            ids = np.concatenate([p for _, p in group]).astype(np.int32)
+            which = np.repeat(np.arange(len(group), dtype=np.int32), [len(p) for _, p in group])
+            self.db.register("token_rows", pa.table({"text": which, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
             got = self.db.sql(_DECODE).to_arrow_table()
             self.db.unregister("token_rows")
             for k, latin in sorted(zip(got.column("text").to_pylist(), got.column("latin").to_pylist())):
