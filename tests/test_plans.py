@@ -4,26 +4,98 @@ import re
 
 import pytest
 
-from classmeter.operators import learner, mentor, reports
+from classmeter.operators import admin, learner, mentor, quality, reports
 from classmeter.plans.catalog import QUERIES
+from classmeter.sources.binding import MENTORS
 from conftest import SF
 
-# These start a stream or write when they are built.
-ACTIVE = {
-    "load_snapshot", "stream_high_score_alerts", "stream_problem_counts", "stream_quality_gate",
-    "stream_attempt_numbering",
-}
 
 
 def plan_of(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(set(QUERIES) - ACTIVE))
+def jobs_plans(build):
+    """The plans of all that runs while a query is built, streams' micro-batches included."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def spy(self, *args, **options):
+        plans.append(plan_of(self._df))
+        return write(self, *args, **options)
+
+    DataFrameWriter.parquet = spy
+    try:
+        frame = build()
+    finally:
+        DataFrameWriter.parquet = write
+    return [*plans, plan_of(frame)]
+
+
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_products_and_no_python(spark, key):
-    plan = plan_of(QUERIES[key](spark, SF))
-    assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
-    assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups", plan)
+    for plan in jobs_plans(lambda: QUERIES[key](spark, SF)):
+        assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan)
+        assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups|TransformWithState", plan)
+
+
+@pytest.mark.parametrize(
+    "key, scans", [("apply_feedback", 2), ("append_attempts", 3), ("set_status", 2), ("dismiss_notification", 2)]
+)
+def test_a_delta_is_computed_once(spark, key, scans):
+    """The delta's own lineage is read for the one write; what comes after reads the written table."""
+    *writes_, last = jobs_plans(lambda: QUERIES[key](spark, SF))
+    assert writes_ and "FileScan" in writes_[0]
+    assert last.count("lineitem.parquet") <= scans
+
+
+def snapshot(spark, bound):
+    from classmeter.session import shared_folder
+    from classmeter.sources import tables
+
+    path = shared_folder(spark, "snapshot")
+    tables.write_snapshot(bound, path)
+    return tables.load(spark, path)
+
+
+@pytest.fixture(scope="module")
+def loaded(spark, bound):
+    return snapshot(spark, bound)
+
+
+@pytest.mark.parametrize(
+    "frame, fact",
+    [
+        (lambda t: mentor.my_problems(t, MENTORS + 1), "attempt"),
+        (lambda t: mentor.feedback_given(t, MENTORS + 1), "attempt"),
+        (lambda t: mentor.my_resources(t, MENTORS + 1), "access"),
+        (lambda t: admin.inbox(t, 7), "send"),
+    ],
+)
+def test_an_owner_s_keys_meet_the_fact_table_first(loaded, frame, fact):
+    """On a written snapshot the semi-join is below every aggregate and other join of the fact table."""
+    above: list[str] = []
+    for line in plan_of(frame(loaded)).split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        above = [(d, n) for d, n in above if d < depth] + [(depth, line.strip(" :+-*()0123456789"))]
+        if "FileScan" in line and f"/{fact}]" in line:
+            joins = [n for _, n in above if re.search("Join|Aggregate", n)]
+            assert "LeftSemi" in joins[-1], joins
+            return
+    raise AssertionError(f"no scan of {fact}")
+
+
+def test_each_child_is_read_once(loaded):
+    used, last = jobs_plans(lambda: quality.orphan_check(loaded))
+    for child in ("attempt", "problem", "access", "send", "receive", "have_topic", "resourcetopic"):
+        assert len(re.findall(rf"FileScan[^\n]*/{child}\]", used)) == 1
+    assert not re.search(r"/attempt\]", last)
+
+
+def test_aggregates_hash(bound):
+    for frame in (learner.latest_score(bound), quality.vocabulary_rule(bound.resource, "resource")):
+        assert "SortAggregate" not in plan_of(frame)
 
 
 def test_scans_are_narrow_and_filtered(bound):
