@@ -61,7 +61,9 @@ def snapshot(spark, bound):
 
 @pytest.fixture(scope="module")
 def loaded(spark, bound):
-    return snapshot(spark, bound)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # plans show whole paths
+    yield snapshot(spark, bound)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 @pytest.mark.parametrize(
