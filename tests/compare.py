@@ -77,7 +77,7 @@ def main():
     con = connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
     bad = 0
-    for key in sys.argv[2:] or queries:
+    for key in sys.argv[2:] or sorted(set(queries) & set(sql)):
         start = time.time()
         try:
             found = differences(spark, con, sf_dir, queries[key], sql[key])

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from classmeter.plans.catalog import QUERIES
+from classmeter.plans.oracle import ORACLE as SQL
 from compare import connect, differences
 from conftest import SF
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # With few rows per problem no one is above the ratio there.
 MAY_BE_EMPTY = {"key_uniqueness"}
 
