@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from classmeter.session import shared_folder
@@ -27,6 +31,28 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+
+    def _trim(keep: int) -> int:
+        return 0
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers live on between stages, and what they keep counts there."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
+def each(batches: Iterator) -> Iterator:
+    """The batches one by one; memory that the last one took is handed back."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether a document is in the fold that no model learns from; a null id is in it."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from classmeter.llm.common import saved
 
 
+def lowest(labels: DataFrame, nodes: DataFrame, **least: str) -> DataFrame:
+    """(node, a column for each of `least`) with the smallest value that a node's component has.
+
+    `labels` holds (node, label), `nodes` a row for each node with the columns
+    named in `least`. The minima are written, so that the join deals both sides
+    anew and Spark can split a large component.
+    """
+    minima = [F.min(column).alias(name) for name, column in least.items()]
+    reached = saved(labels.join(nodes, "node").groupBy("label").agg(*minima), "components")
+    return labels.join(reached, "label").select("node", *least)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of `edges` (a long, b long); one label per component.
 

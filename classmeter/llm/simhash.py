@@ -24,8 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from classmeter.llm.common import saved
-from classmeter.llm.components import components
+from classmeter.llm.common import each, saved
+from classmeter.llm.components import components, lowest
 
 # Most bits that the segment keys are proven for.
 MOST_BITS = 2
@@ -63,7 +63,7 @@ def fingerprint(text: Column, words: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in each(batches):
             yield pa.array([fingerprint_of(x.as_py(), words) for x in batch], pa.int64())
 
     return of(text.cast("binary"))
@@ -126,7 +126,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _CODE:
         _CODE.append(Golay())
     code = _CODE[0]
-    for batch in batches:
+    for batch in each(batches):
         prints = batch.column(0).to_numpy(zero_copy_only=False)
         words = prints.view("<u8")
         segments = [(words >> np.uint64(at) & np.uint64(mask)).astype(np.int64) for at, mask in _SEGMENTS]
@@ -157,13 +157,12 @@ def classes(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     `component_id` is the smallest id that links reach, null if all of them are
     null; `group` is the smallest fp (as a signed number) of the component.
     """
-    lowest = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    label = components(saved(links(prints, max_bits), "links")).withColumnRenamed("node", "fp")
-    linked = lowest.join(label, "fp")
-    reached = linked.groupBy("label").agg(F.min("low").alias("component_id"), F.min("fp").alias("group"))
-    linked = linked.join(reached, "label").select("fp", "component_id", "group")
-    whole = lowest.join(linked, "fp", "left")
-    return whole.select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("group", "fp").alias("group"))
+    lows = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    label = components(saved(links(prints, max_bits), "links"))
+    linked = lowest(label, lows.select("fp", "low", F.col("fp").alias("node")), component_id="low", group="fp")
+    whole = lows.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    whole = whole.select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("group", "fp").alias("group"))
+    return saved(whole, "classes")  # a join with it deals both sides anew, and Spark can split copies
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
