@@ -133,7 +133,8 @@ def judge(
     rows = rows.withColumn("own", explicit(F.col("host"), F.col("path"), rules))
     rows = saved(rows.select("id", "host", "path", "tokens", "own.rule", "own.verdict"), "urls")
     mined = saved(mine(rows.where("verdict IS NOT NULL").select("tokens", "verdict"), min_support, min_confidence), "url-rules")
-    verdicts = matched(rows.where("verdict IS NULL"), mined)
+    # Written, so that the join deals both sides anew and Spark can split a set that many pages have.
+    verdicts = saved(matched(rows.where("verdict IS NULL"), mined), "url-verdicts")
     out = rows.join(verdicts, "tokens", "left")
     verdict = F.coalesce("verdict", "mined", F.lit(otherwise))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))
