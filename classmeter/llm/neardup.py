@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from classmeter.functions.joins import left_join_sparse
 from classmeter.llm.common import saved
-from classmeter.llm.components import components
+from classmeter.llm.components import components, lowest
 from classmeter.llm.vectors import finite, matrix
 
 # Vectors that the centres are fitted on, at most; centres, at most; vectors for each centre, about.
@@ -167,14 +168,15 @@ def linked(
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     label = components(edges)
-    lows = different.select("node", "n", "low").join(links, "node", "left").join(label, "node", "left")
-    grouped = lows.where("label IS NOT NULL").groupBy("label").agg(F.min("low").alias("component"))
-    known = lows.join(grouped, "label", "left").select(
+    nodes = different.select("node", "n", "low")
+    known = nodes.join(links, "node", "left").join(lowest(label, nodes, component="low"), "node", "left").select(
         "node",
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("component", "low").alias("component"),
     )
-    out = rows.select("id", F.when(F.col("v").isNotNull(), node).alias("node")).join(known, "node", "left")
+    known = saved(known, "vector-classes")  # the join deals both sides anew, and Spark can split copies
+    out = rows.select("id", F.when(F.col("v").isNotNull(), node).alias("node"))
+    out = left_join_sparse(out, known, "node", ["id"])
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(
         F.col("id").alias(id_col),
