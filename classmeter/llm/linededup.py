@@ -26,11 +26,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from classmeter.llm.common import SPACES, saved
+from classmeter.llm.common import SPACES, each, saved
 
 _SPACES = SPACES.encode()
 # Rows of (document, key) that one task asks a filter about.
@@ -125,7 +124,7 @@ def line_key(line: bytes, min_chars: int = 1) -> bytes | None:
 def _line_keys(min_chars: int):
     @F.arrow_udf("array<binary>")
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in each(batches):
             found = ({line_key(x, min_chars) for x in (text.as_py() or b"").split(b"\n")} - {None} for text in batch)
             yield pa.array([sorted(x) for x in found], pa.list_(pa.binary()))
 
@@ -137,7 +136,7 @@ _CUT = T.StructType().add("text", "string").add("n_lines", "long").add("n_droppe
 
 @F.arrow_udf(_CUT)
 def _without(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for batch, drops in texts:
+    for batch, drops in each(texts):
         kept, total, gone = [], [], []
         for text, drop in zip(batch, drops):
             lines = (text.as_py() or b"").split(b"\n")
@@ -196,24 +195,23 @@ class LineIndex:
         common = now.where(F.col("n_docs") >= least).select("shard", "key", F.lit(None).cast("boolean").alias("common"))
         old = self.filters
 
-        def update(shard: tuple, filters: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
-            cross = moved[moved["common"].notna()]
-            held = moved[moved["common"].isna()]
+        def update(shard: tuple, filters: pa.Table, moved: pa.Table) -> pa.Table:
+            keys, common = moved.column("key").to_pylist(), moved.column("common").to_pylist()
+            cross = [(k, c) for k, c in zip(keys, common) if c is not None]
+            held = _halves(k for k, c in zip(keys, common) if c is None)
+            cuckoo, fits = None, True
             if len(filters):
-                cuckoo = CuckooFilter.read(filters["filter"].iloc[0])
-                fits = True
-                for key, common in zip(_halves(cross["key"]).tolist(), cross["common"]):
-                    if common:
+                cuckoo = CuckooFilter.read(filters.column("filter")[0].as_py())
+                for key, (_, now_common) in zip(_halves(k for k, _ in cross).tolist(), cross):
+                    if now_common:
                         fits = fits and cuckoo.add(*key)
                     else:
                         cuckoo.remove(*key)
-                if not fits:  # full: build it anew from the exact counts
-                    cuckoo = CuckooFilter.holding(_halves(held["key"]))
-            else:
-                cuckoo = CuckooFilter.holding(_halves(held["key"]))
-            return pd.DataFrame({"shard": [shard[0]], "filter": [cuckoo.write()]})
+            if cuckoo is None or not fits:  # none yet, or full: build it from the exact counts
+                cuckoo = CuckooFilter.holding(held)
+            return pa.table({"shard": pa.array([shard[0].as_py()], pa.int32()), "filter": pa.array([cuckoo.write()], pa.binary())})
 
-        filters = old.groupBy("shard").cogroup(crossed.unionByName(common).groupBy("shard")).applyInPandas(update, "shard int, filter binary")
+        filters = old.groupBy("shard").cogroup(crossed.unionByName(common).groupBy("shard")).applyInArrow(update, "shard int, filter binary")
         return LineIndex(now.where("n_docs > 0").drop("was"), saved(filters, "line-filters"), self.shards, self.min_docs, self.min_chars)
 
     def common_lines(self, keys: DataFrame) -> DataFrame:
@@ -244,9 +242,11 @@ class LineIndex:
         comes back empty. A row that lost lines keeps a last line that stays
         without a line break; a text whose lines are all gone is empty.
         """
-        drop = self.common_lines(keys if keys is not None else self.keys_of(docs, text_col))
+        # Written, so that the join deals both sides anew and Spark can split a text with many copies.
+        drop = saved(self.common_lines(keys if keys is not None else self.keys_of(docs, text_col)), "line-drops")
         row = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("doc"))
-        cut = row.join(drop, "doc", "left").select("row", _without(F.col("row")[text_col].cast("binary"), F.col("drop")).alias("cut"))
+        # Shuffled at every size: texts with common lines are of no bounded number.
+        cut = row.join(drop.hint("merge"), "doc", "left").select("row", _without(F.col("row")[text_col].cast("binary"), F.col("drop")).alias("cut"))
         own = [F.col("row")[c].alias(c) if c != text_col else F.col("cut.text").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
         return cut.select(*own, "cut.n_lines", "cut.n_dropped")
 
