@@ -50,13 +50,3 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Share out a small scan before costly work on its rows.
-
-    A file of one row group is one task, however many cores there are. A scan
-    that already has a split per core is left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
