@@ -24,12 +24,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
-# Characters of text that go through the queries together.
+from classmeter.llm.common import each, give_back
+
+# Characters of text that go through the queries together. A worker's memory follows it: pieces that
+# are contracted together, pieces remembered (met in two chunks, or in one; either kind is forgotten
+# when there are too many) and the database's memory are shares of it.
 CHUNK = 2_000_000
-# Pieces a worker remembers, in two halves: when the younger one is full, the older one is forgotten.
-REMEMBERED = 1_000_000
-# Pieces that go through the recursive query together.
-TOGETHER = 30_000
+TOGETHER, REMEMBERED, NEW, BYTES = 1 / 64, 1 / 5, 3 / 20, 100
 # The recursive query makes rows in the square of a piece's length. Longer
 # pieces (in bytes) are contracted by `contract_long`, which gives the same ids.
 LONG_PIECE = 256
@@ -111,12 +112,13 @@ def contract_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Coder:
     """Vocabulary, merge table and the pieces met so far, in one Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk: int = CHUNK):
+        self.ranks, self.pattern, self.chunk = ranks, regex.compile(pattern), chunk
+        self.together = max(1, int(TOGETHER * chunk))
         self.cut = regex.compile(r"(?<=\S)\s")
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
+        self.new: dict[str, bytes] = {}
+        self._db: duckdb.DuckDBPyConnection | None = None
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -124,15 +126,31 @@ class Coder:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
         ids = pa.int32()
-        self._keep("merges", pa.table([pa.array(x, ids) for x in (left, right, merged)], names=["left_id", "right_id", "merged"]))
         latin = [t.decode("latin-1") for t in ranks]
-        self._keep("vocabulary", pa.table({"id": pa.array(list(ranks.values()), ids), "latin": latin}))
+        self.tables = {
+            "merges": pa.table([pa.array(x, ids) for x in (left, right, merged)], names=["left_id", "right_id", "merged"]),
+            "vocabulary": pa.table({"id": pa.array(list(ranks.values()), ids), "latin": latin}),
+        }
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
-    def _keep(self, name: str, rows: pa.Table) -> None:
-        self.db.register("given", rows)
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-        self.db.unregister("given")
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        """A database in memory, opened when it is needed."""
+        if self._db is None:
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": f"{max(64, BYTES * self.chunk // 1_000_000)}MB", "preserve_insertion_order": False})
+            for name, rows in self.tables.items():
+                self._db.register("given", rows)
+                self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+                self._db.unregister("given")
+        return self._db
+
+    def rest(self) -> None:
+        """After a task: only the merges and the pieces met often stay in memory."""
+        self.new.clear()
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+        give_back()
 
     def segments(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, a long one in several lists.
@@ -141,37 +159,46 @@ class Coder:
         reaches across such a place or depends on what lies beyond it.
         """
         at = 0
-        while len(text) - at > CHUNK:
-            place = self.cut.search(text, at + CHUNK)
+        while len(text) - at > self.chunk:
+            place = self.cut.search(text, at + self.chunk)
             if place is None:
                 break
             yield self.pattern.findall(text, at, place.start())
             at = place.start()
         yield self.pattern.findall(text, at)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not known yet."""
-        if len(self.known) + len(pieces) > REMEMBERED // 2:
-            self.older, self.known = self.known, {}
-        rest, rest_bytes = [], []
+    def ids_of(self, pieces: set[str]) -> dict[str, bytes]:
+        """The packed ids of each piece; the queries get those that are not known yet."""
+        found: dict[str, bytes] = {}
+        rest, rest_bytes, fresh = [], [], {}
         for piece in pieces:
-            if piece in self.known:
-                continue
-            if piece in self.older:
-                self.known[piece] = self.older[piece]
-                continue
-            raw = piece.encode("utf-8", "replace")
-            rank = self.ranks.get(raw)
-            if rank is not None:
-                self.known[piece] = rank.to_bytes(4, "little")
-            elif len(raw) > LONG_PIECE:
-                self.known[piece] = np.array(contract_long(raw, self.ranks), "<u4").tobytes()
-            else:
-                rest.append(piece), rest_bytes.append(raw)
-        for at in range(0, len(rest), TOGETHER):
-            self._contract(rest[at : at + TOGETHER], rest_bytes[at : at + TOGETHER])
-
-    def _contract(self, pieces: list[str], raw: list[bytes]) -> None:
+            ids = self.known.get(piece)
+            if ids is None:
+                ids = self.new.pop(piece, None)
+                if ids is not None:
+                    self.known[piece] = ids
+                else:
+                    raw = piece.encode("utf-8", "replace")
+                    rank = self.ranks.get(raw)
+                    if rank is not None:
+                        ids = fresh[piece] = rank.to_bytes(4, "little")
+                    elif len(raw) > LONG_PIECE:
+                        ids = np.array(contract_long(raw, self.ranks), "<u4").tobytes()
+                    else:
+                        rest.append(piece), rest_bytes.append(raw)
+                        continue
+            found[piece] = ids
+        for at in range(0, len(rest), self.together):
+            fresh.update(self._contract(rest[at : at + self.together], rest_bytes[at : at + self.together]))
+        found.update(fresh)
+        if len(self.known) > REMEMBERED * self.chunk:
+            self.known.clear()
+        if len(self.new) + len(fresh) > NEW * self.chunk:
+            self.new.clear()
+        self.new.update(fresh)
+        return found
+
+    def _contract(self, pieces: list[str], raw: list[bytes]) -> Iterator[tuple[str, bytes]]:
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         which = np.repeat(np.arange(len(raw)), lengths)
         pos = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -181,8 +208,7 @@ class Coder:
         self.db.unregister("bytes_of")
         packed = found.flatten().to_numpy().astype("<u4").tobytes()
         ends = (4 * found.value_lengths().to_numpy().astype(np.int64)).cumsum().tolist()
-        for piece, a, b in zip(pieces, [0, *ends], ends):
-            self.known[piece] = packed[a:b]
+        return ((piece, packed[a:b]) for piece, a, b in zip(pieces, [0, *ends], ends))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -191,17 +217,16 @@ class Coder:
         size = 0
 
         def close() -> None:
-            self.learn(set().union(*(pieces for _, pieces in held)))
-            known = self.known
+            found = self.ids_of(set().union(*(pieces for _, pieces in held)))
             for i, pieces in held:
-                out[i].append(b"".join([known[p] for p in pieces]))
+                out[i].append(b"".join([found[p] for p in pieces]))
             held.clear()
 
         for i, text in enumerate(texts):
             for pieces in self.segments(text or ""):
                 held.append((i, pieces))
                 size += sum(map(len, pieces))
-                if size >= CHUNK:
+                if size >= self.chunk:
                     close()
                     size = 0
         close()
@@ -210,7 +235,7 @@ class Coder:
     def decode(self, texts: list[bytes | None]) -> list[bytes]:
         """The bytes of each text's ids."""
         out: list[list[bytes]] = [[] for _ in texts]
-        step = CHUNK // 4
+        step = max(1, self.chunk // 4)
         parts = [(i, np.frombuffer(t, "<u4")[a : a + step]) for i, t in enumerate(texts) if t for a in range(0, len(t) // 4, step)]
         while parts:
             size, taken = 0, 0
@@ -231,11 +256,11 @@ class Coder:
 _CODERS: dict[int, Coder] = {}
 
 
-def _coder(shared, pattern: str) -> Coder:
-    """One coder in each worker and vocabulary."""
+def _coder(shared, pattern: str, chunk: int) -> Coder:
+    """One coder in each worker, for one vocabulary at a time."""
     if shared.id not in _CODERS:
         _CODERS.clear()
-        _CODERS[shared.id] = Coder(shared.value, pattern)
+        _CODERS[shared.id] = Coder(shared.value, pattern, chunk)
     return _CODERS[shared.id]
 
 
@@ -250,10 +275,10 @@ class _Shared:
         return self._of.value
 
 
-def _groups(array: pa.Array) -> Iterator[pa.Array]:
-    """Slices of a batch with about CHUNK bytes each."""
+def _groups(array: pa.Array, chunk: int) -> Iterator[pa.Array]:
+    """Slices of a batch with about two chunks of bytes each."""
     size = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
-    mark = np.cumsum(size, dtype=np.int64) // (2 * CHUNK)
+    mark = np.cumsum(size, dtype=np.int64) // (2 * chunk)
     starts = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]) if len(mark) else np.array([0])
     for a, b in zip(starts, np.r_[starts[1:], len(array)]):
         yield array.slice(a, b - a)
@@ -265,24 +290,26 @@ class ByteBpe:
     The rank file is read on the driver. Ids are packed: four bytes each,
     little-endian, unsigned. A null or empty text has no ids (empty binary);
     null or empty ids decode to no bytes. Characters that UTF-8 cannot hold
-    are encoded as question marks.
+    are encoded as question marks. `chunk` bounds the memory of a Python worker:
+    a smaller one needs less and takes longer; the ids are the same.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, chunk: int = CHUNK):
         ranks = read_ranks(path)
-        self._shared = _Shared(spark, ranks, hash((path, pattern, len(ranks))))
-        self._pattern = pattern
+        self._shared = _Shared(spark, ranks, hash((path, pattern, len(ranks), chunk)))
+        self._pattern, self._chunk = pattern, chunk
 
     def _column(self, kind: T.DataType, work: Callable[[Coder, list], pa.Array]) -> Callable[[Column], Column]:
         """A column function that hands on slices of a few MB, so that a batch is never held twice."""
-        shared, pattern = self._shared, self._pattern
+        shared, pattern, chunk = self._shared, self._pattern, self._chunk
 
         @F.arrow_udf(kind)
         def done(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            coder = _coder(shared, pattern)
+            coder = _coder(shared, pattern, chunk)
             for batch in batches:
-                for part in _groups(batch):
+                for part in each(_groups(batch, chunk)):
                     yield work(coder, part.to_pylist())
+            coder.rest()
 
         return done
 

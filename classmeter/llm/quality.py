@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from classmeter.llm.common import held_out
+from classmeter.llm.common import each, held_out
 
 # Labelled documents that a model is fitted on, at most.
 MAX_ROWS = 20_000
@@ -70,7 +70,7 @@ def statistics_of(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in each(batches):
             yield pa.array([statistics(x.as_py()) for x in batch], pa.list_(pa.float64()))
 
     return of(text.cast("binary"))
@@ -169,7 +169,7 @@ def score(model: Trees, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in each(batches):
             x = np.array([statistics(v.as_py()) for v in batch]).reshape(len(batch), len(STATISTICS))
             yield pa.array(model.scores(x), pa.float64())
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from classmeter.llm.common import held_out, saved
+from classmeter.llm.common import each, held_out, saved
 from classmeter.llm.quality import labelled
 
 # Documents that a model is fitted on, at most, and terms it looks at.
@@ -51,7 +51,7 @@ def terms_of(text: str | None) -> set[str]:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _different_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in each(batches):
         yield pa.array([sorted(terms_of(x.as_py())) for x in batch], pa.list_(pa.string()))
 
 
@@ -167,7 +167,7 @@ def score(model: Classifier, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in each(batches):
             yield pa.array([model.score(x.as_py()) for x in batch], pa.float64())
 
     return of(text)

@@ -48,7 +48,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document (packed, four bytes each), and the digests of ids and decoded bytes."""
-    coder = bpe.ByteBpe(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    # Workers of the earlier stages are still there, so this one makes do with less memory.
+    coder = bpe.ByteBpe(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, chunk=600_000)
     done = docs.select("doc_id", "source", coder.round_trip(F.col("text")).alias("done"))
     return done.select(
         "doc_id",
