@@ -8,14 +8,15 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from test_linededup import plain as plain_lines
-from test_simhash import plain_fingerprint, reach
 
 import corpus_pipeline
 from classmeter.llm import bpe, mixing, quality
 from classmeter.llm.common import saved
 from classmeter.llm.queries import SEED
 
+from .test_linededup import plain as plain_lines
+from .test_simhash import plain_fingerprint, reach
+
 SF = "/root/testdata/sf0.001"
 
 
