@@ -24,6 +24,8 @@ from classmeter.llm.common import held_out, saved
 MAX_ROWS, DICTIONARY = 20_000, 400
 # Characters on either side that neighbouring words are taken from.
 BESIDE = 60
+# Characters that a match and what lies before it have together, at least.
+AWAY = 4
 CANDIDATE = r"[A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*"
 LEAST = 12
 _RUN = r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST
@@ -36,31 +38,62 @@ NUMBERS = ("length", "digits", "lower", "upper", "signs", "dots", "changes", "di
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, path, start (from 1, in characters), secret, left and right for each candidate.
 
-    `left` and `right` are up to BESIDE characters beside it. Null and empty
-    texts have none; repeated rows have theirs each. Other columns are not read.
+    `left` and `right` are the BESIDE characters beside it, or all up to the
+    text's border. A run that begins with a name and = gives what follows them.
+    Null and empty texts have none; repeated rows have theirs each. Other
+    columns are not read.
     """
-    runs = F.regexp_extract_all(F.col("text"), F.lit(_RUN), F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("text").rlike(_RUN))
-    rows = rows.withColumns({"runs": runs, "between": F.split(F.col("text"), _RUN, -1)}).drop("text")
-    lengths = F.transform("runs", lambda r, i: F.char_length(r) + F.char_length(F.get("between", i)))
+    rows = _placed(rows, "runs", _RUN).drop("text")
+    each = F.transform(F.filter("runs", lambda c: c["secret"].rlike("[0-9]")), _without_name)
+    return rows.select("doc_id", "path", F.explode(each).alias("c")).select("doc_id", "path", "c.*")
+
+
+def _placed(rows: DataFrame, name: str, pattern: str) -> DataFrame:
+    """`rows` with an array of start, secret, left and right for each match of `pattern` in `text`.
+
+    A match and what lies before it have AWAY characters or more together, so
+    that BESIDE characters reach over BESIDE / AWAY matches at most.
+    """
+    rows = rows.withColumns({"found": F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "between": F.split("text", pattern, -1)})
+    lengths = F.transform("found", lambda r, i: F.char_length(r) + F.char_length(F.get("between", i)))
     at = F.aggregate(
         lengths,
         F.array(F.lit(0)),
         lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
     )
-    rows = rows.withColumn("ends", at)
+    # What lies between, and the matches, in turn.
+    parts = F.flatten(F.transform("between", lambda x, i: F.array(x, F.coalesce(F.get("found", i), F.lit("")))))
+    rows = rows.withColumns({"ends": at, "parts": parts})
+    rows = rows.withColumns(
+        {
+            "tails": F.transform("parts", lambda x: F.right(x, F.lit(BESIDE))),
+            "heads": F.transform("parts", lambda x: F.left(x, F.lit(BESIDE))),
+        }
+    )
+    reach = 2 * (BESIDE // AWAY + 1)
     each = F.transform(
-        "runs",
+        "found",
         lambda r, i: F.struct(
             (F.get("ends", i) + F.char_length(F.get("between", i)) + 1).alias("start"),
             r.alias("secret"),
-            F.right(F.get("between", i), F.lit(BESIDE)).alias("left"),
-            F.left(F.get("between", i + 1), F.lit(BESIDE)).alias("right"),
+            F.right(F.array_join(F.slice("tails", F.greatest(2 * i + 2 - reach, F.lit(1)), F.least(2 * i + 1, F.lit(reach))), ""), F.lit(BESIDE)).alias("left"),
+            F.left(F.array_join(F.slice("heads", 2 * i + 3, reach), ""), F.lit(BESIDE)).alias("right"),
         ),
     )
-    found = rows.select("doc_id", "path", F.explode(F.filter(each, lambda c: c["secret"].rlike("[0-9]"))).alias("c"))
-    return found.select("doc_id", "path", "c.*")
+    return rows.withColumn(name, each).drop("found", "between", "ends", "parts", "tails", "heads")
+
+
+def _without_name(c: Column) -> Column:
+    """A run without the name and the = that it begins with; they are on its left then."""
+    name = F.regexp_extract(c["secret"], r"^[^=]*=+(?=[^=])", 0)
+    return F.struct(
+        (c["start"] + F.char_length(name)).alias("start"),
+        F.substr(c["secret"], F.char_length(name) + 1).alias("secret"),
+        F.right(F.concat(c["left"], name), F.lit(BESIDE)).alias("left"),
+        c["right"].alias("right"),
+    )
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> list[str]:

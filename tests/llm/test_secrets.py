@@ -58,3 +58,36 @@ def test_edges(spark, edge_docs, no_docs):
 def test_no_python_in_the_plan(spark, edge_docs):
     plan = secrets.scan(edge_docs)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def beside(text, secret):
+    """start, left and right of a value that is in a text once."""
+    assert text.count(secret) == 1
+    at = text.index(secret)
+    return at + 1, text[max(at - secrets.BESIDE, 0) : at], text[at + len(secret) :][: secrets.BESIDE]
+
+
+def test_neighbours_reach_over_other_runs(spark):
+    """Long names, names and = in one run with the value, and many runs in a row."""
+    value = "0a1b2c3d4e5f60718293"
+    texts = [
+        f'access_token = "{value}" and a_long_name_here after',
+        f'é client_secret="{value}"; other_long_names',
+        f'export AWS_SECRET_ACCESS_KEY="{value}"',
+        f"client_secret={value} internationalisation",
+        f"'a b'={value}",
+        " ".join(f"run{i:09d}" for i in range(20)) + f" {value}" + "".join(f"|run{i:09d}" for i in range(20, 40)),
+        value,
+        f"{value}==",
+    ]
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secrets.findings(docs).collect()
+    found = {r.doc_id: r for r in rows if value in r.secret}
+    for i, text in enumerate(texts):
+        secret = value if i < 7 else f"{value}=="
+        assert (found[i].secret, found[i].start, found[i].left, found[i].right) == (secret, *beside(text, secret))
+    for r in rows:
+        assert (r.start, r.left, r.right) == beside(texts[r.doc_id], r.secret)
+    labels = {r.doc_id: r for r in secrets.labelled(secrets.features(secrets.findings(docs), [])).collect() if value in r.secret}
+    assert [labels[i].label for i in range(3)] == [1.0] * 3 and all(labels[i].assigned == 1.0 for i in range(5))
+    assert "before:access_token" in labels[0].beside and "before:client_secret" in labels[3].beside
