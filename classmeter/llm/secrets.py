@@ -1,7 +1,8 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest.
 
 A candidate is a long run of the characters that keys and tokens are made of,
-with a digit in it. The forest looks at its length, its character classes and
+with a digit in it, or whatever a credential's name is given: the value after
+the name and = or :, of any length and characters. The forest looks at its length, its character classes and
 the changes between them, how much of it words of the corpus cover, the path
 of the document, and the neighbouring words. It learns from labelled findings.
 
@@ -31,6 +32,14 @@ LEAST = 12
 _RUN = r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST
 # Names under which credentials are kept, for labelling.
 NAMES = "token|secret|password|passwd|pwd|apikey|api_key|key|auth|credential"
+# A name, and what stands between it and its value.
+_SIGN = r"[\"'`]?\s{0,16}[=:]{1,2}>?\s{0,16}"
+_NAMED = rf"(?i:{NAMES}){_SIGN}"
+# In quotes up to the closing one, escaped quotes skipped; else up to a blank, a quote that
+# closes, or the next name and sign. Possessive throughout, so that long values need no stack.
+_IN_QUOTES = "|".join(rf"(?<={q})(?=\s*[^\s{q}])(?:[^{q}\\\r\n]++|\\.)++(?={q})" for q in "\"'`")
+_BARE = r"(?![\s\"'`])(?:[^\s\"'`&;,]++|[\"'`](?![\s,;&:}\])]|$)|[&;,](?!\s|$|[\"'`]?[A-Za-z0-9_.-]{1,64}[\"'`]?[=:]))++"
+_GIVEN = rf"(?<=[=:>\s\"'`])(?<=[=:]>?\s{{0,16}}[\"'`]{{0,3}})(?<={_NAMED}[\"'`]{{0,3}})(?!(?<=[=:])[=:>])(?:{_IN_QUOTES}|{_BARE})"
 
 NUMBERS = ("length", "digits", "lower", "upper", "signs", "dots", "changes", "different", "covered", "hex", "quoted", "assigned", "path_length", "path_digits")
 
@@ -44,10 +53,14 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("text").rlike(_RUN))
-    rows = _placed(rows, "runs", _RUN).drop("text")
-    each = F.transform(F.filter("runs", lambda c: c["secret"].rlike("[0-9]")), _without_name)
-    return rows.select("doc_id", "path", F.explode(each).alias("c")).select("doc_id", "path", "c.*")
+    rows = rows.where(F.col("text").rlike(f"{_RUN}|{_NAMED}"))
+    rows = _placed(_placed(rows, "runs", _RUN), "given", _GIVEN).drop("text")
+    runs = F.transform(F.filter("runs", lambda c: c["secret"].rlike("[0-9]")), _without_name)
+    # In order of place, the longer first: a run that is the beginning of a value, or all of it, is no second candidate.
+    placed = F.transform(F.concat(runs, "given"), lambda c: F.struct(c["start"].alias("start"), (-F.char_length(c["secret"])).alias("less"), c.alias("c")))
+    rows = rows.select("doc_id", "path", F.array_sort(placed).alias("placed"))
+    first = F.filter("placed", lambda c, i: (i == 0) | (F.get("placed", i - 1)["start"] != c["start"]))
+    return rows.select("doc_id", "path", F.explode(first).alias("c")).select("doc_id", "path", "c.c.*")
 
 
 def _placed(rows: DataFrame, name: str, pattern: str) -> DataFrame:
@@ -147,11 +160,11 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 
 def labelled(found: DataFrame) -> DataFrame:
     """`found` with a label where it is beyond doubt: 1 for what is assigned to a credential's
-    name in quotes, 0 for plain numbers, numbered names and addresses; others have none."""
+    name in quotes, 0 for plain numbers, numbered names and addresses that no such name is given; others have none."""
     left, secret = F.col("left"), F.col("secret")
     named = F.lower(left).rlike(rf"({NAMES})[\"']?\s*[=:]\s*[\"'`]$")
     plain = secret.rlike(r"^[0-9+/_.=-]+$") | secret.rlike(r"^[A-Za-z]+[0-9]{0,4}([.-][A-Za-z0-9]+)*\.(com|net|org)\.?$")
-    return found.withColumn("label", F.when(named, 1.0).when(plain, 0.0))
+    return found.withColumn("label", F.when(named, 1.0).when(plain & ~left.rlike(rf"{_NAMED}[\"'`]{{0,3}}$"), 0.0))
 
 
 def train(examples: DataFrame, max_rows: int = MAX_ROWS, trees: int = 40, depth: int = 6, seed: int = 7) -> PipelineModel | None:

@@ -91,3 +91,43 @@ def test_neighbours_reach_over_other_runs(spark):
     labels = {r.doc_id: r for r in secrets.labelled(secrets.features(secrets.findings(docs), [])).collect() if value in r.secret}
     assert [labels[i].label for i in range(3)] == [1.0] * 3 and all(labels[i].assigned == 1.0 for i in range(5))
     assert "before:access_token" in labels[0].beside and "before:client_secret" in labels[3].beside
+
+
+def test_values_that_a_name_is_given(spark):
+    """Short ones, ones without a digit, and ones with other characters; each with its place."""
+    given = {
+        'password = "P@ssw0rd!2024"': ["P@ssw0rd!2024"],
+        "db_password: hunter22\nrest": ["hunter22"],
+        'my "secret": "correct horse battery staple", and': ["correct horse battery staple"],
+        "TOKEN='abcdefghijklmnop' é": ["abcdefghijklmnop"],
+        r'pwd = "a\"b c"': [r"a\"b c"],
+        'é api_key := "x"; auth => y': ["x", "y"],
+        "?token=abc&key=d,e&user=z": ["abc", "d,e"],
+        '{"apikey":5,"token":"q","no":1}': ["5", "q"],
+        "secret: password: z9": ["password:", "z9"],
+        'passwd = "unclosed word': ["unclosed"],
+        "key = it's": ["it's"],
+        "client_secret=0123456789ab!x": ["0123456789ab!x"],
+        "password=4711": ["4711"],
+        'password = ""': [],
+        'password = "  "\n': [],
+        "password =": [],
+        "monkeys: none, key words": [],
+    }
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(given)], "doc_id long, text string, source string")
+    found = secrets.labelled(secrets.findings(docs)).orderBy("doc_id", "start").collect()
+    for i, (text, values) in enumerate(given.items()):
+        mine = [r for r in found if r.doc_id == i]
+        assert [r.secret for r in mine] == values, text
+        for r in mine:
+            at = r.start - 1
+            assert text[at : at + len(r.secret)] == r.secret
+            assert (r.left, r.right) == (text[:at][-secrets.BESIDE :], text[at + len(r.secret) :][: secrets.BESIDE])
+            assert r.label != 0.0
+
+
+def test_long_values_and_many(spark):
+    texts = ['token = "' + "a b" * 50_000 + '"', "key=a&" * 50_000, "key:" * 50_000, "token=" + "a,'" * 50_000, "password " + "=" * 50_000]
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    counts = dict(secrets.findings(docs).groupBy("doc_id").count().collect())
+    assert counts[0] == 1 and counts[1] == 50_000 and counts[2] >= 1 and counts[3] == 1
