@@ -17,7 +17,7 @@ removes the lines found there.
 Each row is a document, also if it repeats another row. Lines that occur twice
 in one document count once. Counting is pre-aggregated in the map tasks. A
 filter meets its lines by (shard, salt): a shard whose lines are many, be it
-through one very common line, is asked in several tasks.
+through one very common line, is asked in several tasks. Copies of a text ask once.
 """
 
 from __future__ import annotations
@@ -219,7 +219,8 @@ class LineIndex:
         sizes = self.counts.groupBy("shard").agg(F.sum("n_docs").alias("n"))
         salts = sizes.select("shard", F.ceil(F.col("n") / ASKED_TOGETHER).cast("int").alias("salts"))
         spread = self.filters.join(salts, "shard").select("shard", "filter", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        asked = keys.select("doc", F.explode("keys").alias("key")).withColumn("shard", self._shard())
+        # Once for each text, however many copies it has: they have one salt.
+        asked = keys.select("doc", F.explode("keys").alias("key")).distinct().withColumn("shard", self._shard())
         asked = asked.join(F.broadcast(salts) if self.shards <= 100_000 else salts, "shard")
         asked = asked.select("shard", F.pmod("doc", "salts").cast("int").alias("salt"), "doc", "key")
 
@@ -232,7 +233,7 @@ class LineIndex:
 
         passed = spread.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(ask, "doc long, key binary")
         common = self.counts.where(F.col("n_docs") >= self.min_docs).select("key")
-        sure = passed.distinct().join(common, "key", "left_semi")
+        sure = passed.join(common, "key", "left_semi")
         return sure.groupBy("doc").agg(F.collect_list("key").alias("drop"))
 
     def drop_common(self, docs: DataFrame, text_col: str = "text", keys: DataFrame | None = None) -> DataFrame:

@@ -100,3 +100,20 @@ def test_many_salts(monkeypatch, docs):
     texts, frame = docs
     found = linededup.dedup_lines(frame).orderBy("doc_id").collect()
     assert [(r.text, r.n_lines, r.n_dropped) for r in found] == plain(texts, 10)
+
+
+def test_copies_ask_once(monkeypatch, spark):
+    """No task gets a row for each copy of a text."""
+    texts = ["one\ntwo\nthree"] * 400 + [f"own {i}\ntwo" for i in range(40)] + [None] * 20
+    real = linededup._halves
+
+    def few(keys):
+        keys = list(keys)
+        assert len(keys) <= 100, len(keys)
+        return real(keys)
+
+    monkeypatch.setattr(linededup, "_halves", few)
+    monkeypatch.setattr(linededup, "ASKED_TOGETHER", 50)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = linededup.dedup_lines(frame).orderBy("doc_id").collect()
+    assert [(r.text, r.n_lines, r.n_dropped) for r in found] == plain(texts, 10)
