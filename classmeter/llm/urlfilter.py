@@ -1,7 +1,7 @@
 """URL filters: explicit rules, and association rules mined by FP-growth for the rest.
 
 A URL becomes a set of tokens (scheme, top-level domain, domain, host words,
-first path segment, shapes of the others, extension, query keys, anchor). The
+first path segment, shapes of all others, extension, query keys, anchor). The
 URLs that explicit rules judge are the labelled ones: their tokens and their
 verdict are transactions for Spark's FP-growth. Rules `tokens -> verdict` stay
 if their support and confidence are high enough. Token sets of the other URLs
@@ -10,7 +10,8 @@ that have them, and a rule fires if all its tokens were met.
 
 All steps are DataFrame and SQL functions. Equal token sets are matched once,
 however many pages have them. The number of mined rules is bounded by the
-support and the few tokens of a URL, not by the number of pages.
+support, not by the number of pages or by the place in a path; it can double
+with each further token that frequent URLs have in common.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def tokens(url: Column) -> Column:
         F.when(F.size(labels) >= 2, F.array(F.concat(F.lit("domain:"), F.concat_ws(".", F.slice(labels, -2, 2))))).otherwise(F.array().cast("array<string>")),
         tag("word", words),
         tag("first", F.slice(segments, 1, 1)),
-        tag("shape", F.transform(F.slice(segments, 2, 4), shape)),
+        tag("shape", F.transform(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), shape)),
         tag("ext", F.filter(F.array(F.regexp_extract(F.coalesce(last, F.lit("")), r"\.([A-Za-z0-9]{1,5})$", 1)), lambda e: e != "")),
         tag("query", F.transform(query, lambda q: F.regexp_extract(q, "^[^=]*", 0))),
         F.when(F.contains(url, F.lit("#")), F.array(F.lit("anchor"))).otherwise(F.array().cast("array<string>")),

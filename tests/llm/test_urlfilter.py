@@ -100,3 +100,14 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = urlfilter.judge(frame(spark, URLS), URL_RULES)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_deep_segments_are_tokens(spark):
+    """What tells URLs apart may lie deep in the path, in the labelled ones and in the others."""
+    rules = [("block", "bad.com/"), ("allow", "good.com/")]
+    urls = [f"http://bad.com/a/b/c/d/e/f/casino{i}" for i in range(20)] + [f"http://good.com/a/b/c/d/e/f/news{i}" for i in range(20)]
+    others = ["http://x.net/q/w/r/t/y/u/casino77", "http://x.net/q/w/r/t/y/u/news77", "http://x.net/casino7"]
+    rows = urlfilter.judge(frame(spark, urls + others), rules).orderBy("page_id").collect()
+    assert [r.verdict for r in rows] == ["block"] * 20 + ["allow"] * 20 + ["block", "allow", "allow"]
+    found = frame(spark, ["q://h/1/2/3/4/5/6/x7y.z", "q://h", "q://h/1"]).select(urlfilter.tokens(F.col("url")).alias("t")).collect()
+    assert "shape:x0y" in found[0].t and not any(t.startswith("shape:") for r in found[1:] for t in r.t)
