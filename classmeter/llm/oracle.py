@@ -106,3 +106,40 @@ SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
        (SELECT min(low) FROM reached r WHERE r.node = e.vec_id) = e.vec_id AS kept
 FROM embeddings e
 """
+
+ORACLE["op11_source_divergence"] = rf"""
+WITH rows AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+places AS (SELECT doc, lang, source, unnest(words) AS term FROM rows),
+kept AS (
+    SELECT lang, term, count(*) AS n FROM places GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+),
+langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+counts AS (
+    SELECT p.lang, p.source, p.term, count(*) AS n FROM places p JOIN kept k ON k.lang = p.lang AND k.term = p.term GROUP BY ALL
+),
+totals AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY lang, source),
+groups AS (SELECT DISTINCT lang, source FROM rows),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+           1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+    FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+    LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+listed AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+           coalesce((SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y ON y.lang = x.lang AND y.term = x.term
+                     WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM listed
+QUALIFY part = 'pair' OR rank <= 50
+"""

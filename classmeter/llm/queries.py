@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from classmeter.llm import bpe, linededup, mixing, neardup, quality, secrets, simhash, topk, toxicity, urlfilter
+from classmeter.llm import bpe, conversations, divergence, linededup, mixing, neardup, quality, secrets, simhash, topk, toxicity, urlfilter
 from classmeter.llm.common import held_out, saved, table
 
 SEED = 7
@@ -86,6 +86,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.audit(rows, conversations.damaged(rows))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -99,5 +108,7 @@ QUERIES = {
         op8_line_dedup,
         op9_secrets,
         op10_url_filter,
+        op11_source_divergence,
+        op12_conversation_repair,
     )
 }
