@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from classmeter.llm import bpe, conversations, divergence, linededup, mixing, neardup, quality, secrets, simhash, topk, toxicity, urlfilter
+from classmeter.llm import bpe, conversations, divergence, linededup, mixing, neardup, pii, quality, secrets, simhash, topk, toxicity, urlfilter
 from classmeter.llm.common import held_out, saved, table
 
 SEED = 7
@@ -95,6 +95,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit(rows, conversations.damaged(rows))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.as_text(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -110,5 +117,6 @@ QUERIES = {
         op10_url_filter,
         op11_source_divergence,
         op12_conversation_repair,
+        op13_personal_data,
     )
 }
