@@ -67,40 +67,31 @@ def passes(kind: str, found: Column) -> Column:
 def _running(lengths: Column) -> Column:
     """The sums before each of `lengths`. Sums of TOGETHER numbers first, as an array that grows is copied each time."""
     blocks = F.ceil(F.size(lengths) / F.lit(TOGETHER)).cast("int")
-    starts = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda b: F.slice(lengths, b * TOGETHER + 1, TOGETHER)
+    places = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
     add = lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
-    sums = F.transform(starts, lambda b: F.aggregate(block(b), F.lit(0), lambda a, n: a + n))
-    before = F.aggregate(sums, F.array(F.lit(0)), add)
-    inside = lambda b: F.aggregate(F.slice(lengths, b * TOGETHER + 1, TOGETHER - 1), F.array(F.get(before, b)), add)
-    return F.flatten(F.transform(starts, inside))
-
-
-def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
-    """The matches of a pattern in order, and what lies before, between and after them."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    sums = F.transform(places, lambda b: F.aggregate(F.slice(lengths, b * TOGETHER + 1, TOGETHER), F.lit(0), lambda a, n: a + n))
+    before = F.slice(F.aggregate(sums, F.array(F.lit(0)), add), 1, blocks)
+    inside = lambda b, start: F.aggregate(F.slice(lengths, b * TOGETHER + 1, TOGETHER - 1), F.array(start), add)
+    return F.slice(F.flatten(F.zip_with(places, before, inside)), 1, F.size(lengths))
 
 
 def _with_matches(rows: DataFrame, text: str, pattern: str) -> DataFrame:
-    """`rows` with the columns found, between and starts (from 0, in code points) for a pattern."""
-    found, between = _matches(F.col(text), pattern)
-    rows = rows.withColumns({"found": found, "between": between})
-    lengths = F.transform("found", lambda m, i: F.char_length(m) + F.char_length(F.get("between", i)))
-    rows = rows.withColumn("lengths", lengths)
-    return rows.withColumn("starts", _running(F.col("lengths"))).drop("lengths")
+    """`rows` with the matches of a pattern in `found`, what lies before, between and after them in `between`, and
+    where they begin (from 0, in code points) in `starts`. Functions over an array see its elements only: an
+    array named inside of one may be worked out again for each element."""
+    rows = rows.withColumns({"found": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "between": F.split(text, pattern, -1)})
+    rows = rows.withColumn("before", F.transform(F.slice("between", 1, F.size("found")), F.char_length))
+    rows = rows.withColumn("lengths", F.zip_with("found", "before", lambda m, n: F.char_length(m) + n))
+    starts = F.zip_with(_running(F.col("lengths")), "before", lambda done, n: done + n)
+    return rows.withColumn("starts", starts).drop("lengths", "before")
 
 
 def base_spans(rows: DataFrame, text: str = "text") -> DataFrame:
     """`rows` with `base`: (kind, start, end) of each base span, by kind and start."""
     for kind in KINDS:
         rows = _with_matches(rows, text, PATTERNS[kind])
-        span = lambda m, i: F.struct(
-            F.lit(kind).alias("kind"),
-            (F.get("starts", i) + F.char_length(F.get("between", i))).alias("start"),
-            (F.get("starts", i) + F.char_length(F.get("between", i)) + F.char_length(m)).alias("end"),
-            passes(kind, m).alias("passes"),
-        )
-        kept = F.filter(F.transform("found", span), lambda s: s["passes"])
+        span = lambda m, at: F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.char_length(m)).alias("end"), passes(kind, m).alias("passes"))
+        kept = F.filter(F.zip_with("found", "starts", span), lambda s: s["passes"])
         plain = F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
         rows = rows.withColumn(f"base_{kind}", plain).drop("found", "between", "starts")
     return rows.withColumn("base", F.concat(*(f"base_{k}" for k in KINDS))).drop(*(f"base_{k}" for k in KINDS))
@@ -150,14 +141,9 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
     rows = _with_matches(rows, "text", RUN).where(F.size("found") > 0)
-    rows = rows.select(F.unhex(F.sha2("text", 256)).alias("text_id"), "found", "between", "starts")
-    item = lambda m, i: F.struct(
-        (F.get("starts", i) + F.char_length(F.get("between", i))).alias("start"),
-        m.alias("run"),
-        F.right(F.get("between", i), F.lit(BESIDE)).alias("left"),
-        F.left(F.get("between", i + 1), F.lit(BESIDE)).alias("right"),
-    )
-    each = rows.select("text_id", F.inline(F.transform("found", item)))
+    beside = lambda first, side: F.transform(F.slice("between", first, F.size("found")), lambda x: side(x, F.lit(BESIDE)))
+    zipped = F.arrays_zip(F.col("starts").alias("start"), F.col("found").alias("run"), beside(1, F.right).alias("left"), beside(2, F.left).alias("right"))
+    each = rows.select(F.unhex(F.sha2("text", 256)).alias("text_id"), F.inline(zipped).alias("start", "run", "left", "right"))
     head, tail = _edge(F.col("run"))
     each = each.withColumns({"head": head, "tail": tail})
     run = F.expr("substring(run, char_length(head) + 1, greatest(char_length(run) - char_length(head) - char_length(tail), 0))")

@@ -22,6 +22,9 @@ COLUMNS = {
     8: ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     9: ["doc_id", "start", "length", "secret_sha256", "label", "score", "predicted"],
     10: ["page_id", "host", "path", "rule", "verdict"],
+    11: ["lang", "source", "part", "item", "value", "rank"],
+    12: ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    13: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
 }
 
 
