@@ -177,15 +177,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col:
 
 
 def one_of_each(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component: one whose id is the component's."""
-    found = near_duplicates(docs, words, max_bits, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    first = found.groupBy(id_col, "fp", "group").agg(F.count(F.lit(1)).alias("n"))
-    first = saved(first.select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp"), F.col("group").alias("_group"), "n"), "representatives")
-    row = docs.select(F.struct("*").alias("row"), fingerprint(F.col(text_col), words).alias("_fp"))
-    met = row.join(first, (row._fp == first._fp) & F.col(f"row.{id_col}").eqNullSafe(F.col("_id"))).select("row", "_group")
-    # Only rows that repeat an id inside a component compete; without such rows nothing is shuffled for it.
-    if not first.groupBy("_group").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
-        met = met.dropDuplicates(["_group"])
+    """`docs` with one row of each component: the one with the smallest id, null last.
+
+    Of rows that repeat that id inside the component it is the one whose digest
+    (SHA-256 of the row as JSON) is smallest; rows with one digest are equal, and
+    one of them stays. So the result does not depend on partitions. Texts are
+    hashed once. Representatives are picked by partial minima of each fingerprint
+    before anything is joined by fingerprint, so copies meet in no task.
+    """
+    row = F.struct("*")
+    marked = docs.select(F.col(id_col).alias("id"), F.sha2(F.to_json(row), 256).alias("digest"), row.alias("row"))
+    prints = saved(marked.select("id", "digest", fingerprint(F.col(f"row.{text_col}"), words).alias("fp")), "fingerprints")
+    best = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
+    lows = saved(prints.groupBy("fp").agg(F.min(best).alias("best")), "fingerprint-firsts")
+    first = lows.join(classes(prints.select("id", "fp"), max_bits), "fp").groupBy("group").agg(F.min("best").alias("best"))
+    first = saved(first.select(F.col("best.digest").alias("digest")), "representatives")
+    met = marked.join(first, "digest")
+    # Without equal rows nothing is shuffled for them.
+    repeated = prints.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.join(first, "digest", "left_semi").isEmpty():
+        met = met.dropDuplicates(["digest"])
     return met.select("row.*")
 
 

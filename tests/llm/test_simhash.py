@@ -1,3 +1,5 @@
+import hashlib
+import json
 import random
 
 import numpy as np
@@ -114,6 +116,21 @@ def test_near_duplicates(edge_docs):
     assert len({group[prints[r.doc_id, r.text]] for r in kept}) == len(kept)
 
 
+def test_the_one_kept_does_not_depend_on_partitions(spark):
+    """Rows that repeat an id inside a component, also with other texts, and equal rows."""
+    rows = [(1, "a b", "x"), (1, "A B", "x"), (2, "a b", "x"), (1, "a b", "x"), (None, "a b", None), (5, "c d", None), (5, "C D", None), (5, "c d", "y"), (None, "e", "x"), (None, "E", "x"), (7, None, None), (3, "", "z")]
+    schema = "doc_id long, text string, source string"
+    frame = spark.createDataFrame(rows, schema)
+    digest = lambda r: hashlib.sha256(json.dumps({k: v for k, v in zip(("doc_id", "text", "source"), r) if v is not None}, separators=(",", ":")).encode()).hexdigest()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[1] or "").lower(), []).append(r)
+    want = sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0, digest(r))) for g in groups.values()), key=str)
+    for n in (1, 2, 3, 5, 7):
+        got = simhash.one_of_each(frame.repartition(n), max_bits=0)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
 def test_without_documents(no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
     assert simhash.one_of_each(no_docs).collect() == []
