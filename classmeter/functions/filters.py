@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timedelta, timezone
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from typing import Any
 
@@ -33,21 +34,44 @@ def local_date(time: Column, zone: str | None = None) -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), time.cast("timestamp_ntz")))
 
 
+def _offsets(df: DataFrame, zone: str, day: date) -> tuple[int, int]:
+    """The smallest and the largest offset from UTC, in seconds, that a zone has in the days around `day`."""
+    time = df.sparkSession._jvm.java.time
+    rules = time.ZoneId.of(zone).getRules()
+    midnight = int(datetime(day.year, day.month, day.day, tzinfo=timezone.utc).timestamp())
+    at, last = time.Instant.ofEpochSecond(midnight - 2 * 86_400), midnight + 2 * 86_400
+    found = [rules.getOffset(at).getTotalSeconds()]
+    while (change := rules.nextTransition(at)) is not None and change.getInstant().getEpochSecond() <= last:
+        at = change.getInstant()
+        found.append(change.getOffsetAfter().getTotalSeconds())
+    return min(found), max(found)
+
+
 def dates_between(
     df: DataFrame, time: Column, first: str | None, last: str | None, zone: str | None = None
 ) -> DataFrame:
     """Both ends included.
 
-    Without a zone the bounds compare with the time itself, so they reach the
-    parquet scan; a date function on the column would not.
+    The bounds compare with the time itself, so they reach the parquet scan; a
+    date function on the column would not. Without a zone they are the whole
+    predicate. With one, they are the first and last instants that can have such
+    a date by the offsets around it. Where clocks go back over midnight a date
+    comes twice, so the local date is compared as well, on what the scan leaves.
     """
+    days = {name: date.fromisoformat(str(value)[:10]) if given(value) else None for name, value in (("first", first), ("last", last))}
+    bound = lambda day, seconds: F.lit(datetime(day.year, day.month, day.day) + timedelta(seconds=seconds)).cast("timestamp_ntz")
+    if days["first"]:
+        ahead = _offsets(df, zone, days["first"])[1] if zone else 0
+        df = df.filter(time >= bound(days["first"], -ahead))
+    if days["last"]:
+        end = days["last"] + timedelta(days=1)
+        behind = _offsets(df, zone, end)[0] if zone else 0
+        df = df.filter(time < bound(end, -behind))
     if zone is None:
-        df = where_given(df, first, lambda d: time >= F.lit(d).cast("date").cast("timestamp_ntz"))
-        end = lambda d: F.date_add(F.lit(d).cast("date"), 1).cast("timestamp_ntz")
-        return where_given(df, last, lambda d: time < end(d))
-    date = local_date(time, zone)
-    df = where_given(df, first, lambda d: date >= F.lit(d).cast("date"))
-    return where_given(df, last, lambda d: date <= F.lit(d).cast("date"))
+        return df
+    local = local_date(time, zone)
+    df = where_given(df, days["first"], lambda d: local >= F.lit(d))
+    return where_given(df, days["last"], lambda d: local <= F.lit(d))
 
 
 def scores_between(

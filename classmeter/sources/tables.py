@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Collection, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from classmeter.functions.numbering import number_within
+from classmeter.sources.commits import CommitLog
 from classmeter.sources.schemas import DEFAULTS, SCHEMAS
 
 
@@ -47,23 +49,56 @@ def typed(df: DataFrame, relation: str) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[relation]))
 
 
-def load(spark: SparkSession, path: str) -> Tables:
-    """Read a snapshot: one parquet folder per relation, with the declared schemas."""
+def _versions(spark: SparkSession, path: str) -> CommitLog:
+    return CommitLog(spark, f"{path}/_versions")
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> Tables:
+    """Read a snapshot, by default the last one written whole, with the declared schemas.
+
+    A folder without version records holds one parquet folder per relation.
+    """
+    log = _versions(spark, path)
+    version = log.last() if version is None else version
+    folders = {relation: relation for relation in SCHEMAS} if version is None else log.read(version)
 
     def reader(relation: str) -> Callable[[], DataFrame]:
-        return lambda: spark.read.schema(SCHEMAS[relation]).parquet(f"{path}/{relation}")
+        return lambda: spark.read.schema(SCHEMAS[relation]).parquet(f"{path}/{folders[relation]}")
 
     return Tables({relation: reader(relation) for relation in SCHEMAS})
 
 
-def write_snapshot(t: Tables, path: str) -> None:
-    """Full refresh: every relation replaces its folder under `path`.
+def write_snapshot(t: Tables, path: str, changed: Collection[str] | None = None) -> int:
+    """Write the next version of all relations, or of the `changed` ones, and return its number.
 
-    Write to a new path and switch readers to it afterwards; a half-written
-    folder is then never read, and a repeated write gives the same files.
+    Every relation goes to a folder of its own. The record that names all
+    fifteen is written last, so a refresh that stops before is read as the
+    version before it. Folders of older versions stay until `drop_versions`.
     """
+    spark = t[next(iter(SCHEMAS))].sparkSession
+    log = _versions(spark, path)
+    last = log.last()
+    version = 1 if last is None else last + 1
+    folders = {} if last is None else log.read(last)
     for relation in SCHEMAS:
-        typed(t[relation], relation).write.mode("overwrite").parquet(f"{path}/{relation}")
+        if changed is None or relation in changed or relation not in folders:
+            folders[relation] = f"{relation}/{version}-{uuid.uuid4().hex}"
+            typed(t[relation], relation).write.parquet(f"{path}/{folders[relation]}")
+    log.write(version, folders)
+    return version
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the last `keep` versions, with the folders that only they name."""
+    log = _versions(spark, path)
+    numbers = log.numbers()
+    cut = max(0, len(numbers) - max(1, keep))
+    held = {folder for number in numbers[cut:] for folder in log.read(number).values()}
+    for number in numbers[:cut]:
+        gone = set(log.read(number).values()) - held
+        log.forget(number)
+        for folder in gone:
+            log.remove_folder(f"{path}/{folder}")
 
 
 def register(spark: SparkSession, t: Tables) -> list[str]:

@@ -1,13 +1,15 @@
 """Streaming forms of the insert-time rules.
 
-Sinks write one folder per micro-batch and replace it when the batch is
-repeated, so a restart after a lost executor or driver leaves no duplicates.
-Folders are read back with a declared schema, so a stream without output reads
-as an empty table.
+Every stream writes folders per micro-batch and one commit record for all of
+them (see `batches`), so a restart after a lost executor or driver leaves no
+duplicates, and a reader sees a batch whole or not at all. Folders are read back
+with a declared schema, so a stream without output reads as an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -15,11 +17,13 @@ from classmeter.functions.numbering import number_within
 from classmeter.operators.quality import feedback_missing, score_outside
 from classmeter.operators.writes import PAIR, alert_rows, running_problem_counts
 from classmeter.sources.schemas import SCHEMAS
+from classmeter.streaming.batches import Batches, State
 
 ALERTS = T.StructType().add("noti_id", "long").add("send_time", "timestamp_ntz").add("receiver_id", "long")
 LAST_ID = T.StructType().add("noti_id", "long")
 COUNTS = T.StructType().add("user_id", "long").add("problems_created", "long")
-GATE = T.StructType([*SCHEMAS["attempt"], T.StructField("outcome", T.StringType())])
+ATTEMPT = T.StructType([*SCHEMAS["attempt"]])
+QUARANTINE = T.StructType([*ATTEMPT, T.StructField("outcome", T.StringType())])
 LAST_NUMBER = T.StructType().add("student_id", "long").add("problem_id", "long").add("attempt_no", "integer")
 NUMBERED = T.StructType().add("student_id", "long").add("problem_id", "long").add(
     "score", "decimal(5,2)"
@@ -30,22 +34,30 @@ def _started(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _finished(spark: SparkSession, folder: str) -> bool:
-    """Whether a write to `folder` was completed; a folder alone may be half written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def _each(batches: Batches, run: Callable[[DataFrame, int], dict]) -> Callable[[DataFrame, int], None]:
+    """Run and commit each batch that is not committed yet."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if not batches.done(batch_id):
+            batches.commit(batch_id, run(batch, batch_id))
 
+    return write
 
-def _read(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(folder).select(*schema.names)
 
+def _last_id(notification: DataFrame) -> int:
+    return notification.agg(F.coalesce(F.max("noti_id"), F.lit(0)).cast("long")).first()[0]
 
-def _begun(spark: SparkSession, folder: str, schema: T.StructType, first: DataFrame | None = None) -> None:
-    """Write batch -1, once: what a stream starts from, or nothing."""
-    start = f"{folder}/batch=-1"
-    if not _finished(spark, start):
-        first = spark.createDataFrame([], schema) if first is None else first
-        first.write.mode("overwrite").parquet(start)
+
+def _alerts(batches: Batches, good: DataFrame, batch_id: int, last: int, mark: int, now: Column | None) -> int:
+    """Write the alerts of a batch; the last id after it."""
+    before = batches.spark.createDataFrame([(last,)], LAST_ID)
+    rows = alert_rows(good, before, mark).select(
+        "noti_id",
+        (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("send_time"),
+        F.col("student_id").alias("receiver_id"),
+    )
+    done = batches.write(rows, "alerts", batch_id, ALERTS)
+    return max(last, _last_id(done))
 
 
 def high_score_stream(
@@ -59,74 +71,102 @@ def high_score_stream(
     """Write an alert (noti_id, send_time, receiver_id) for each good new attempt.
 
     Ids go on from `notification`, which is looked up once, when the stream is
-    first started. The last id is noted per batch, and a batch starts from the
-    note of the batch before it, so a repeat gives the same.
+    first started. The last id stands in the record of each batch, and a batch
+    starts from the record before it, so a repeat gives the same.
     """
-    spark = attempts.sparkSession
-    alerts, notes = f"{out}/alerts", f"{out}/last_id"
-    first = notification.agg(F.coalesce(F.max("noti_id"), F.lit(0)).cast("long").alias("noti_id"))
-    _begun(spark, notes, LAST_ID, first)
-    _begun(spark, alerts, ALERTS)
+    batches = Batches(attempts.sparkSession, out)
+    batches.begin(lambda: {"noti_id": _last_id(notification)})
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = _read(spark, f"{notes}/batch={batch_id - 1}", LAST_ID)
-        rows = alert_rows(batch, before, mark).select(
-            "noti_id",
-            (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("send_time"),
-            F.col("student_id").alias("receiver_id"),
-        )
-        rows.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
-        last = _read(spark, f"{alerts}/batch={batch_id}", ALERTS).select("noti_id").union(before)
-        last.agg(F.max("noti_id").alias("noti_id")).write.mode("overwrite").parquet(
-            f"{notes}/batch={batch_id}"
-        )
+    def run(batch: DataFrame, batch_id: int) -> dict:
+        return {"noti_id": _alerts(batches, batch, batch_id, batches.before(batch_id)["noti_id"], mark, now)}
 
-    return _started(attempts.writeStream.foreachBatch(write), checkpoint)
+    return _started(attempts.writeStream.foreachBatch(_each(batches, run)), checkpoint)
 
 
 def read_alerts(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """(notification rows, receive rows) written by `high_score_stream`."""
-    rows = _read(spark, f"{out}/alerts", ALERTS)
+    rows = Batches(spark, out).read("alerts", ALERTS)
     return rows.select("noti_id", "send_time"), rows.select("receiver_id", "noti_id")
 
 
+def _counts(batches: Batches) -> State:
+    return State(batches, "counts", ["user_id"], "problems_created", COUNTS)
+
+
 def problem_count_stream(problems: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Running number of inserted problems per author; a batch writes the changed ones only."""
-    _begun(problems.sparkSession, out, COUNTS)
+    """Running number of inserted problems per author; a batch adds the changed ones to a state of bounded runs."""
+    batches = Batches(problems.sparkSession, out)
+    batches.begin(lambda: {"runs": []})
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def run(batch: DataFrame, batch_id: int) -> dict:
+        return {"runs": _counts(batches).add(batches.before(batch_id)["runs"], batch, batch_id)}
 
     counts = running_problem_counts(problems)
-    return _started(counts.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+    return _started(counts.writeStream.outputMode("update").foreachBatch(_each(batches, run)), checkpoint)
 
 
 def read_problem_counts(spark: SparkSession, out: str) -> DataFrame:
     """The newest count of each author; counts never fall."""
-    rows = _read(spark, out, COUNTS).groupBy("user_id")
-    return rows.agg(F.max("problems_created").alias("problems_created"))
+    batches = Batches(spark, out)
+    last = batches.log.last()
+    state = _counts(batches)
+    return state.largest(state.read([] if last is None else batches.log.read(last)["runs"]))
 
 
-def stream_quality_gate(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write each attempt with its outcome: `valid`, or the rule it breaks."""
-    _begun(attempts.sparkSession, out, GATE)
+def _judged(batch: DataFrame) -> DataFrame:
     holds = lambda rule: F.coalesce(rule, F.lit(False))
     outcome = (
         F.when(holds(feedback_missing()), "feedback required")
         .when(holds(score_outside()), "score out of range")
         .otherwise("valid")
     )
+    return batch.select(*ATTEMPT.names).withColumn("outcome", outcome)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        judged = batch.select(*(f.name for f in SCHEMAS["attempt"])).withColumn("outcome", outcome)
-        judged.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return _started(attempts.writeStream.foreachBatch(write), checkpoint)
+def stream_quality_gate(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Valid attempts into one sink, the others with the rule they break into a quarantine."""
+    batches = Batches(attempts.sparkSession, out)
+    batches.begin(dict)
+
+    def run(batch: DataFrame, batch_id: int) -> dict:
+        judged = _judged(batch)
+        batches.write(judged.filter("outcome = 'valid'"), "valid", batch_id, ATTEMPT)
+        batches.write(judged.filter("outcome <> 'valid'"), "quarantine", batch_id, QUARANTINE)
+        return {}
+
+    return _started(attempts.writeStream.foreachBatch(_each(batches, run)), checkpoint)
+
+
+def read_valid(spark: SparkSession, out: str) -> DataFrame:
+    """The attempts that passed `stream_quality_gate`."""
+    return Batches(spark, out).read("valid", ATTEMPT)
+
+
+def read_quarantine(spark: SparkSession, out: str) -> DataFrame:
+    """The attempts that a gate refused, with the rule that each breaks."""
+    return Batches(spark, out).read("quarantine", QUARANTINE)
 
 
 def read_gate(spark: SparkSession, out: str) -> DataFrame:
-    """The attempts and outcomes written by `stream_quality_gate`."""
-    return _read(spark, out, GATE)
+    """Both sinks of `stream_quality_gate`, with the outcome of each attempt."""
+    return read_valid(spark, out).withColumn("outcome", F.lit("valid")).union(read_quarantine(spark, out))
+
+
+def _numbers(batches: Batches) -> State:
+    return State(batches, "last_number", PAIR, "attempt_no", LAST_NUMBER)
+
+
+def _numbered(batches: Batches, batch: DataFrame, batch_id: int, runs: list[str]) -> tuple[DataFrame, list[str]]:
+    """(the numbered attempts of a batch, as written; the runs after it)."""
+    score = F.col("score").cast("decimal(5,2)").alias("score")
+    order = [F.asc_nulls_last("submit_time"), F.asc("score")]
+    rows = number_within(batch.select(*PAIR, score, "submit_time"), PAIR, order, "_n")
+    state = _numbers(batches)
+    before = state.largest(state.read(runs, rows.select(*PAIR).distinct())).withColumnRenamed("attempt_no", "_before")
+    number = (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int").alias("attempt_no")
+    done = rows.join(before, PAIR, "left").select(*PAIR, "score", "submit_time", number)
+    done = batches.write(done, "attempts", batch_id, NUMBERED)
+    return done, state.add(runs, done, batch_id)
 
 
 def numbering_stream(
@@ -136,39 +176,51 @@ def numbering_stream(
 
     A micro-batch is numbered in time order by the batch operator, however many
     of its rows are of one pair, and its numbers go on from those of the
-    batches before. A narrow table holds the last number of each pair: `last`
-    (student_id, problem_id, attempt_no) is aggregated into it once, when the
-    stream is first started, and a batch adds the pairs it changed and looks up
-    only its own.
+    batches before. A narrow state holds the last number of each pair: `last`
+    (student_id, problem_id, attempt_no) becomes its base once, when the stream
+    is first started, and a batch reads the buckets of its own pairs.
     """
-    spark = scored.sparkSession
-    numbers, attempts = f"{out}/last_number", f"{out}/attempts"
-    known = None
-    if last is not None:
-        known = last.groupBy(*PAIR).agg(F.max("attempt_no").cast("int").alias("attempt_no"))
-        known = known.select(*LAST_NUMBER.names)
-    _begun(spark, numbers, LAST_NUMBER, known)
-    _begun(spark, attempts, NUMBERED)
+    batches = Batches(scored.sparkSession, out)
+    batches.begin(lambda: {"runs": [] if last is None else [_numbers(batches).write_run(last, -1, "base")]})
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        score = F.col("score").cast("decimal(5,2)").alias("score")
-        order = [F.asc_nulls_last("submit_time"), F.asc("score")]
-        rows = number_within(batch.select(*PAIR, score, "submit_time"), PAIR, order, "_n")
-        earlier = _read(spark, numbers, T.StructType([*LAST_NUMBER, T.StructField("batch", T.IntegerType())]))
-        earlier = earlier.filter(F.col("batch") < batch_id).select(*LAST_NUMBER.names)
-        earlier = earlier.join(rows.select(*PAIR).distinct(), PAIR, "left_semi")
-        before = earlier.groupBy(*PAIR).agg(F.max("attempt_no").alias("_before"))
-        number = (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int").alias("attempt_no")
-        done = rows.join(before, PAIR, "left").select(*PAIR, "score", "submit_time", number)
-        done.write.mode("overwrite").parquet(f"{attempts}/batch={batch_id}")
-        changed = _read(spark, f"{attempts}/batch={batch_id}", NUMBERED).groupBy(*PAIR)
-        changed.agg(F.max("attempt_no").alias("attempt_no")).write.mode("overwrite").parquet(
-            f"{numbers}/batch={batch_id}"
-        )
-
-    return _started(scored.writeStream.foreachBatch(write), checkpoint)
+    def run(batch: DataFrame, batch_id: int) -> dict:
+        return {"runs": _numbered(batches, batch, batch_id, batches.before(batch_id)["runs"])[1]}
+
+    return _started(scored.writeStream.foreachBatch(_each(batches, run)), checkpoint)
 
 
 def read_numbered(spark: SparkSession, out: str) -> DataFrame:
-    """The attempts written by `numbering_stream`."""
-    return _read(spark, f"{out}/attempts", NUMBERED)
+    """The attempts written by `numbering_stream` or `intake_stream`."""
+    return Batches(spark, out).read("attempts", NUMBERED)
+
+
+def intake_stream(
+    attempts: DataFrame,
+    out: str,
+    checkpoint: str,
+    notification: DataFrame,
+    last: DataFrame | None = None,
+    mark: int = 90,
+    now: Column | None = None,
+) -> StreamingQuery:
+    """All insert rules in a row: gate, numbers for what passes it, alerts for good scores.
+
+    Three sinks (`read_numbered`, `read_quarantine`, `read_alerts`) and the state
+    of the numbers are committed together for each batch.
+    """
+    batches = Batches(attempts.sparkSession, out)
+    batches.begin(
+        lambda: {
+            "noti_id": _last_id(notification),
+            "runs": [] if last is None else [_numbers(batches).write_run(last, -1, "base")],
+        }
+    )
+
+    def run(batch: DataFrame, batch_id: int) -> dict:
+        before = batches.before(batch_id)
+        judged = _judged(batch)
+        batches.write(judged.filter("outcome <> 'valid'"), "quarantine", batch_id, QUARANTINE)
+        done, runs = _numbered(batches, judged.filter("outcome = 'valid'"), batch_id, before["runs"])
+        return {"noti_id": _alerts(batches, done, batch_id, before["noti_id"], mark, now), "runs": runs}
+
+    return _started(attempts.writeStream.foreachBatch(_each(batches, run)), checkpoint)

@@ -7,6 +7,7 @@ from classmeter.operators import quality, writes
 from classmeter.session import shared_folder
 from classmeter.sources.schemas import SCHEMAS
 from classmeter.streaming import streams
+from classmeter.streaming.batches import Batches
 from conftest import rows
 
 
@@ -107,12 +108,82 @@ def test_streams_without_output_read_as_empty(spark, seed):
     assert streams.read_gate(spark, f"{out}/g").count() == 0
 
 
-def test_a_half_written_start_is_written_again(spark, seed, inserted):
+def test_a_start_that_was_not_committed_is_made_again(spark, seed, inserted):
     out = shared_folder(spark, "half")
-    start = f"{out}/o/last_id/batch=-1"
-    seed.notification.select("noti_id").limit(0).write.parquet(start)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{start}/_SUCCESS")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
-    streams.high_score_stream(stream(spark, inserted), seed.notification, f"{out}/o", f"{out}/c").awaitTermination()
-    sent, _ = streams.read_alerts(spark, f"{out}/o")
-    assert sorted(r[0] for r in rows(sent)) == list(range(11, 16))
+    seed.attempt.limit(3).select("student_id", "problem_id", "attempt_no").write.parquet(f"{out}/o/last_number/base--1/_bucket=0")
+    found = rows(numbered(spark, inserted, out, seed.attempt.limit(0)).select("student_id", "problem_id", "attempt_no"))
+    assert sorted(found) == sorted(rows(seed.attempt.select("student_id", "problem_id", "attempt_no")))
+
+
+def test_a_batch_that_stops_between_two_sinks(spark, seed, inserted, monkeypatch):
+    """Nothing of the batch is seen, then all of it, once."""
+    out = shared_folder(spark, "stopped")
+    start = lambda: streams.intake_stream(stream(spark, inserted), f"{out}/o", f"{out}/c", seed.notification)
+    alerts = streams._alerts
+    done = []
+
+    def stop(batches, good, batch_id, *rest):
+        if batch_id == 1 and not done:
+            done.append(batch_id)
+            raise RuntimeError("lost")
+        return alerts(batches, good, batch_id, *rest)
+
+    monkeypatch.setattr(streams, "_alerts", stop)
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    counts = lambda: [streams.read_numbered(spark, f"{out}/o").count(), streams.read_alerts(spark, f"{out}/o")[0].count()]
+    first = counts()
+    assert first[0] == 5 and Batches(spark, f"{out}/o").log.last() == 0
+    start().awaitTermination()
+    assert counts() == [13, writes.alert_rows(seed.attempt, seed.notification).count()]
+    want = rows(seed.attempt.select("student_id", "problem_id", "attempt_no", "score"))
+    assert sorted(rows(streams.read_numbered(spark, f"{out}/o").select("student_id", "problem_id", "attempt_no", "score"))) == sorted(want)
+    ids = [r[0] for r in rows(streams.read_alerts(spark, f"{out}/o")[0])]
+    assert sorted(ids) == list(range(11, 11 + len(ids)))
+
+
+def test_intake_quarantines(spark, seed, inserted):
+    out = shared_folder(spark, "intake")
+    broken = stream(spark, inserted).withColumn("score", F.when(F.col("student_id") == 5, F.col("score") + 50).otherwise(F.col("score")))
+    streams.intake_stream(broken, f"{out}/o", f"{out}/c", seed.notification).awaitTermination()
+    refused = streams.read_quarantine(spark, f"{out}/o")
+    assert refused.count() + streams.read_numbered(spark, f"{out}/o").count() == 13
+    assert {r.outcome for r in refused.collect()} == {"score out of range"}
+    # A refused row takes no number.
+    assert streams.read_numbered(spark, f"{out}/o").where("student_id = 5").count() == seed.attempt.where("student_id = 5").count() - refused.count()
+
+
+def test_batches_do_not_slow_down(spark):
+    """Over many batches the files that one reads stay as few, and the numbers as right, as at first."""
+    out = shared_folder(spark, "many")
+    batches = Batches(spark, out)
+    batches.begin(lambda: {"runs": []})
+    files, total = [], {}
+    for n in range(20):
+        record = batches.before(n)
+        pairs = [(n % 3, 7), (n, 8)]
+        rows_ = spark.createDataFrame([(*p, None, None) for p in pairs], "student_id long, problem_id long, score decimal(5,2), submit_time timestamp_ntz")
+        state = streams._numbers(batches)
+        files.append(len(state.read(record["runs"], rows_.select("student_id", "problem_id").distinct()).inputFiles()) if record["runs"] else 0)
+        done, runs = streams._numbered(batches, rows_, n, record["runs"])
+        batches.commit(n, {"runs": runs})
+        for pair in pairs:
+            total[pair] = total.get(pair, 0) + 1
+            assert done.where(f"student_id = {pair[0]} AND problem_id = {pair[1]}").first().attempt_no == total[pair]
+        assert len(batches.log.numbers()) <= 2
+    assert max(files[12:]) <= max(files[:12]) + 16
+    assert len(runs) <= 9
+    last = {tuple(r)[:2]: r[2] for r in state.largest(state.read(runs)).collect()}
+    assert last == total
+
+
+def test_counts_hold_a_row_for_each_author(spark, seed):
+    out = shared_folder(spark, "authors")
+    batches = Batches(spark, out)
+    batches.begin(lambda: {"runs": []})
+    for n in range(20):
+        changed = spark.createDataFrame([(1, n + 1), (n, 1)], "user_id long, problems_created long")
+        batches.commit(n, {"runs": streams._counts(batches).add(batches.before(n)["runs"], changed, n)})
+    runs = batches.log.read(19)["runs"]
+    assert streams._counts(batches).read(runs).count() <= 20 + 2 * 8
+    assert dict(rows(streams.read_problem_counts(spark, out))) == {**{n: 1 for n in range(20)}, 1: 20}

@@ -1,6 +1,7 @@
 """Snapshots, defaults, ids, text form, numbering."""
 
 import datetime
+import zoneinfo
 import random
 
 import pytest
@@ -25,6 +26,7 @@ def test_snapshot_round_trip(spark, seed):
         assert sorted(map(str, rows(back[name]))) == sorted(map(str, rows(tables.typed(seed[name], name))))
     names = tables.register(spark, back)
     assert len(names) == 18
+    assert tables.CommitLog(spark, f"{path}/_versions").numbers() == [1, 2]
     assert spark.sql("SELECT max(total_attempts) FROM studentperformancesummary").collect()[0][0] == 4
 
 
@@ -134,6 +136,82 @@ def test_text_form(spark):
     assert rows(tables.as_text(frame)) == [(str(t), "True", "7") for t in times]
 
 
+@pytest.mark.parametrize("stopped_at", ["user", "attempt", "receive"])
+def test_a_refresh_that_stops_is_read_as_the_old_version(spark, seed, stopped_at):
+    path = shared_folder(spark, "stopped")
+    tables.write_snapshot(seed, path)
+
+    def lost():
+        raise RuntimeError("lost")
+
+    emptied = {name: seed[name].limit(0) for name in SCHEMAS}
+    broken = tables.Tables({**{n: (lambda n=n: emptied[n]) for n in SCHEMAS}, stopped_at: lost})
+    with pytest.raises(RuntimeError):
+        tables.write_snapshot(broken, path)
+    back = tables.load(spark, path)
+    for name in SCHEMAS:
+        assert back[name].count() == seed[name].count()
+
+
+def test_versions(spark, seed):
+    path = shared_folder(spark, "versions")
+    assert tables.write_snapshot(seed, path) == 1
+    assert tables.write_snapshot(seed.replace(topic=seed.topic.limit(1)), path, changed=["topic"]) == 2
+    assert tables.write_snapshot(seed.replace(topic=seed.topic.limit(2)), path, changed=["topic"]) == 3
+    assert [tables.load(spark, path, v).topic.count() for v in (1, 2, 3)] == [seed.topic.count(), 1, 2]
+    tables.drop_versions(spark, path, keep=1)
+    back = tables.load(spark, path)
+    assert back.topic.count() == 2 and back.attempt.count() == seed.attempt.count()
+    with pytest.raises(Exception):
+        tables.load(spark, path, 1)
+    with pytest.raises(FileExistsError):
+        tables.CommitLog(spark, f"{path}/_versions").write(3, {})
+
+
+def test_folders_without_versions_are_read(spark, seed):
+    path = shared_folder(spark, "plain")
+    tables.typed(seed.topic, "topic").write.parquet(f"{path}/topic")
+    assert tables.load(spark, path).topic.count() == seed.topic.count()
+
+
+# Days of change: an ordinary one, one at midnight in both ways, half an hour, and a day left out.
+@pytest.mark.parametrize(
+    "zone, day",
+    [
+        ("America/Los_Angeles", "2024-03-10"),
+        ("America/Los_Angeles", "2024-11-03"),
+        ("America/Sao_Paulo", "2018-02-18"),
+        ("America/Sao_Paulo", "2018-11-04"),
+        ("Australia/Lord_Howe", "2024-04-07"),
+        ("Pacific/Apia", "2011-12-30"),
+        ("UTC", "2024-01-01"),
+    ],
+)
+def test_local_dates_around_changes(spark, zone, day):
+    start = datetime.datetime.fromisoformat(day) - datetime.timedelta(days=3)
+    times = [start + datetime.timedelta(minutes=20 * i, seconds=s) for i in range(72 * 6) for s in (0, 1199)]
+    table = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    dates = [t.replace(tzinfo=datetime.timezone.utc).astimezone(zoneinfo.ZoneInfo(zone)).date().isoformat() for t in times]
+    days = sorted({(datetime.date.fromisoformat(day) + datetime.timedelta(days=d)).isoformat() for d in range(-1, 2)})
+    for first, last in [(d, None) for d in days] + [(None, d) for d in days] + [(d, d) for d in days]:
+        want = [t for t, d in zip(times, dates) if (first is None or d >= first) and (last is None or d <= last)]
+        got = filters.dates_between(table, F.col("t"), first, last, zone)
+        assert sorted(r.t for r in got.collect()) == want
+
+
+def test_local_dates_reach_the_scan(spark, seed):
+    path = shared_folder(spark, "pushed")
+    seed.attempt.write.parquet(path)
+    found = filters.dates_between(spark.read.parquet(path), F.col("submit_time"), "2024-03-02", "2024-03-05", "America/Los_Angeles")
+    setting = "spark.sql.maxMetadataStringLength"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "5000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(setting, before)
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(submit_time,2024-03-02T08:00" in pushed and "LessThan(submit_time,2024-03-06T08:00" in pushed
+
+
 def test_filters(spark, seed):
     names = spark.createDataFrame([("50% off_x",), ("50 percent",)], "n string")
     assert names.filter(filters.contains_text(F.col("n"), "0% OFF_")).count() == 1

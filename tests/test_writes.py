@@ -256,6 +256,40 @@ def test_ask(spark, seed):
     assert rows(questions.ask(spark, seed, nested)) == [("6",)]
     named = "SELECT k FROM attempt JOIN studentperformancesummary ON user_id = student_id, (WITH x AS (SELECT 1 AS k) SELECT * FROM x) y LIMIT 1"
     assert rows(questions.ask(spark, seed, named)) == [("1",)]
+    outer = "SELECT k FROM (WITH x AS (SELECT 1 AS k), y AS (SELECT k + 1 AS k FROM x) SELECT * FROM y WHERE k IN (SELECT k + 1 FROM x)) z"
+    assert rows(questions.ask(spark, seed, outer)) == [("2",)]
+    many = ", ".join(f"c{i} AS (SELECT {i} + (SELECT n FROM c{i - 1}) AS n)" for i in range(1, 40))
+    assert rows(questions.ask(spark, seed, f"SELECT n FROM (WITH c0 AS (SELECT 0 AS n), {many} SELECT n FROM c39) x")) == [("780",)]
+    lateral = "SELECT count(*) AS n FROM topic t, LATERAL (SELECT t.topic_name AS n FROM topic LIMIT 1) l, range(2)"
+    assert rows(questions.ask(spark, seed, lateral)) == [(str(2 * seed.topic.count()),)]
+
+
+@pytest.fixture
+def vault(spark):
+    spark.range(1).withColumnRenamed("id", "a").createOrReplaceTempView("vault")
+    yield
+    spark.catalog.dropTempView("vault")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select v.a from vault v where exists (with vault as (select 1 as b) select b from vault)",
+        "select * from (with vault as (select 1 as b) select b from vault) x, vault v",
+        "select * from (with vault as (select * from vault) select * from vault) x",
+        "select * from (with x as (select * from y), y as (select 1 as k) select * from x) z",
+        "select * from topic t, lateral (select a from vault) l",
+        "select (select max(a) from (select a from (select a from vault) p) q) from topic",
+        "select * from identifier('vault')",
+        "select * from identifier('va' || 'ult') v",
+        "select 1 from topic union all select a from vault",
+        "select * from topic where topic_name in (select string(a) from vault)",
+        "select * from (with " + ", ".join(f"c{i} as (select 1 as n)" for i in range(40)) + " select a from vault) x",
+    ],
+)
+def test_ask_follows_scopes(spark, seed, vault, sql):
+    with pytest.raises(PermissionError, match="not a relation"):
+        questions.ask(spark, seed, sql)
 
 
 @pytest.mark.parametrize(
