@@ -27,7 +27,7 @@ STATISTICS = (
     "log_bytes", "log_words", "log_lines", "upper", "lower", "digits", "blanks", "stops", "symbols", "wide",
     "entropy", "word_length", "word_length_spread", "short_words", "long_words", "plain_words", "capital_words",
     "different_words", "top_word", "top_ten_words", "different_pairs", "different_lines", "line_length", "words_per_stop",
-    "different_words_head",
+    "different_words_near",
 )
 
 # Class of every byte: 0 upper, 1 lower, 2 digit, 3 blank, 4 stop or comma, 5 other sign, 6 part of a wider character.
@@ -35,8 +35,8 @@ _CLASS = np.full(256, 5, np.uint8)
 for _class, _bytes in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\n\x0b\f\r", b".,;:!?")):
     _CLASS[list(_bytes)] = _class
 _CLASS[128:] = 6
-# Words whose variety is also measured by itself, as variety falls with length.
-_HEAD = 200
+# Words in a block whose variety is measured by itself, as variety falls with length; all blocks count.
+_NEAR = 200
 
 
 def statistics(text: bytes | None) -> list[float]:
@@ -55,13 +55,14 @@ def statistics(text: bytes | None) -> list[float]:
     counts = Counter(words)
     top = [c for _, c in counts.most_common(10)]
     lines = raw.split(b"\n")
+    blocks = [words[i : i + _NEAR] for i in range(0, n, _NEAR)]
     return [
         np.log1p(len(raw)), np.log1p(n), np.log1p(len(lines)), *shares.tolist(),
         -(used * np.log2(used)).sum(), lengths.mean(), lengths.std(), (lengths <= 3).mean(), (lengths > 12).mean(),
         ((kinds == 1) | (kinds == 6)).all(axis=1).mean(), (kinds[:, 0] == 0).mean(),
         len(counts) / n, top[0] / n, sum(top) / n, len(set(zip(words, words[1:]))) / n,
         len(set(lines)) / len(lines), len(raw) / len(lines), n / (1 + raw.count(b".")),
-        len(set(words[:_HEAD])) / min(n, _HEAD),
+        sum(len(set(near)) / len(near) for near in blocks) / len(blocks),
     ]
 
 
@@ -98,11 +99,13 @@ class Trees:
 
 
 def fit_trees(
-    x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: int = 64, rate: float = 0.1, smooth: float = 1.0, least: float = 1.0
-) -> Trees:
-    """Boosted trees of the logistic loss. Without both labels there are no trees, and the score is the share of label 1
+    x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bins: int = 64, rate: float = 0.1, smooth: float = 1.0, least: float = 1.0,
+    weight: np.ndarray | None = None,
+) -> Trees:
+    """Boosted trees of the logistic loss; a row counts `weight` times. Without both labels there are no trees, and the score is the share of label 1
     (a half without rows). `smooth` is added to a leaf's curvature, a leaf has at least the curvature `least`."""
     inner, n_leaves = 2**depth - 1, 2**depth
+    weight = np.ones(len(y)) if weight is None else weight
     if len(y) == 0 or y.min() == y.max():
         mean = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
         return Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, n_leaves)), float(np.log(mean / (1 - mean))))
@@ -111,14 +114,15 @@ def fit_trees(
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
     usable = np.array([[b < len(e) for b in range(bins)] for e in edges])  # the last bin has no bound above it
     flat = binned + np.arange(features) * bins
-    base = float(np.log(y.mean() / (1 - y.mean())))
+    ones = float((weight * y).sum() / weight.sum())
+    base = float(np.log(ones / (1 - ones)))
     margin = np.full(len(y), base)
     feature = np.zeros((trees, inner), np.int64)
     bound = np.full((trees, inner), np.inf)
     value = np.zeros((trees, n_leaves))
     for t in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        slope, curve = y - p, p * (1 - p)
+        slope, curve = weight * (y - p), weight * p * (1 - p)
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
             first, width = 2**level - 1, 2**level
@@ -143,25 +147,35 @@ def fit_trees(
     return Trees(feature, bound, value, base)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most `max_rows` documents outside the held-out fold.
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) outside the held-out fold, one row each. Labels that are null, or contradict each other, are left out."""
+    known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col(label).isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top"))
+    return known.where("y = top").select("doc_id", "y")
+
+
+def labelled(docs: DataFrame, known: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most `max_rows` documents of `known` (see `agreed`).
 
-    They are the first in the order of a hash of their id. Labels that are null,
-    or contradict each other, are not learned from; a repeated document is
-    learned from as often as it is there.
+    They are the first in the order of a hash of their id. A repeated document is
+    there as often as in `docs`.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col(label).isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select("doc_id", "y")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **settings) -> Trees:
-    """Trees from the labels of `labels` (doc_id, quality) that are not held out."""
-    rows = labelled(docs, labels, "quality", max_rows).select("doc_id", "y", statistics_of(F.col("text")).alias("x"))
-    got = sorted((r.doc_id, r.y, r.x) for r in rows.limit(2 * max_rows).collect())
+    """Trees from the labels of `labels` (doc_id, quality) that are not held out.
+
+    Rows with one id and equal statistics are one with a weight. Of ids that
+    repeat with other texts at most `max_rows` further rows are taken, in the
+    order of the hash and then of the statistics.
+    """
+    rows = labelled(docs, agreed(labels, "quality"), max_rows).select("doc_id", "y", statistics_of(F.col("text")).alias("x"))
+    rows = rows.groupBy("doc_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    got = sorted((r.doc_id, r.y, r.x, r.n) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * max_rows).collect())
     x = np.array([r[2] for r in got]).reshape(len(got), len(STATISTICS))
-    return fit_trees(x, np.array([r[1] for r in got], float), **settings)
+    return fit_trees(x, np.array([r[1] for r in got], float), weight=np.array([r[3] for r in got], float), **settings)
 
 
 def score(model: Trees, text: Column) -> Column:

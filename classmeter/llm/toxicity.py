@@ -17,7 +17,6 @@ different draws of the documents, are averaged.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from classmeter.llm.common import each, held_out, saved
-from classmeter.llm.quality import labelled
+from classmeter.llm.quality import agreed, labelled
 
 # Documents that a model is fitted on, at most, and terms it looks at.
 MAX_TOXIC, MAX_UNLABELLED, MAX_TERMS = 5_000, 10_000, 1_000
@@ -112,15 +111,15 @@ def train(
     """A classifier from `labels` (doc_id, toxic) and unlabelled text, none of it held out.
 
     `prior` is the share of toxic documents; by default the one among the labels
-    outside the held-out fold. Without toxic examples every text scores 0; the
+    outside the held-out fold; labels that contradict each other are left out. Without toxic examples every text scores 0; the
     same if no term tells them apart.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-    share = known.agg(F.avg("toxic")).first()[0]
+    known = agreed(labels, "toxic")
+    share = known.agg(F.avg("y")).first()[0]
     if not share:
         return Classifier({}, -40.0)
     prior = min(max(share if prior is None else prior, 1e-3), 0.9)
-    confirmed = labelled(docs, labels.where("toxic = 1"), "toxic", max_toxic).select(F.lit(True).alias("toxic"), "doc_id", "text")
+    confirmed = labelled(docs, known.where("y = 1"), max_toxic).select(F.lit(True).alias("toxic"), "doc_id", "text")
     rest = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     drawn = rest.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
     drawn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most max_unlabelled ids
@@ -143,13 +142,14 @@ def train(
 
     column = {t: i for i, t in enumerate(terms)}
     listed = F.array(*[F.lit(t) for t in terms])
-    held = both.select("toxic", "doc_id", F.array_intersect("terms", listed).alias("terms"))
-    sets = Counter((r.toxic, tuple(sorted(column[t] for t in r.terms))) for r in held.collect())
+    held = both.select("toxic", F.array_sort(F.array_intersect("terms", listed)).alias("terms"))
+    held = held.groupBy("toxic", "terms").agg(F.count(F.lit(1)).alias("n"))  # copies of a document are one row
+    sets = {(r.toxic, tuple(sorted(column[t] for t in r.terms))): r.n for r in held.collect()}
     different = sorted({places for _, places in sets})
     x = np.zeros((len(different), len(terms)), np.float32)
     for i, places in enumerate(different):
         x[i, places] = 1
-    n = {kind: np.array([sets[kind, places] for places in different], float) for kind in (True, False)}
+    n = {kind: np.array([sets.get((kind, places), 0) for places in different], float) for kind in (True, False)}
     fitted = []
     for seed in range(classifiers):
         rng = np.random.default_rng(seed)

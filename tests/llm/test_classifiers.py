@@ -74,6 +74,29 @@ def test_statistics():
     assert len(quality.statistics(b" \n ")) == len(quality.STATISTICS)
 
 
+def test_variety_is_measured_over_the_whole_text():
+    varied, same = " ".join(f"w{i}" for i in range(200)), " ".join(["w"] * 200)
+    at = quality.STATISTICS.index("different_words_near")
+    near = lambda *parts: quality.statistics(" ".join(parts).encode())[at]
+    assert near(varied) == 1.0 and near(varied, varied) == 1.0
+    assert near(varied, same) == near(same, varied) == pytest.approx((1 + 1 / 200) / 2)
+
+
+def test_a_row_counts_as_often_as_its_weight():
+    x, y = np.array([[0.0], [0.0], [1.0], [1.0]]), np.array([0, 1, 0, 1.0])
+    model = quality.fit_trees(x, y, weight=np.array([9, 1, 10, 30.0]))
+    assert model.scores(np.array([[0.0], [1.0]])) == pytest.approx([0.1, 0.75], abs=0.02)
+    assert quality.fit_trees(x, y).scores(x) == pytest.approx([0.5] * 4)
+
+
+def test_contradictory_labels_teach_nothing(spark):
+    words = lambda i: f"plain{i % 7} text{i % 5}"
+    docs = [(i, f"{words(i)} vile" if i % 4 == 0 else f"{words(i)} odd" if i % 4 == 1 else words(i)) for i in range(400)]
+    labels = [(i, 1) for i in range(0, 400, 4)] + [(i, y) for i in range(1, 400, 4) for y in (0, 1)] + [(i, 0) for i in range(2, 400, 4)]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "vile" in model.weights and "odd" not in model.weights
+
+
 def test_nnpu_finds_the_toxic_words():
     """Words 0 and 1 are toxic, 2 and 3 are not; an eighth of the unlabelled documents is toxic."""
     x = np.array([[1, 0, 0, 0], [0, 1, 1, 0], [0, 0, 1, 1], [0, 0, 0, 0], [0, 0, 0, 1]], np.float32)
@@ -105,8 +128,8 @@ def test_edges(spark, edge_docs, no_docs, module, label):
 def test_labels_that_are_learned_from(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(None, "n")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (5, None), (None, 1)], "doc_id long, quality int")
-    rows = quality.labelled(docs, labels, "quality", 1_000).collect()
+    rows = quality.labelled(docs, quality.agreed(labels, "quality"), 1_000).collect()
     free = {r.doc_id for r in docs.where(~held_out(F.col("doc_id"))).collect()} - {None, 3}
     assert {r.doc_id for r in rows} == free
-    few = quality.labelled(docs, labels, "quality", 10).collect()
+    few = quality.labelled(docs, quality.agreed(labels, "quality"), 10).collect()
     assert len(few) == 10
