@@ -16,11 +16,14 @@ baseline, and the scattered products correct what both hold.
 
 A tile holds at most BLOCK groups on each side and TILE shares on each side,
 whatever the number of sources and terms, so that a language or source with a
-third of all documents is many tiles. Counts are pre-aggregated in the map tasks.
+third of all documents is many tiles. Counts are pre-aggregated for each batch of
+documents and again in the map tasks.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +32,54 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from classmeter.functions.numbering import number_within
-from classmeter.llm.common import saved
+from classmeter.llm.common import each, saved
 
 # Fixed by the contract.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM_BYTES = re.compile(TERM.encode())
+# Bytes from which a text's terms are counted one by one instead of as a list.
+LONG = 1 << 20
 MIN_DOCS, TOP_TERMS, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 # Groups on a side of a tile, and shares on a side of it, at most.
-BLOCK, TILE = 256, 1 << 20
+BLOCK, TILE = 256, 1 << 16
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, term, n, n_docs) for each term of each group; every row of `docs` is a document."""
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
-    words = F.array_sort(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0)))
-    rows = docs.select(_group(lang_col).alias("lang"), _group(source_col).alias("source"), words.alias("words"))
-    # In order, so that a term's first place in a document is where it differs from the one before.
-    first = lambda w, i: (i == 0) | (F.get("words", i - 1) != w)
-    marked = F.transform("words", lambda w, i: F.struct(w.alias("term"), first(w, i).cast("int").alias("first")))
-    each = rows.select("lang", "source", F.inline(marked))
-    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("n_docs"))
+    rows = docs.select(_group(lang_col).alias("lang"), _group(source_col).alias("source"), F.col(text_col).alias("text"))
+    counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, n_docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of terms, and of documents that hold them, for each batch of documents."""
+    for batch in each(batches):
+        found: dict[tuple, tuple[Counter, Counter]] = {}
+        for group, text in zip(zip(batch["lang"].to_pylist(), batch["source"].to_pylist()), batch["text"]):
+            whole = text.as_buffer() if text.is_valid else None
+            terms, in_docs = found.setdefault(group, (Counter(), Counter()))
+            if whole is None:
+                continue
+            # In UTF-8 only A-Z change in lower(), and the bytes of other letters are all above 127.
+            lowered = whole.to_pybytes().lower()
+            if len(lowered) < LONG:
+                words = _TERM_BYTES.findall(lowered)
+                terms.update(words)
+                in_docs.update(set(words))
+            else:
+                terms.update(m.group() for m in _TERM_BYTES.finditer(lowered))
+                in_docs.update({m.group() for m in _TERM_BYTES.finditer(lowered)})
+        for (lang, source), (terms, in_docs) in found.items():
+            names = list(terms)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lang": pa.array([lang] * len(names), pa.string()),
+                    "source": pa.array([source] * len(names), pa.string()),
+                    "term": pa.array(names, pa.binary()).cast(pa.string()),
+                    "n": pa.array([terms[t] for t in names], pa.int64()),
+                    "n_docs": pa.array([in_docs[t] for t in names], pa.int64()),
+                }
+            )
 
 
 def _group(name: str) -> Column:
