@@ -68,20 +68,19 @@ _SOUND = "list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) IS N
 
 ORACLE["op5_top_k"] = f"""
 WITH whole AS (
-    SELECT vec_id, [floor(256 * x::DOUBLE)::HUGEINT FOR x IN max(embedding)] AS v
+    SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE)::HUGEINT FOR x IN embedding] AS v
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_SOUND}
-    GROUP BY vec_id
+    WHERE embedding IS NOT NULL AND {_SOUND}
 ),
 scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id,
+    SELECT q.row, q.vec_id AS query_id, c.vec_id,
            coalesce(list_sum([q.v[i] * c.v[i] FOR i IN range(1, least(len(q.v), len(c.v)) + 1)]), 0)::BIGINT AS score
-    FROM whole q JOIN whole c ON c.vec_id <> q.vec_id
+    FROM whole q JOIN whole c ON c.row <> q.row
     WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score
 FROM scored
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW w AS (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST)
 QUALIFY row_number() OVER w <= 5
 """
 

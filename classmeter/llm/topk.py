@@ -2,18 +2,20 @@
 
 Vectors are turned into whole numbers, floor(scale * x). A task gets a block
 of queries and a shard of the candidates and keeps the shard in vertical
-layout: one row for each dimension. Scores are accumulated a block of
-dimensions at a time, those with the largest components first. After each
-block a candidate's score lies within its partial score plus or minus the
-product of the two remaining norms (the mass that is left). The k-th best
-lower bound of a query is a floor that its results cannot fall below; it rises
-with every part of the shard. Candidates that no query of the group can want
-any more are dropped, and the others are moved together.
-
-Queries x candidates is the work, in blocks: a shard has about `shard_rows`
-candidates, a block `query_rows` queries, both constants; their numbers grow
-with the table. Each pair of block and shard gives at most k rows for each
-query, and a window merges them.
+layout: one row for each dimension. A query adds up scores a block of
+dimensions at a time, those where it is largest first, so that little of its
+mass is left early. After each block a candidate's score lies within its
+partial score plus or minus the product of the two remaining norms (the mass
+that is left). The k-th best lower bound is a floor that the query's results
+cannot fall below; it starts at the k-th best score among a bounded sample of
+the candidates, which every shard gets with the query. Candidates whose upper
+bound lies below the floor are dropped, and the query goes on with the others,
+moved together.
+
+Queries x candidates is the work, in blocks: a shard holds about `shard_rows`
+candidates, a block `query_rows` queries, both constants for vectors of one
+width; their numbers grow with the table. Each pair of block and shard gives
+at most k rows for each query, and a window merges them.
 """
 
 from __future__ import annotations
@@ -22,61 +24,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from classmeter.llm.common import saved
 from classmeter.llm.vectors import finite, matrix
 
-# Candidates in a shard, queries in a block, about.
-SHARD_ROWS, QUERY_ROWS = 4_096, 4_096
-# Dimensions, queries and candidates that are worked on at once.
-DIMENSIONS, GROUP, PART = 16, 64, 4_096
+# Numbers in a shard or a block, and in the sample that first floors come from, about.
+SHARD_NUMBERS, SAMPLE_NUMBERS = 1 << 19, 1 << 16
+# Dimensions that are added at once.
+DIMENSIONS = 8
 # Below it, sums of products of whole numbers are exact in doubles.
 _EXACT = 2.0**53
 
 
-def _search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query id, candidate id, score) of the k best of `rows` for each query, ties to smaller ids.
+def _search(queries: np.ndarray, own: np.ndarray, floors: np.ndarray, columns: np.ndarray, places: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query, the candidates that can be among its k best, their scores, and how many products were computed.
 
-    The matrices hold whole numbers whose scores are exact in doubles.
+    `queries` has a row for each query, `columns` a row for each dimension; both
+    hold whole numbers whose scores are exact in doubles. `own` and `places`
+    number rows of the table: a query is no candidate of its own. No candidate
+    below a query's floor is given; ties with the k-th best all are.
     """
-    weight = (queries**2).sum(axis=0) * (rows**2).sum(axis=0)
-    order = np.argsort(-weight, kind="stable")
-    queries, columns = queries[:, order], np.ascontiguousarray(rows[:, order].T)
-    cuts = range(DIMENSIONS, columns.shape[0], DIMENSIONS)
-    left = lambda squares: np.sqrt(np.maximum(squares, 0)) * (1 + 1e-9)
-    q_left = {c: left((queries[:, c:] ** 2).sum(axis=1)) for c in cuts}
-    c_left = {c: left((columns[c:] ** 2).sum(axis=0)) for c in cuts}
-    for at in range(0, len(queries), GROUP):
-        group, ids = queries[at : at + GROUP], query_ids[at : at + GROUP]
-        n = len(group)
-        best_score, best_id = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
-        floor = np.full(n, -np.inf)
-        for start in range(0, columns.shape[1], PART):
-            alive = np.arange(start, min(start + PART, columns.shape[1]))
-            partial = np.zeros((n, len(alive)))
-            done = 0
-            for cut in cuts:
-                partial += group[:, done:cut] @ columns[done:cut, alive]
-                done = cut
-                slack = q_left[cut][at : at + GROUP, None] * c_left[cut][alive][None, :]
-                low = np.where(ids[:, None] == row_ids[alive][None, :], -np.inf, partial - slack)
-                if len(alive) > k:
-                    floor = np.maximum(floor, np.partition(low, len(alive) - k, axis=1)[:, len(alive) - k])
-                wanted = (partial + slack >= floor[:, None]).any(axis=0)
-                if wanted.mean() < 0.8:
-                    alive, partial = alive[wanted], partial[:, wanted]
-            partial += group[:, done:] @ columns[done:, alive]
-            partial[ids[:, None] == row_ids[alive][None, :]] = -np.inf
-            score = np.concatenate([best_score, partial], axis=1)
-            cand = np.concatenate([best_id, np.broadcast_to(row_ids[alive], partial.shape)], axis=1)
-            keep = np.lexsort((cand, -score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(score, keep, axis=1), np.take_along_axis(cand, keep, axis=1)
-            if best_score.shape[1] == k:
-                floor = np.maximum(floor, best_score[:, -1])
-        there = best_score > -np.inf
-        yield np.repeat(ids, there.sum(axis=1)), best_id[there], best_score[there]
+    squares = columns**2
+    mass = squares.sum(axis=0)
+    for query, row, floor in zip(queries, own, floors):
+        order = np.argsort(-np.abs(query), kind="stable")
+        q_left = np.append(np.cumsum((query[order] ** 2)[::-1])[::-1], 0.0)
+        alive = np.flatnonzero(places != row)
+        partial, rest, done = np.zeros(len(alive)), mass[alive], 0
+        for start in range(0, len(order), DIMENSIONS):
+            dims = order[start : start + DIMENSIONS]
+            at = np.ix_(dims, alive)
+            partial = partial + query[dims] @ columns[at]
+            done += len(dims) * len(alive)
+            left = q_left[start + len(dims)]
+            if left == 0:
+                break
+            rest = rest - squares[at].sum(axis=0)
+            slack = np.sqrt(rest * left) * (1 + 1e-9)
+            if len(alive) >= k:
+                floor = max(floor, np.partition(partial - slack, len(alive) - k)[len(alive) - k])
+            wanted = partial + slack >= floor
+            alive, partial, rest = alive[wanted], partial[wanted], rest[wanted]
+        if len(alive) > k:
+            floor = max(floor, np.partition(partial, len(alive) - k)[len(alive) - k])
+        wanted = partial >= floor
+        yield alive[wanted], partial[wanted], done
 
 
 def _whole(scaled: np.ndarray) -> bool:
@@ -84,15 +77,57 @@ def _whole(scaled: np.ndarray) -> bool:
     return not scaled.size or float(np.abs(scaled).max()) ** 2 * scaled.shape[1] < _EXACT
 
 
-def _slow(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> Iterator[tuple]:
-    """The same for numbers too large for doubles, with Python's integers; scores are cut to the range of a long."""
+def _slow(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The same for numbers too large for doubles, with Python's integers and no bounds; scores are cut to the range of a long."""
     top = 2**63 - 1
     whole = [[int(x) for x in row] for row in rows.tolist()]
-    for query, id_ in zip(queries.tolist(), query_ids.tolist()):
+    for query, row in zip(queries.tolist(), own):
         q = [int(x) for x in query]
-        found = [(-max(-top, min(top, sum(a * b for a, b in zip(q, row)))), i) for row, i in zip(whole, row_ids.tolist()) if i != id_]
-        found = sorted(found)[:k]
-        yield np.full(len(found), id_), np.array([i for _, i in found], np.int64), np.array([-s for s, _ in found], object)
+        there = np.flatnonzero(places != row)
+        found = [max(-top, min(top, sum(a * b for a, b in zip(q, whole[i])))) for i in there]
+        yield there, np.array(found, np.int64), len(q) * len(there)
+
+
+def _best(found: Iterator[tuple[np.ndarray, np.ndarray, int]], queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
+    """The k best of each query as rows; ties go to the smaller id, a null one last."""
+    null = candidates.column("id").is_null().to_numpy(zero_copy_only=False)
+    ids = candidates.column("id").fill_null(0).to_numpy()
+    taken, scores, sizes = [], [], []
+    for alive, score, _ in found:
+        first = np.lexsort((ids[alive], null[alive], -score))[:k]
+        taken.append(alive[first])
+        scores.append(score[first].astype(np.int64))
+        sizes.append(len(first))
+    at = np.concatenate([np.zeros(0, np.int64), *taken]).astype(np.int64)
+    asked = np.repeat(np.arange(len(queries)), sizes)
+    return pa.table(
+        {
+            "query_row": queries.column("row").take(pa.array(asked)),
+            "query_id": queries.column("id").take(pa.array(asked)),
+            "vec_id": candidates.column("id").take(pa.array(at)),
+            "score": pa.array(np.concatenate([np.zeros(0, np.int64), *scores])),
+        }
+    )
+
+
+def _first_floors(asked: DataFrame, sample: list, k: int, scale: float, width: int) -> DataFrame:
+    """`asked` with `floor`: the k-th best score among the sampled candidates, which no result falls below."""
+    flat = np.zeros((len(sample), width))
+    for i, r in enumerate(sample):
+        flat[i, : len(r.v)] = r.v
+    places, there = np.array([r.row for r in sample], np.int64), np.floor(scale * flat)
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            queries = np.floor(scale * matrix(batch.column("v"), width))
+            floor = np.full(len(queries), -np.inf)
+            if len(there) > k and _whole(queries) and _whole(there):
+                score = queries @ there.T
+                score[batch.column("row").to_numpy()[:, None] == places[None, :]] = -np.inf
+                floor = np.partition(score, len(there) - k, axis=1)[:, len(there) - k]
+            yield batch.append_column("floor", pa.array(floor))
+
+    return asked.mapInArrow(floors, "row long, id long, v array<double>, floor double")
 
 
 def nearest(
@@ -102,42 +137,50 @@ def nearest(
     scale: float = 256.0,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = SHARD_ROWS,
-    query_rows: int = QUERY_ROWS,
+    shard_rows: int | None = None,
+    query_rows: int | None = None,
+    sample_rows: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates with the largest inner product for each row where `is_query` holds.
 
-    Candidates are all rows but those with the query's own id; ties go to the
-    smaller id. Vectors that are null or hold a null or a number that is not
-    finite take no part, nor do rows without an id. Rows that share an id are
-    one, with the greatest of their vectors, number by number. Shorter vectors
-    are padded with zeros. Other columns are not read. Scores beyond a long are
-    cut to its range.
+    Candidates of a query are all rows but its own, also those with the same
+    id; ties go to the smaller id, a null one last. Rows that repeat an id are
+    queries and candidates each, so a repeated query's id has k rows for each.
+    Vectors that are null or hold a null or a number that is not finite take no
+    part. Shorter vectors are padded with zeros. Other columns are not read.
+    Scores beyond a long are cut to its range. `sample_rows` bounds the rows
+    that first floors come from; they do not change the result.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(vector_col).cast("array<double>").alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"),
     )
-    rows = rows.where(F.col("id").isNotNull() & finite(F.col("v")))
-    rows = saved(rows.groupBy("id").agg(F.max("v").alias("v"), F.max("q").alias("q")), "vectors")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
+    # A number for each row: the table is written once, so it stays.
+    rows = saved(rows.where(finite(F.col("v"))).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q"), F.max(F.size("v")).alias("width")).first()
+    width = max(1, size.width or 0)
+    shard_rows = shard_rows or max(k + 1, SHARD_NUMBERS // width)
+    query_rows = query_rows or max(1, SHARD_NUMBERS // width)
+    sample_rows = sample_rows or max(k + 1, SAMPLE_NUMBERS // width)
     shards, blocks = max(1, -(-size.n // shard_rows)), max(1, -(-size.q // query_rows))
-    part = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    part = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asked = rows.where("q").select(part(blocks).alias("block"), every(shards).alias("shard"), "id", "v")
-    there = rows.select(every(blocks).alias("block"), part(shards).alias("shard"), "id", "v")
-    names = ["query_id", "vec_id", "score"]
+    sample = rows.select("row", "v").orderBy(F.xxhash64("row", F.lit(1)), "row").limit(sample_rows).collect()
+    asked = saved(_first_floors(rows.where("q").select("row", "id", "v"), sample, k, scale, width), "queries")
+    asked = asked.select(part(blocks).alias("block"), every(shards).alias("shard"), "row", "id", "v", "floor")
+    there = rows.select(every(blocks).alias("block"), part(shards).alias("shard"), "row", "id", "v")
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
-        width = max([1, *(pc.max(pc.list_value_length(t.column("v"))).as_py() for t in (q, c) if len(t))])
-        vectors_ = [np.floor(scale * matrix(t.column("v"), width)) for t in (q, c)]
-        ids = [t.column("id").to_numpy() for t in (q, c)]
-        small = _whole(vectors_[0]) and _whole(vectors_[1])
-        found = list((_search if small else _slow)(vectors_[0], ids[0], vectors_[1], ids[1], k)) if len(q) and len(c) else []
-        columns = [np.concatenate([f[i] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table(columns, names=names)
-
-    found = asked.groupBy("block", "shard").cogroup(there.groupBy("block", "shard")).applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        q_v, c_v = (np.floor(scale * matrix(t.column("v"), width)) for t in (q, c))
+        own, floors, places = q.column("row").to_numpy(), q.column("floor").to_numpy(), c.column("row").to_numpy()
+        if _whole(q_v) and _whole(c_v):
+            found = _search(q_v, own, floors, np.ascontiguousarray(c_v.T), places, k)
+        else:
+            found = _slow(q_v, own, c_v, places)
+        return _best(found, q, c, k)
+
+    kind = "query_row long, query_id long, vec_id long, score long"
+    found = asked.groupBy("block", "shard").cogroup(there.groupBy("block", "shard")).applyInArrow(search, kind)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
