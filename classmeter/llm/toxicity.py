@@ -8,16 +8,22 @@ text adds to the unlabelled, and may not fall below zero. When it does, the
 step climbs it instead.
 
 Inputs of a classifier are the presence of words and of words' beginnings (as
-compounds share a stem). They are picked by a distributed count: terms whose
-share among the confirmed exceeds the one among the unlabelled by far more
-than chance. Several classifiers, over
-different draws of the documents, are averaged.
+compounds share a stem). They are picked by a distributed count over all
+documents outside the held-out fold: terms whose share among the confirmed
+exceeds the one among the unlabelled by far more than chance. The classifiers
+are fitted on a bounded draw; several, over different draws, are averaged.
+
+Terms are counted in the tasks and summed by term. Only terms that the
+confirmed texts alone could make striking are counted in the unlabelled ones:
+a bitmap of a fixed size says which may be, and a join settles it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +41,8 @@ STEMS = (3, 4, 5, 6)
 ODD = 30.0
 # What a unit of a term's weight costs while terms are picked.
 COST = 5e-4
+# Bits of the bitmap of terms; terms that a task counts, and words that it remembers, before it lets go of them.
+BITS, COUNTED, REMEMBERED = 1 << 20, 200_000, 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -48,10 +56,75 @@ def terms_of(text: str | None) -> set[str]:
     return words | {x + "*" for x in once} | {x + "**" for x in again}
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _different_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in each(batches):
-        yield pa.array([sorted(terms_of(x.as_py())) for x in batch], pa.list_(pa.string()))
+class Terms:
+    """`terms_of`, but only those that `wanted` holds for. What a word adds is remembered."""
+
+    def __init__(self, wanted: Callable[[str], bool]):
+        self._wanted = wanted
+        self._words: dict[str, tuple[bool, tuple[tuple[str, bool, bool], ...]]] = {}
+
+    def _look(self, word: str) -> tuple[bool, tuple[tuple[str, bool, bool], ...]]:
+        stems = [(word[:n], self._wanted(word[:n] + "*"), self._wanted(word[:n] + "**")) for n in STEMS if len(word) > n]
+        if len(self._words) >= REMEMBERED:
+            self._words.clear()
+        self._words[word] = known = (self._wanted(word), tuple(s for s in stems if s[1] or s[2]))
+        return known
+
+    def of(self, text: str | None) -> set[str]:
+        found: set[str] = set()
+        once: set[str] = set()
+        for word in set(_WORD.findall((text or "").lower())):
+            whole, stems = self._words.get(word) or self._look(word)
+            if whole:
+                found.add(word)
+            for stem, first, again in stems:
+                if first:
+                    found.add(stem + "*")
+                if again:
+                    if stem in once:
+                        found.add(stem + "**")
+                    once.add(stem)
+        return found
+
+
+def _bit(term: str) -> int:
+    return zlib.crc32(term.encode()) % BITS
+
+
+def term_counts(texts: DataFrame, bitmap: bytes | None = None) -> DataFrame:
+    """(term, n): in how many rows of `texts` (text) each term is; the null term counts all rows.
+
+    With a bitmap, only terms whose bit is set are counted.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Terms(lambda t: bitmap[_bit(t) >> 3] >> (_bit(t) & 7) & 1 == 1).of if bitmap is not None else terms_of
+        seen: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+        for batch in each(batches):
+            for text in batch.column(0):
+                seen[None] += 1
+                seen.update(of(text.as_py()))
+                if len(seen) > COUNTED:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    counted = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term string, n long")
+    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _bitmap(terms: DataFrame) -> bytes:
+    """The bits of the terms; its size does not depend on their number."""
+    bits = terms.select(F.pmod(F.crc32("term"), F.lit(BITS)).cast("int").alias("bit"))
+    words = bits.groupBy(F.expr("bit div 32").alias("at")).agg(F.expr("bit_or(shiftleft(1L, bit % 32))").alias("bits"))
+    out = np.zeros(BITS // 32, "<u4")
+    for r in words.collect():  # at most BITS / 32 rows
+        out[r.at] = r.bits
+    return out.tobytes()
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -65,8 +138,11 @@ class Classifier:
     weights: dict[str, float]
     base: float
 
-    def score(self, text: str | None) -> float:
-        found = self.weights.keys() & terms_of(text)
+    def terms(self) -> Terms:
+        return Terms(self.weights.__contains__)
+
+    def score(self, text: str | None, terms: Terms | None = None) -> float:
+        found = (terms or self.terms()).of(text)
         return float(_sigmoid(np.array(self.base + sum(self.weights[w] for w in sorted(found)))))
 
 
@@ -111,39 +187,56 @@ def train(
     """A classifier from `labels` (doc_id, toxic) and unlabelled text, none of it held out.
 
     `prior` is the share of toxic documents; by default the one among the labels
-    outside the held-out fold; labels that contradict each other are left out. Without toxic examples every text scores 0; the
-    same if no term tells them apart.
+    outside the held-out fold; labels that contradict each other are left out.
+    Terms are counted over all rows. `max_toxic` and `max_unlabelled` ids, the
+    first in the order of a hash, are fitted on; rows with the same terms are
+    one, and at most as many different ones as both together are taken, the most
+    frequent first. Without toxic examples every text scores 0; the same if no
+    term tells them apart.
     """
     known = agreed(labels, "toxic")
     share = known.agg(F.avg("y")).first()[0]
     if not share:
         return Classifier({}, -40.0)
     prior = min(max(share if prior is None else prior, 1e-3), 0.9)
-    confirmed = labelled(docs, known.where("y = 1"), max_toxic).select(F.lit(True).alias("toxic"), "doc_id", "text")
-    rest = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    drawn = rest.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
-    drawn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most max_unlabelled ids
-    both = confirmed.unionByName(drawn.select(F.lit(False).alias("toxic"), "doc_id", "text"))
-    both = saved(both.select("toxic", "doc_id", _different_terms("text").alias("terms")), "toxicity-terms")
-
-    sizes = {r.toxic: r.n for r in both.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
-    if not n_p or not n_u:
+    known = saved(known.where("y = 1"), "toxic-ids")
+    outside = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    toxic = saved(term_counts(outside.join(known, "doc_id")), "toxic-terms")
+    n_p, n_u = (frame.first() for frame in (toxic.where("term is null"), outside.agg(F.count(F.lit(1)).alias("n"))))
+    n_p, n_u = (n_p.n or 0) if n_p else 0, n_u.n
+    if not n_p:
         return Classifier({}, -40.0)
-    counts = both.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")
-    )
-    by_chance = (F.col("u") + 1) / (n_u + 1) * n_p
-    odd = 2 * (F.col("p") * F.ln(F.col("p") / by_chance) - F.col("p") + by_chance)
-    picked = counts.where(F.col("p") > by_chance).withColumn("odd", odd).where(F.col("odd") >= ODD)
+
+    def striking(u: Column) -> tuple[Column, Column]:
+        by_chance = (u + 1) / (n_u + 1) * n_p
+        odd = 2 * (F.col("p") * F.ln(F.col("p") / by_chance) - F.col("p") + by_chance)
+        return (F.col("p") > by_chance) & (odd >= ODD), odd
+
+    may_be, _ = striking(F.lit(0))  # more unlabelled texts with a term only make it less striking
+    terms_ = toxic.where("term is not null").withColumnRenamed("n", "p").where(may_be)
+    counts = saved(term_counts(outside, _bitmap(terms_)), "unlabelled-terms").withColumnRenamed("n", "u")
+    is_, odd = striking(F.coalesce("u", F.lit(0)))
+    picked = terms_.join(counts, "term", "left").where(is_).select("term", odd.alias("odd"))
     terms = sorted(r.term for r in picked.orderBy(F.desc("odd"), "term").limit(max_terms).collect())
     if not terms:
         return Classifier({}, -40.0)
 
+    confirmed = labelled(docs, known, max_toxic).select(F.lit(True).alias("toxic"), "text")
+    drawn = outside.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
+    drawn = outside.join(F.broadcast(drawn), "doc_id")  # at most max_unlabelled ids
     column = {t: i for i, t in enumerate(terms)}
-    listed = F.array(*[F.lit(t) for t in terms])
-    held = both.select("toxic", F.array_sort(F.array_intersect("terms", listed)).alias("terms"))
+    wanted = set(terms)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def terms_in(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = Terms(wanted.__contains__).of
+        for batch in each(batches):
+            yield pa.array([sorted(of(x.as_py())) for x in batch], pa.list_(pa.string()))
+
+    both = confirmed.unionByName(drawn.select(F.lit(False).alias("toxic"), "text"))
+    held = both.select("toxic", terms_in(F.col("text").cast("string")).alias("terms"))
     held = held.groupBy("toxic", "terms").agg(F.count(F.lit(1)).alias("n"))  # copies of a document are one row
+    held = held.orderBy(F.desc("n"), "toxic", "terms").limit(max_toxic + max_unlabelled)
     sets = {(r.toxic, tuple(sorted(column[t] for t in r.terms))): r.n for r in held.collect()}
     different = sorted({places for _, places in sets})
     x = np.zeros((len(different), len(terms)), np.float32)
@@ -167,7 +260,8 @@ def score(model: Classifier, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        terms = model.terms()
         for batch in each(batches):
-            yield pa.array([model.score(x.as_py()) for x in batch], pa.float64())
+            yield pa.array([model.score(x.as_py(), terms) for x in batch], pa.float64())
 
     return of(text)

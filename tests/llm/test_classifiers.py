@@ -112,6 +112,39 @@ def test_terms():
     assert toxicity.terms_of("Abcd, abce x!") == {"abcd", "abce", "x", "abc*", "abc**"}
 
 
+def test_wanted_terms_only(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    texts = [None, "", "Abcd, abce x!", "abcdefg abcxyz abcd zz", "abcdefgh abcdefgi abcdefg", "İstanbul ünter"]
+    every = set().union(*map(toxicity.terms_of, texts))
+    for wanted in (every, {"abc**", "abcd*"}, {"abcd", "abcdef**"}, set()):
+        terms = toxicity.Terms(wanted.__contains__)
+        assert [terms.of(t) for t in texts * 2] == [toxicity.terms_of(t) & wanted for t in texts * 2]
+
+
+def test_terms_are_counted_over_all_rows(spark, edge_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED", 50)
+    expected = {None: 0}
+    for r in edge_docs.collect():
+        for term in [None, *toxicity.terms_of(r.text)]:
+            expected[term] = expected.get(term, 0) + 1
+    counts = toxicity.term_counts(edge_docs)
+    assert dict(map(tuple, counts.collect())) == expected
+    few = counts.where("term in ('same', 'sam*', 'ka**', 'kalo*')")
+    again = dict(map(tuple, toxicity.term_counts(edge_docs, toxicity._bitmap(few)).collect()))
+    assert again.keys() >= {r.term for r in few.collect()} and all(expected[t] == n for t, n in again.items())
+
+
+def test_a_rare_word_is_found_beyond_the_draw(spark):
+    """Counts cover all documents, so a word is found that the few documents of the draw hardly hold."""
+    words = lambda i: f"plain{i % 7} text{i % 5}"
+    docs = [(i, words(i) + (" vile" if i % 100 == 0 else " foul" if i % 2 == 0 and i < 400 else "")) for i in range(4_000)]
+    labels = [(i, 1) for i in range(0, 4_000) if "vile" in docs[i][1] or "foul" in docs[i][1]] + [(i, 0) for i in range(1, 4_000, 2)]
+    model = toxicity.train(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), max_unlabelled=60
+    )
+    assert {"vile", "foul"} <= model.weights.keys()
+
+
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_edges(spark, edge_docs, no_docs, module, label):
     none = spark.createDataFrame([], f"doc_id long, {label} int")
