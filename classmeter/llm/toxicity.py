@@ -14,7 +14,7 @@ exceeds the one among the unlabelled by far more than chance. The classifiers
 are fitted on a bounded draw; several, over different draws, are averaged.
 
 Terms are counted in the tasks and summed by term. Only terms that the
-confirmed texts alone could make striking are counted in the unlabelled ones:
+confirmed texts alone could make striking are summed over the unlabelled ones:
 a bitmap of a fixed size says which may be, and a join settles it.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,8 +41,8 @@ STEMS = (3, 4, 5, 6)
 ODD = 30.0
 # What a unit of a term's weight costs while terms are picked.
 COST = 5e-4
-# Bits of the bitmap of terms; terms that a task counts, and words that it remembers, before it lets go of them.
-BITS, COUNTED, REMEMBERED = 1 << 20, 200_000, 100_000
+# Bits of the bitmap of terms; words that a task counts, or remembers, before it lets go of them; words counted together.
+BITS, COUNTED, REMEMBERED, TOGETHER = 1 << 20, 300_000, 300_000, 200_000
 _WORD = re.compile(r"\w+")
 
 
@@ -56,28 +56,35 @@ def terms_of(text: str | None) -> set[str]:
     return words | {x + "*" for x in once} | {x + "**" for x in again}
 
 
+_NOTHING: tuple[bool, tuple] = (False, ())
+
+
 class Terms:
     """`terms_of`, but only those that `wanted` holds for. What a word adds is remembered."""
 
     def __init__(self, wanted: Callable[[str], bool]):
         self._wanted = wanted
-        self._words: dict[str, tuple[bool, tuple[tuple[str, bool, bool], ...]]] = {}
+        self._words: dict[str, tuple[bool, tuple]] = {}
 
-    def _look(self, word: str) -> tuple[bool, tuple[tuple[str, bool, bool], ...]]:
+    def _look(self, word: str) -> tuple[bool, tuple]:
         stems = [(word[:n], self._wanted(word[:n] + "*"), self._wanted(word[:n] + "**")) for n in STEMS if len(word) > n]
         if len(self._words) >= REMEMBERED:
             self._words.clear()
-        self._words[word] = known = (self._wanted(word), tuple(s for s in stems if s[1] or s[2]))
+        known = (self._wanted(word), tuple(s for s in stems if s[1] or s[2]))
+        self._words[word] = known = _NOTHING if known == _NOTHING else known
         return known
 
     def of(self, text: str | None) -> set[str]:
         found: set[str] = set()
         once: set[str] = set()
+        words = self._words
         for word in set(_WORD.findall((text or "").lower())):
-            whole, stems = self._words.get(word) or self._look(word)
-            if whole:
+            known = words.get(word) or self._look(word)
+            if known is _NOTHING:
+                continue
+            if known[0]:
                 found.add(word)
-            for stem, first, again in stems:
+            for stem, first, again in known[1]:
                 if first:
                     found.add(stem + "*")
                 if again:
@@ -87,6 +94,60 @@ class Terms:
         return found
 
 
+class TermCounter:
+    """In how many texts each of their terms (see `terms_of`) is.
+
+    Words and stems get numbers, so that the stems of many texts are counted
+    together: pairs of text and stem are sorted, and those met twice or more are
+    the stems that several words share.
+    """
+
+    def __init__(self) -> None:
+        self._words: dict[str, int] = {}
+        self._stems: dict[str, int] = {}
+        self._flat, self._ends = array("q"), array("q", [0])  # the stems of all words, and where a word's end
+        self._met, self._sizes = array("q"), array("q")  # words of the texts, and how many each text has
+        self._counts = [np.zeros(0, np.int64) for _ in range(3)]  # of words, stems, and stems met again
+        self.texts = 0
+
+    def __len__(self) -> int:
+        return len(self._words)
+
+    def add(self, text: str | None) -> None:
+        words, before = self._words, len(self._met)
+        for word in set(_WORD.findall((text or "").lower())):
+            at = words.get(word)
+            if at is None:
+                at = words[word] = len(words)
+                for n in STEMS:
+                    if len(word) > n:
+                        self._flat.append(self._stems.setdefault(word[:n], len(self._stems)))
+                self._ends.append(len(self._flat))
+            self._met.append(at)
+        self._sizes.append(len(self._met) - before)
+        self.texts += 1
+        if len(self._met) >= TOGETHER:
+            self._count()
+
+    def _count(self) -> None:
+        flat, ends, met, sizes = (np.array(a, np.int64) for a in (self._flat, self._ends, self._met, self._sizes))
+        self._met, self._sizes = array("q"), array("q")
+        n = (ends[1:] - ends[:-1])[met]
+        place = np.arange(n.sum()) + np.repeat(ends[met] - (np.cumsum(n) - n), n)
+        all_ = max(1, len(self._stems))
+        pair, times = np.unique(np.repeat(np.repeat(np.arange(len(sizes)), sizes), n) * all_ + flat[place], return_counts=True)
+        stem = pair % all_
+        for i, (found, size) in enumerate(((met, len(self._words)), (stem, len(self._stems)), (stem[times > 1], len(self._stems)))):
+            new = np.bincount(found, minlength=size)
+            new[: len(self._counts[i])] += self._counts[i]
+            self._counts[i] = new
+
+    def counts(self) -> Iterator[tuple[str, int]]:
+        self._count()
+        for names, counts, mark in zip((self._words, self._stems, self._stems), self._counts, ("", "*", "**")):
+            yield from ((name + mark, n) for name, n in zip(names, counts.tolist()) if n)
+
+
 def _bit(term: str) -> int:
     return zlib.crc32(term.encode()) % BITS
 
@@ -94,24 +155,24 @@ def _bit(term: str) -> int:
 def term_counts(texts: DataFrame, bitmap: bytes | None = None) -> DataFrame:
     """(term, n): in how many rows of `texts` (text) each term is; the null term counts all rows.
 
-    With a bitmap, only terms whose bit is set are counted.
+    With a bitmap, only terms whose bit is set are given.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Terms(lambda t: bitmap[_bit(t) >> 3] >> (_bit(t) & 7) & 1 == 1).of if bitmap is not None else terms_of
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+    def rows(counter: TermCounter) -> pa.RecordBatch:
+        found = [(None, counter.texts)]
+        found += [(t, n) for t, n in counter.counts() if bitmap is None or bitmap[_bit(t) >> 3] >> (_bit(t) & 7) & 1]
+        terms, counts = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "n"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter()
         for batch in each(batches):
             for text in batch.column(0):
-                seen[None] += 1
-                seen.update(of(text.as_py()))
-                if len(seen) > COUNTED:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+                counter.add(text.as_py())
+                if len(counter) > COUNTED:
+                    yield rows(counter)
+                    counter = TermCounter()
+        yield rows(counter)
 
     counted = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term string, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
@@ -212,7 +273,7 @@ def train(
         odd = 2 * (F.col("p") * F.ln(F.col("p") / by_chance) - F.col("p") + by_chance)
         return (F.col("p") > by_chance) & (odd >= ODD), odd
 
-    may_be, _ = striking(F.lit(0))  # more unlabelled texts with a term only make it less striking
+    may_be, _ = striking(F.col("p"))  # confirmed texts are among all, and more texts with a term only make it less striking
     terms_ = toxic.where("term is not null").withColumnRenamed("n", "p").where(may_be)
     counts = saved(term_counts(outside, _bitmap(terms_)), "unlabelled-terms").withColumnRenamed("n", "u")
     is_, odd = striking(F.coalesce("u", F.lit(0)))
