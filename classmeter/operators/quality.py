@@ -107,6 +107,75 @@ def orphan_check(t: Tables) -> DataFrame:
     return reduce(DataFrame.union, [frame.select(*order) for frame in lost])
 
 
+def _near(snapshot: DataFrame, column: str, keys: DataFrame, of: str) -> DataFrame:
+    """The rows of `snapshot` whose `column` lies within the range of `keys`.`of`.
+
+    The bounds are literals, so they reach the scan, which skips what holds
+    other keys. Nulls stay if the keys hold one.
+    """
+    span = keys.agg(F.min(of).alias("low"), F.max(of).alias("high"), F.count_if(F.col(of).isNull()).alias("nulls")).first()
+    near = F.lit(False) if span.low is None else F.col(column).between(F.lit(span.low), F.lit(span.high))
+    return snapshot.filter(near | F.col(column).isNull() if span.nulls else near)
+
+
+def delta_keys(t: Tables, deltas: dict[str, DataFrame]) -> DataFrame:
+    """Primary and unique keys that new rows would repeat: (relation, key, value, n_new, n_held).
+
+    `deltas` holds new rows by relation. `n_new` rows of the delta and `n_held`
+    of the snapshot have the key. The keys of the delta are written once and
+    sent to the snapshot's rows in their range; only what meets them is
+    counted. As in `all_keys`, a null is a value.
+    """
+    checks = [(name, keys) for rules in (KEYS, UNIQUE) for name, keys in rules.items() if name in deltas]
+
+    def report(relation: str, keys: tuple[str, ...]) -> DataFrame:
+        new = deltas[relation].groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
+        new = written(new, f"new-keys-{relation}").alias("new")
+        same = lambda side: reduce(Column.__and__, [F.col(f"{side}.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys])
+        near = _near(t[relation].select(*keys), keys[0], new, keys[0]).alias("old")
+        held = near.join(new, same("old"), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_held"))
+        n_held = F.coalesce("n_held", F.lit(0)).cast("long")
+        parts = [F.coalesce(F.col(f"new.{k}").cast("string"), F.lit("null")) for k in keys]
+        return new.join(held.alias("held"), same("held"), "left").filter(F.col("n_new") + n_held > 1).select(
+            F.lit(relation).alias("relation"),
+            F.lit(",".join(keys)).alias("key"),
+            F.concat_ws(",", *parts).alias("value"),
+            "n_new",
+            n_held.alias("n_held"),
+        )
+
+    return reduce(DataFrame.union, [report(*check) for check in checks])
+
+
+def delta_orphans(t: Tables, deltas: dict[str, DataFrame]) -> DataFrame:
+    """References of new rows that neither the snapshot nor the deltas hold, as `orphan_check` gives them.
+
+    The different references of a column are written once and sent to the
+    parent's rows in their range; the parent itself is not shuffled while they
+    are small.
+    """
+
+    def report(child: str, column: str, parent: str, key: str) -> DataFrame:
+        used = deltas[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key"))
+        used = written(used.agg(F.count(F.lit(1)).alias("n_rows")), f"references-{child}-{column}")
+        held = _near(t[parent].select(F.col(key).alias("_key")), "_key", used, "_key")
+        if parent in deltas:
+            held = held.union(deltas[parent].select(F.col(key).alias("_key")))
+        found = held.join(used, "_key", "left_semi").distinct()
+        return used.join(found, "_key", "left_anti").select(
+            F.lit(child).alias("child"),
+            F.lit(column).alias("column"),
+            F.lit(parent).alias("parent"),
+            F.col("_key").cast("string").alias("missing_key"),
+            "n_rows",
+        )
+
+    edges = [edge[:4] for edge in REFERENCES if edge[0] in deltas]
+    if not edges:
+        raise ValueError(f"no references in {sorted(deltas)}")
+    return reduce(DataFrame.union, [report(*edge) for edge in edges])
+
+
 def required_and_length(df: DataFrame, relation: str) -> DataFrame:
     """One row per broken column rule: the row's key, the column, what is wrong."""
     broken: list[Column] = []

@@ -92,9 +92,9 @@ def take_submissions(
 ) -> tuple[Tables, DataFrame]:
     """The whole insert of a batch: (next snapshot, refused submissions with a reason).
 
-    Texts are scored and numbered; rows that break the feedback or the score
-    rule are refused like blank texts and unknown problems; good scores raise a
-    notice. New rows stand in attempt, notification and receive.
+    Texts are scored; rows that break the feedback or the score rule are refused
+    like blank texts and unknown problems, and use up no number. The others are
+    numbered, and good scores raise a notice. New rows stand in attempt, notification and receive.
     """
     from classmeter.operators import quality, writes
 
@@ -108,10 +108,13 @@ def take_submissions(
             "student_id", "problem_id", reason("unknown problem")
         ),
     ]
-    new = written(submit(t, batch), "new-attempts")
+    scored = score_submissions(answered(batch), t.problem).select(*batch.columns, "score")
+    unread = {"mentor_id": F.lit(None).cast("long"), "feedback": F.lit(None).cast("string")}
+    good = written(scored.withColumns(unread), "scored")
     for rule in (quality.feedback_rule, quality.score_range_rule):
-        new, broken = rule(new)
+        good, broken = rule(good)
         refused.append(broken.select("student_id", "problem_id", "reason"))
+    new = written(writes.number_attempts(t, good), "new-attempts")
     sent, got = writes.high_score_alerts(t, new, now=now)
     after = t.replace(
         attempt=t.attempt.unionByName(new),

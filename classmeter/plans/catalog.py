@@ -388,6 +388,30 @@ def orphan_check(t):
     )
 
 
+def next_attempts(t):
+    """A delta: every attempt with the next number, those of each fifth student on foreign problems."""
+    far = F.when(F.col("student_id") % 5 == 0, 4 * 10**12).otherwise(0)
+    return t.attempt.withColumns(
+        {"attempt_no": (F.col("attempt_no") + 1).cast("int"), "problem_id": F.col("problem_id") + far}
+    )
+
+
+@on_tables("delta_keys")
+def delta_keys(t):
+    """New attempts take numbers that are held."""
+    return quality.delta_keys(t, {"attempt": next_attempts(t)})
+
+
+@on_tables("delta_orphans")
+def delta_orphans(t):
+    """New attempts on problems that are not there, and new topics of problems, some under new names."""
+    topics = t.topic.withColumn("topic_name", F.upper("topic_name"))
+    bridge = t.have_topic.withColumn(
+        "topic_name", F.when(F.col("problem_id") % 7 == 0, F.upper("topic_name")).otherwise(F.reverse("topic_name"))
+    )
+    return quality.delta_orphans(t, {"attempt": next_attempts(t), "topic": topics, "have_topic": bridge})
+
+
 @on_session("required_and_length")
 def required_and_length(spark, sf_dir):
     forms = binding.uploads(lambda table: binding.raw(spark, sf_dir, table))

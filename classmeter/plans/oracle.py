@@ -346,6 +346,35 @@ def edge_sql(child: str, column: str, parent: str, key: str) -> str:
     )
 
 
+NEXT_ATTEMPTS = """(SELECT student_id, attempt_no + 1 AS attempt_no, mentor_id,
+    problem_id + CASE WHEN student_id % 5 = 0 THEN 4000000000000 ELSE 0 END AS problem_id FROM attempt)"""
+_ATTEMPT = "student_id, problem_id, attempt_no"
+DELTA_KEYS = f"""SELECT 'attempt' AS relation, 'student_id,problem_id,attempt_no' AS key,
+        concat_ws(',', {_ATTEMPT}) AS value, n_new, coalesce(n_held, 0) AS n_held
+    FROM (SELECT {_ATTEMPT}, count(*) AS n_new FROM {NEXT_ATTEMPTS} GROUP BY ALL)
+    LEFT JOIN (SELECT {_ATTEMPT}, count(*) AS n_held FROM attempt GROUP BY ALL) USING ({_ATTEMPT})
+    WHERE n_new + coalesce(n_held, 0) > 1"""
+DELTA_BRIDGE = """(SELECT problem_id, CASE WHEN problem_id % 7 = 0 THEN upper(topic_name)
+    ELSE reverse(topic_name) END AS topic_name FROM have_topic)"""
+DELTA_EDGES = [
+    (NEXT_ATTEMPTS, "attempt", "student_id", "student", "user_id", "student"),
+    (NEXT_ATTEMPTS, "attempt", "problem_id", "problem", "problem_id", "problem"),
+    (NEXT_ATTEMPTS, "attempt", "mentor_id", "mentor", "user_id", "mentor"),
+    (DELTA_BRIDGE, "have_topic", "problem_id", "problem", "problem_id", "problem"),
+    (DELTA_BRIDGE, "have_topic", "topic_name", "topic", "topic_name",
+     "(SELECT topic_name FROM topic UNION ALL SELECT upper(topic_name) FROM topic)"),
+]
+
+
+def delta_edge(delta: str, child: str, column: str, parent: str, key: str, held: str) -> str:
+    return (
+        f"SELECT '{child}' AS child, '{column}' AS \"column\", '{parent}' AS parent, "
+        f"CAST(c.{column} AS VARCHAR) AS missing_key, count(*) AS n_rows FROM {delta} c "
+        f"WHERE c.{column} IS NOT NULL AND c.{column} NOT IN (SELECT {key} FROM {held} WHERE {key} IS NOT NULL) "
+        f"GROUP BY c.{column}"
+    )
+
+
 def violation(relation: str, key: str, source: str, column: str, kind: str, wrong: str) -> str:
     return (
         f"SELECT '{relation}' AS relation, {key} AS id, '{column}' AS \"column\", "
@@ -655,6 +684,8 @@ QUERIES: dict[str, str] = {
         UNION ALL SELECT 'problem', 'difficulty', lang, count(*) FROM documents GROUP BY lang
         UNION ALL SELECT 'problem', 'difficulty', 'hard', count(*) FROM documents""",
     "orphan_check": " UNION ALL ".join(edge_sql(*edge) for edge in EDGES),
+    "delta_keys": DELTA_KEYS,
+    "delta_orphans": " UNION ALL ".join(delta_edge(*edge) for edge in DELTA_EDGES),
     "required_and_length": VIOLATIONS,
     "read_only_gate": gate(WRITE_WORDS),
     "read_only_gate_word": gate(rf"\b({WRITE_WORDS})\b"),

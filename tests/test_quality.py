@@ -6,6 +6,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from classmeter.operators import quality
+from classmeter.session import shared_folder
+from classmeter.sources import tables
 from conftest import rows
 
 
@@ -105,3 +107,50 @@ def test_required_and_length(spark):
         (2, "email", "blank"), (2, "name", "missing"), (2, "status", "too long"), (3, "name", "too long"),
         (3, "password", "blank"),
     ]
+
+
+def test_delta_keys(spark, seed):
+    again = seed.user.filter("user_id in (2, 3)").withColumn("user_id", F.when(F.col("user_id") == 2, 90).otherwise(F.col("user_id")))
+    fresh = seed.user.filter("user_id = 1").withColumns({"user_id": F.lit(91).cast("long"), "email": F.lit(None).cast("string")})
+    attempts = seed.attempt.filter("student_id = 1").withColumn("attempt_no", F.col("attempt_no") + 1)
+    twice = attempts.union(attempts.filter("problem_id = 102"))
+    found = rows(quality.delta_keys(seed, {"user": again.union(fresh).union(fresh), "attempt": twice}))
+    assert sorted(found) == [
+        ("attempt", "student_id,problem_id,attempt_no", "1,101,2", 1, 1),
+        ("attempt", "student_id,problem_id,attempt_no", "1,102,2", 2, 0),
+        ("user", "email", "null", 2, 0),
+        ("user", "email", "p2@example.com", 1, 1),
+        ("user", "email", "p3@example.com", 1, 1),
+        ("user", "user_id", "3", 1, 1),
+        ("user", "user_id", "91", 2, 0),
+    ]
+    assert rows(quality.delta_keys(seed, {"user": seed.user.limit(0)})) == []
+    nameless = seed.replace(user=seed.user.union(fresh))
+    assert ("user", "email", "null", 1, 1) in rows(quality.delta_keys(nameless, {"user": fresh}))
+
+
+def test_delta_orphans(spark, seed):
+    topic = seed.topic.filter("topic_name = 'sets'").withColumn("topic_name", F.lit("new"))
+    bridge = spark.createDataFrame([(101, "new"), (101, "lost"), (999, "joins"), (998, "lost"), (None, None)], seed.have_topic.schema)
+    found = rows(quality.delta_orphans(seed, {"topic": topic, "have_topic": bridge}))
+    assert sorted(found) == [
+        ("have_topic", "problem_id", "problem", "998", 1), ("have_topic", "problem_id", "problem", "999", 1),
+        ("have_topic", "topic_name", "topic", "lost", 2),
+    ]
+    assert rows(quality.delta_orphans(seed, {"have_topic": bridge.limit(0)})) == []
+
+
+def test_a_delta_meets_only_keys_of_its_range(spark, bound):
+    """Bounds of the delta's keys are in the scan, and the snapshot is not shuffled."""
+    path = shared_folder(spark, "delta")
+    tables.write_snapshot(bound, path, changed=["attempt"])
+    held = tables.load(spark, path)
+    delta = held.attempt.orderBy("student_id").limit(20)
+    found = quality.delta_keys(held, {"attempt": delta})
+    assert found.count() > 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "/attempt/" in line)
+    assert "GreaterThanOrEqual(student_id" in scan and "LessThanOrEqual(student_id" in scan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

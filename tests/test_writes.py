@@ -44,6 +44,16 @@ def test_submissions_as_one_job(spark, seed):
     assert sorted(rows(told)) == [(1, 11), (6, 12)] and after.notification.count() == 12
 
 
+def test_a_refused_score_uses_up_no_number(spark, seed, monkeypatch):
+    odd = F.when(F.col("student_sql") == "bad", 120.0).otherwise(70.0)
+    monkeypatch.setattr(scoring, "score_submissions", lambda batch, problem: batch.withColumn("score", odd))
+    batch = [(1, 101, "bad", T0), (1, 101, "good", T0 + datetime.timedelta(minutes=1))]
+    frame = spark.createDataFrame(batch, "student_id long, problem_id long, student_sql string, submit_time timestamp_ntz")
+    after, refused = scoring.take_submissions(seed, frame)
+    assert rows(refused) == [(1, 101, "score out of range")]
+    assert sorted(r.attempt_no for r in after.attempt.filter("student_id = 1 and problem_id = 101").collect()) == [1, 2, 3]
+
+
 def test_feedback_needs_owner_and_text(spark, seed):
     updates = [
         (1, 101, 1, 21, " fine ", T0), (1, 101, 1, 21, "older", T0 - datetime.timedelta(1)),
