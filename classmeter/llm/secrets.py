@@ -8,7 +8,7 @@ of the document, and the neighbouring words. It learns from labelled findings.
 
 All steps are DataFrame, SQL and Spark ML functions in the JVM. Candidates are
 cut out of a text where it lies; what is shuffled is the word counts,
-pre-aggregated, and at most `max_rows` labelled findings.
+pre-aggregated, and at most `max_rows` labelled findings of each label.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from classmeter.llm.common import held_out, saved
 
-# Labelled findings that a forest is fitted on, at most; words in the dictionary.
+# Labelled findings of each label that a forest is fitted on, at most; words in the dictionary.
 MAX_ROWS, DICTIONARY = 20_000, 400
 # Characters on either side that neighbouring words are taken from.
 BESIDE = 60
@@ -170,16 +170,24 @@ def labelled(found: DataFrame) -> DataFrame:
 def train(examples: DataFrame, max_rows: int = MAX_ROWS, trees: int = 40, depth: int = 6, seed: int = 7) -> PipelineModel | None:
     """A forest from features with a label (0.0 or 1.0; others are left out); None without both labels.
 
-    At most `max_rows` are learned from, the first in the order of a hash.
+    At most `max_rows` of each label are learned from, the first in the order
+    of a hash, so a rare label is there at every size. Each counts for as many
+    as were there of its label, so the draw does not shift their shares.
     """
-    rows = examples.where(F.col("label").isin(0.0, 1.0))
-    rows = saved(rows.orderBy(F.xxhash64("doc_id", "start", "secret"), "doc_id", "start").limit(max_rows), "secret-examples")
-    if rows.select("label").distinct().count() < 2:
+    counts = examples.where(F.col("label").isin(0.0, 1.0)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    there = {r.label: r.n for r in counts.collect()}  # two rows at most
+    if len(there) < 2:
         return None
+    order = (F.xxhash64("doc_id", "start", "secret"), "doc_id", "start", "secret", "left", "right")
+    drawn = [
+        examples.where(F.col("label") == label).orderBy(*order).limit(max_rows).withColumn("weight", F.lit(max(1.0, n / max_rows)))
+        for label, n in sorted(there.items())
+    ]
+    rows = saved(drawn[0].unionByName(drawn[1]), "secret-examples")
     stages = [
         HashingTF(inputCol="beside", outputCol="beside_hashed", numFeatures=128, binary=True),
         VectorAssembler(inputCols=[*NUMBERS, "beside_hashed"], outputCol="x"),
-        RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird"),
+        RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird"),
     ]
     return Pipeline(stages=stages).fit(rows)
 

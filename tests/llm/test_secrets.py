@@ -131,3 +131,17 @@ def test_long_values_and_many(spark):
     docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     counts = dict(secrets.findings(docs).groupBy("doc_id").count().collect())
     assert counts[0] == 1 and counts[1] == 50_000 and counts[2] >= 1 and counts[3] == 1
+
+
+def test_a_rare_label_is_learned_at_every_size(spark):
+    """Findings labelled by their makers, not in quotes: six keys among many numbers, far more than are drawn."""
+    key = lambda i: "".join("aK9zQ4xW7mB2"[(i * 7 + j * 5) % 12] for j in range(24))
+    texts = [(i, f"see part 10{i:06}.4471 of it") for i in range(600)] + [(1_000 + i, f"use {key(i)} here") for i in range(6)]
+    docs = spark.createDataFrame([(*t, "p") for t in texts], "doc_id long, text string, source string")
+    found = secrets.features(secrets.findings(docs), []).withColumn("label", (F.col("doc_id") >= 1_000).cast("double"))
+    model = secrets.train(found, max_rows=20, trees=10)
+    assert model is not None
+    scored = model.transform(found).select("doc_id", "prediction").collect()
+    assert len(scored) == 606 and all((r.doc_id >= 1_000) == (r.prediction == 1.0) for r in scored)
+    assert secrets.train(found.where("label = 0"), max_rows=20) is None
+    assert secrets.train(found.withColumn("label", F.lit(None).cast("double"))) is None
