@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import (
@@ -73,38 +73,90 @@ def vocabulary_rule(df: DataFrame, relation: str) -> DataFrame:
     return reduce(DataFrame.union, [report(*rule) for rule in VOCABULARY[relation].items()])
 
 
-def references_of(t: Tables, child: str) -> DataFrame:
-    """(child, column, parent, key, n_rows) of all references of a relation, in one pass over it.
+# The relations that are referred to, with their key.
+PARENTS = list(dict.fromkeys((edge[2], edge[3]) for edge in REFERENCES))
 
-    References are counted in the map tasks, so a hot parent is one row for each.
+
+def _marked(t: Tables, parent: str, key: str, column: str) -> list[Column]:
+    """A key as block, word and bits: a whole number is one bit in the block of 64 that it lies in, another key a word."""
+    value = F.col(column)
+    if not isinstance(t[parent].schema[key].dataType, T.IntegralType):
+        bits = F.when(value.isNotNull(), F.lit(1).cast("long"))
+        return [F.lit(0).cast("long").alias("block"), value.alias("word"), bits.alias("bits")]
+    value = value.cast("long")
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(63).cast("int"))
+    return [F.shiftright(value, 6).alias("block"), F.lit("").alias("word"), bits.alias("bits")]
+
+
+def reference_blocks(t: Tables, child: str) -> DataFrame:
+    """(edge, parent, block, word, bits) of all references of a relation, in one pass over it.
+
+    `edge` and `parent` are places in REFERENCES and PARENTS. Keys are put
+    together in the map tasks, up to 64 of them in a row, so a hot parent is
+    one bit for each task and near ids travel together.
     """
-    edges = [edge for edge in REFERENCES if edge[0] == child]
-    pairs = [
-        F.struct(
-            F.lit(column).alias("column"),
-            F.lit(parent).alias("parent"),
-            F.col(column).cast("string").alias("missing_key"),
-        )
-        for _, column, parent, *_ in edges
+    edges = [(n, edge[1], edge[2:4]) for n, edge in enumerate(REFERENCES) if edge[0] == child]
+    refs = [
+        F.struct(F.lit(n).alias("edge"), F.lit(PARENTS.index(of)).alias("parent"), *_marked(t, *of, column))
+        for n, column, of in edges
     ]
-    held = t[child].select(F.inline(F.array(*pairs))).filter("missing_key is not null")
-    counts = held.groupBy("column", "parent", "missing_key").agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.select(F.lit(child).alias("child"), "column", "parent", "missing_key", "n_rows")
+    held = t[child].select(F.inline(F.array(*refs))).filter("bits is not null")
+    return held.groupBy("edge", "parent", "block", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def orphan_check(t: Tables) -> DataFrame:
-    """All broken references of all relations: each child is read once, and each parent once."""
+def broken_references(t: Tables) -> DataFrame:
+    """(edge, key, word): every different reference that its parent does not hold, written.
+
+    Each child is read once, and each parent once. Blocks of references meet
+    blocks of keys; what is left of a block once the parent's bits are taken
+    away is exactly the broken keys, so nothing has to be looked up again.
+    """
     children = dict.fromkeys(edge[0] for edge in REFERENCES)
-    used = written(reduce(DataFrame.union, [references_of(t, c) for c in children]), "references")
-    parents = dict.fromkeys((edge[2], edge[3]) for edge in REFERENCES)
-    lost = [
-        used.filter(F.col("parent") == parent).join(
-            t[parent].select(F.col(key).cast("string").alias("missing_key")), "missing_key", "left_anti"
-        )
-        for parent, key in parents
+    used = reduce(DataFrame.union, [reference_blocks(t, child) for child in children])
+    keys = [
+        t[parent].select(F.lit(n).alias("parent"), *_marked(t, parent, key, key)).filter("bits is not null")
+        for n, (parent, key) in enumerate(PARENTS)
     ]
-    order = ["child", "column", "parent", "missing_key", "n_rows"]
-    return reduce(DataFrame.union, [frame.select(*order) for frame in lost])
+    there = ["parent", "block", "word"]
+    held = reduce(DataFrame.union, [k.groupBy(*there).agg(F.bit_or("bits").alias("held")) for k in keys])
+    lost = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("held", F.lit(0).cast("long"))))
+    missing = used.join(held, there, "left").withColumn("lost", lost).filter("lost <> 0")
+    bit = F.explode(F.expr("filter(sequence(0, 63), i -> getbit(lost, i) = 1)"))
+    missing = missing.select("edge", "block", "word", bit.alias("bit"))
+    key = F.shiftleft("block", 6).bitwiseOR(F.col("bit").cast("long"))
+    return written(missing.select("edge", key.alias("key"), "word"), "broken-references")
+
+
+def orphan_check(t: Tables) -> DataFrame:
+    """All broken references of all relations: (child, column, parent, missing_key, n_rows).
+
+    A child is read a second time only if it holds broken references, to count
+    their rows; only rows that hold one are shuffled.
+    """
+    broken = broken_references(t)
+    edges = sorted(row.edge for row in broken.select("edge").distinct().collect())  # a row for each reference at most
+    same = ["edge", "key", "word"]
+    counts = []
+    for child in dict.fromkeys(REFERENCES[n][0] for n in edges):
+        refs = []
+        for n in (n for n in edges if REFERENCES[n][0] == child):
+            _, column, parent, key, _ = REFERENCES[n]
+            whole = isinstance(t[parent].schema[key].dataType, T.IntegralType)
+            value, zero = F.col(column), F.lit(0).cast("long")
+            parts = (value.cast("long"), F.lit("")) if whole else (zero, value)
+            text = value.cast("string").alias("missing_key")
+            refs.append(F.struct(F.lit(n).alias("edge"), *(x.alias(c) for x, c in zip(parts, same[1:])), text))
+        rows = t[child].select(F.inline(F.array(*refs))).filter("missing_key is not null")
+        hit = rows.join(broken, same, "left_semi").groupBy("edge", "missing_key").agg(F.count(F.lit(1)).alias("n_rows"))
+        counts.append(hit)
+    if not counts:
+        return broken.sparkSession.createDataFrame(
+            [], "child string, column string, parent string, missing_key string, n_rows long"
+        )
+    name = lambda place: F.get(F.array(*(F.lit(edge[place]) for edge in REFERENCES)), F.col("edge"))
+    return reduce(DataFrame.union, counts).select(
+        name(0).alias("child"), name(1).alias("column"), name(2).alias("parent"), "missing_key", "n_rows"
+    )
 
 
 def _near(snapshot: DataFrame, column: str, keys: DataFrame, of: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Gates, rules and checks on known inputs."""
 
 import json
+from collections import Counter
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -100,6 +101,32 @@ def test_keys_vocabulary_orphans(spark, seed):
     assert rows(quality.vocabulary_rule(odd, "user")) == [("user", "status", "gone", 2)]
 
 
+def test_orphans_of_any_key(spark, seed):
+    """Negative and far keys, keys of one block, blanks, repeats and nulls; against a set difference."""
+    keys = [*range(-130, 130), 63, 64, 2**40, 2**62, -(2**62), 2**63 - 1, -(2**63), 101, 101, None]
+    held = [k for k in keys if k is not None and k % 3 == 0]
+    text = [None, "", "joins", "Joins", "joins ", "naïve", "joins"]
+    pairs = [(k, text[i % len(text)]) for i, k in enumerate(keys)]
+    problem = spark.createDataFrame([(k,) for k in {*held}], "problem_id long")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in seed.problem.schema if f.name != "problem_id"]
+    t = seed.replace(
+        problem=problem.select("problem_id", *blank),
+        have_topic=spark.createDataFrame(pairs, seed.have_topic.schema).repartition(3),
+        attempt=seed.attempt.limit(0),
+    )
+    lost = Counter(("problem_id", "problem", str(k)) for k, _ in pairs if k is not None and k not in held)
+    lost += Counter(("topic_name", "topic", w) for _, w in pairs if w is not None and w != "joins")
+    found = rows(quality.orphan_check(t))
+    assert sorted(found) == sorted(("have_topic", *key, n) for key, n in lost.items())
+
+
+def test_near_references_travel_together(spark, seed):
+    """64 keys in a row are one row, whatever the number of rows that hold them."""
+    ids = spark.range(0, 6_400, 1, 4).select(F.col("id").alias("resource_id"), (F.col("id") % 128).alias("student_id"), F.lit(None).cast("timestamp_ntz").alias("access_time"))
+    blocks = quality.reference_blocks(seed.replace(access=ids), "access")
+    assert blocks.groupBy("edge").count().count() == 2 and blocks.count() == 100 + 2
+
+
 def test_required_and_length(spark):
     users = [(1, "n", "e", "p", "active"), (2, None, " ", "p", "much too long status"), (3, "x" * 101, "e3", "", None)]
     frame = spark.createDataFrame(users, "user_id long, name string, email string, password string, status string")
