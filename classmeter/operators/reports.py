@@ -161,9 +161,9 @@ def zero(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(0))
 
 
-def student_performance(t: Tables) -> DataFrame:
-    """One row per student, also those without attempts."""
-    return _student_figures(t).select(
+def student_performance(t: Tables, totals: DataFrame | None = None) -> DataFrame:
+    """One row per student, also those without attempts. `totals` are those of `attempt_totals`, if they are at hand."""
+    return _student_figures(t, totals).select(
         "user_id",
         "name",
         "email",
@@ -174,8 +174,9 @@ def student_performance(t: Tables) -> DataFrame:
     )
 
 
-def _student_figures(t: Tables) -> DataFrame:
-    totals = attempt_totals(t, "student_id", "problem_id").withColumnRenamed("student_id", "user_id")
+def _student_figures(t: Tables, totals: DataFrame | None = None) -> DataFrame:
+    totals = attempt_totals(t, "student_id", "problem_id") if totals is None else totals
+    totals = totals.withColumnRenamed("student_id", "user_id")
     people = t.student.select("user_id").join(t.user.select("user_id", "name", "email"), "user_id")
     return people.join(totals, "user_id", "left")
 
@@ -187,9 +188,9 @@ def topic_sets(bridge: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, topic_line(F.col("set")).alias("topics"), F.size("set").alias("n_topics"))
 
 
-def problem_statistics(t: Tables, faithful: bool = True) -> DataFrame:
+def problem_statistics(t: Tables, faithful: bool = True, totals: DataFrame | None = None) -> DataFrame:
     """One row per problem. The faithful form counts an attempt once per topic."""
-    totals = attempt_totals(t, "problem_id", "student_id")
+    totals = attempt_totals(t, "problem_id", "student_id") if totals is None else totals
     factor = F.greatest(zero("n_topics"), F.lit(1)) if faithful else F.lit(1)
     return (
         t.problem.select("problem_id", "title", "difficulty", "user_id")
@@ -209,13 +210,22 @@ def problem_statistics(t: Tables, faithful: bool = True) -> DataFrame:
     )
 
 
-def mentor_activity(t: Tables) -> DataFrame:
-    """One row per mentor; three separate totals instead of the product of three joins."""
+def created_totals(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(problems, resources) per author."""
     authored = t.problem.groupBy("user_id").agg(F.count("problem_id").alias("problems"))
-    uploaded = t.resource.groupBy("user_id").agg(F.count("resource_id").alias("resources"))
-    graded = attempt_totals(
-        t.replace(attempt=t.attempt.filter("mentor_id is not null")), "mentor_id", "student_id"
-    ).withColumnRenamed("mentor_id", "user_id")
+    return authored, t.resource.groupBy("user_id").agg(F.count("resource_id").alias("resources"))
+
+
+def graded_totals(t: Tables) -> DataFrame:
+    return attempt_totals(t.replace(attempt=t.attempt.filter("mentor_id is not null")), "mentor_id", "student_id")
+
+
+def mentor_activity(
+    t: Tables, created: tuple[DataFrame, DataFrame] | None = None, graded: DataFrame | None = None
+) -> DataFrame:
+    """One row per mentor; three separate totals instead of the product of three joins."""
+    authored, uploaded = created_totals(t) if created is None else created
+    graded = (graded_totals(t) if graded is None else graded).withColumnRenamed("mentor_id", "user_id")
     return (
         t.mentor.select("user_id")
         .join(names(t, "user_id", "mentor_name"), "user_id")

@@ -8,11 +8,11 @@ executor only repeats its tasks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from classmeter.functions.joins import left_join_sparse
 from classmeter.functions.numbering import number_within
 from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import KEYS, REFERENCES, SCHEMAS
@@ -62,8 +62,8 @@ def accepted_feedback(t: Tables, updates: DataFrame) -> DataFrame:
     return own.groupBy(*ATTEMPT).agg(by("mentor_id")("_mentor"), by("feedback")("_feedback"))
 
 
-def apply_feedback(t: Tables, updates: DataFrame) -> Tables:
-    accepted = written(accepted_feedback(t, updates), "feedback")
+def with_feedback(t: Tables, accepted: DataFrame) -> Tables:
+    """The next snapshot with the reviews that `accepted_feedback` lets through, written."""
     joined = t.attempt.join(accepted, ATTEMPT, "left")
     changed = joined.withColumns(
         {
@@ -74,6 +74,10 @@ def apply_feedback(t: Tables, updates: DataFrame) -> Tables:
     return t.replace(attempt=typed(changed, "attempt"))
 
 
+def apply_feedback(t: Tables, updates: DataFrame) -> Tables:
+    return with_feedback(t, written(accepted_feedback(t, updates), "feedback"))
+
+
 def new_topics(
     t: Tables, pairs: DataFrame, bridge: str = "have_topic", now: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -168,42 +172,100 @@ def deletable_users(t: Tables, ids: DataFrame) -> DataFrame:
     return ids.join(authors, "user_id", "left_anti")
 
 
-def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = True) -> Tables:
-    """Delete users and all that depends on them, along the declared references.
+@dataclass(frozen=True)
+class Removal:
+    """What a cascade does: the keys that go, by relation, and what it does to rows with several references.
+
+    `met` holds, by relation, the different references of which one or more go,
+    with `_lost` (the row goes) and `_no_<column>` (the column is cleared).
+    """
+
+    keys: dict[str, DataFrame]
+    met: dict[str, DataFrame]
+
+
+def _edges(relation: str, keys: dict[str, DataFrame]) -> list[tuple[str, str, str, str, str]]:
+    return [edge for edge in REFERENCES if edge[0] == relation and edge[2] in keys]
 
-    The sets of deleted keys are followed rather than the kept rows, and each
-    is written once. Users that `deletable_users` leaves out stay, as a problem
-    that was tried is not removed; `guard=False` removes them as well.
+
+def _identity(relation: str, edges: list[tuple[str, str, str, str, str]]) -> list[str]:
+    """The columns that decide what happens to a row, with its key if others refer to it."""
+    referred = any(edge[2] == relation for edge in REFERENCES)
+    return list(dict.fromkeys([*(KEYS[relation] if referred else ()), *(edge[1] for edge in edges)]))
+
+
+def _met(frame: DataFrame, relation: str, edges: list[tuple[str, str, str, str, str]], keys: dict[str, DataFrame]) -> DataFrame:
+    """All references of a row are looked up in one join, and each combination of them is kept once."""
+    who = _identity(relation, edges)
+    refs = F.array(*(F.struct(F.lit(n).alias("edge"), F.col(edge[1]).alias("key")) for n, edge in enumerate(edges)))
+    each = frame.select(*who, F.explode(refs).alias("_ref")).select(*who, "_ref.edge", "_ref.key").filter("key is not null")
+    gone = [keys[edge[2]].select(F.lit(n).alias("edge"), F.col(edge[3]).alias("key")) for n, edge in enumerate(edges)]
+    hit = each.join(reduce(DataFrame.union, gone), ["edge", "key"], "left_semi")
+    lost = F.col("edge").isin([n for n, edge in enumerate(edges) if edge[4] != "null"])
+    cleared = [F.max(F.col("edge") == n).alias(f"_no_{edge[1]}") for n, edge in enumerate(edges) if edge[4] == "null"]
+    return hit.groupBy(*who).agg(F.max(lost).alias("_lost"), *cleared)
+
+
+def plan_removal(t: Tables, ids: DataFrame, guard: bool = True) -> Removal:
+    """Follow the declared references from the users `ids`, relation by relation.
+
+    Users that `deletable_users` leaves out stay, as a problem that was tried
+    is not removed; `guard=False` removes them as well. Each relation is read
+    once, joined once, and what the removal does to it is written once.
     """
     ids = deletable_users(t, ids) if guard else ids.select("user_id").distinct()
-    gone = {"user": written(ids, "gone-user")}
-    parents = {edge[2] for edge in REFERENCES}
-    left: dict[str, DataFrame] = {"user": t.user.join(gone["user"], "user_id", "left_anti")}
+    keys: dict[str, DataFrame] = {"user": written(ids, "gone-user")}
+    met: dict[str, DataFrame] = {}
+    for relation in SCHEMAS:
+        edges = _edges(relation, keys)
+        referred = any(edge[2] == relation for edge in REFERENCES)
+        if len(edges) > 1 or any(edge[4] == "null" for edge in edges):
+            met[relation] = written(_met(t[relation], relation, edges, keys), f"met-{relation}")
+            if referred:
+                keys[relation] = met[relation].filter("_lost").select(*KEYS[relation])
+        elif edges and referred:
+            _, column, parent, key, _ = edges[0]
+            removed = keys[parent].select(F.col(key).alias(column))
+            lost = t[relation].join(removed, column, "left_semi").select(*KEYS[relation])
+            keys[relation] = written(lost, f"gone-{relation}")
+    return Removal(keys, met)
+
+
+def told(removal: Removal, relation: str, frame: DataFrame, how: str = "left") -> DataFrame:
+    """The rows of a relation with `_lost` and `_no_<column>`; `how="inner"` for those only that a removal meets."""
+    who = _identity(relation, _edges(relation, removal.keys))
+    met = removal.met[relation].withColumnsRenamed({c: f"_met_{c}" for c in who})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_met_{c}")) for c in who])
+    return frame.join(met, same, how).drop(*(f"_met_{c}" for c in who))
+
+
+def cleared(removal: Removal, relation: str, rows: DataFrame) -> DataFrame:
+    """What stays of the rows that `told` gives, without references to what goes."""
+    marks = [c.removeprefix("_no_") for c in rows.columns if c.startswith("_no_")]
+    kept = rows.filter(~F.coalesce("_lost", F.lit(False)))
+    kept = kept.withColumns({c: F.when(~F.coalesce(f"_no_{c}", F.lit(False)), F.col(c)) for c in marks})
+    return typed(kept, relation)
+
+
+def without_removed(t: Tables, removal: Removal) -> Tables:
+    """The snapshot after a removal: each relation is read once and joined once."""
+    left: dict[str, DataFrame] = {"user": t.user.join(removal.keys["user"], "user_id", "left_anti")}
     for relation in SCHEMAS:
-        edges = [edge for edge in REFERENCES if edge[0] == relation and edge[2] in gone]
-        if not edges:
-            continue
-        frame, lost = t[relation], []
-        for _, column, parent, key, rule in edges:
-            if rule == "null":
-                continue
-            removed = gone[parent].select(F.col(key).alias(column))
-            if relation in parents:
-                lost.append(t[relation].join(removed, column, "left_semi").select(*KEYS[relation]))
-            frame = frame.join(removed, column, "left_anti")
-        for _, column, parent, key, rule in edges:
-            if rule == "null":
-                removed = gone[parent].select(F.col(key).alias(column), F.lit(True).alias("_gone"))
-                frame = left_join_sparse(frame, removed, column, list(KEYS[relation]))
-                frame = frame.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column)))
-                frame = frame.drop("_gone")
-        if lost:
-            keys = lost[0] if len(lost) == 1 else reduce(DataFrame.union, lost).distinct()
-            gone[relation] = written(keys, f"gone-{relation}")
-        left[relation] = typed(frame, relation)
+        edges = _edges(relation, removal.keys)
+        if relation in removal.met:
+            left[relation] = cleared(removal, relation, told(removal, relation, t[relation]))
+        elif edges:
+            _, column, parent, key, _ = edges[0]
+            gone = removal.keys[parent].select(F.col(key).alias(column))
+            left[relation] = typed(t[relation].join(gone, column, "left_anti"), relation)
     return t.replace(**left)
 
 
+def cascade_delete_user(t: Tables, ids: DataFrame, guard: bool = True) -> Tables:
+    """Delete users and all that depends on them, along the declared references; see `plan_removal`."""
+    return without_removed(t, plan_removal(t, ids, guard))
+
+
 def dismiss_notification(t: Tables, pairs: DataFrame) -> Tables:
     """Reading and deleting a notification both remove the receive row."""
     key = list(KEYS["receive"])

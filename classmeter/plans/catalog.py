@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from classmeter.functions import exprs, sqltext
-from classmeter.operators import admin, learner, mentor, quality, questions, reports, scoring, writes
-from classmeter.session import shared_folder
+from classmeter.operators import admin, kept, learner, mentor, quality, questions, reports, scoring, writes
+from classmeter.session import shared_folder, written
 from classmeter.sources import binding, tables
 from classmeter.sources.binding import ADMINS, MENTORS
 from classmeter.sources.schemas import SCHEMAS
@@ -613,6 +613,24 @@ on_tables("cascade_delete_attempts")(
 )
 on_tables("deletable_users")(lambda t: writes.deletable_users(t, banned(t)))
 on_tables("cascade_delete_all")(lambda t: row_digests(writes.cascade_delete_user(t, banned(t), guard=False)))
+
+
+def followed(t: Tables) -> tuple[Tables, kept.Kept]:
+    """The platform after submissions, reviews and the removal of banned users, with counts that followed the changes."""
+    counts = kept.build(t)
+    new = written(writes.number_attempts(t, plain_scores(t)), "new-attempts")
+    changes = kept.added(attempt=new)
+    t = t.replace(attempt=t.attempt.unionByName(new))
+    accepted = written(writes.accepted_feedback(t, reviews(t)), "feedback")
+    changes = kept.together(changes, kept.feedback_changes(t, accepted))
+    t, counts = writes.with_feedback(t, accepted), kept.settled(kept.fold(counts, changes))
+    removal = writes.plan_removal(t, banned(t), guard=False)
+    return writes.without_removed(t, removal), kept.fold(counts, kept.removal_changes(t, removal))
+
+
+on_tables("kept_performance")(lambda t: kept.student_performance(*followed(t)))
+on_tables("kept_statistics")(lambda t: kept.problem_statistics(*followed(t)))
+on_tables("kept_activity")(lambda t: kept.mentor_activity(*followed(t)))
 on_tables("dismiss_notification")(
     lambda t: writes.dismiss_notification(
         t, t.receive.join(t.send.select("noti_id"), "noti_id", "left_semi")

@@ -420,6 +420,37 @@ BANNED = "(SELECT user_id FROM users WHERE status = 'banned')"
 DELETABLE = f"""(SELECT user_id FROM users WHERE status = 'banned' AND user_id NOT IN (
     SELECT user_id FROM problem WHERE problem_id IN {TRIED}))"""
 
+# The platform after new attempts, reviews of all attempts, and the removal of banned users with all that is theirs.
+RELATIONS["later"] = f"""SELECT student_id, problem_id, attempt_no, mentor_id, score, submit_time FROM attempt
+    UNION ALL SELECT student_id, problem_id, attempt_no, mentor_id, score, submit_time
+    FROM ({NUMBERED.format("s.line_no * 10")})"""
+RELATIONS["reviewed"] = f"""SELECT a.student_id, a.problem_id, a.score,
+    coalesce(CAST(string_split(r.last, '|')[2] AS BIGINT), a.mentor_id) AS mentor_id FROM later a
+    LEFT JOIN ({REVIEWS.replace("FROM attempt a", "FROM later a")}) r USING (student_id, problem_id, attempt_no)"""
+RELATIONS["stayed"] = f"""SELECT student_id, problem_id, score,
+    CASE WHEN mentor_id NOT IN {BANNED} THEN mentor_id END AS mentor_id FROM reviewed
+    WHERE student_id NOT IN {BANNED} AND problem_id IN (SELECT problem_id FROM problem WHERE user_id NOT IN {BANNED})"""
+KEPT = {
+    "kept_performance": f"""SELECT u.user_id, name, email, coalesce(x.problems, 0) AS problems_attempted,
+        x.mean AS average_score, x.best AS highest_score, coalesce(x.n, 0) AS total_attempts
+        FROM student JOIN users u USING (user_id) LEFT JOIN (SELECT student_id AS user_id,
+        count(DISTINCT problem_id) AS problems, {mean('score')} AS mean, max(score) AS best, count(*) AS n
+        FROM stayed GROUP BY student_id) x USING (user_id) WHERE status <> 'banned'""",
+    "kept_statistics": f"""SELECT p.problem_id, title, difficulty, topics, coalesce(x.students, 0) AS students_attempted,
+        x.mean AS average_score, coalesce(x.n, 0) * greatest(coalesce(labels, 0), 1) AS total_attempts,
+        u.name AS created_by_mentor FROM problem p JOIN users u USING (user_id)
+        LEFT JOIN topic_lines USING (problem_id) LEFT JOIN (SELECT problem_id,
+        count(DISTINCT student_id) AS students, {mean('score')} AS mean, count(*) AS n
+        FROM stayed GROUP BY problem_id) x USING (problem_id) WHERE status <> 'banned'""",
+    "kept_activity": f"""SELECT user_id, name AS mentor_name,
+        (SELECT count(*) FROM problem p WHERE p.user_id = u.user_id) AS problems_created,
+        (SELECT count(*) FROM resource r WHERE r.user_id = u.user_id) AS resources_uploaded,
+        coalesce(x.students, 0) AS students_mentored, x.mean AS avg_student_score
+        FROM users u SEMI JOIN mentor USING (user_id) LEFT JOIN (SELECT mentor_id AS user_id,
+        count(DISTINCT student_id) AS students, {mean('score')} AS mean FROM stayed GROUP BY mentor_id) x
+        USING (user_id) WHERE status <> 'banned'""",
+}
+
 
 def left_of(gone: str) -> dict[str, str]:
     """What a cascade leaves of each relation when the users `gone` go."""
@@ -723,6 +754,7 @@ QUERIES: dict[str, str] = {
     "guarded_delete_scenario_left": f"""SELECT 'scenario' AS relation, scenario_no AS id FROM ({SCENARIO_OUTCOME})
         WHERE outcome = 'refused' UNION ALL SELECT 'problem', problem_id FROM drafted p
         LEFT JOIN ({SCENARIO_OUTCOME}) o USING (scenario_no) WHERE o.outcome IS NULL OR o.outcome = 'refused'""",
+    **KEPT,
     "cascade_delete_user": digests(left_of(DELETABLE)),
     "cascade_delete_attempts": f"""SELECT student_id, count(*) AS n_rows, count(mentor_id) AS marked
         FROM {left_of(DELETABLE)["attempt"]} GROUP BY student_id""",

@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from classmeter.operators import admin, learner, mentor, quality, reports
+from classmeter.operators import admin, kept, learner, mentor, quality, reports, writes
 from classmeter.plans.catalog import QUERIES
 from classmeter.sources.binding import MENTORS
 from conftest import SF
@@ -90,9 +91,42 @@ def test_an_owner_s_keys_meet_the_fact_table_first(loaded, frame, fact):
 
 def test_each_child_is_read_once(loaded):
     used, last = jobs_plans(lambda: quality.orphan_check(loaded))
-    for child in ("attempt", "problem", "access", "send", "receive", "have_topic", "resourcetopic"):
+    for child in ("attempt", "access", "send", "receive", "have_topic", "resourcetopic"):
         assert len(re.findall(rf"FileScan[^\n]*/{child}/", used)) == 1
-    assert not re.search(r"/attempt/", last)
+    assert len(re.findall(r"FileScan[^\n]*/problem/", used)) == 2  # as a child and as a parent
+    assert "SortAggregate" not in used and "ObjectHashAggregate" not in used
+    assert not re.search(r"FileScan", last)  # nothing is broken
+
+
+def test_broken_rows_alone_are_shuffled(loaded):
+    """What holds broken references is read again, and meets them without a shuffle of its rows."""
+    far = loaded.replace(attempt=loaded.attempt.withColumn("mentor_id", F.col("mentor_id") + 10**13))
+    _, last = jobs_plans(lambda: quality.orphan_check(far))
+    assert len(re.findall(r"FileScan[^\n]*/attempt/", last)) == 1 and "/access/" not in last
+    assert "BroadcastHashJoin" in last and "SortMergeJoin" not in last
+
+
+def test_a_cascade_reads_a_relation_twice_and_joins_it_once(loaded):
+    gone = loaded.user.filter("status = 'banned'").select("user_id")
+    removal = []
+    plans = jobs_plans(lambda: removal.append(writes.plan_removal(loaded, gone, guard=False)) or loaded.user)[:-1]
+    for relation in ("attempt", "problem", "access"):
+        scans = [len(re.findall(rf"FileScan[^\n]*/{relation}/", plan)) for plan in plans]
+        assert sum(scans) == 1, (relation, scans)
+    left = writes.without_removed(loaded, removal[0])
+    for relation in ("attempt", "problem", "access", "receive"):
+        plan = plan_of(left[relation])
+        assert len(re.findall(rf"FileScan[^\n]*/{relation}/", plan)) == 1 and len(re.findall(r"\w+Join ", plan)) == 1
+
+
+def test_kept_counts_follow_without_the_attempts(loaded):
+    counts = kept.build(loaded)
+    new = loaded.attempt.limit(50)
+    written = jobs_plans(lambda: kept.fold(counts, kept.added(attempt=new))["tries"])
+    assert sum("/attempt/" in plan for plan in written) == 3 and "/attempt/" not in written[-1]
+    assert "SortMergeJoin" not in written[-1]  # the counts are not shuffled
+    for view in (kept.student_performance, kept.problem_statistics, kept.mentor_activity):
+        assert "/attempt/" not in plan_of(view(loaded, counts))
 
 
 def test_aggregates_hash(bound):
