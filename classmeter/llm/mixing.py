@@ -17,19 +17,24 @@ with a third of the rows costs no more than another. The documents themselves
 are scanned once more, with the cuts at hand, and not shuffled.
 
 The driver and the broadcasts hold one row for each pattern, source and cut.
-`max_patterns` bounds them; more patterns are an error.
+`max_patterns` bounds them. Beyond it the flow is planned without the driver
+where no document has two sources: each source then takes its quota from its
+own pattern, and targets, quotas and cuts are worked out over a written table
+of sources and joined to the documents. More patterns of overlapping sources
+are an error.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from classmeter.llm.common import WORD
+from classmeter.functions.numbering import number_within
+from classmeter.llm.common import WORD, saved
 
 # Bits of the hash, and of them those in the first and the second pass.
 KEY_BITS, FIRST, SECOND = 60, 10, 14
@@ -193,17 +198,25 @@ def _pattern(sources: Column) -> Column:
 
 @dataclass
 class Mix:
-    """What a mix takes: `sources` (source, source_size, target) and, per pattern, the stretches of the line."""
+    """What a mix takes: `sources` (source, source_size, target) and, per pattern, the stretches of the line.
+
+    `bounded` says that neither has more rows than `max_patterns`, so both may be broadcast.
+    """
 
     sources: DataFrame
     stretches: DataFrame
+    bounded: bool = True
+
+    def side(self, table: DataFrame) -> DataFrame:
+        """A table of sources or patterns as the side of a join."""
+        return F.broadcast(table) if self.bounded else table
 
     def apply(self, docs: DataFrame, sources_col: str = "sources", size_col: str = "size", key_col: str = "key") -> DataFrame:
         """`docs` with taken_by (a struct of source and copies for each source that
-        takes the document) and copies (their sum). Not shuffled; columns of `docs`
-        with these names are replaced."""
+        takes the document) and copies (their sum). Not shuffled if `bounded`;
+        columns of `docs` with these names are replaced."""
         row = docs.select(F.struct("*").alias("_row"), _pattern(F.col(sources_col)).alias("pattern"))
-        met = row.join(F.broadcast(self.stretches), "pattern", "left")  # at most max_patterns rows
+        met = row.join(self.side(self.stretches), "pattern", "left")
         key = F.col("_row")[key_col]
 
         def copies(s: Column) -> Column:
@@ -218,6 +231,116 @@ class Mix:
         return met.select(*own, F.col("_by").alias("taken_by"), total.alias("copies"))
 
 
+STRETCHES = "array<struct<source:string,turn_from:int,key_from:long,turn_to:int,key_to:long>>"
+
+
+@dataclass(frozen=True)
+class Level:
+    """Where targets fill up to: `left` words for sources of a `weight` in all, once the capped ones have theirs."""
+
+    left: int
+    weight: int
+
+    def capped(self, most: int) -> Column:
+        """Whether a source has less than its share: most * size / weight < left / weight of all, in whole numbers."""
+        whole = lambda x: x.cast("decimal(19,0)")
+        return whole(F.col("size") * most) * whole(F.lit(self.weight)) < whole(F.col("weight")) * whole(F.lit(self.left))
+
+
+def _level(sources: DataFrame, most: int) -> Level:
+    """The level of `targets`: every round caps all sources below the level, which then rises, until none is below it."""
+    sums = (F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    total = sources.agg(*sums).first()
+    level = Level(int(total.size), int(total.weight))
+    while True:
+        below = sources.where(level.capped(most)).agg(*sums).first()
+        after = Level(int(total.size) - most * int(below.size or 0), int(total.weight) - int(below.weight or 0))
+        if after == level:
+            return level
+        level = after
+
+
+def _with_quotas(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+    """`sources` (name, size, place, weight) with target and quota, as `targets` and `quotas` give them.
+
+    Sources that are not capped and have one weight have one target, so the
+    remainders are as few as the weights.
+    """
+    level = _level(sources, most)
+    capped = level.capped(most)
+    wanted = {w: Fraction(w * level.left, level.weight) for w in sorted(set(weights))}
+    counts = {r.weight: r.n for r in sources.where(~capped).groupBy("weight").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each weight
+    over = level.left - sum(n * int(wanted[w]) for w, n in counts.items())
+    extra = F.lit(False)
+    for part in sorted({wanted[w] - int(wanted[w]) for w in counts}, reverse=True):
+        group = [w for w in counts if wanted[w] - int(wanted[w]) == part]
+        mine = ~capped & F.col("weight").isin(group)
+        n = sum(counts[w] for w in group)
+        if over >= n:
+            extra, over = extra | mine, over - n
+        elif over > 0:  # the first ones of the group
+            last = number_within(sources.where(mine).select("place"), [], [F.asc("place")], "turn").where(F.col("turn") == over).first()
+            extra, over = extra | (mine & (F.col("place") <= last.place)), 0
+
+    def of(value: Callable[[Fraction], float | int], kind: str) -> Column:
+        return F.coalesce(*(F.when(F.col("weight") == w, F.lit(value(x)).cast(kind)) for w, x in wanted.items()))
+
+    whole = F.col("size") * most
+    return sources.withColumns(
+        {
+            "target": F.when(capped, whole.cast("double")).otherwise(of(float, "double")),
+            "quota": F.when(capped, whole).otherwise(of(int, "long") + extra.cast("long")),
+        }
+    )
+
+
+def _keys_beyond(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(name, key_to): for each of `cuts` (name, words) the least hash that lies beyond it, as `_places` finds it."""
+    live, known = cuts.select("name", F.lit(0).cast("long").alias("stem"), "words"), 0
+    for bits in (FIRST, FIRST + SECOND, KEY_BITS):
+        last = bits == KEY_BITS
+        bucket = F.shiftright("key", KEY_BITS - bits).alias("bucket")
+        if known:  # a stem is narrow, so no source is one group
+            inside = rows.withColumn("stem", F.shiftright("key", KEY_BITS - known))
+            inside = inside.join(live.select("name", "stem"), ["name", "stem"], "left_semi")
+        else:
+            inside = rows.withColumn("stem", F.lit(0).cast("long"))
+        sums = inside.groupBy("name", "stem", bucket).agg(F.sum("size").alias("size"))
+        sums = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("name", "stem").orderBy("bucket")))
+        beyond = F.expr("2 * upto - size > 2 * words" if last else "upto > words")
+        hit = live.join(sums, ["name", "stem"]).where(beyond).groupBy("name", "stem", "words")
+        hit = hit.agg(F.min("bucket").alias("bucket"), F.min(F.expr("upto - size")).alias("before"))
+        if last:  # unless a hash inside lies beyond the cut, the end of the bucket does
+            end = F.shiftleft(F.col("stem") + 1, KEY_BITS - known)
+            return live.join(hit.select("name", "bucket"), "name", "left").select("name", F.coalesce("bucket", end).alias("key_to"))
+        live = saved(hit.select("name", F.col("bucket").alias("stem"), (F.col("words") - F.col("before")).alias("words")), "cuts")
+        known = bits
+    raise AssertionError
+
+
+def _plan_apart(rows: DataFrame, weights: Sequence[int], most: int, max_patterns: int) -> Mix:
+    """The mix of `plan_mix` where no document has two sources, for any number of sources."""
+    seen = saved(rows.groupBy("names").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")), "patterns")
+    if seen.where(F.size("names") > 1).limit(1).collect():
+        raise ValueError(f"more than {max_patterns} membership patterns of overlapping sources; merge sources or raise max_patterns")
+    named = seen.where(F.size("names") == 1).select(F.col("names")[0].alias("name"), "size")
+    # In the order of code points, the nameless one last: "=" comes before "n".
+    placed = number_within(named, [], [F.asc("name")], "place")
+    turn = F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")
+    placed = saved(placed.withColumn("weight", F.get(F.array(*map(F.lit, weights)), turn).cast("long")), "sources")
+    wanted = _with_quotas(placed, weights, most)
+    wanted = saved(wanted.withColumns({"turn_to": F.expr("try_divide(quota - quota % nullif(size, 0), size)").cast("int"), "words": F.expr("quota % nullif(size, 0)")}), "quotas")
+    single = rows.where(F.size("names") == 1).select(F.col("names")[0].alias("name"), "size", "key")
+    ends = _keys_beyond(single, wanted.where("words > 0").select("name", "words"))
+    source = F.when(F.col("name") != "null", F.substr("name", F.lit(2)))
+    stretch = F.struct(
+        source.alias("source"), F.lit(0).alias("turn_from"), F.lit(0).cast("long").alias("key_from"),
+        "turn_to", F.coalesce("key_to", F.lit(0).cast("long")).alias("key_to"),
+    )
+    stretches = wanted.where("quota > 0").join(ends, "name", "left").select(F.array("name").alias("pattern"), F.array(stretch).cast(STRETCHES).alias("stretches"))
+    return Mix(wanted.select(source.alias("source"), F.col("size").alias("source_size"), "target"), saved(stretches, "stretches"), bounded=False)
+
+
 def plan_mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -234,13 +357,15 @@ def plan_mix(
     is a source without a name. Sources in the order of their code points, the
     nameless one last, weigh `weights`, repeating. Their shares of all sizes
     are capped at `most` times what they list. Without documents, or with
-    sizes of 0 only, all targets are 0.
+    sizes of 0 only, all targets are 0. More than `max_patterns` patterns are an
+    error if a document has several sources; without such documents they give
+    the same mix, which is then joined instead of broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select(_pattern(F.col(sources_col)).alias("names"), F.col(size_col).alias("size"), F.col(key_col).alias("key"))
     seen = rows.groupBy("names").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(seen) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns; merge sources or raise max_patterns")
+        return _plan_apart(rows, weights, most, max_patterns)
     seen = sorted((tuple(r.names), r.size or 0) for r in seen)
     names = sorted({n for pattern, _ in seen for n in pattern}, key=lambda n: (n == "null", n))
     place = {n: i for i, n in enumerate(names)}
@@ -267,12 +392,11 @@ def plan_mix(
     table = [
         (list(seen[p][0]), [(plain[s], a.turn, at[a], b.turn, at[b]) for s, a, b in x]) for p, x in stretches.items()
     ]
-    kind = "array<struct<source:string,turn_from:int,key_from:long,turn_to:int,key_to:long>>"
     return Mix(
         spark.createDataFrame(
             [(n, listed[i], float(wanted[i])) for i, n in enumerate(plain)], "source string, source_size long, target double"
         ),
-        spark.createDataFrame(table, f"pattern array<string>, stretches {kind}"),
+        spark.createDataFrame(table, f"pattern array<string>, stretches {STRETCHES}"),
     )
 
 

@@ -15,8 +15,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = saved(mixing.measured(table(spark, sf_dir, "documents"), SEED, "doc_id", "source"), "measured")
     mix = mixing.plan_mix(docs)
-    sources = F.broadcast(mix.sources)  # a row for each source, at most max_patterns
-    out = mix.apply(docs).join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left")
+    out = mix.apply(docs).join(mix.side(mix.sources.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name")), "left")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 

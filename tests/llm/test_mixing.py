@@ -1,3 +1,4 @@
+import random
 from fractions import Fraction
 from itertools import product
 
@@ -99,6 +100,33 @@ def test_too_many_patterns_are_an_error(overlapping):
         mixing.plan_mix(overlapping, max_patterns=3)
 
 
+def rows_of(mix, docs):
+    found = [(r.doc_id, r.copies, [(t.source, t.copies) for t in r.taken_by]) for r in mix.apply(docs).collect()]
+    return sorted(found), sorted(mix.sources.collect(), key=lambda r: (r.source is None, r.source or ""))
+
+
+@pytest.mark.parametrize("weights, most", [((5, 2, 1), 3), ((2, 4, 3, 2), 1), ((7,), 2)])
+def test_any_number_of_sources(spark, weights, most):
+    """Beyond max_patterns the same mix comes from joins: hot and tiny sources, ones without words, equal remainders."""
+    rng = random.Random(len(weights))
+    names = [None, "", "null", "=x", "é", "Z", "a", "😀", *(f"host{i}.org" for i in range(90))]
+    rows = [(i, [names[0 if rng.random() < 0.3 else rng.randrange(len(names))]], rng.choice([0, 1, 1, 2, 7, 400])) for i in range(3_000)]
+    rows += [(9_000 + i, names_, 5) for i, names_ in enumerate([[], None, ["empty"], ["empty"]])] + [(9_100, ["void"], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")
+    docs = docs.withColumn("key", mixing.seeded_key(F.col("doc_id"), F.lit(""), 3)).cache()
+    whole = mixing.plan_mix(docs, weights, most)
+    apart = mixing.plan_mix(docs, weights, most, max_patterns=20)
+    assert whole.bounded and not apart.bounded
+    assert rows_of(apart, docs) == rows_of(whole, docs)
+    assert rows_of(apart, docs.repartition(5)) == rows_of(apart, docs)
+
+
+def test_many_sources_without_words(spark):
+    docs = spark.createDataFrame([(i, [f"s{i}"], 0, i) for i in range(9)], "doc_id long, sources array<string>, size long, key long")
+    mix = mixing.plan_mix(docs, max_patterns=3)
+    assert [r.copies for r in mix.apply(docs).collect()] == [0] * 9 and {r.target for r in mix.sources.collect()} == {0.0}
+
+
 def test_edges(spark, edge_docs, no_docs):
     for docs in (edge_docs, no_docs):
         narrow = mixing.measured(docs, 7, "doc_id", "source").cache()
