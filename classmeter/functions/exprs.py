@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once for each row, however often `use` names it.
+
+    A plain name is only a copy of its expression, and the optimizer copies a
+    projected column into the next projection too where fields are taken from
+    it. What a lambda is given is a value.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def average(column: str) -> Column:
     """Mean as double; null when nothing is counted."""
     return F.try_divide(F.sum(column).cast("double"), F.count(column))

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from classmeter.functions.exprs import once
+
 # Patterns of the scoring rules. Blanks are all Unicode white
 # space, and the four separator controls that are white space in Python only.
 BLANK = r"[\s\x1c-\x1f]"
+# A run of blanks other than a single space.
+UNEVEN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*+| [\s\x1c-\x1f]++"
 COMMENT = r"--[^\n]*"
 LAST_SEMICOLON = rf"(?U);{BLANK}*\z"
 # These two meet normalised text only, where a blank is a space.
@@ -25,7 +29,7 @@ def strip(text: Column) -> Column:
 
 
 def one_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){BLANK}+", " ")
+    return F.regexp_replace(text, UNEVEN, " ")
 
 
 def normalize_sql_text(text: Column) -> Column:
@@ -39,7 +43,7 @@ def normalize_sql_text(text: Column) -> Column:
 
 
 def split_clauses(text: Column) -> Column:
-    return clauses_of(normalize_sql_text(text))
+    return once(normalize_sql_text(text), clauses_of)
 
 
 def clauses_of(normal: Column) -> Column:
@@ -49,26 +53,31 @@ def clauses_of(normal: Column) -> Column:
     the first where, GROUP BY and ORDER BY included, belongs to the where part.
     """
     listed = F.substring(normal, len("select ") + 1, 2**31 - 1)
-    at = F.locate(" from ", listed)
-    rest = listed.substr(at + len(" from "), F.length(listed))
-    where_at = F.locate(" where ", rest)
-    source = F.when(where_at > 0, rest.substr(F.lit(1), where_at - 1)).otherwise(rest)
-    condition = F.when(where_at > 0, rest.substr(where_at + len(" where "), F.length(rest)))
-    is_query = F.startswith(normal, F.lit("select ")) & (at > 0)
+    chosen = F.substring_index(listed, " from ", 1)
+    rest = _after(listed, chosen, " from ")
+    source = F.substring_index(rest, " where ", 1)
+    is_query = F.startswith(normal, F.lit("select ")) & listed.contains(" from ")
     return F.struct(
-        F.when(is_query, listed.substr(F.lit(1), at - 1)).otherwise(normal).alias("select"),
+        F.when(is_query, chosen).otherwise(normal).alias("select"),
         F.when(is_query, source).otherwise("").alias("from"),
-        F.when(is_query, F.coalesce(condition, F.lit(""))).otherwise("").alias("where"),
+        F.when(is_query, _after(rest, source, " where ")).otherwise("").alias("where"),
     )
 
 
+def _after(text: Column, first: Column, mark: str) -> Column:
+    """What follows the mark behind `first`; empty if `first` is the whole text."""
+    return F.substring(text, F.length(first) + len(mark) + 1, F.lit(2**31 - 1))
+
+
 def _pieces(text: Column, mark: str) -> Column:
-    """Trimmed, non-empty parts between the marks."""
-    return F.filter(F.transform(F.split(text, mark), lambda piece: F.trim(piece)), lambda piece: piece != "")
+    """Trimmed, non-empty parts between the marks; most texts hold no mark and are one part."""
+    several = F.filter(F.transform(F.split(text, mark), lambda piece: F.trim(piece)), lambda piece: piece != "")
+    one = F.when(F.trim(text) != "", F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
+    return F.when(text.contains(mark), several).otherwise(one)
 
 
 def _as_set(items: Column) -> Column:
-    return F.sort_array(F.array_distinct(items))
+    return once(items, lambda found: F.when(F.size(found) > 1, F.sort_array(F.array_distinct(found))).otherwise(found))
 
 
 def extract_tables(source: Column) -> Column:
@@ -81,8 +90,7 @@ def extract_tables(source: Column) -> Column:
     first_words = F.transform(
         _pieces(source, ","), lambda piece: F.substring_index(piece, " ", 1)
     )
-    no_empty = F.when(F.size(named) > 0, named)
-    return _as_set(F.coalesce(no_empty, first_words))
+    return _as_set(once(named, lambda found: F.when(F.size(found) > 0, found).otherwise(first_words)))
 
 
 def extract_columns(listed: Column) -> Column:
@@ -92,7 +100,7 @@ def extract_columns(listed: Column) -> Column:
     """
 
     def name(item: Column) -> Column:
-        bare = F.translate(item, "`", "")
+        bare = F.when(item.contains("`"), F.translate(item, "`", "")).otherwise(item)
         bare = F.when(bare.contains(" as "), F.regexp_replace(bare, ALIAS, "")).otherwise(bare)
         return F.trim(F.substring_index(bare, ".", -1))
 

@@ -48,7 +48,9 @@ def score_submissions(submissions: DataFrame, problem: DataFrame) -> DataFrame:
     same = {part: F.col(f"correct.{name}") == F.col(f"student.{name}") for part, (name, _) in SETS.items()}
     f1 = {part: F.col(f"_{part}_f1") for part in PARTS}
     both = {part: (F.col(f"correct.{name}"), F.col(f"student.{name}")) for part, (name, _) in SETS.items()}
-    paired = paired.withColumns({f"_{part}_hits": sqltext.hits(*both[part]) for part in PARTS})
+    # Equal sets share all they hold.
+    shared = {part: F.when(same[part], F.size(both[part][0])).otherwise(sqltext.hits(*both[part])) for part in PARTS}
+    paired = paired.withColumns({f"_{part}_hits": shared[part] for part in PARTS})
     paired = paired.withColumns(
         {
             f"_{part}_f1": sqltext.f1_of(F.col(f"_{part}_hits"), *map(F.size, both[part]))
