@@ -7,9 +7,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from classmeter.session import written
 
 
+# Rows of a hash bucket of keys that one task may number; and the number of buckets.
+CROWD = 1_000_000
+BUCKETS = 1 << 16
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Number the rows of each key from 1 in `order`; all rows, if there are no keys.
 
+    The rows are written to the shared folder once and counted there by hash
+    buckets of the keys. Those of a bucket with more than `CROWD` rows are
+    numbered by ranges, see `_by_ranges`; the others meet by key in one shuffle,
+    which joins and groups by the same keys can go on from. Rows that are equal
+    in keys and order are told apart by a hash of their other columns.
+    """
+    if not keys:
+        return _by_ranges(df, keys, order, name)
+    tie = F.xxhash64(*df.columns)
+    rows = written(df, "numbered")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    full = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+    crowded = [row[0] for row in full.select("bucket").collect()]  # one number for each crowded bucket
+    within = bucket.isin(crowded) if crowded else F.lit(False)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, tie)).cast("long")
+    kept = [c for c in df.columns if c != name]
+    numbered = (rows.filter(~within) if crowded else rows).withColumn("_place", place)
+    numbered = numbered.select(*kept, F.col("_place").alias(name))
+    return numbered.union(_by_ranges(rows.filter(within), keys, order, name)) if crowded else numbered
+
+
+def _by_ranges(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Number rows without putting a whole key into one task.
+
     A plain window sorts a whole key in one task, and one key may hold a third
     of the table. Here rows are dealt out by ranges of (keys, order), which
     Spark takes from quantiles, so a hot key, a single day or sparse ids give

@@ -27,14 +27,14 @@ ATTEMPT = list(KEYS["attempt"])
 def number_attempts(t: Tables, scored: DataFrame) -> DataFrame:
     """New attempt rows: numbers go on from the pair's largest one, in time order.
 
-    Only pairs of the batch are looked up in the snapshot.
+    The batch and the largest numbers of the snapshot's pairs meet in the
+    shuffle that numbers the batch.
     """
     ties = [F.asc(c) for c in ("student_sql", "score") if c in scored.columns]
     order = [F.asc_nulls_last("submit_time"), *ties]
-    numbered = number_within(scored, PAIR, order, "_n")
-    pairs = written(numbered.select(*PAIR).distinct(), "batch-pairs")
-    last = t.attempt.join(pairs, PAIR, "left_semi").groupBy(*PAIR)
-    last = last.agg(F.max("attempt_no").alias("_last"))
+    needed = [c for c in (*PAIR, "submit_time", "score", "student_sql") if c in scored.columns]
+    numbered = number_within(scored.select(*needed), PAIR, order, "_n")
+    last = t.attempt.groupBy(*PAIR).agg(F.max("attempt_no").alias("_last"))
     number = F.col("_n") + F.coalesce("_last", F.lit(0))
     found = numbered.join(last, PAIR, "left").withColumns(
         {
