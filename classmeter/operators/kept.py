@@ -6,7 +6,8 @@ that are taken away -1, so distinct counts and maxima survive deletes: a pair
 or a score is there as long as its count is above 0. Changes may be folded in
 any order; a count that a removal brought below 0 waits for its rows.
 
-A change is a frame of a relation's rows with a column `sign`. The functions
+A change is a frame of a relation's rows with a column `sign`, under the
+relation's name, or under that of the one count that it moves. The functions
 below make the changes of the write jobs from what these have written already,
 so only the rows that a job touches are counted.
 """
@@ -96,24 +97,42 @@ def build(t: Tables) -> Kept:
 def fold(kept: Kept, changes: Changes) -> Kept:
     """The counts after `changes`, lazily; `settled` or `write` them before the next fold, as a fold reads them twice.
 
-    The changes are summed up and written first. The counts meet them in a join
-    that does not shuffle the counts while the changes are small; keys that are
-    new are those that no count meets.
+    The changes are summed up and written first, see `_merged` for how the counts meet them.
     """
     frames = dict(kept.frames)
     for name, (relation, keys, _) in COUNTS.items():
-        if relation in changes:
-            delta = written(_counted(name, changes[relation]).filter(_some(name)), f"change-{name}")
+        moves = [_counted(name, changes[of]) for of in (relation, name) if of in changes]
+        if moves:
+            delta = _summed(name, reduce(DataFrame.union, moves)) if len(moves) > 1 else moves[0]
+            delta = written(delta.filter(_some(name)), f"change-{name}")
             frames[name] = _merged(name, list(keys), kept[name], delta)
     return Kept(frames)
 
 
+def _summed(name: str, counts: DataFrame) -> DataFrame:
+    """Counts of which a key may have several."""
+    types = {m: counts.schema[m].dataType for m in _measures(name)}
+    return counts.groupBy(*COUNTS[name][1]).agg(*(F.sum(m).cast(kind).alias(m) for m, kind in types.items()))
+
+
 def settled(kept: Kept) -> Kept:
     """The same counts, written."""
     return Kept({name: written(frame, f"kept-{name}") for name, frame in kept.frames.items()})
 
 
+# Changed keys that are few enough for the counts to stay where they are.
+FEW = 100_000
+
+
 def _merged(name: str, keys: list[str], old: DataFrame, delta: DataFrame) -> DataFrame:
+    """The counts with the changes.
+
+    A few changes meet the counts in joins that do not shuffle the counts; keys
+    that are new are those that no count meets. Many are added up with the
+    counts in one shuffle of both.
+    """
+    if delta.limit(FEW + 1).count() > FEW:
+        return _summed(name, old.unionByName(delta)).filter(_some(name))
     measures = _measures(name)
     new = delta.withColumnsRenamed({c: f"_{c}" for c in delta.columns})
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
@@ -128,10 +147,18 @@ def _merged(name: str, keys: list[str], old: DataFrame, delta: DataFrame) -> Dat
 
 
 def feedback_changes(t: Tables, accepted: DataFrame) -> Changes:
-    """Of `writes.with_feedback`: the reviewed attempts without and with their reviewer."""
+    """Of `writes.with_feedback`: the attempts that get another reviewer, without and with; other counts stay."""
     rows = t.attempt.join(accepted.select(*writes.ATTEMPT, "_mentor"), writes.ATTEMPT)
-    after = rows.withColumn("mentor_id", F.coalesce("_mentor", "mentor_id"))
-    return together(removed(attempt=rows.drop("_mentor")), added(attempt=after.drop("_mentor")))
+    rows = rows.filter(F.col("_mentor").isNotNull() & ~F.col("_mentor").eqNullSafe(F.col("mentor_id")))
+    before = F.struct(F.lit(-1).alias("sign"), F.col("mentor_id"))
+    after = F.struct(F.lit(1).alias("sign"), F.col("_mentor").alias("mentor_id"))
+    return {"reviews": _moved(rows, before, after)}
+
+
+def _moved(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+    """Each row twice, read once: as it was and as it is."""
+    as_both = F.explode(F.array(before, after)).alias("_as")
+    return rows.select("student_id", "problem_id", "score", as_both).select("student_id", "problem_id", "score", "_as.*")
 
 
 def problem_changes(t: Tables, gone: DataFrame) -> Changes:
@@ -141,9 +168,13 @@ def problem_changes(t: Tables, gone: DataFrame) -> Changes:
 
 def removal_changes(t: Tables, removal: writes.Removal) -> Changes:
     """Of `writes.without_removed`: what goes, and attempts that lose their reviewer."""
-    rows = writes.told(removal, "attempt", t.attempt, "inner")
-    before = rows.select(*t.attempt.columns)
-    changes = together(removed(attempt=before), added(attempt=writes.cleared(removal, "attempt", rows)))
+    rows = written(writes.told(removal, "attempt", t.attempt, "inner"), "met-attempts")
+    lost = F.coalesce("_lost", F.lit(False))
+    stay = rows.filter(~lost & F.coalesce("_no_mentor_id", F.lit(False)))
+    before = F.struct(F.lit(-1).alias("sign"), F.col("mentor_id"))
+    after = F.struct(F.lit(1).alias("sign"), F.lit(None).cast("long").alias("mentor_id"))
+    changes = removed(attempt=rows.filter(lost).select(*t.attempt.columns))
+    changes |= {"reviews": _moved(stay, before, after)}
     for relation in ("problem", "resource"):
         key = list(KEYS[relation])
         changes |= removed(**{relation: t[relation].join(removal.keys[relation], key, "left_semi")})

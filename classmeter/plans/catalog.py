@@ -617,6 +617,8 @@ on_tables("cascade_delete_all")(lambda t: row_digests(writes.cascade_delete_user
 
 def followed(t: Tables) -> tuple[Tables, kept.Kept]:
     """The platform after submissions, reviews and the removal of banned users, with counts that followed the changes."""
+    # Each version of the attempts is written, as the jobs that follow read it several times.
+    t = t.replace(attempt=written(t.attempt, "attempts"))
     counts = kept.build(t)
     new = written(writes.number_attempts(t, plain_scores(t)), "new-attempts")
     changes = kept.added(attempt=new)
@@ -624,6 +626,7 @@ def followed(t: Tables) -> tuple[Tables, kept.Kept]:
     accepted = written(writes.accepted_feedback(t, reviews(t)), "feedback")
     changes = kept.together(changes, kept.feedback_changes(t, accepted))
     t, counts = writes.with_feedback(t, accepted), kept.settled(kept.fold(counts, changes))
+    t = t.replace(attempt=written(t.attempt, "attempts"))
     removal = writes.plan_removal(t, banned(t), guard=False)
     return writes.without_removed(t, removal), kept.fold(counts, kept.removal_changes(t, removal))
 
