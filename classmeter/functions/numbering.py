@@ -12,19 +12,20 @@ CROWD = 1_000_000
 BUCKETS = 1 << 16
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str, settled: bool = False) -> DataFrame:
     """Number the rows of each key from 1 in `order`; all rows, if there are no keys.
 
     The rows are written to the shared folder once and counted there by hash
     buckets of the keys. Those of a bucket with more than `CROWD` rows are
     numbered by ranges, see `_by_ranges`; the others meet by key in one shuffle,
     which joins and groups by the same keys can go on from. Rows that are equal
-    in keys and order are told apart by a hash of their other columns.
+    in keys and order are told apart by a hash of their other columns. Rows that
+    are `settled`, read from a written table, are not written again.
     """
     if not keys:
         return _by_ranges(df, keys, order, name)
     tie = F.xxhash64(*df.columns)
-    rows = written(df, "numbered")
+    rows = df if settled else written(df, "numbered")
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
     full = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
     crowded = [row[0] for row in full.select("bucket").collect()]  # one number for each crowded bucket

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from classmeter.sources.commits import CommitLog
 
 
+# Keys that are few enough to be looked up in the state by themselves.
+FEW = 100_000
+
+
 class Batches:
     def __init__(self, spark: SparkSession, out: str):
         self.spark, self.out = spark, out
@@ -79,12 +83,17 @@ class State:
     def write_run(self, rows: DataFrame, batch_id: int, kind: str = "delta") -> str:
         """A run of the largest value of each key in `rows`; nothing names it before the batch is committed."""
         folder = f"{self._batches.out}/{self._name}/{kind}-{batch_id}"
-        dealt = self.largest(rows).withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket")
+        # Dealt out by the tasks that group the keys; a shuffle by buckets would move every row once more.
+        dealt = self.largest(rows).withColumn("_bucket", self._bucket())
         dealt.write.mode("overwrite").partitionBy("_bucket").parquet(folder)
         return folder
 
     def read(self, runs: list[str], keys: DataFrame | None = None) -> DataFrame:
-        """The rows of `runs`, several of a key maybe; with `keys` only of those, from their buckets."""
+        """The rows of `runs`, several of a key maybe; with `keys` those of their buckets, and of few keys only theirs.
+
+        A join of all state rows with many keys would shuffle and sort both
+        sides, only for the caller to join them again.
+        """
         spark = self._batches.spark
         placed = T.StructType([*self._schema, T.StructField("_bucket", T.IntegerType())])
         if not runs:
@@ -95,7 +104,9 @@ class State:
             found = one if found is None else found.union(one)
         if keys is not None:
             touched = [row[0] for row in keys.select(self._bucket()).distinct().collect()]  # one number for each bucket
-            found = found.where(F.col("_bucket").isin(touched)).join(keys, self._keys, "left_semi")
+            found = found.where(F.col("_bucket").isin(touched))
+            if keys.limit(FEW + 1).count() <= FEW:
+                found = found.join(keys.distinct(), self._keys, "left_semi")
         return found.select(*self._schema.names)
 
     def add(self, runs: list[str], rows: DataFrame, batch_id: int) -> list[str]:

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from classmeter.functions.numbering import number_within
 from classmeter.operators.quality import feedback_missing, score_outside
 from classmeter.operators.writes import PAIR, alert_rows, running_problem_counts
+from classmeter.session import written
 from classmeter.sources.schemas import SCHEMAS
 from classmeter.streaming.batches import Batches, State
 
@@ -160,9 +161,10 @@ def _numbered(batches: Batches, batch: DataFrame, batch_id: int, runs: list[str]
     """(the numbered attempts of a batch, as written; the runs after it)."""
     score = F.col("score").cast("decimal(5,2)").alias("score")
     order = [F.asc_nulls_last("submit_time"), F.asc("score")]
-    rows = number_within(batch.select(*PAIR, score, "submit_time"), PAIR, order, "_n")
+    arrived = written(batch.select(*PAIR, score, "submit_time"), "arrived")
+    rows = number_within(arrived, PAIR, order, "_n", settled=True)
     state = _numbers(batches)
-    before = state.largest(state.read(runs, rows.select(*PAIR).distinct())).withColumnRenamed("attempt_no", "_before")
+    before = state.largest(state.read(runs, arrived.select(*PAIR))).withColumnRenamed("attempt_no", "_before")
     number = (F.col("_n") + F.coalesce("_before", F.lit(0))).cast("int").alias("attempt_no")
     done = rows.join(before, PAIR, "left").select(*PAIR, "score", "submit_time", number)
     done = batches.write(done, "attempts", batch_id, NUMBERED)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from classmeter.functions import numbering, sqltext
 from classmeter.operators import kept, writes
+from classmeter.streaming import streams
 from conftest import rows
 
 
@@ -39,3 +40,21 @@ def test_a_batch_is_numbered_without_ranges(seed, spark):
 def test_reviews_move_their_own_counts_only(seed, spark):
     accepted = seed.attempt.select(*writes.ATTEMPT, F.lit(5).cast("long").alias("_mentor"), F.lit("x").alias("_feedback"))
     assert set(kept.feedback_changes(seed, accepted)) == {"reviews"}
+
+
+def test_few_and_many_keys_get_the_same_numbers(spark, tmp_path, monkeypatch):
+    """State of many keys is read without a join of its own, and a run is not shuffled by its buckets."""
+    from classmeter.streaming import batches
+
+    state = lambda name: streams._numbers(batches.Batches(spark, str(tmp_path / name)))
+    held = spark.createDataFrame([(s, p, s + p) for s in range(9) for p in range(5)], streams.LAST_NUMBER)
+    run = state("few").write_run(held.union(held), -1, "base")
+    keys = held.select("student_id", "problem_id").filter("student_id < 4").union(held.select("student_id", "problem_id").limit(2))
+    few = state("few").read([run], keys)
+    assert "LeftSemi" in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(batches, "FEW", 3)
+    many = state("few").read([run], keys)
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString()
+    wanted = keys.distinct()
+    assert sorted(rows(few)) == sorted(rows(many.join(wanted, ["student_id", "problem_id"], "left_semi")))
+    assert sorted(rows(few)) == sorted((s, p, s + p) for s in range(4) for p in range(5))
