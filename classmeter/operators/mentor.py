@@ -176,14 +176,20 @@ def review_attempts(
     problem_id: int | None = None,
     student_id: int | None = None,
 ) -> DataFrame:
-    """Attempts on the author's problems, newest first, with all names."""
+    """Attempts on the author's problems, newest first, with all names.
+
+    What is wider joins later: reviewers, whom few attempts have, then students,
+    then titles, so that no shuffle carries a title.
+    """
     found = filters.feedback_is(t.attempt, has_feedback)
     found = filters.scores_between(found, score_min, score_max)
     found = of(of(found, "problem_id", problem_id), "student_id", student_id)
-    found = _attempts_on_owned(t, mentor_id, found)
-    found = found.join(names(t, "student_id", "student_name"), "student_id")
+    if mentor_id is not None:
+        found = found.join(_owned(t, mentor_id).select("problem_id"), "problem_id", "left_semi")
     reviewers = names(t, "mentor_id", "reviewer_name")
-    found = left_join_sparse(found, reviewers, "mentor_id", ["student_id", "problem_id"])
+    found = left_join_sparse(found, reviewers, "mentor_id", ["student_id", "problem_id"]).drop("mentor_id")
+    found = found.join(names(t, "student_id", "student_name"), "student_id")
+    found = _attempts_on_owned(t, mentor_id, found)
     return in_order(
         found.select(
             "author_id", "problem_id", "title", "student_id", "student_name", "attempt_no",

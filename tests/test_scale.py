@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from classmeter.functions import numbering, sqltext
-from classmeter.operators import kept, writes
+from classmeter.operators import kept, mentor, writes
 from classmeter.streaming import streams
 from conftest import rows
 
@@ -58,3 +58,12 @@ def test_few_and_many_keys_get_the_same_numbers(spark, tmp_path, monkeypatch):
     wanted = keys.distinct()
     assert sorted(rows(few)) == sorted(rows(many.join(wanted, ["student_id", "problem_id"], "left_semi")))
     assert sorted(rows(few)) == sorted((s, p, s + p) for s in range(4) for p in range(5))
+
+
+def test_titles_join_last(seed):
+    """No shuffle of a listing of reviews carries a title; reviewers join first."""
+    plan = mentor.review_attempts(seed)._jdf.queryExecution().optimizedPlan().toString()
+    places = [plan.index(join) for join in ("Join Inner, (problem_id", "Join Inner, (student_id", "Join LeftOuter, ((mentor_id")]
+    assert places == sorted(places)
+    one = rows(mentor.review_attempts(seed, 21))
+    assert sorted(map(str, one)) == sorted(str(r) for r in rows(mentor.review_attempts(seed)) if r[0] == 21) and one
