@@ -600,19 +600,24 @@ def banned(t: Tables) -> DataFrame:
     return t.user.filter("status = 'banned'").select("user_id")
 
 
+def settled_attempts(t: Tables) -> Tables:
+    """The platform with its attempts written, as a cascade reads them three times."""
+    return t.replace(attempt=written(t.attempt, "attempts"))
+
+
 @on_tables("cascade_delete_user")
 def cascade_delete_user(t):
     """Number and content of what is left of every relation; users with tried problems stay."""
-    return row_digests(writes.cascade_delete_user(t, banned(t)))
+    return row_digests(writes.cascade_delete_user(settled_attempts(t), banned(t)))
 
 
 on_tables("cascade_delete_attempts")(
-    lambda t: writes.cascade_delete_user(t, banned(t)).attempt.groupBy("student_id").agg(
+    lambda t: writes.cascade_delete_user(settled_attempts(t), banned(t)).attempt.groupBy("student_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("mentor_id").alias("marked")
     )
 )
 on_tables("deletable_users")(lambda t: writes.deletable_users(t, banned(t)))
-on_tables("cascade_delete_all")(lambda t: row_digests(writes.cascade_delete_user(t, banned(t), guard=False)))
+on_tables("cascade_delete_all")(lambda t: row_digests(writes.cascade_delete_user(settled_attempts(t), banned(t), guard=False)))
 
 
 def followed(t: Tables) -> tuple[Tables, kept.Kept]:

@@ -67,3 +67,11 @@ def test_titles_join_last(seed):
     assert places == sorted(places)
     one = rows(mentor.review_attempts(seed, 21))
     assert sorted(map(str, one)) == sorted(str(r) for r in rows(mentor.review_attempts(seed)) if r[0] == 21) and one
+
+
+def test_a_cascade_s_attempts_are_built_once(spark, bound):
+    from classmeter.plans import catalog
+
+    settled = catalog.settled_attempts(bound)
+    assert "lineitem" not in settled.attempt._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, rows(settled.attempt))) == sorted(map(str, rows(bound.attempt)))
