@@ -6,6 +6,8 @@ Nothing is parsed or run, and all of it stays in built-in expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from classmeter.functions.exprs import once
@@ -15,6 +17,8 @@ from classmeter.functions.exprs import once
 BLANK = r"[\s\x1c-\x1f]"
 # A run of blanks other than a single space.
 UNEVEN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*+| [\s\x1c-\x1f]++"
+# A run that holds no two spaces side by side holds one of these; cheaper to look for.
+UNPLAIN = r"[^ -~]"
 COMMENT = r"--[^\n]*"
 LAST_SEMICOLON = rf"(?U);{BLANK}*\z"
 # These two meet normalised text only, where a blank is a space.
@@ -37,9 +41,15 @@ def normalize_sql_text(text: Column) -> Column:
 
     The semicolon goes before the comments do, so one that is followed by a
     comment stays. Block comments stay.
+
+    A pattern is tried only where the given text holds what it needs; no step
+    brings in what a later one looks for.
     """
-    whole = F.regexp_replace(F.coalesce(text, F.lit("")), LAST_SEMICOLON, "")
-    return F.trim(F.lower(one_space(F.regexp_replace(whole, COMMENT, ""))))
+    given = F.coalesce(text, F.lit(""))
+    whole = F.when(given.contains(";"), F.regexp_replace(given, LAST_SEMICOLON, "")).otherwise(given)
+    whole = F.when(given.contains("--"), F.regexp_replace(whole, COMMENT, "")).otherwise(whole)
+    whole = F.when(given.contains("  ") | given.rlike(UNPLAIN), one_space(whole)).otherwise(whole)
+    return F.trim(F.lower(whole))
 
 
 def split_clauses(text: Column) -> Column:
@@ -76,8 +86,18 @@ def _pieces(text: Column, mark: str) -> Column:
     return F.when(text.contains(mark), several).otherwise(one)
 
 
+def _even(text: Column) -> Column:
+    """Single-spaced without blanks at the ends, so that no piece between marks needs to be trimmed."""
+    return ~(text.contains("  ") | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")))
+
+
+def _plain_pieces(text: Column, mark: str) -> Column:
+    """As `_pieces` of an even text, without a lambda, which Spark would interpret for each piece."""
+    return F.array_remove(F.split(text, mark), "")
+
+
 def _as_set(items: Column) -> Column:
-    return once(items, lambda found: F.when(F.size(found) > 1, F.sort_array(F.array_distinct(found))).otherwise(found))
+    return F.sort_array(F.array_distinct(items))
 
 
 def extract_tables(source: Column) -> Column:
@@ -85,12 +105,12 @@ def extract_tables(source: Column) -> Column:
 
     Names after a join; only without any, the first word of each comma part.
     """
-    may_name = source.contains("join ") | source.contains("from ")
-    named = F.when(may_name, F.regexp_extract_all(source, F.lit(NAMED_TABLE), 1))
-    first_words = F.transform(
-        _pieces(source, ","), lambda piece: F.substring_index(piece, " ", 1)
-    )
-    return _as_set(once(named, lambda found: F.when(F.size(found) > 0, found).otherwise(first_words)))
+    is_named = (source.contains("join ") | source.contains("from ")) & source.rlike(NAMED_TABLE)
+    named = F.regexp_extract_all(source, F.lit(NAMED_TABLE), 1)
+    several = F.transform(_pieces(source, ","), lambda piece: F.substring_index(piece, " ", 1))
+    one = F.array_remove(F.array(F.substring_index(F.trim(source), " ", 1)), "")
+    single = F.when(~source.contains(","), one).otherwise(several)
+    return _as_set(F.when(is_named, named).otherwise(single))
 
 
 def extract_columns(listed: Column) -> Column:
@@ -108,7 +128,9 @@ def extract_columns(listed: Column) -> Column:
         called = item.contains("(") | item.contains(")")
         return F.when(called, item).otherwise(name(item))
 
-    return _as_set(F.transform(_pieces(listed, ","), column))
+    marked = [listed.contains(mark) for mark in ("(", ")", "`", " as ", ".")]
+    bare = _even(listed) & ~reduce(Column.__or__, marked)
+    return _as_set(F.when(bare, _plain_pieces(listed, " ?, ?")).otherwise(F.transform(_pieces(listed, ","), column)))
 
 
 def _unwrap(condition: Column) -> Column:
@@ -126,8 +148,9 @@ def extract_conditions(condition: Column) -> Column:
 
     Parts between ` and `, also inside a BETWEEN, without their outer parentheses.
     """
-    parts = F.transform(_pieces(condition, " and "), _unwrap)
-    return _as_set(F.filter(parts, lambda part: part != ""))
+    parts = F.filter(F.transform(_pieces(condition, " and "), _unwrap), lambda part: part != "")
+    bare = _even(condition) & ~condition.contains("(")
+    return _as_set(F.when(bare, _plain_pieces(condition, " and ")).otherwise(parts))
 
 
 def hits(correct: Column, submitted: Column) -> Column:

@@ -42,6 +42,20 @@ def test_reviews_move_their_own_counts_only(seed, spark):
     assert set(kept.feedback_changes(seed, accepted)) == {"reviews"}
 
 
+def test_plain_texts_are_split_without_lambdas(spark):
+    """A guarded pattern and a plain text's parts are built-in expressions; odd texts give what they gave."""
+    texts = [
+        ("a, b ,a", ["a", "b"]), ("t.x as y, `b`", ["b", "x"]), (" a,  ,b.", ["", "a"]), ("f(a, b), c", ["b)", "c", "f(a"]), ("", []),
+    ]
+    frame = spark.createDataFrame([(t,) for t, _ in texts], "listed string")
+    assert sorted(rows(frame.select("listed", sqltext.extract_columns(F.col("listed"))))) == sorted(texts)
+    odd = [("SELECT a; ", "select a"), ("select a -- c;\n from t", "select a from t"), ("a;--x", "a;"), ("a;;", "a;"), ("a\x1cb", "a b")]
+    frame = spark.createDataFrame([(t,) for t, _ in odd], "sql string")
+    assert sorted(rows(frame.select("sql", sqltext.normalize_sql_text(F.col("sql"))))) == sorted(odd)
+    parts = frame.select(sqltext.extract_conditions(F.col("sql")).alias("c"))
+    assert "CASE WHEN" in parts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_few_and_many_keys_get_the_same_numbers(spark, tmp_path, monkeypatch):
     """State of many keys is read without a join of its own, and a run is not shuffled by its buckets."""
     from classmeter.streaming import batches
