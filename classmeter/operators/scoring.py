@@ -35,15 +35,15 @@ def take_apart(df: DataFrame, text: str, side: str) -> DataFrame:
 def score_submissions(submissions: DataFrame, problem: DataFrame) -> DataFrame:
     """Each submission with its score and the details behind it.
 
-    Right answers are taken apart once per problem, before the join. Hot
-    problems are left to adaptive skew splitting, as the problem side has one
-    row per key.
+    Right answers are taken apart once per problem, before the join; the
+    submissions after it, so that the shuffle carries texts and not their parts.
+    Hot problems are left to adaptive skew splitting, as the problem side has
+    one row per key.
     """
     answers = take_apart(
         problem.select("problem_id", "correct_answer"), "correct_answer", "correct"
     ).drop("correct_answer")
-    given = take_apart(submissions, "student_sql", "student")
-    paired = given.join(answers, "problem_id")
+    paired = take_apart(submissions.join(answers, "problem_id"), "student_sql", "student")
 
     same = {part: F.col(f"correct.{name}") == F.col(f"student.{name}") for part, (name, _) in SETS.items()}
     f1 = {part: F.col(f"_{part}_f1") for part in PARTS}
@@ -118,7 +118,7 @@ def take_submissions(
     for rule in (quality.feedback_rule, quality.score_range_rule):
         good, broken = rule(good)
         refused.append(broken.select("student_id", "problem_id", "reason"))
-    new = written(writes.number_attempts(t, good), "new-attempts")
+    new = written(writes.number_attempts(t, good, settled=True), "new-attempts")
     sent, got = writes.high_score_alerts(t, new, now=now)
     after = t.replace(
         attempt=t.attempt.unionByName(new),

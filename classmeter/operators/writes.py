@@ -24,16 +24,16 @@ PAIR = ["student_id", "problem_id"]
 ATTEMPT = list(KEYS["attempt"])
 
 
-def number_attempts(t: Tables, scored: DataFrame) -> DataFrame:
+def number_attempts(t: Tables, scored: DataFrame, settled: bool = False) -> DataFrame:
     """New attempt rows: numbers go on from the pair's largest one, in time order.
 
     The batch and the largest numbers of the snapshot's pairs meet in the
-    shuffle that numbers the batch.
+    shuffle that numbers the batch. `settled`: see `number_within`.
     """
     ties = [F.asc(c) for c in ("student_sql", "score") if c in scored.columns]
     order = [F.asc_nulls_last("submit_time"), *ties]
     needed = [c for c in (*PAIR, "submit_time", "score", "student_sql") if c in scored.columns]
-    numbered = number_within(scored.select(*needed), PAIR, order, "_n")
+    numbered = number_within(scored.select(*needed), PAIR, order, "_n", settled)
     last = t.attempt.groupBy(*PAIR).agg(F.max("attempt_no").alias("_last"))
     number = F.col("_n") + F.coalesce("_last", F.lit(0))
     found = numbered.join(last, PAIR, "left").withColumns(

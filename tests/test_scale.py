@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from classmeter.functions import numbering, sqltext
-from classmeter.operators import kept, mentor, writes
+from classmeter.operators import kept, mentor, scoring, writes
 from classmeter.streaming import streams
 from conftest import rows
 
@@ -56,6 +56,13 @@ def test_plain_texts_are_split_without_lambdas(spark):
     assert "CASE WHEN" in parts._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_are_taken_apart_after_the_join(seed, spark):
+    """The shuffle carries submitted texts, not their parts."""
+    given = spark.createDataFrame([(11, 31, "select a from t")], "student_id long, problem_id long, student_sql string")
+    plan = scoring.score_submissions(given, seed.problem)._jdf.queryExecution().optimizedPlan().toString()
+    assert "student_raw" in plan.split("Join Inner")[0] and "student_raw" not in plan.split("Join Inner", 1)[1]
+
+
 def test_few_and_many_keys_get_the_same_numbers(spark, tmp_path, monkeypatch):
     """State of many keys is read without a join of its own, and a run is not shuffled by its buckets."""
     from classmeter.streaming import batches
