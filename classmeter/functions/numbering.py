@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from classmeter.session import written
+from classmeter.session import deal, written
 
 
 # Rows of a hash bucket of keys that one task may number; and the number of buckets.
@@ -12,7 +12,9 @@ CROWD = 1_000_000
 BUCKETS = 1 << 16
 
 
-def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str, settled: bool = False) -> DataFrame:
+def number_within(
+    df: DataFrame, keys: list[str], order: list[Column], name: str, settled: bool = False, by: str | None = None
+) -> DataFrame:
     """Number the rows of each key from 1 in `order`; all rows, if there are no keys.
 
     The rows are written to the shared folder once and counted there by hash
@@ -20,13 +22,18 @@ def number_within(df: DataFrame, keys: list[str], order: list[Column], name: str
     numbered by ranges, see `_by_ranges`; the others meet by key in one shuffle,
     which joins and groups by the same keys can go on from. Rows that are equal
     in keys and order are told apart by a hash of their other columns. Rows that
-    are `settled`, read from a written table, are not written again.
+    are `settled`, read from a written table, are not written again. With `by`,
+    one of the keys, the rows are written dealt out by it and are numbered
+    where they lie; the buckets that are counted are then those of this key.
     """
     if not keys:
         return _by_ranges(df, keys, order, name)
     tie = F.xxhash64(*df.columns)
-    rows = df if settled else written(df, "numbered")
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    if by:
+        rows = deal(df, "numbered", by).rows()
+    else:
+        rows = df if settled else written(df, "numbered")
+    bucket = F.pmod(F.xxhash64(*([by] if by else keys)), F.lit(BUCKETS))
     full = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
     crowded = [row[0] for row in full.select("bucket").collect()]  # one number for each crowded bucket
     within = bucket.isin(crowded) if crowded else F.lit(False)

@@ -6,6 +6,11 @@ that are taken away -1, so distinct counts and maxima survive deletes: a pair
 or a score is there as long as its count is above 0. Changes may be folded in
 any order; a count that a removal brought below 0 waits for its rows.
 
+Counts of a whole snapshot are dealt out by the key that they have in common,
+the student or the author, and many changes become another run beside them: a
+key's rows of all runs are in one bucket, and are summed up there by who reads
+them.
+
 A change is a frame of a relation's rows with a column `sign`, under the
 relation's name, or under that of the one count that it moves. The functions
 below make the changes of the write jobs from what these have written already,
@@ -15,13 +20,13 @@ so only the rows that a job touches are counted.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from classmeter.operators import reports, writes
-from classmeter.session import written
+from classmeter.session import Dealt, buckets, deal, written
 from classmeter.sources.commits import CommitLog
 from classmeter.sources.schemas import KEYS
 from classmeter.sources.tables import Tables
@@ -42,9 +47,10 @@ Changes = dict[str, DataFrame]
 
 @dataclass(frozen=True)
 class Kept:
-    """The counts by name, each with its keys, `n`, and for some `scored` and `total`."""
+    """The counts by name, each with its keys, `n`, and for some `scored` and `total`; `runs` are those that are dealt out."""
 
     frames: dict[str, DataFrame]
+    runs: dict[str, Dealt] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.frames[name]
@@ -54,11 +60,26 @@ def _measures(name: str) -> list[str]:
     return ["n", "scored", "total"] if COUNTS[name][2] else ["n"]
 
 
-def _counted(name: str, rows: DataFrame) -> DataFrame:
-    """The counts that signed rows stand for, summed in the map tasks first."""
+def _dealt_by(name: str) -> str:
+    """The key that a count is dealt out by: all counts of attempts hold the student."""
+    keys = COUNTS[name][1]
+    return "student_id" if "student_id" in keys else keys[0]
+
+
+def _needed(name: str, rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col(NEEDED[name]).isNotNull()) if name in NEEDED else rows
+
+
+def _counted(name: str, rows: DataFrame, parts: int = 0) -> DataFrame:
+    """The counts that signed rows stand for.
+
+    Summed in the map tasks first or, with `parts`, where the rows of a key
+    that the count is dealt out by meet.
+    """
     _, keys, scores = COUNTS[name]
-    if name in NEEDED:
-        rows = rows.filter(F.col(NEEDED[name]).isNotNull())
+    rows = _needed(name, rows).select(*keys, *(["score"] if scores and "score" not in keys else []), "sign")
+    if parts:
+        rows = rows.repartition(parts, _dealt_by(name))
     sums = [F.sum("sign").cast("long").alias("n")]
     if scores:
         signed = F.when(F.col("sign") > 0, F.col("score")).otherwise(-F.col("score"))
@@ -91,22 +112,49 @@ def together(*changes: Changes) -> Changes:
 def build(t: Tables) -> Kept:
     """The counts of a whole snapshot, written."""
     whole = added(attempt=t.attempt, problem=t.problem, resource=t.resource)
-    return Kept({name: written(_counted(name, whole[of]), f"kept-{name}") for name, (of, *_) in COUNTS.items()})
+    parts = buckets(t.attempt.sparkSession)
+    return _dealt({name: _counted(name, whole[of], parts) for name, (of, *_) in COUNTS.items()})
+
+
+def _dealt(counts: dict[str, DataFrame], runs: dict[str, Dealt] | None = None) -> Kept:
+    """Counts written as they are dealt out, beside those that are."""
+    new = {name: deal(frame, f"kept-{name}", _dealt_by(name), COUNTS[name][1]) for name, frame in counts.items()}
+    runs = {**(runs or {}), **new}
+    return Kept({name: _read(name, runs[name]) for name in COUNTS}, runs)
+
+
+def _read(name: str, table: Dealt) -> DataFrame:
+    """The counts of all runs."""
+    return table.rows() if len(table.runs) == 1 else _summed(name, table.rows()).filter(_some(name))
 
 
 def fold(kept: Kept, changes: Changes) -> Kept:
-    """The counts after `changes`, lazily; `settled` or `write` them before the next fold, as a fold reads them twice.
+    """The counts after `changes`, lazily; `settled` or `write` them before the next fold.
 
-    The changes are summed up and written first, see `_merged` for how the counts meet them.
+    Many changes of counts that are dealt out are summed up and written as
+    another run. Others are summed up and written, see `_merged` for how the
+    counts meet them. Changes are read twice, so they come from written rows.
     """
-    frames = dict(kept.frames)
+    frames, runs = dict(kept.frames), dict(kept.runs)
     for name, (relation, keys, _) in COUNTS.items():
-        moves = [_counted(name, changes[of]) for of in (relation, name) if of in changes]
-        if moves:
-            delta = _summed(name, reduce(DataFrame.union, moves)) if len(moves) > 1 else moves[0]
+        moves = [_needed(name, changes[of]) for of in (relation, name) if of in changes]
+        changed = _rows(moves) if name in runs else 1
+        if changed > FEW:
+            for rows in moves:
+                runs[name] = runs[name].add(_counted(name, rows, runs[name].buckets))
+            frames[name] = _read(name, runs[name])
+        elif moves and changed:
+            counts = [_counted(name, rows) for rows in moves]
+            delta = _summed(name, reduce(DataFrame.union, counts)) if len(counts) > 1 else counts[0]
             delta = written(delta.filter(_some(name)), f"change-{name}")
             frames[name] = _merged(name, list(keys), kept[name], delta)
-    return Kept(frames)
+            runs.pop(name, None)
+    return Kept(frames, runs)
+
+
+def _rows(moves: list[DataFrame]) -> int:
+    """How many rows change, exact up to `FEW`."""
+    return sum(rows.limit(FEW + 1).count() for rows in moves)
 
 
 def _summed(name: str, counts: DataFrame) -> DataFrame:
@@ -116,12 +164,14 @@ def _summed(name: str, counts: DataFrame) -> DataFrame:
 
 
 def settled(kept: Kept) -> Kept:
-    """The same counts, written."""
-    return Kept({name: written(frame, f"kept-{name}") for name, frame in kept.frames.items()})
+    """The same counts, written; those in runs are, and become one run again when there are more than `MOST_RUNS`."""
+    runs = {name: table for name, table in kept.runs.items() if len(table.runs) <= MOST_RUNS}
+    return _dealt({name: frame for name, frame in kept.frames.items() if name not in runs}, runs)
 
 
 # Changed keys that are few enough for the counts to stay where they are.
 FEW = 100_000
+MOST_RUNS = 8
 
 
 def _merged(name: str, keys: list[str], old: DataFrame, delta: DataFrame) -> DataFrame:
@@ -146,12 +196,12 @@ def _merged(name: str, keys: list[str], old: DataFrame, delta: DataFrame) -> Dat
 # --- the changes of the write jobs
 
 
-def feedback_changes(t: Tables, accepted: DataFrame) -> Changes:
+def feedback_changes(t: Tables, accepted: DataFrame, rows: DataFrame | None = None) -> Changes:
     """Of `writes.with_feedback`: the attempts that get another reviewer, without and with; other counts stay."""
-    rows = t.attempt.join(accepted.select(*writes.ATTEMPT, "_mentor"), writes.ATTEMPT)
-    rows = rows.filter(F.col("_mentor").isNotNull() & ~F.col("_mentor").eqNullSafe(F.col("mentor_id")))
-    before = F.struct(F.lit(-1).alias("sign"), F.col("mentor_id"))
-    after = F.struct(F.lit(1).alias("sign"), F.col("_mentor").alias("mentor_id"))
+    rows = writes.reviewed(t, accepted) if rows is None else rows
+    rows = rows.filter(~F.col("mentor_id").eqNullSafe(F.col("_before")))
+    before = F.struct(F.lit(-1).alias("sign"), F.col("_before").alias("mentor_id"))
+    after = F.struct(F.lit(1).alias("sign"), F.col("mentor_id"))
     return {"reviews": _moved(rows, before, after)}
 
 
@@ -168,12 +218,12 @@ def problem_changes(t: Tables, gone: DataFrame) -> Changes:
 
 def removal_changes(t: Tables, removal: writes.Removal) -> Changes:
     """Of `writes.without_removed`: what goes, and attempts that lose their reviewer."""
-    rows = written(writes.told(removal, "attempt", t.attempt, "inner"), "met-attempts")
-    lost = F.coalesce("_lost", F.lit(False))
-    stay = rows.filter(~lost & F.coalesce("_no_mentor_id", F.lit(False)))
+    met = writes.hit(removal, "attempt", t.attempt.select("student_id", "problem_id", "mentor_id", "score"))
+    rows = deal(met, "met-attempts", "student_id", ("problem_id",)).rows()
+    stay = rows.filter(~F.col("_lost") & F.col("_no_mentor_id"))
     before = F.struct(F.lit(-1).alias("sign"), F.col("mentor_id"))
     after = F.struct(F.lit(1).alias("sign"), F.lit(None).cast("long").alias("mentor_id"))
-    changes = removed(attempt=rows.filter(lost).select(*t.attempt.columns))
+    changes = removed(attempt=rows.filter("_lost").drop("_lost", "_no_mentor_id"))
     changes |= {"reviews": _moved(stay, before, after)}
     for relation in ("problem", "resource"):
         key = list(KEYS[relation])

@@ -13,27 +13,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from classmeter.functions.joins import left_join_sparse
 from classmeter.functions.numbering import number_within
 from classmeter.functions.sqltext import strip
 from classmeter.sources.schemas import KEYS, REFERENCES, SCHEMAS
 from classmeter.operators.quality import meaningful_text, parse_generated
-from classmeter.session import written
+from classmeter.session import buckets, written
 from classmeter.sources.tables import Tables, assign_ids, typed, with_defaults
 
 PAIR = ["student_id", "problem_id"]
 ATTEMPT = list(KEYS["attempt"])
 
 
-def number_attempts(t: Tables, scored: DataFrame, settled: bool = False) -> DataFrame:
+def number_attempts(t: Tables, scored: DataFrame, settled: bool = False, dealt: bool = False) -> DataFrame:
     """New attempt rows: numbers go on from the pair's largest one, in time order.
 
     The batch and the largest numbers of the snapshot's pairs meet in the
-    shuffle that numbers the batch. `settled`: see `number_within`.
+    shuffle that numbers the batch. `settled`: see `number_within`. For a
+    snapshot whose attempts are `dealt` out by student, the batch is numbered
+    where it meets by problem, and goes to the students' buckets without the
+    texts that told equal times apart.
     """
     ties = [F.asc(c) for c in ("student_sql", "score") if c in scored.columns]
     order = [F.asc_nulls_last("submit_time"), *ties]
     needed = [c for c in (*PAIR, "submit_time", "score", "student_sql") if c in scored.columns]
-    numbered = number_within(scored.select(*needed), PAIR, order, "_n", settled)
+    numbered = number_within(scored.select(*needed), PAIR, order, "_n", settled, "problem_id" if dealt else None)
+    if dealt:
+        numbered = numbered.drop("student_sql").repartition(buckets(numbered.sparkSession), "student_id")
     last = t.attempt.groupBy(*PAIR).agg(F.max("attempt_no").alias("_last"))
     number = F.col("_n") + F.coalesce("_last", F.lit(0))
     found = numbered.join(last, PAIR, "left").withColumns(
@@ -50,28 +56,35 @@ def append_attempts(t: Tables, scored: DataFrame) -> Tables:
     return t.replace(attempt=t.attempt.unionByName(number_attempts(t, scored)))
 
 
-def accepted_feedback(t: Tables, updates: DataFrame) -> DataFrame:
+def accepted_feedback(t: Tables, updates: DataFrame, dealt: bool = False) -> DataFrame:
     """Reviews with a text, by the author of the problem; the last one per attempt.
 
-    `updates` holds the attempt key, mentor_id, feedback and sent_at.
+    `updates` holds the attempt key, mentor_id, feedback and sent_at. With
+    `dealt` the reviews meet by student, as attempts do that are dealt out so.
     """
     worded = updates.withColumn("feedback", strip(F.col("feedback"))).filter("feedback <> ''")
     owner = t.problem.select("problem_id", F.col("user_id").alias("mentor_id"))
     own = worded.join(owner, ["problem_id", "mentor_id"], "left_semi")
-    by = lambda c: F.max_by(c, F.struct("sent_at", "mentor_id", "feedback")).alias
-    return own.groupBy(*ATTEMPT).agg(by("mentor_id")("_mentor"), by("feedback")("_feedback"))
+    if dealt:
+        own = own.select(*ATTEMPT, "sent_at", "mentor_id", "feedback").repartition(buckets(own.sparkSession), "student_id")
+    last = own.groupBy(*ATTEMPT).agg(F.max(F.struct("sent_at", "mentor_id", "feedback")).alias("_last"))
+    return last.select(*ATTEMPT, F.col("_last.mentor_id").alias("_mentor"), F.col("_last.feedback").alias("_feedback"))
 
 
-def with_feedback(t: Tables, accepted: DataFrame) -> Tables:
-    """The next snapshot with the reviews that `accepted_feedback` lets through, written."""
-    joined = t.attempt.join(accepted, ATTEMPT, "left")
-    changed = joined.withColumns(
+def reviewed(t: Tables, accepted: DataFrame) -> DataFrame:
+    """All attempts with the reviews that `accepted_feedback` lets through, and the reviewer `_before`."""
+    joined = t.attempt.withColumn("_before", F.col("mentor_id")).join(accepted, ATTEMPT, "left")
+    return joined.withColumns(
         {
             "mentor_id": F.coalesce("_mentor", "mentor_id"),
             "feedback": F.coalesce("_feedback", "feedback"),
         }
-    )
-    return t.replace(attempt=typed(changed, "attempt"))
+    ).select(*SCHEMAS["attempt"].names, "_before")
+
+
+def with_feedback(t: Tables, accepted: DataFrame, rows: DataFrame | None = None) -> Tables:
+    """The next snapshot with the accepted reviews, which are written, or with `rows`, those of `reviewed`, if these are."""
+    return t.replace(attempt=typed(reviewed(t, accepted) if rows is None else rows, "attempt"))
 
 
 def apply_feedback(t: Tables, updates: DataFrame) -> Tables:
@@ -194,16 +207,39 @@ def _identity(relation: str, edges: list[tuple[str, str, str, str, str]]) -> lis
     return list(dict.fromkeys([*(KEYS[relation] if referred else ()), *(edge[1] for edge in edges)]))
 
 
+# Keys that go and are few enough to be sent to all executors, whatever Spark thinks of their size.
+FEW_GONE = 2_000_000
+
+
+def _hits(frame: DataFrame, edges: list[tuple[str, str, str, str, str]], keys: dict[str, DataFrame]) -> DataFrame:
+    """The rows that refer to what goes, with `_lost` (the row goes) and `_no_<column>` (the column is cleared).
+
+    Each reference is looked up by itself. While the keys that go are few, the
+    rows stay where they are; else they are shuffled by that reference.
+    """
+    lost, gone = F.lit(False), []
+    for n, (_, column, parent, key, rule) in enumerate(edges):
+        mark = f"_no_{column}" if rule == "null" else f"_gone_{n}"
+        met = keys[parent].select(F.col(key).alias(column)).distinct().withColumn(mark, F.lit(True))
+        if keys[parent].limit(FEW_GONE + 1).count() <= FEW_GONE:
+            frame = frame.join(F.broadcast(met), column, "left")
+        elif rule == "null":
+            frame = left_join_sparse(frame, met, column, [c for c in frame.columns if c != column])
+        else:
+            frame = frame.join(met, column, "left")
+        frame = frame.withColumn(mark, F.coalesce(mark, F.lit(False)))
+        gone.append(F.col(mark))
+        lost = lost if rule == "null" else lost | F.col(mark)
+    marks = [c for c in frame.columns if c.startswith("_gone_")]
+    return frame.filter(reduce(Column.__or__, gone)).withColumn("_lost", lost).drop(*marks)
+
+
 def _met(frame: DataFrame, relation: str, edges: list[tuple[str, str, str, str, str]], keys: dict[str, DataFrame]) -> DataFrame:
-    """All references of a row are looked up in one join, and each combination of them is kept once."""
+    """The references of the rows that a removal meets, each combination of them once."""
     who = _identity(relation, edges)
-    refs = F.array(*(F.struct(F.lit(n).alias("edge"), F.col(edge[1]).alias("key")) for n, edge in enumerate(edges)))
-    each = frame.select(*who, F.explode(refs).alias("_ref")).select(*who, "_ref.edge", "_ref.key").filter("key is not null")
-    gone = [keys[edge[2]].select(F.lit(n).alias("edge"), F.col(edge[3]).alias("key")) for n, edge in enumerate(edges)]
-    hit = each.join(reduce(DataFrame.union, gone), ["edge", "key"], "left_semi")
-    lost = F.col("edge").isin([n for n, edge in enumerate(edges) if edge[4] != "null"])
-    cleared = [F.max(F.col("edge") == n).alias(f"_no_{edge[1]}") for n, edge in enumerate(edges) if edge[4] == "null"]
-    return hit.groupBy(*who).agg(F.max(lost).alias("_lost"), *cleared)
+    cleared = [f"_no_{edge[1]}" for edge in edges if edge[4] == "null"]
+    hit = _hits(frame.select(*who), edges, keys)
+    return hit.groupBy(*who).agg(*(F.max(c).alias(c) for c in ("_lost", *cleared)))
 
 
 def plan_removal(t: Tables, ids: DataFrame, guard: bool = True) -> Removal:
@@ -231,12 +267,17 @@ def plan_removal(t: Tables, ids: DataFrame, guard: bool = True) -> Removal:
     return Removal(keys, met)
 
 
-def told(removal: Removal, relation: str, frame: DataFrame, how: str = "left") -> DataFrame:
-    """The rows of a relation with `_lost` and `_no_<column>`; `how="inner"` for those only that a removal meets."""
+def hit(removal: Removal, relation: str, frame: DataFrame) -> DataFrame:
+    """The rows that a removal meets, with `_lost` and `_no_<column>`; `frame` holds the references of the relation."""
+    return _hits(frame, _edges(relation, removal.keys), removal.keys)
+
+
+def told(removal: Removal, relation: str, frame: DataFrame) -> DataFrame:
+    """The rows of a relation with `_lost` and `_no_<column>`."""
     who = _identity(relation, _edges(relation, removal.keys))
     met = removal.met[relation].withColumnsRenamed({c: f"_met_{c}" for c in who})
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_met_{c}")) for c in who])
-    return frame.join(met, same, how).drop(*(f"_met_{c}" for c in who))
+    return frame.join(met, same, "left").drop(*(f"_met_{c}" for c in who))
 
 
 def cleared(removal: Removal, relation: str, rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from classmeter.functions import exprs, sqltext
 from classmeter.operators import admin, kept, learner, mentor, quality, questions, reports, scoring, writes
-from classmeter.session import shared_folder, written
+from classmeter.session import deal, shared_folder, written
 from classmeter.sources import binding, tables
 from classmeter.sources.binding import ADMINS, MENTORS
 from classmeter.sources.schemas import SCHEMAS
@@ -622,16 +622,17 @@ on_tables("cascade_delete_all")(lambda t: row_digests(writes.cascade_delete_user
 
 def followed(t: Tables) -> tuple[Tables, kept.Kept]:
     """The platform after submissions, reviews and the removal of banned users, with counts that followed the changes."""
-    # Each version of the attempts is written, as the jobs that follow read it several times.
-    t = t.replace(attempt=written(t.attempt, "attempts"))
+    # Each version of the attempts is written, dealt out by student like the counts, for the jobs that follow.
+    attempts = deal(t.attempt, "attempts", "student_id", writes.ATTEMPT)
+    t = t.replace(attempt=attempts.rows())
     counts = kept.build(t)
-    new = written(writes.number_attempts(t, plain_scores(t)), "new-attempts")
-    changes = kept.added(attempt=new)
-    t = t.replace(attempt=t.attempt.unionByName(new))
-    accepted = written(writes.accepted_feedback(t, reviews(t)), "feedback")
-    changes = kept.together(changes, kept.feedback_changes(t, accepted))
-    t, counts = writes.with_feedback(t, accepted), kept.settled(kept.fold(counts, changes))
-    t = t.replace(attempt=written(t.attempt, "attempts"))
+    attempts = attempts.add(writes.number_attempts(t, plain_scores(t), dealt=True))
+    changes = kept.added(attempt=attempts.last())
+    t = t.replace(attempt=attempts.rows())
+    accepted = writes.accepted_feedback(t, reviews(t), dealt=True)
+    rows = deal(writes.reviewed(t, accepted), "reviewed-attempts", "student_id", writes.ATTEMPT).rows()
+    changes = kept.together(changes, kept.feedback_changes(t, accepted, rows))
+    t, counts = writes.with_feedback(t, accepted, rows), kept.settled(kept.fold(counts, changes))
     removal = writes.plan_removal(t, banned(t), guard=False)
     return writes.without_removed(t, removal), kept.fold(counts, kept.removal_changes(t, removal))
 

@@ -7,8 +7,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from classmeter.functions import numbering
 from classmeter.operators import kept, reports, writes
-from classmeter.session import shared_folder, written
+from classmeter.session import deal, shared_folder, written
 from classmeter.sources import tables
 from conftest import rows
 
@@ -98,3 +99,80 @@ def test_counts_belong_to_a_version(spark, seed):
     kept.write(kept.build(seed), path, version)
     t = tables.load(spark, path)
     assert views(t, kept.load(spark, path, version)) == views(seed)
+
+
+def dealt(t):
+    return t.replace(attempt=deal(t.attempt, "attempts", "student_id", writes.ATTEMPT).rows())
+
+
+def test_many_changes_become_runs(spark, seed, monkeypatch):
+    """Counts are not written anew for many changes, and the runs are read without a shuffle."""
+    monkeypatch.setattr(kept, "FEW", 0)
+    rng, t = random.Random(5), dealt(seed)
+    base = counts = kept.build(t)
+    for step in (append, drop_users):
+        t, changes = step(spark, t, rng)
+        counts, before = kept.settled(kept.fold(counts, changes)), counts
+        t = dealt(t)
+        assert views(t, counts) == views(t), step.__name__
+        held = before.runs["tries"].runs
+        assert counts.runs["tries"].runs[: len(held)] == held
+    assert len(counts.runs["tries"].runs) > 1 and views(seed, base) == views(seed)  # who holds the first run sees no later one
+    per_student = counts["tries"].filter("n > 0").groupBy("student_id").count()
+    assert "Exchange" not in per_student._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(kept, "MOST_RUNS", 1)
+    one = kept.settled(counts)
+    assert len(one.runs["tries"].runs) == 1 and views(t, one) == views(t)
+
+
+def test_the_platform_s_rows_are_shuffled_by_student_once(spark, bound, monkeypatch):
+    """Each version of the attempts and all their counts lie by student; only new attempts and reviews move there."""
+    from pyspark.sql import DataFrameWriter
+
+    from classmeter.plans import catalog
+
+    plans, save = [], DataFrameWriter.saveAsTable
+
+    def spy(self, name, *args, **options):
+        plans.append((name.split("dealt_")[1].rsplit("_", 1)[0], self._df._jdf.queryExecution().executedPlan().toString()))
+        return save(self, name, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", spy)
+    monkeypatch.setattr(kept, "FEW", 0)
+    catalog.followed(bound)
+    moved = {name: plan.count("REPARTITION_BY_NUM") for name, plan in plans}
+    assert {"attempts", "kept_tries", "kept_marks", "kept_reviews", "numbered"} <= set(moved)
+    for name, plan in plans:
+        if name.startswith("kept_") and "dealt_" in plan:
+            assert "Exchange" not in plan, name
+    assert moved["attempts"] == 1 and moved["reviewed_attempts"] <= 1 and moved["met_attempts"] == 0
+
+
+def test_dealt_attempts_are_numbered_and_reviewed_alike(spark, seed, monkeypatch):
+    made = [(s, p, Decimal(n), T0 + datetime.timedelta(hours=n % 2), f"select {n % 3}") for n, (s, p) in enumerate([(1, 101), (2, 103), (None, 101), (1, None)] * 4)]
+    scored = spark.createDataFrame(made, f"{NEW}, student_sql string")
+    plain = sorted(rows(writes.number_attempts(seed, scored)), key=str)
+    for crowd in (numbering.CROWD, 3):
+        monkeypatch.setattr(numbering, "CROWD", crowd)
+        assert sorted(rows(writes.number_attempts(dealt(seed), scored, dealt=True)), key=str) == plain
+    author = {r.problem_id: r.user_id for r in seed.problem.collect()}
+    given = [(*r[:3], author[r[1]], text, T0) for r in rows(seed.attempt) for text in ("seen", "again", None)]
+    given += [(None, 101, 1, author[101], "nobody", T0), (1, 101, 1, author[101], "late", None)]
+    updates = spark.createDataFrame(given, REVIEW)
+    found = [sorted(rows(writes.accepted_feedback(seed, updates, dealt=d)), key=str) for d in (False, True)]
+    assert found[0] == found[1] and {r[4] for r in found[0]} == {"seen", "nobody"}
+
+
+def test_what_a_removal_meets_is_found_with_few_and_many_keys(spark, seed, monkeypatch):
+    twice, nobody, other = seed.attempt.limit(3), seed.attempt.limit(2).withColumn("student_id", F.lit(None).cast("long")), seed.attempt.withColumn("mentor_id", F.lit(21).cast("long"))
+    t = seed.replace(attempt=seed.attempt.unionByName(twice).unionByName(nobody).unionByName(other))
+    asked = spark.createDataFrame([(1,), (2,), (21,)], "user_id long")
+    found = []
+    for few in (writes.FEW_GONE, 0):
+        monkeypatch.setattr(writes, "FEW_GONE", few)
+        removal = writes.plan_removal(t, asked, guard=False)
+        met = writes.hit(removal, "attempt", t.attempt)
+        told = writes.told(removal, "attempt", t.attempt).filter("_lost is not null")
+        assert sorted(rows(met.select(*told.columns)), key=str) == sorted(rows(told), key=str)
+        found.append(sorted(rows(met), key=str))
+    assert found[0] == found[1] and {r._lost for r in met.collect()} == {True, False}
